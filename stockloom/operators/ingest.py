@@ -7,6 +7,7 @@ both follow from the last earlier rental action of the SKU that is valid by itse
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,6 +30,7 @@ from ..schemas import (
     WALK_IN,
     Tables,
 )
+from ..session import scratch_path
 from .migrate import customer_id
 from .ordered import HOT_ROWS, running
 
@@ -128,15 +130,34 @@ def _row_problems() -> Column:
 _OPEN = "open rental exists for this SKU"
 
 
-def decide(raw: DataFrame, open_rentals: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def _held(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "actions")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def check_actions(raw: DataFrame) -> DataFrame:
+    """Coerced actions with every rule they break by themselves in ``errors``."""
+    typed = coerce_actions(validate_actions(raw))
+    none = F.array().cast("array<string>")
+    return typed.withColumn(
+        "errors", F.concat("errors", F.when(F.size("errors") == 0, _row_problems()).otherwise(none))
+    )
+
+
+def decide(
+    raw: DataFrame,
+    open_rentals: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+    hold: Callable[[DataFrame], DataFrame] = _held,
+) -> DataFrame:
     """Coerced actions with ``errors`` and, for returns that close a rental, ``closes``.
 
     ``raw`` is ordered by (created_at, seq). ``open_rentals`` are the bookings open before the first action; they
     are placed ahead of the actions of their SKU. ``closes`` is a struct (id, booked_at) of the closed booking.
+    The parsed actions feed every table, so they are held once (by default written to the scratch folder).
     """
-    checked = coerce_actions(validate_actions(raw))
-    checked = checked.withColumn("errors", F.concat("errors", F.when(F.size("errors") == 0, _row_problems())
-                                                    .otherwise(F.array().cast("array<string>"))))
+    checked = hold(check_actions(raw))
     rental = F.col("action_type").isin("Rental Out", "Rental Return")
     valid = F.size("errors") == 0
     # Only valid rental actions take part in the ordering; everything else is decided already.

@@ -103,8 +103,8 @@ def s8_export_csv(spark, d):
 @_query
 def s9_archive_history(spark, d):
     path = scratch_path(spark, "archive")
-    files.archive_history(state.history(fx.tables(spark, d), with_id=False), path)
-    return files.read_archive(spark, path).groupBy("shop_type", F.col("event_day").alias("day")).agg(
+    files.archive_history(state.history(fx.tables(spark, d), with_id=False), path, "month")
+    return files.read_archive(spark, path).groupBy("shop_type", F.col("period").alias("month")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("quantity_change").cast("bigint").alias("quantity")
     )
 

@@ -385,13 +385,13 @@ def oracle_queries() -> dict[str, str]:
         bridal_status, rental_due_date, customer_name_contact, coalesce(last_action, ''), total_gross_profit::VARCHAR,
         profit_margin::VARCHAR], lambda v: CASE WHEN regexp_matches(v, '[",\n]') THEN '"' || replace(v, '"', '""') || '"' ELSE v END),
         ',') AS value FROM exported WHERE shop_type = 'Bags'""", _LIVE, _EXPORT)
-    add("s9_archive_history", """SELECT shop_type, created_at::DATE AS day, count(*) AS n, sum(quantity_change)::BIGINT AS quantity
+    add("s9_archive_history", """SELECT shop_type, date_trunc('month', created_at)::DATE AS month, count(*) AS n, sum(quantity_change)::BIGINT AS quantity
         FROM hist GROUP BY ALL""", _LIVE)
 
     # ingest
     add("i1_validate_actions", "SELECT seq, errors FROM checked", _ACTIONS)
     add("i2_coerce_actions", """SELECT seq, created_at, shop_type, item_sku, item_name, stock_cost_price, sell_price, quantity_change,
-        quantity, bag_color, min_stock_alert, rental_due_date, customer_name_contact, action_type, false AS overflow FROM typed""", _ACTIONS)
+        quantity, bag_color, min_stock_alert, bridal_status, rental_due_date, customer_name_contact, action_type, false AS overflow FROM typed""", _ACTIONS)
     add("i3_route_actions", """SELECT seq, CASE action_type WHEN 'Rental Out' THEN 'rental' WHEN 'Rental Return' THEN 'return'
         WHEN 'Status Change' THEN 'lifecycle' ELSE 'ledger' END AS route FROM fx_raw""")
     add("i4_upsert_items", f"""SELECT {_COLS}, CASE WHEN NOT existed THEN created_at ELSE created_at END AS created_at, updated_at

@@ -64,13 +64,11 @@ def shops(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     return known.unionByName(seed.join(known.select("shop_code"), "shop_code", "left_anti"))
 
 
-def archive_history(history: DataFrame, path: str) -> None:
-    """Append the audit trail to an archive laid out by shop and day."""
-    dated = history.withColumn("event_day", F.col("created_at").cast("date"))
-    # Rows of a folder are brought together, but a day with very many rows is split over several writers.
-    dated.hint("rebalance", "shop_type", "event_day").write.mode("append").partitionBy(
-        "shop_type", "event_day"
-    ).parquet(path)
+def archive_history(history: DataFrame, path: str, period: str = "day") -> None:
+    """Append the audit trail to an archive laid out by shop and day (or another ``date_trunc`` period)."""
+    dated = history.withColumn("period", F.date_trunc(period, F.col("created_at")).cast("date"))
+    # Rows of a folder are brought together, but a period with very many rows is split over several writers.
+    dated.hint("rebalance", "shop_type", "period").write.mode("append").partitionBy("shop_type", "period").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -112,10 +112,16 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Log one micro-batch. Only state of earlier batches is read, so running it again gives the same result."""
     spark = batch.sparkSession
     earlier = batch_id - 1
-    actions = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")).persist()
+    actions = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
     still_open = _rentals(spark, root, earlier).where(F.col("status") == "Rented")
-    decided = ing.decide(actions, still_open).persist()
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
     try:
+        decided = hold(ing.decide(actions, still_open, hold=hold))
         good = ing.accepted(decided)
         names = ing.new_customers(good)
         # Only the known customers named in this batch are kept: a scan with a semi-join, then a small join.
@@ -137,8 +143,8 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         # Written last: readers ignore batches without it.
         _write(spark.range(1).select(F.lit(1).alias("n")), root, "commits", batch_id)
     finally:
-        decided.unpersist()
-        actions.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def ingest_stream(
