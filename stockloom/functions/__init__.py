@@ -2,6 +2,7 @@ from .columns import (
     blank_to_null,
     contains_text,
     days_until,
+    instant,
     is_overdue,
     js_trim,
     margin_pct,
@@ -12,6 +13,6 @@ from .columns import (
 )
 
 __all__ = [
-    "blank_to_null", "contains_text", "days_until", "is_overdue", "js_trim", "margin_pct", "money",
+    "blank_to_null", "contains_text", "days_until", "instant", "is_overdue", "js_trim", "margin_pct", "money",
     "normalize_sku", "number_prefix", "whole_prefix",
 ]

@@ -77,6 +77,11 @@ def margin_pct(sell: Column, cost: Column, empty: Column | None = None) -> Colum
     return F.when(sell == 0, fallback).otherwise(F.round((sell - cost) / sell * 100, 2).cast(MONEY))
 
 
+def instant(at: dt.datetime) -> Column:
+    """A timestamp literal without time zone, whatever the zones of session and driver are."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def is_overdue(due: Column, as_of: dt.datetime) -> Column:
     """Midnight of the due date lies before ``as_of``: due today counts once the day has begun."""
     today = F.lit(as_of.date())

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import days_until, is_overdue
+from ..functions import days_until, instant, is_overdue
 from .ordered import HOT_ROWS, global_row_number, running
 from .state import newest_rows
 
@@ -174,7 +174,7 @@ def overdue_without_return(rentals: DataFrame, as_of: dt.datetime) -> DataFrame:
 
 def recent_actors(log: DataFrame, as_of: dt.datetime, days: int = 7) -> DataFrame:
     """Staff who touched each SKU in the last ``days``, one row per SKU and person."""
-    since, until = (F.lit(t).cast("timestamp_ntz") for t in (as_of - dt.timedelta(days=days), as_of))
+    since, until = (instant(t) for t in (as_of - dt.timedelta(days=days), as_of))
     return log.where((F.col("created_at") > since) & (F.col("created_at") <= until)).groupBy(
         "item_sku", "created_by"
     ).agg(F.count(F.lit(1)).alias("actions"), F.max("created_at").alias("last_at"))
@@ -197,7 +197,7 @@ def gap_transactions(
     on: Sequence[str] = ("item_sku", "action_type", "created_at"),
 ) -> DataFrame:
     """Receipts since the last good count that the log lacks, counted: two equal receipts need two log rows."""
-    after = F.col("created_at") > F.lit(since).cast("timestamp_ntz")
+    after = F.col("created_at") > instant(since)
 
     def tally(df: DataFrame, name: str) -> DataFrame:
         return df.where(after).groupBy(*on).agg(F.count(F.lit(1)).alias(name))

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import instant
 from ..schemas import DEFAULT_ALERT, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
@@ -173,7 +174,7 @@ def sku_parity(log: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def inflight_rentals(log: DataFrame, as_of: dt.datetime, minutes: int = 5) -> DataFrame:
-    since = F.lit(as_of - dt.timedelta(minutes=minutes)).cast("timestamp_ntz")
+    since = instant(as_of - dt.timedelta(minutes=minutes))
     return log.where((F.col("action_type") == "Rental Out") & (F.col("created_at") > since)).agg(
         F.count(F.lit(1)).alias("inflight")
     )

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import instant
 from ..schemas import Tables
 
 # Roles and the child tables they may read.
@@ -101,7 +102,7 @@ def audit_items(old: DataFrame, new: DataFrame, as_of: dt.datetime, user: str) -
         F.col("o.item_sku").alias("row_pk"),
         F.when(gone, "DELETE").otherwise("UPDATE").alias("action"),
         F.lit(user).alias("changed_by"),
-        F.lit(as_of).cast("timestamp_ntz").alias("changed_at"),
+        instant(as_of).alias("changed_at"),
         version("o").alias("old_data"),
         F.when(~gone, version("n")).alias("new_data"),
     )

@@ -553,7 +553,8 @@ def a5_duplicate_submits(spark, d):
 def a5_drop_repeats_stream(spark, d):
     schema = fx.table(spark, d, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    unique = stream.drop_repeats(fx.raw_from_events(source).select("seq", "created_at", "item_sku", "action_type"))
+    raw = fx.raw_from_events(source).select("seq", "created_at", "item_sku", "action_type")
+    unique = stream.drop_repeats(raw, REPEAT_SECONDS, "30 days").select("item_sku", "action_type", "slot")
     out = scratch_path(spark, "unique")
     unique.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", scratch_path(spark, "offsets")

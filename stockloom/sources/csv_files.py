@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import js_trim
+from ..functions import instant, js_trim
 from ..operators.ingest import accepted, decide
 from ..schemas import RAW_FIELDS
 
@@ -62,7 +62,7 @@ def normalize_import(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
 
     fields = [f for f in RAW_FIELDS if f != "quantity"]
     return rows.select(
-        F.monotonically_increasing_id().alias("seq"), F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+        F.monotonically_increasing_id().alias("seq"), instant(as_of).alias("created_at"),
         *(pick(f) for f in fields), F.lit(None).cast("string").alias("quantity"),
     )
 

@@ -6,7 +6,7 @@ first attempt wrote, and no table is rewritten. Items and rentals are kept as ch
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -158,13 +158,23 @@ def ingest_stream(
     )
 
 
-def drop_repeats(raw: DataFrame, seconds: int = 5) -> DataFrame:
-    """Stream without actions that repeat SKU and action within ``seconds``.
+def repeat_slot(created_at: Column, seconds: int) -> Column:
+    """Number of the ``seconds``-long slot a time falls into."""
+    day = F.unix_date(F.to_date(created_at)).cast("bigint") * 86_400
+    of_day = F.hour(created_at) * 3600 + F.minute(created_at) * 60 + F.second(created_at)
+    return F.floor((day + of_day) / seconds)
 
-    A repeat that arrives after the watermark has passed is let through; the batch check finds it later.
+
+def drop_repeats(raw: DataFrame, seconds: int = 5, lateness: str = "1 day") -> DataFrame:
+    """Stream that keeps one action per SKU, action and slot of ``seconds``.
+
+    Actions further apart than ``seconds`` are never taken for repeats, however large a micro-batch is, and a busy SKU
+    is spread over its slots. A repeat across the edge of two slots passes; the batch check finds it. Actions that
+    arrive more than ``lateness`` behind the newest one are no longer accepted.
     """
+    slotted = raw.withColumn("slot", repeat_slot(F.col("created_at"), seconds))
     return (
-        raw.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", f"{seconds} seconds")
-        .dropDuplicatesWithinWatermark(["item_sku", "action_type"])
+        slotted.withColumn("created_at", F.col("created_at").cast("timestamp"))
+        .withWatermark("created_at", lateness)
+        .dropDuplicatesWithinWatermark(["item_sku", "action_type", "slot"])
     )
