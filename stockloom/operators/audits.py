@@ -253,5 +253,5 @@ def assign_cause(deltas: DataFrame, findings: Mapping[str, Sequence[DataFrame]])
         first = flags.groupBy("item_sku").agg(F.min("_rank").alias("_rank"))
         joined = deltas.join(first, "item_sku", "left")
         names = F.array(*(F.lit(c) for c in CAUSES))
-        cause = F.coalesce(F.element_at(names, F.col("_rank") + 1), F.lit(UNKNOWN))
+        cause = F.coalesce(F.get(names, F.col("_rank")), F.lit(UNKNOWN))
     return joined.withColumn("cause", cause).select(*deltas.columns, "cause")
