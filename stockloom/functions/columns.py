@@ -37,36 +37,51 @@ def contains_text(columns: list[Column], needle: str) -> Column:
     return hit
 
 
-def number_prefix(text: Column) -> tuple[Column, Column]:
-    """Leading decimal number of a text as (value at two decimals, out-of-range flag).
+_BLANKS = f"[{WHITESPACE}]*"
+
+
+def number_lead(text: Column) -> Column:
+    """The part of a text that reads as a decimal number from the start, '' when there is none."""
+    number = r"(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+    return F.regexp_extract(text, f"^{_BLANKS}([+-]?{number})", 1)
+
 
-    Value is 0 when the text does not start with a number. The flag marks numbers a DECIMAL(10,2) cannot hold.
+def number_of(lead: Column) -> tuple[Column, Column]:
+    """Result of ``number_lead`` as (value at two decimals, out-of-range flag).
+
+    Value is 0 when there is no number. The flag marks numbers a DECIMAL(10,2) cannot hold.
     """
-    lead = F.regexp_extract(
-        js_trim(text), r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1
-    )
     parsed = F.round(lead.try_cast("decimal(38,18)"), 2)
     found = F.coalesce(lead != "", F.lit(False))
-    endless = F.coalesce(js_trim(text).rlike(r"^[+-]?Infinity"), F.lit(False))
-    too_big = endless | (found & (parsed.isNull() | (F.abs(parsed) >= F.lit(100_000_000))))
+    too_big = found & (parsed.isNull() | (F.abs(parsed) >= F.lit(100_000_000)))
     value = F.when(found & ~too_big, parsed.try_cast("decimal(10,2)")).otherwise(F.lit(0).cast(MONEY))
     return value, too_big
 
 
-def whole_prefix(text: Column) -> tuple[Column, Column]:
-    """Leading whole number of a text as (INT or NULL, out-of-range flag); '3.7' gives 3 and '0x1f' gives 31."""
-    trimmed = js_trim(text)
-    hexa = F.regexp_extract(trimmed, r"^[+-]?0[xX]([0-9a-fA-F]+)", 1)
-    sign = F.when(trimmed.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    digits = F.regexp_extract(trimmed, r"^([+-]?[0-9]+)", 1)
-    wide = F.when(
-        F.coalesce(hexa != "", F.lit(False)), F.conv(hexa, 16, 10).try_cast("decimal(38,0)") * sign
-    ).otherwise(digits.try_cast("decimal(38,0)"))
-    found = F.coalesce((digits != "") | (hexa != ""), F.lit(False))
+def whole_lead(text: Column) -> Column:
+    """The part of a text that reads as a whole number from the start ('3.7' gives '3'), '' when there is none."""
+    return F.regexp_extract(text, f"^{_BLANKS}([+-]?(?:0[xX][0-9a-fA-F]+|[0-9]+))", 1)
+
+
+def whole_of(lead: Column) -> tuple[Column, Column]:
+    """Result of ``whole_lead`` as (INT or NULL, out-of-range flag); '0x1f' is 31."""
+    # An INT has at most ten digits, so anything that does not fit a BIGINT is out of range as well.
+    hexa = F.conv(F.substring_index(F.lower(lead), "x", -1), 16, 10).try_cast("decimal(20,0)").try_cast("bigint")
+    sign = F.when(lead.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    wide = F.when(F.contains(F.lower(lead), F.lit("x")), hexa * sign).otherwise(lead.try_cast("bigint"))
+    found = F.coalesce(lead != "", F.lit(False))
     too_big = found & (wide.isNull() | ~wide.between(-2_147_483_648, 2_147_483_647))
     return F.when(found & ~too_big, wide.try_cast("int")), too_big
 
 
+def number_prefix(text: Column) -> tuple[Column, Column]:
+    return number_of(number_lead(text))
+
+
+def whole_prefix(text: Column) -> tuple[Column, Column]:
+    return whole_of(whole_lead(text))
+
+
 def money(value: Column) -> Column:
     return value.cast(MONEY)
 

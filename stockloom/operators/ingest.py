@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, js_trim, margin_pct, money, normalize_sku, number_prefix, whole_prefix
+from ..functions import blank_to_null, js_trim, margin_pct, money, normalize_sku, number_lead, number_of, whole_lead, whole_of
 from ..schemas import (
     ACTIONS,
     BRIDAL_STATUSES,
@@ -32,7 +32,7 @@ from ..schemas import (
 )
 from ..session import scratch_path
 from .migrate import customer_id
-from .ordered import HOT_ROWS, running
+from .ordered import HOT_ROWS, hot_keys, running
 
 _TEXT = ("brand_designer", "item_image", "bag_color", "bridal_size", "bridal_status", "customer_name_contact", "notes")
 
@@ -66,11 +66,15 @@ def validate_actions(raw: DataFrame) -> DataFrame:
 
 def coerce_actions(raw: DataFrame) -> DataFrame:
     """Text fields to typed columns. ``overflow`` marks numbers the target columns cannot hold."""
-    cost, cost_big = number_prefix(F.col("stock_cost_price"))
-    sell, sell_big = number_prefix(F.col("sell_price"))
-    change, change_big = whole_prefix(F.col("quantity_change"))
-    alert, alert_big = whole_prefix(F.col("min_stock_alert"))
-    count, count_big = whole_prefix(F.col("quantity"))
+    # Each text is matched once; value and range flag are then taken from the matched part.
+    leads = {f"_{c}": number_lead(F.col(c)) for c in ("stock_cost_price", "sell_price")}
+    leads |= {f"_{c}": whole_lead(F.col(c)) for c in ("quantity_change", "min_stock_alert", "quantity")}
+    matched = raw.withColumns(leads)
+    cost, cost_big = number_of(F.col("_stock_cost_price"))
+    sell, sell_big = number_of(F.col("_sell_price"))
+    change, change_big = whole_of(F.col("_quantity_change"))
+    alert, alert_big = whole_of(F.col("_min_stock_alert"))
+    count, count_big = whole_of(F.col("_quantity"))
     rental = F.col("action_type") == "Rental Out"
     # Only the columns an action writes can overflow; item prices and alert are written by all of them.
     ledger = F.col("action_type").isin(*LEDGER_ACTIONS)
@@ -88,7 +92,7 @@ def coerce_actions(raw: DataFrame) -> DataFrame:
         ),
     }
     typed |= {c: blank_to_null(F.col(c)) for c in _TEXT}
-    return raw.withColumns(typed)
+    return matched.withColumns(typed).drop(*leads)
 
 
 def route_of(action: Column) -> Column:
@@ -178,12 +182,12 @@ def decide(
     order = ["_phase", "created_at", "seq"]
 
     out = F.col("action_type") == "Rental Out"
-    step = running(step, ["item_sku"], order, lasts={"_before": F.col("action_type")}, hot_rows=hot_rows)
+    hot = hot_keys(step, ["item_sku"], hot_rows)
+    step = running(step, ["item_sku"], order, lasts={"_before": F.col("action_type")}, hot=hot)
     taken = F.coalesce(F.col("_before") == "Rental Out", F.lit(False))
     step = step.withColumns({"_accepted": out & ~taken, "_booking": booking})
     # Accepted bookings and closing returns alternate, so the last accepted booking is the one a return closes.
-    step = running(step, ["item_sku"], order, lasts={"_opened": F.when(F.col("_accepted"), F.col("_booking"))},
-                   hot_rows=hot_rows)
+    step = running(step, ["item_sku"], order, lasts={"_opened": F.when(F.col("_accepted"), F.col("_booking"))}, hot=hot)
     decided = step.where(F.col("_phase") == 1).withColumns(
         {
             "errors": F.when(out & ~F.col("_accepted"), F.array(F.lit(_OPEN))).otherwise(F.col("errors")),
@@ -464,11 +468,11 @@ def delete_items(tables: Tables, skus: DataFrame, shop: str | None = None) -> tu
     def survivors(df: DataFrame) -> DataFrame:
         return df.join(doomed, "item_sku", "left_anti")
 
-    removed = None
+    rows = None
     for df in (tables.items, tables.movements, tables.lifecycle, tables.rentals):
-        rows = df.groupBy("item_sku").agg(F.count(F.lit(1)).alias("_n"))
-        removed = rows if removed is None else removed.unionByName(rows)
-    counts = removed.join(doomed, "item_sku", "left_semi").groupBy("item_sku").agg(F.sum("_n").alias("deleted"))
+        part = df.select("item_sku").join(doomed, "item_sku", "left_semi")
+        rows = part if rows is None else rows.unionByName(part)
+    counts = rows.groupBy("item_sku").agg(F.count(F.lit(1)).alias("deleted"))
     report = wanted.join(counts, "item_sku", "left").select(
         "item_sku", F.coalesce("deleted", F.lit(0).cast("bigint")).alias("deleted")
     )

@@ -84,14 +84,17 @@ def running(
     lasts: Mapping[str, Column] | None = None,
     latest_first: bool = False,
     hot_rows: int = HOT_ROWS,
+    hot: list | None = None,
 ) -> DataFrame:
     """Add running columns per key, rows taken in ``order``.
 
     ``sums``: running total up to and including the row. ``lasts``: last non-null value strictly before the row.
     ``order`` must be unique within a key; ``latest_first`` walks it backwards. Keys and order are not null.
+    ``hot``: the keys to split, when they are known already.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    hot = hot_keys(df, keys, hot_rows)
+    if hot is None:
+        hot = hot_keys(df, keys, hot_rows)
     if not hot:
         return _plain(df, keys, order, sums, lasts, latest_first)
     schema = df.select(*keys).schema

@@ -225,10 +225,13 @@ def _history_events(tables: Tables) -> DataFrame:
         return df.select(
             F.col(at).alias("created_at"), F.lit(source).alias("src"), F.col("id").alias("seq"), "item_sku",
             qty.cast("int").alias("quantity_change"), cost.alias("_unit_cost"), price.alias("_booking_price"),
-            status.alias("_own_status"), due.alias("rental_due_date"), customer.alias("_customer"),
+            status.alias("_own_status"), due.alias("rental_due_date"), customer.alias("customer_name_contact"),
             action.alias("action_type"), "notes",
         )
 
+    # Only bookings have a customer, so the name is looked up for them alone.
+    names = tables.customers.select(F.col("id").alias("customer_id"), "display_name")
+    bookings = tables.rentals.join(names, "customer_id", "left")
     return (
         shape(tables.movements, _MOVE, "created_at", F.col("quantity_change"), F.col("unit_cost_price"), no_money,
               no_text, no_day, no_text, F.col("action_type"))
@@ -237,8 +240,8 @@ def _history_events(tables: Tables) -> DataFrame:
                   no_text, F.lit("Status Change"))
         )
         .unionByName(
-            shape(tables.rentals, _RENT, "booked_at", F.col("quantity"), no_money, F.col("rental_price"),
-                  F.col("status"), F.col("due_date"), F.col("customer_id").cast("string"), _rental_action())
+            shape(bookings, _RENT, "booked_at", F.col("quantity"), no_money, F.col("rental_price"), F.col("status"),
+                  F.col("due_date"), F.col("display_name"), _rental_action())
         )
     )
 
@@ -249,21 +252,18 @@ def history(tables: Tables, with_id: bool = True) -> DataFrame:
     Numbering needs the whole log in order, so it is done on the narrow events before the item columns are joined.
     ``with_id=False`` skips that step and leaves the order columns out as well.
     """
-    events = _history_events(tables).join(tables.items.select("item_sku"), "item_sku", "left_semi")
+    events = _history_events(tables)
     if with_id:
+        # Events of unknown items take no number.
+        events = events.join(tables.items.select("item_sku"), "item_sku", "left_semi")
         events = global_row_number(events, ("created_at", "src", "seq"), "id")
-    # Only bookings have a customer; the other rows get keys of their own that match nobody.
-    spread = F.coalesce("_customer", F.concat(F.lit(_NOBODY), F.col("seq").cast("string")))
-    names = tables.customers.select(
-        F.col("id").cast("string").alias("_customer"), F.col("display_name").alias("customer_name_contact")
-    )
     status = item_current_status(tables.items, tables.lifecycle, tables.rentals).select("item_sku", "current_status")
     described = tables.items.join(status, "item_sku", "left").select(
         "item_sku", F.col("shop_code").alias("shop_type"), "item_name", "brand_designer", "item_image",
         F.col("stock_cost_price").alias("_item_cost"), F.col("sell_price").alias("_item_sell"), "bag_color",
         "min_stock_alert", "bridal_size", "current_status",
     )
-    joined = events.withColumn("_customer", spread).join(names, "_customer", "left").join(described, "item_sku")
+    joined = events.join(described, "item_sku")
 
     booking, moved = F.col("src") == _RENT, F.col("src") == _MOVE
     cost = F.when(booking, money(F.lit(0))).otherwise(F.coalesce("_unit_cost", "_item_cost"))

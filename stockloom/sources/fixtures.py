@@ -17,10 +17,9 @@ AS_OF = dt.datetime(2001, 6, 1, 12, 0, 0)
 
 _SKU = "concat('SKU-', lpad(CAST({key} AS STRING), 12, '0'))"
 _SEQ = (
-    "CAST(((CAST(l_orderkey * 10 + l_linenumber AS DECIMAL(16,0)) * CAST(100000000000 AS DECIMAL(12,0))"
-    " + CAST(l_partkey AS DECIMAL(11,0))) * CAST(1000000000 AS DECIMAL(10,0))"
-    " + CAST(l_suppkey AS DECIMAL(9,0))) * CAST(100 AS DECIMAL(3,0))"
-    " + CAST(l_quantity AS DECIMAL(2,0)) AS DECIMAL(38,0))"
+    "CAST((CAST(l_orderkey * 10 + l_linenumber AS DECIMAL(16,0)) * CAST(100000000000 AS DECIMAL(12,0))"
+    " + CAST(l_partkey AS DECIMAL(11,0))) * CAST(100000000000 AS DECIMAL(12,0))"
+    " + CAST(l_suppkey * 100 + CAST(l_quantity AS INT) AS DECIMAL(11,0)) AS DECIMAL(38,0))"
 )
 _RENTAL = "l_partkey % 3 = 0 AND l_returnflag = 'N' AND l_linestatus = 'O'"
 _LIFECYCLE = "l_partkey % 3 = 0 AND l_returnflag = 'A' AND l_linestatus = 'O'"

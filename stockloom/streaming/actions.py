@@ -49,7 +49,9 @@ def _write(df: DataFrame, root: str, part: str, batch_id: int) -> None:
     shaped.write.mode("overwrite").parquet(f"{root}/{part}/batch_id={batch_id}")
 
 
-def start_store(spark: SparkSession, root: str, tables: Tables | None = None) -> None:
+def start_store(
+    spark: SparkSession, root: str, tables: Tables | None = None, rejects: DataFrame | None = None
+) -> None:
     """Create the stream's tables, empty or from existing ones."""
     empty = {part: spark.createDataFrame([], schema) for part, schema in _PARTS.items()}
     start = dict(empty)
@@ -59,6 +61,8 @@ def start_store(spark: SparkSession, root: str, tables: Tables | None = None) ->
             "movements": tables.movements, "lifecycle": tables.lifecycle, "customers": tables.customers,
             "rentals": tables.rentals,
         }
+    if rejects is not None:
+        start["rejects"] = rejects
     for part in _PARTS:
         _write(start[part].select(*empty[part].columns), root, part, _BASE)
 
@@ -108,6 +112,14 @@ def read_rejects(spark: SparkSession, root: str) -> DataFrame:
     return _read(spark, root, "rejects").where(F.col("batch_id") <= _committed(spark, root)).drop("batch_id")
 
 
+def compact_store(spark: SparkSession, root: str, target: str) -> None:
+    """Write the state after the last complete batch as the start of a new store.
+
+    A stream that was stopped goes on there with its old checkpoint; its batch numbers simply continue.
+    """
+    start_store(spark, target, read_store(spark, root), read_rejects(spark, root))
+
+
 def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """Log one micro-batch. Only state of earlier batches is read, so running it again gives the same result."""
     spark = batch.sparkSession
