@@ -174,7 +174,7 @@ def decide(
             "item_sku", F.col("booked_at").alias("created_at"), F.lit(0).cast("bigint").alias("seq"),
             F.lit("Rental Out").alias("action_type"), F.lit(0).alias("_phase"),
             F.struct(F.col("id").cast(ROW_ID).alias("id"), "booked_at").alias("_seed"),
-        ).join(moving.select("item_sku"), "item_sku", "left_semi")
+        ).join(moving.select("item_sku").distinct(), "item_sku", "left_semi")
         step = step.unionByName(seed, allowMissingColumns=True)
         booking = F.coalesce("_seed", F.struct(F.col("seq").cast(ROW_ID).alias("id"), F.col("created_at").alias("booked_at")))
     else:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instant
 from ..schemas import DEFAULT_ALERT, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
+from .ordered import HOT_ROWS, running
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
          "bag_color", "bridal_size")
@@ -74,30 +75,24 @@ def lifecycle_rejects(log: DataFrame) -> DataFrame:
     return _status_rows(log).where(~F.col("status").isin(*LIFECYCLE_STATUSES))
 
 
-def _latest_bookings(log: DataFrame) -> DataFrame:
-    """The newest Rental Out per SKU with its first later Rental Return.
-
-    Returns after the booking are found without pairing rows: the newest booking is known per SKU, and the earliest
-    return later than it is a minimum, so hot SKUs are reduced before the shuffle.
-    """
-    out = log.where(F.col("action_type") == "Rental Out").groupBy("item_sku").agg(
-        F.max(F.struct("created_at", "seq", "rental_due_date", "sell_price", "notes", "customer_name_contact"))
-        .alias("o")
-    ).select("item_sku", "o.*")
-    # One return time per (SKU, instant) is enough for a minimum; this also collapses copies before the join.
-    back = log.where(F.col("action_type") == "Rental Return").groupBy("item_sku", "created_at").agg(
-        F.count(F.lit(1)).alias("_n")
-    ).select("item_sku", F.col("created_at").alias("returned_at"))
-    returned = (
-        back.join(out.select("item_sku", F.col("created_at").alias("booked_at")), "item_sku")
-        .where(F.col("returned_at") > F.col("booked_at"))
-        .groupBy("item_sku").agg(F.min("returned_at").alias("returned_at"))
+def _latest_bookings(log: DataFrame, hot_rows: int) -> DataFrame:
+    """The newest Rental Out per SKU with the first Rental Return strictly later than it."""
+    out = F.col("action_type") == "Rental Out"
+    keep = ("rental_due_date", "sell_price", "notes", "customer_name_contact")
+    moves = log.where(F.col("action_type").isin("Rental Out", "Rental Return")).select(
+        "item_sku", "created_at", "seq", *keep, F.when(out, 1).otherwise(0).alias("_out")
     )
-    return out.join(returned, "item_sku", "left")
+    # At equal times returns come first, so a return that follows a booking is later in time. Walking backwards, the
+    # last return met is the nearest one.
+    back = F.when(F.col("_out") == 0, F.col("created_at"))
+    seen = running(moves, ["item_sku"], ["created_at", "_out", "seq"], lasts={"returned_at": back}, latest_first=True,
+                   hot_rows=hot_rows)
+    newest = F.max(F.struct("created_at", "seq", *keep, "returned_at"))
+    return seen.where(F.col("_out") == 1).groupBy("item_sku").agg(newest.alias("o")).select("item_sku", "o.*")
 
 
-def _rental_rows(log: DataFrame, customers: DataFrame) -> DataFrame:
-    booked = _latest_bookings(log)
+def _rental_rows(log: DataFrame, customers: DataFrame, hot_rows: int) -> DataFrame:
+    booked = _latest_bookings(log, hot_rows)
     names = customers.select(F.col("id").alias("customer_id"), F.col("display_name").alias("customer_name_contact"))
     due = F.coalesce("rental_due_date", F.date_add(F.col("created_at").cast("date"), 7))
     return booked.join(names, "customer_name_contact", "left").select(
@@ -108,13 +103,13 @@ def _rental_rows(log: DataFrame, customers: DataFrame) -> DataFrame:
     )
 
 
-def backfill_rentals(log: DataFrame, customers: DataFrame) -> DataFrame:
-    return _rental_rows(log, customers).where(F.col("customer_id").isNotNull())
+def backfill_rentals(log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    return _rental_rows(log, customers, hot_rows).where(F.col("customer_id").isNotNull())
 
 
-def rental_rejects(log: DataFrame, customers: DataFrame) -> DataFrame:
+def rental_rejects(log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Bookings without a known customer; the target does not allow them."""
-    return _rental_rows(log, customers).where(F.col("customer_id").isNull())
+    return _rental_rows(log, customers, hot_rows).where(F.col("customer_id").isNull())
 
 
 def migration_cleanup(tables: Tables) -> Tables:

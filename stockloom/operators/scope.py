@@ -27,7 +27,8 @@ def scope_children(rows: DataFrame, items: DataFrame, shop: str | None) -> DataF
 
 def scope_customers(customers: DataFrame, rentals: DataFrame, items: DataFrame, shop: str | None) -> DataFrame:
     """Customers with any rental of an item of the shop."""
-    renters = scope_children(rentals, items, shop).select(F.col("customer_id").alias("id"))
+    # Distinct first: a customer with very many rentals is reduced before the shuffle of the semi-join.
+    renters = scope_children(rentals, items, shop).select(F.col("customer_id").alias("id")).distinct()
     return customers.join(renters, "id", "left_semi")
 
 

@@ -191,7 +191,7 @@ def i11_check_constraints(spark, d):
 
 @_query
 def i12_delete_item(spark, d):
-    doomed = fx.table(spark, d, "part").where("p_partkey % 50 = 3").select(
+    doomed = fx.table(spark, d, "part").where("p_size = 7").select(
         F.expr("concat(' sku-', lpad(CAST(p_partkey AS STRING), 12, '0'))").alias("item_sku")
     )
     return ingest.delete_items(fx.tables(spark, d), doomed, "Bags")[1]

@@ -428,7 +428,7 @@ def oracle_queries() -> dict[str, str]:
     add("i12_delete_item", """SELECT item_sku, CASE WHEN shop_code = 'Bags' THEN 1
           + (SELECT count(*) FROM fx_mov m WHERE m.item_sku = i.item_sku) + (SELECT count(*) FROM fx_life m WHERE m.item_sku = i.item_sku)
           + (SELECT count(*) FROM fx_rent m WHERE m.item_sku = i.item_sku) ELSE 0 END::BIGINT AS deleted
-        FROM fx_items i WHERE substr(item_sku, 5)::BIGINT % 50 = 3""")
+        FROM fx_items i WHERE min_stock_alert = 7""")
     add("i13_ingest_stream", f"SELECT {_COLS}, updated_at FROM merged_items", _ACTIONS)
     add("i14_guard_actions", """SELECT seq, created_at, item_sku, action_type, CASE WHEN action_type = 'Rental Out' THEN 'reject: no stock'
           ELSE 'warn: no open rental' END AS warning

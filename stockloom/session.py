@@ -12,6 +12,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a skewed join partition even where an aggregation on the same key follows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Executor loss must not lose shuffle output when decommissioning is in use.
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
 }

@@ -112,12 +112,12 @@ def rentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The newest booking of every second SKU is still open. Every line has its order, so no join is needed here.
     newest = (
         lines.where("l_partkey % 2 = 0").groupBy("item_sku").agg(F.max(F.struct("at", "id")).alias("newest"))
-        .select("item_sku", F.col("newest.id").alias("open_id"))
+        .select(F.col("newest.id").alias("id"), F.lit(True).alias("is_open"))
     )
     status = F.expr(
-        "CASE WHEN id = open_id THEN 'Rented' WHEN l_discount > 0.095 THEN 'Cancelled' ELSE 'Returned' END"
+        "CASE WHEN is_open THEN 'Rented' WHEN l_discount > 0.095 THEN 'Cancelled' ELSE 'Returned' END"
     )
-    return booked.join(newest, "item_sku", "left").withColumn("status", status).select(
+    return booked.join(newest, "id", "left").withColumn("status", status).select(
         "id",
         "item_sku",
         F.col("o_custkey").cast("string").alias("customer_id"),
