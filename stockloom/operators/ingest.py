@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import blank_to_null, js_trim, margin_pct, money, normalize_sku, number_lead, number_of, whole_lead, whole_of
+from ..functions import blank_to_null, js_trim, money, normalize_sku, number_lead, number_of, whole_lead, whole_of
 from ..schemas import (
     ACTIONS,
     BRIDAL_STATUSES,

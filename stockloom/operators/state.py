@@ -163,16 +163,25 @@ def open_rentals_view(rentals: DataFrame) -> DataFrame:
     return rentals.where(F.col("status") == "Rented")
 
 
-def live_inventory(tables: Tables) -> DataFrame:
-    """One row per item with its current state."""
-    bookings = rental_rollup(tables.rentals)
+def _with_customer(bookings: DataFrame, customers: DataFrame) -> DataFrame:
     # Most SKUs have no open booking. Their missing customer id is replaced by a key that matches nobody and differs
     # per SKU, otherwise all of them would meet in one task of this join.
     spread = F.coalesce(F.col("open_rental.customer_id").cast("string"), F.concat(F.lit(_NOBODY), "item_sku"))
-    names = tables.customers.select(
+    names = customers.select(
         F.col("id").cast("string").alias("_customer"), F.col("display_name").alias("customer_name_contact")
     )
-    bookings = bookings.withColumn("_customer", spread).join(names, "_customer", "left").drop("_customer")
+    return bookings.withColumn("_customer", spread).join(names, "_customer", "left").drop("_customer")
+
+
+def live_inventory(tables: Tables, with_customer: bool = True) -> DataFrame:
+    """One row per item with its current state.
+
+    ``with_customer=False`` leaves ``customer_name_contact`` out and with it the join to the customers, which boards
+    of figures do not need. Other unused parts drop out by themselves, because the rollups are unique per SKU.
+    """
+    bookings = rental_rollup(tables.rentals)
+    if with_customer:
+        bookings = _with_customer(bookings, tables.customers)
     joined = (
         tables.items.join(movement_rollup(tables.movements), "item_sku", "left")
         .join(bookings, "item_sku", "left")
@@ -194,7 +203,7 @@ def live_inventory(tables: Tables) -> DataFrame:
         "bridal_size",
         _status(F.col("shop_code"), F.col("open_rental.id"), F.col("lifecycle_status")).alias("bridal_status"),
         F.when(bridal, F.col("open_rental.due_date")).alias("rental_due_date"),
-        "customer_name_contact",
+        *(("customer_name_contact",) if with_customer else ()),
         "min_stock_alert",
         "sell_price",
         "stock_cost_price",

@@ -40,6 +40,11 @@ def _live(spark: SparkSession, d: str) -> DataFrame:
     return state.live_inventory(fx.tables(spark, d))
 
 
+def _figures(spark: SparkSession, d: str) -> DataFrame:
+    """The live list for queries that show no customer."""
+    return state.live_inventory(fx.tables(spark, d), with_customer=False)
+
+
 def _ids_as_text(df: DataFrame, *columns: str) -> DataFrame:
     """Row ids can exceed what a result viewer keeps exact, so they are shown as text."""
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
@@ -211,7 +216,7 @@ def i13_ingest_stream(spark, d):
 
 @_query
 def i14_guard_actions(spark, d):
-    return ingest.guard_actions(fx.raw_actions(spark, d), _live(spark, d), fx.rentals(spark, d))
+    return ingest.guard_actions(fx.raw_actions(spark, d), _figures(spark, d), fx.rentals(spark, d))
 
 
 # --- derived state -------------------------------------------------------------------------------------------------
@@ -303,7 +308,7 @@ def q1_live(spark, d):
 
 @_query
 def q2_live_summary(spark, d):
-    return queries.live_summary(_live(spark, d), AS_OF)
+    return queries.live_summary(_figures(spark, d), AS_OF)
 
 
 @_query
@@ -333,27 +338,27 @@ def q5_owned(spark, d):
 
 @_query
 def d1_dashboard(spark, d):
-    return boards.dashboard(_live(spark, d), AS_OF)
+    return boards.dashboard(_figures(spark, d), AS_OF)
 
 
 @_query
 def d2_shop_summary(spark, d):
-    return boards.shop_summary(_live(spark, d))
+    return boards.shop_summary(_figures(spark, d))
 
 
 @_query
 def d3_bags_stats(spark, d):
-    return boards.bags_stats(_live(spark, d))
+    return boards.bags_stats(_figures(spark, d))
 
 
 @_query
 def d4_bridal_stats(spark, d):
-    return boards.bridal_stats(_live(spark, d))
+    return boards.bridal_stats(_figures(spark, d))
 
 
 @_query
 def d5_rental_stats(spark, d):
-    return boards.rental_stats(_live(spark, d), AS_OF)
+    return boards.rental_stats(_figures(spark, d), AS_OF)
 
 
 @_query
@@ -373,12 +378,12 @@ def d7_upcoming_returns(spark, d):
 
 @_query
 def d8_days_until(spark, d):
-    return boards.due_days(_live(spark, d), AS_OF)
+    return boards.due_days(_figures(spark, d), AS_OF)
 
 
 @_query
 def d9_search_inventory(spark, d):
-    return boards.search_inventory(_live(spark, d), "Red").select("item_sku", "item_name", "bag_color")
+    return boards.search_inventory(_figures(spark, d), "Red").select("item_sku", "item_name", "bag_color")
 
 
 @_query
@@ -389,7 +394,7 @@ def d10_search_history(spark, d):
 
 @_query
 def d11_stock_band(spark, d):
-    return boards.stock_band(_live(spark, d), AS_OF)
+    return boards.stock_band(_figures(spark, d), AS_OF)
 
 
 @_query
@@ -400,12 +405,12 @@ def d12_margin_band(spark, d):
 
 @_query
 def d13_sellable(spark, d):
-    return boards.sellable(_live(spark, d), "Bags").select("item_sku", "live_stock")
+    return boards.sellable(_figures(spark, d), "Bags").select("item_sku", "live_stock")
 
 
 @_query
 def d14_rentable(spark, d):
-    return boards.rentable(_live(spark, d)).select("item_sku", "bridal_status")
+    return boards.rentable(_figures(spark, d)).select("item_sku", "bridal_status")
 
 
 @_query
@@ -415,7 +420,7 @@ def d15_returnable(spark, d):
 
 @_query
 def d16_product_label(spark, d):
-    return boards.product_label(_live(spark, d))
+    return boards.product_label(_figures(spark, d))
 
 
 # --- migration -----------------------------------------------------------------------------------------------------
@@ -521,7 +526,7 @@ def r6_audit_items(spark, d):
 
 @_query
 def a1_baseline_check(spark, d):
-    return audits.baseline_check(fx.log(spark, d), _live(spark, d))
+    return audits.baseline_check(fx.log(spark, d), _figures(spark, d))
 
 
 @_query
@@ -579,7 +584,7 @@ def _deltas(spark, d, live):
 
 @_query
 def a8_count_delta(spark, d):
-    return _deltas(spark, d, _live(spark, d))
+    return _deltas(spark, d, _figures(spark, d))
 
 
 @_query
@@ -591,7 +596,7 @@ def a9_snapshot_sku(spark, d):
 
 @_query
 def a10_class_a_skus(spark, d):
-    return audits.class_a_skus(_live(spark, d))
+    return audits.class_a_skus(_figures(spark, d))
 
 
 @_query
@@ -621,13 +626,13 @@ def a15_gap_transactions(spark, d):
 
 @_query
 def a16_wrong_sku_pairs(spark, d):
-    live = _live(spark, d)
+    live = _figures(spark, d)
     return audits.wrong_sku_pairs(audits.count_delta(fx.counts(live), live))
 
 
 @_query
 def a17_assign_cause(spark, d):
-    live, log = _live(spark, d), fx.event_log(spark, d)
+    live, log = _figures(spark, d), fx.event_log(spark, d)
     deltas = audits.count_delta(fx.counts(live), live)
     findings = {
         "Unrecorded return": [audits.unmatched_rentals(log)],
