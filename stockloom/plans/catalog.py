@@ -194,6 +194,12 @@ def i11_check_constraints(spark, d):
     return ingest.check_constraints(fx.flawed_tables(spark, d))
 
 
+@_query
+def i11_check_log(spark, d):
+    """The rules of the single-table log over raw actions taken as they are."""
+    return ingest.check_log(fx.raw_actions(spark, d))
+
+
 @_query
 def i12_delete_item(spark, d):
     doomed = fx.table(spark, d, "part").where("p_size = 7").select(

@@ -425,6 +425,11 @@ def oracle_queries() -> dict[str, str]:
         _broken("fx_life", "id", "item_lifecycle_events.item_sku exists", "item_sku", missing),
         _broken("fx_rent", "id", "rentals.item_sku exists", "item_sku", missing),
     ]), _FLAWED)
+    add("i11_check_log", " UNION ALL ".join([
+        _broken("fx_raw", "seq", "log.shop_type value", "shop_type", "shop_type = 'Shoes'"),
+        _broken("fx_raw", "seq", "log.action_type value", "action_type", "action_type = 'Bogus'"),
+        _broken("fx_raw", "seq", "log.bridal_status value", "bridal_status", "bridal_status IN ('', 'Lost')"),
+    ]))
     add("i12_delete_item", """SELECT item_sku, CASE WHEN shop_code = 'Bags' THEN 1
           + (SELECT count(*) FROM fx_mov m WHERE m.item_sku = i.item_sku) + (SELECT count(*) FROM fx_life m WHERE m.item_sku = i.item_sku)
           + (SELECT count(*) FROM fx_rent m WHERE m.item_sku = i.item_sku) ELSE 0 END::BIGINT AS deleted

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import boards, migrate, queries, scope, state
 from stockloom.schemas import CUSTOMERS, ITEMS, LIFECYCLE, LOG, MOVEMENTS, RENTALS, Tables
+from stockloom.sources import tables as files
 
 T0 = dt.datetime(2024, 3, 1, 9)
 D = Decimal
@@ -73,6 +74,22 @@ def test_queries(tables):
     assert [r.action_type for r in page] == ["Rental Out", "Status Change"]
 
 
+def test_lookup_and_versions(spark, tables, tmp_path):
+    inv = state.live_inventory(tables, with_customer=False)
+    assert "customer_name_contact" not in inv.columns
+    assert queries.item_lookup(inv, "GOWN").count() == 1 and queries.item_lookup(inv, "GOWN", "Bags").count() == 0
+    asked = spark.createDataFrame([(" gown ",), ("GOWN",), ("none",)], "item_sku string")
+    assert [r.item_sku for r in queries.owned(tables.items, asked, "Bridal").collect()] == ["GOWN"]
+    root = str(tmp_path / "tables")
+    files.write_tables(tables, root)
+    # The second version is built from the first while that stays readable.
+    current = files.current_tables(spark, root)
+    files.write_tables(Tables(current.items.where("item_sku <> 'IDLE'"), current.movements, current.lifecycle,
+                              current.customers, current.rentals), root)
+    assert files.latest_version(spark, root) == 2
+    assert files.current_tables(spark, root).items.count() == 3 and current.items.count() == 4
+
+
 def test_boards(tables):
     inv, now = state.live_inventory(tables), dt.datetime(2024, 3, 2, 12)
     band = {r.item_sku: (r.stock_band, r.row_flag) for r in boards.stock_band(inv, now).collect()}
