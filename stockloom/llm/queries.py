@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality_rules, urls
-from .text import table
+from . import bpe, chat, mixing, quality_rules, secret_scan, urls
+from .text import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -49,3 +49,26 @@ def op10_url_filter(spark, d):
     pages = table(spark, d, "pages")
     model = urls.train(urls.rule_labels(pages))
     return urls.filter_urls(pages, model)
+
+
+@_query
+def op4_bpe_round_trip(spark, d):
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe.encode_documents(table(spark, d, "documents"), path, decode=True)
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        sha256_hex(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+@_query
+def op6_secret_scan(spark, d):
+    found = secret_scan.find_secrets(table(spark, d, "documents"))
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("bigint")
+    base = F.filter("found", lambda x: x["kind"] != "literal")
+    return found.select(
+        "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+        sha256_hex(secret_scan.span_text(base)).alias("base_sha256"), secret_scan.span_text(F.col("found")).alias("spans"),
+        of("literal").alias("n_literal"))

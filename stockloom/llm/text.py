@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +62,23 @@ def held(df: DataFrame, label: str) -> DataFrame:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per Spark context, the way ``--py-files`` does.
+
+    The archive is written on the driver and handed to Spark, which serves it to every executor, also to later ones.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="stockloom-code-"), "stockloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(archive)
+    context._llm_shipped = True

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import ship
+
 #: Verdict and host/path of the default rules.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -105,6 +107,7 @@ def filter_urls(
     ``://``, has empty host and path and is judged by the model like any other. Repeated rows give repeated results; an
     empty table gives no rows.
     """
+    ship(pages.sparkSession)
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
