@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, quality_rules, secret_scan, urls
+from . import bpe, chat, mixing, ngram_join, quality_rules, secret_scan, urls
 from .text import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op6_secret_scan(spark, d):
         "doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
         sha256_hex(secret_scan.span_text(base)).alias("base_sha256"), secret_scan.span_text(F.col("found")).alias("spans"),
         of("literal").alias("n_literal"))
+
+
+@_query
+def op2_ngram_jaccard_join(spark, d):
+    return ngram_join.ngram_jaccard_join(table(spark, d, "documents"))

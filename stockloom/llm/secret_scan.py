@@ -122,7 +122,7 @@ def literal_spans(text: str) -> list[tuple[str, int, int, int]]:
         reached = [s for s in spans if quoted or text[s[0]:s[1]] not in constants]
         for other in refers:
             reached += constants.get(other, [])
-        reached = list(dict.fromkeys(reached))[:64]
+        reached = list(dict.fromkeys(reached))
         constants[name] = [s for s in reached if s[1] > s[0]]
         weight = name_weight(name)
         if weight:
