@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, mixing, ngram_join, quality_rules, secret_scan, urls
+from . import bpe, chat, fingerprints, mixing, ngram_join, quality_rules, secret_scan, urls
 from .text import sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,9 @@ def op6_secret_scan(spark, d):
 @_query
 def op2_ngram_jaccard_join(spark, d):
     return ngram_join.ngram_jaccard_join(table(spark, d, "documents"))
+
+
+@_query
+def op3_imatch_fingerprints(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return fingerprints.fingerprint_edits(docs, fingerprints.build_lexicon(docs))
