@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, mixing, ngram_join, quality_rules, secret_scan, urls
-from .text import sha256_hex, table
+from . import bpe, chat, fingerprints, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, urls
+from .text import fold, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -83,3 +83,8 @@ def op2_ngram_jaccard_join(spark, d):
 def op3_imatch_fingerprints(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     return fingerprints.fingerprint_edits(docs, fingerprints.build_lexicon(docs))
+
+
+@_query
+def op9_lm_scoring(spark, d):
+    return lm_scoring.score_by_fold(table(spark, d, "documents"), fold(F.col("doc_id"), 7) == 2)
