@@ -42,9 +42,9 @@ def source_targets(
     return (
         sizes.withColumn("weight", weight)
         .withColumn("level", level)
-        .withColumn("open_level", F.when(limit / F.col("weight") >= F.col("level"), F.col("level")))
-        # The first source by limit that stays below it names the level of all that follow; levels only rise.
-        .withColumn("level", F.min("open_level").over(everything))
+        # The first source by limit that the level leaves below it names the level of all that follow.
+        .withColumn("place", F.when(limit / F.col("weight") >= F.col("level"), F.row_number().over(by_limit)))
+        .withColumn("level", F.min_by("level", "place").over(everything))
         .withColumn("target", F.least(limit, F.coalesce(F.col("level") * F.col("weight"), limit)))
         .select(*sizes.columns, "target")
     )

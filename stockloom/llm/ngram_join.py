@@ -1,13 +1,15 @@
 """N-gram Jaccard self-join by chosen paths.
 
-Every distinct shingle set draws a few of its shingles by a shared hash. Sets that drew the same shingle meet in a bucket;
-a bucket that is too large is split again by further drawn shingles, so only sets that share several of them stay
-together. Small buckets are compared in full. The whole is repeated in independent runs until a pair at the threshold is
-found with the target probability in the worst case, which is a pair that passes through all levels of splitting. A bucket that hardly shrinks,
-or is still large after the last level, is compared in full too, in blocks. Pairs are verified on the exact sets.
+Every distinct shingle set draws a few of its shingles by a shared hash. Sets that drew the same shingle meet in a bucket.
+Sets of a bucket that is too large are split again by paths through several sampled MinHash coordinates at once (each
+stands for a sampled shared shingle, so sets must share several of them to stay together), and a second time by longer
+paths. Buckets that are small are compared in full; those that are still large after the last split hold sets much alike
+and are compared in full, too, in blocks. Each level repeats its draws in as many independent runs as a pair at the
+threshold needs to be found with the target recall. Pairs are verified on the exact sets.
 
 Only distinct sets take part: copies are counted, not paired, so a group of copies of any size is one set. Rows of
-buckets with one member are dropped before anything is joined to them.
+buckets with one member are dropped before anything is joined to them, and a pair is reported by the smallest path that
+its sets share, not by every bucket in which they meet.
 """
 
 from __future__ import annotations
@@ -29,32 +31,35 @@ from .text import held, ship, whole
 
 @dataclass(frozen=True)
 class JoinPlan:
-    """Parameters of the join. ``recall`` is reached by the number of runs, see ``runs``."""
+    """Parameters of the join."""
 
     threshold: float = 0.8
     recall: float = 0.999
-    per_level: float = 3.0  # shingles that a set draws in one run and level, on average
-    levels: int = 5
+    per_run: float = 2.0  # shingles that a set draws in one run, on average
+    widths: tuple[int, ...] = (4, 8)  # coordinates of a path in the first and second split of large buckets
     bucket: int = 32  # buckets up to this size are compared in full
     block: int = 128  # larger ones are compared in blocks of this size
     seed: int = 20240501
 
     @property
     def runs(self) -> int:
-        """Runs for the target recall. Sets x, y with Jaccard t share at least t * max(|x|, |y|) shingles, so they draw a
-        common one in a level with probability 1 - exp(-per_level * t) at least."""
-        found = (1 - math.exp(-self.per_level * self.threshold)) ** self.levels
-        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - found)))
+        """Runs for the target recall. Sets x, y with Jaccard t share at least t * max(|x|, |y|) shingles, so no common one is
+        drawn in a run with probability exp(-per_run * t) at most."""
+        return max(1, math.ceil(-math.log(1 - self.recall) / (self.per_run * self.threshold)))
+
+    def paths(self, width: int) -> int:
+        """Paths through ``width`` coordinates for the target recall; sets with Jaccard t share one with probability t**width."""
+        return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**width)))
 
     def salts(self) -> list[int]:
         draw = np.random.default_rng(self.seed)
-        return [int(x) for x in draw.integers(1, 2**63 - 1, self.runs * self.levels)]
+        return [int(x) for x in draw.integers(1, 2**63 - 1, self.runs)]
 
 
 def _signatures(docs: DataFrame, plan: JoinPlan) -> DataFrame:
-    """One written row per document: row, doc_id, text_key, key, n, sketch, drawn (per run and level)."""
+    """One written row per document: row, doc_id, text_key, key, n, sketch, drawn (salted shingles of all runs)."""
     ship(docs.sparkSession)
-    salts, per_level = plan.salts(), plan.per_level
+    salts, per_run = plan.salts(), plan.per_run
     text = whole(F.col("text")).cast("binary")
     source = docs.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -68,98 +73,102 @@ def _signatures(docs: DataFrame, plan: JoinPlan) -> DataFrame:
                     keys.append(sh.set_key(found))
                     sizes.append(len(found))
                     sketches.append(sh.sketch(found))
-                    lists.extend(sh.chosen(found, per_level, salts))
+                    lists.append(np.concatenate(sh.chosen(found, per_run, salts)))
                 inner = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
                 values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int64))
-                outer = pa.array(np.arange(0, len(lists) + 1, len(salts), dtype=np.int32))
-                drawn = pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(pa.array(inner), values))
+                drawn = pa.ListArray.from_arrays(pa.array(inner), values)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), piece.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()),
                      pa.array(sketches, pa.binary()), drawn], ["doc_id", "text_key", "key", "n", "sketch", "drawn"])
 
     signed = source.mapInArrow(
-        run, f"doc_id {kind}, text_key binary, key binary, n int, sketch binary, drawn array<array<bigint>>")
+        run, f"doc_id {kind}, text_key binary, key binary, n int, sketch binary, drawn array<bigint>")
     return held(signed.select(F.monotonically_increasing_id().alias("row"), "*"), "signatures")
 
 
-def _children(rows: DataFrame) -> DataFrame:
-    """Rows (run, path, id, parent) with the size of their bucket, without buckets of one member; written."""
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Rows (path, id) with the size of their bucket, without buckets of one member; written."""
     counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     return held(rows.join(counts, "path"), "buckets")
 
 
+def _coordinate_paths(width: int, keys: int, seed: int):
+    @F.arrow_udf("array<bigint>")
+    def paths(sketches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in sketches:
+            found = [sh.coordinate_paths(sh.coordinates(x), width, keys, seed) for x in batch.to_pylist()]
+            ends = pa.array(np.arange(0, keys * len(found) + 1, keys, dtype=np.int32))
+            yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+
+    return paths
+
+
 def _candidates(sets: DataFrame, plan: JoinPlan) -> DataFrame:
     """Distinct pairs (a, b), a < b, of ids whose sketches leave the threshold possible."""
-    levels, runs = plan.levels, plan.runs
-    first = sets.select("id", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.get("drawn", r * levels))).alias("run", "tokens"))
-    rows = first.select("run", "id", F.explode("tokens").alias("path"), F.lit(None).cast("bigint").alias("parent"))
-    finished = []
-    for level in range(1, levels + 1):
-        found = _children(rows)
-        large = F.col("members") > plan.bucket
-        # A bucket that keeps more than half of its parent holds sets that are much alike: splitting it on only repeats it.
-        dense = large if level == levels else large & (
-            F.coalesce(F.col("members") * 2 > F.col("parent"), F.lit(False)))
-        finished.append(found.where(~large | dense).select("path", "id", "members"))
-        if level == levels:
-            break
-        split = found.where(large & ~dense)
-        if split.isEmpty():
+    found = _buckets(sets.select("id", F.explode("drawn").alias("path")))
+    large = F.col("members") > plan.bucket
+    finished = found.where(~large)
+    for width in plan.widths:
+        crowded = found.where(large).select("id").distinct()
+        if crowded.isEmpty():
             break
-        tokens = split.join(sets.select("id", "drawn"), "id").select(
-            "run", "path", "id", "members", F.explode(F.get("drawn", F.col("run") * levels + level)).alias("token"))
-        rows = tokens.select("run", "id", F.xxhash64("path", "token").alias("path"), F.col("members").alias("parent"))
-    buckets = finished[0]
-    for more in finished[1:]:
-        buckets = buckets.unionByName(more)
+        paths = _coordinate_paths(width, plan.paths(width), plan.seed)
+        again = sets.select("id", "sketch").join(crowded, "id", "left_semi")
+        found = _buckets(again.select("id", F.explode(paths("sketch")).alias("path")))
+        finished = finished.unionByName(found if width == plan.widths[-1] else found.where(~large))
 
     # Small buckets are one group; the members of a large one meet block by block, each pair of blocks is a group.
     blocks = F.when(F.col("members") <= plan.bucket, 1).otherwise(F.ceil(F.col("members") / plan.block)).cast("int")
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    met = finished.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    known = held(sets.select("id", "n", "sketch").join(met, "id"), "met")
     grouped = (
-        buckets.withColumn("blocks", blocks).withColumn("mine", mine)
+        finished.withColumn("blocks", blocks).withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("path", "id", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-        .join(sets.select("id", "n", "sketch"), "id")
-        .groupBy("path", "low", "high").agg(F.collect_list(F.struct("id", "n", "mine", "sketch")).alias("members"))
+        .join(known, "id")
+        .groupBy("path", "low", "high").agg(F.collect_list(F.struct("id", "n", "mine", "sketch", "paths")).alias("members"))
     )
     near = _near_pairs(plan.threshold)
-    pair = F.explode(near(F.col("members"), F.col("low") != F.col("high"))).alias("p")
+    pair = F.explode(near(F.col("path"), F.col("members"), F.col("low") != F.col("high"))).alias("p")
     return grouped.select(pair).select("p.a", "p.b").distinct()
 
 
 def _near_pairs(threshold: float):
-    """Pairs within each group whose sizes allow the threshold and whose sketches agree as much as five standard
-    deviations below what the threshold lets expect; in a group of two blocks only pairs over both."""
-    least = max(0.0, sh.BINS * threshold - 5 * math.sqrt(sh.BINS * threshold * (1 - threshold)))
+    """Pairs within each group whose sizes and sketches allow the threshold and whose smallest common path is the group's;
+    in a group of two blocks only pairs over both."""
     result = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def near(members: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for lists, cross in members:
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values
-            column = lambda name: flat.field(name)
-            ids, n = column("id").to_numpy(), column("n").to_numpy()
-            mine = column("mine").to_numpy()
-            marks = np.frombuffer(b"".join(column("sketch").to_pylist()), np.uint8).reshape(-1, sh.BINS // 2)
-            crossed = cross.to_numpy(zero_copy_only=False)
+    def near(groups: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for path, lists, cross in groups:
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            ids, n, mine = (flat.field(name).to_numpy() for name in ("id", "n", "mine"))
+            marks = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, sh.BINS // 2)
+            own = flat.field("paths")
+            starts, every = own.offsets.to_numpy(), own.values.to_numpy()
+            here, crossed = path.to_numpy(), cross.to_numpy(zero_copy_only=False)
             lefts, rights, counts = [], [], [0]
             for g in range(len(lists)):
                 s, e = offsets[g], offsets[g + 1]
                 i, j = np.triu_indices(e - s, 1)
                 i, j = i + s, j + s
                 good = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-                good &= ids[i] != ids[j]
                 if crossed[g]:
                     good &= mine[i] != mine[j]
                 i, j = i[good], j[good]
-                good = sh.sketch_matches(marks[i], marks[j]) >= least
-                a, b = ids[i[good]], ids[j[good]]
-                lefts.append(np.minimum(a, b))
-                rights.append(np.maximum(a, b))
-                counts.append(counts[-1] + len(a))
+                good = sh.sketches_allow(marks[i], marks[j], threshold)
+                i, j = i[good], j[good]
+                if len(i):
+                    earlier = {}
+                    for x in set(i.tolist()) | set(j.tolist()):
+                        mined = every[starts[x]:starts[x + 1]]
+                        earlier[x] = set(mined[:np.searchsorted(mined, here[g])].tolist())
+                    good = np.array([earlier[x].isdisjoint(earlier[y]) for x, y in zip(i.tolist(), j.tolist())])
+                    i, j = i[good], j[good]
+                lefts.append(np.minimum(ids[i], ids[j]))
+                rights.append(np.maximum(ids[i], ids[j]))
+                counts.append(counts[-1] + len(i))
             none = np.empty(0, np.int64)
             pairs = pa.StructArray.from_arrays(
                 [pa.array(np.concatenate(lefts or [none])), pa.array(np.concatenate(rights or [none]))], ["a", "b"])

@@ -31,9 +31,10 @@ def mixing_ctes(docs: str) -> str:
     weighed AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM totals),
     levels AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
         (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER before, 0))
-        / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS lv FROM weighed
+        / (sum(w) OVER () - coalesce(sum(w) OVER before, 0)) AS lv,
+        row_number() OVER (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST) AS place FROM weighed
         WINDOW before AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-    targets AS (SELECT source, source_size, least(cap, coalesce((SELECT min(lv) FROM levels WHERE cap / w >= lv) * w, cap)) AS target
+    targets AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(lv, place) FROM levels WHERE cap / w >= lv) * w, cap)) AS target
         FROM levels),
     placed AS (SELECT s.*, t.source_size, t.target,
         CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS epochs,

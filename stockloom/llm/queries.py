@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lm_scoring, mixing, ngram_join, quality_rules, secret_scan, urls
+from . import bpe, chat, fingerprints, lm_scoring, mixing, ngram_join, quality_model, quality_rules, secret_scan, urls
 from .text import fold, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,9 @@ def op3_imatch_fingerprints(spark, d):
 @_query
 def op9_lm_scoring(spark, d):
     return lm_scoring.score_by_fold(table(spark, d, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
+@_query
+def op7_quality_classifier(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality_model.classify_by_fold(table(spark, d, "documents"), labels)

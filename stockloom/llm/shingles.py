@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Sequence
 
@@ -9,7 +10,7 @@ import numpy as np
 import xxhash
 
 SHINGLE = 5
-BINS = 64
+BINS = 128
 _U = np.uint64
 
 
@@ -54,8 +55,8 @@ def set_key(shingles: np.ndarray) -> bytes:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    """One half-byte for each of 64 parts of the hash range: drawn from the smallest shingle there, 0 where none is."""
-    edges = np.arange(BINS, dtype=_U) << _U(58)
+    """One half-byte for each of 128 parts of the hash range: drawn from the smallest shingle there, 0 where none is."""
+    edges = np.arange(BINS, dtype=_U) << _U(57)
     first = np.searchsorted(shingles, edges)
     filled = np.append(first[1:], len(shingles)) > first
     codes = np.zeros(BINS, np.uint8)
@@ -63,12 +64,48 @@ def sketch(shingles: np.ndarray) -> bytes:
     return (codes[::2] | (codes[1::2] << 4)).tobytes()
 
 
-def sketch_matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equal half-bytes of rows of sketches (uint8, 32 columns)."""
-    x = a ^ b
+def _zeros(x: np.ndarray) -> np.ndarray:
+    """How many half-bytes of each row are 0."""
     return ((x & 15) == 0).sum(-1, dtype=np.int32) + ((x >> 4) == 0).sum(-1, dtype=np.int32)
 
 
+def sketches_allow(a: np.ndarray, b: np.ndarray, threshold: float, deviations: float = 4.5) -> np.ndarray:
+    """Whether rows of sketches (uint8) agree as much as a similarity of ``threshold`` lets expect, less so many standard
+    deviations. Parts that are empty in both sets say nothing."""
+    neither = _zeros(a | b)
+    told = BINS - neither
+    least = threshold * told - deviations * np.sqrt(threshold * (1 - threshold) * told)
+    return _zeros(a ^ b) - neither >= least
+
+
+def coordinates(sketch: bytes) -> np.ndarray:
+    """The 128 parts of a sketch as a MinHash of the set: an empty part takes the value of the next filled one."""
+    raw = np.frombuffer(sketch, np.uint8)
+    codes = np.empty(BINS, _U)
+    codes[::2], codes[1::2] = raw & 15, raw >> 4
+    filled = np.flatnonzero(codes)
+    if not len(filled):
+        return codes
+    source = filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]
+    return codes[source] + (source.astype(_U) << _U(8))
+
+
+def coordinate_paths(values: np.ndarray, width: int, keys: int, seed: int) -> np.ndarray:
+    """``keys`` paths, each through ``width`` sampled coordinates, as int64 hashes."""
+    picks = _picks(width, keys, seed)
+    with np.errstate(over="ignore"):
+        path = np.arange(keys, dtype=_U) + _U(seed + width)
+        for k in range(width):
+            path = mix(path * _U(0x9E3779B97F4A7C15) + values[picks[:, k]])
+    return path.view(np.int64)
+
+
+@functools.cache
+def _picks(width: int, keys: int, seed: int) -> np.ndarray:
+    draw = np.random.default_rng(seed + width)
+    return np.stack([draw.choice(BINS, width, replace=False) for _ in range(keys)])
+
+
 def chosen(shingles: np.ndarray, per_set: float, salts: Sequence[int]) -> list[np.ndarray]:
     """For each salt the shingles whose salted hash is below ``per_set / size``, as salted hashes (int64).
 
