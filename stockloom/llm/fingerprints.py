@@ -23,7 +23,7 @@ from .text import bind, sha256_hex, whole, words
 RATES = (4, 16, 64, 256, 1024, 4096)
 SUBSETS = 16
 #: Slots of the byte map that holds the lexicon.
-SLOTS = 1 << 20
+SLOTS = 1 << 18
 _ENTRY_RATE = [rate for rate in RATES for _ in range(min(rate, SUBSETS))]
 
 
@@ -129,31 +129,38 @@ def _bucket(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), -1).otherwise(at)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` with ``next``, a struct of ``columns`` of the next document in descending doc_id (null last); after the
-    last comes the first. Ties are ordered by text.
+def with_next(docs: DataFrame, derived: dict[str, Column]) -> DataFrame:
+    """``docs`` (doc_id, text) with the columns ``derived`` from each row and ``next``, a struct of text and those columns of
+    the next document in descending doc_id (null last); after the last comes the first. Ties are ordered by text.
 
-    Documents are dealt into ranges of doc_id by measured quantiles and moved once; inside a range the next row is a window
-    function, and the last row of a range takes the first of the next range that has rows.
+    Documents are dealt into ranges of doc_id by measured quantiles and moved once. Inside a range the next row is a window
+    function; the first document of each range is also dealt, as a guest, to the range before it, whose last document
+    needs it. There are two ranges for each shuffle partition, so the list of guests is as small.
     """
     spark = docs.sparkSession
     n = max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     quantiles = [k / n for k in range(1, n)]
-    row = docs.agg(F.percentile_approx("doc_id", quantiles, max(10_000, 20 * n)).alias("q")).first()
-    bounds = sorted(set(row.q or []))
+    row = docs.agg(F.percentile_approx("doc_id", quantiles, max(10_000, 20 * n)).alias("q")).first() if n > 1 else None
+    bounds = sorted(set(row.q or [])) if row else []
     ranged = docs.withColumn("__range", _bucket(F.col("doc_id"), bounds))
-    order = Window.partitionBy("__range").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    placed = ranged.withColumns({
-        "next": F.lead(F.struct(*columns)).over(order), "__place": F.row_number().over(order)})
-    # One row per range from here on, but for the first frame.
-    inner = placed.where(F.col("next").isNotNull()).drop("__range", "__place")
-    filled = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("rows"))
+    # One row per range: its first document, and the range whose last document it follows.
     across = Window.orderBy(F.col("__range").desc())
-    follows = filled.select("__range", F.coalesce(
-        F.lead("__range").over(across), F.max("__range").over(Window.partitionBy(F.lit(0)))).alias("__following"))
-    heads = placed.where("__place = 1").select(F.col("__range").alias("__following"), F.struct(*columns).alias("next"))
-    lasts = placed.where(F.col("next").isNull()).drop("next", "__place").join(follows, "__range").join(heads, "__following")
-    return inner.unionByName(lasts.select(*inner.columns))
+    nameless = docs.where(F.col("doc_id").isNull()).agg(F.max("text").alias("__text")).withColumn("__range", F.lit(-1))
+    firsts = ranged.groupBy("__range").agg(F.max("doc_id").alias("__first")).join(nameless, "__range", "left")
+    firsts = firsts.select("__first", "__text", F.coalesce(
+        F.lag("__range").over(across), F.min("__range").over(Window.partitionBy(F.lit(0)))).alias("__range"))
+    guests = docs.join(
+        F.broadcast(firsts),
+        F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("doc_id").isNotNull() | F.col("text").eqNullSafe(F.col("__text"))))
+    guests = guests.select(*docs.columns, "__range").dropDuplicates(["doc_id", "text", "__range"])
+    dealt = ranged.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
+    order = Window.partitionBy("__range").orderBy(
+        "__guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
+    placed = dealt.repartition("__range").withColumns(derived)
+    return (
+        placed.withColumn("next", F.lead(F.struct("text", *derived)).over(order))
+        .where("__guest = 0").drop("__range", "__guest")
+    )
 
 
 def fingerprint_edits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -162,8 +169,8 @@ def fingerprint_edits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     The edited text has its last third replaced by the beginning of the next document in descending doc_id.
     """
     whole_text = whole(F.col("text"))
-    base = docs.select("doc_id", whole_text.alias("text")).withColumn("parts", subset_hashes(terms(F.col("text"), lexicon)))
-    paired = with_next(base, ["text", "parts"])
+    base = docs.select("doc_id", whole_text.alias("text"))
+    paired = with_next(base, {"parts": subset_hashes(terms(F.col("text"), lexicon))})
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring(F.col("next.text"), F.lit(1), third))
