@@ -18,7 +18,9 @@ from ..schemas import (
     ACTIONS,
     BRIDAL_STATUSES,
     DEFAULT_ALERT,
+    DEFAULT_USER,
     EMAIL_PATTERN,
+    ITEMS,
     LEDGER_ACTIONS,
     LIFECYCLE_STATUSES,
     MONEY,
@@ -209,10 +211,12 @@ def rejected(decided: DataFrame) -> DataFrame:
 
 # --- apply ---------------------------------------------------------------------------------------------------------
 
+# What every action overwrites; the remaining texts change only where an action brings a value.
 _LATEST = ("item_name", "stock_cost_price", "sell_price", "min_stock_alert")
-_KEPT = ("brand_designer", "item_image", "bag_color", "bridal_size")
-ITEM_COLUMNS = ("item_sku", "shop_code", "item_name", "brand_designer", "item_image", "stock_cost_price",
-                "sell_price", "min_stock_alert", "bag_color", "bridal_size")
+# What the first action of a SKU settles for good.
+_FIRST = ("shop_code", "is_active", "created_at")
+ITEM_COLUMNS = tuple(f.name for f in ITEMS if f.name not in ("is_active", "created_at", "updated_at"))
+_KEPT = tuple(c for c in ITEM_COLUMNS if c not in (*_LATEST, *_FIRST, "item_sku"))
 
 
 def item_changes(actions: DataFrame) -> DataFrame:
@@ -231,36 +235,42 @@ def item_changes(actions: DataFrame) -> DataFrame:
 
 
 def upsert_items(items: DataFrame, actions: DataFrame) -> DataFrame:
-    """Items after the accepted actions. Shop stays; numbers are always overwritten, texts only by a value."""
+    """Items after the accepted actions, with every column of ``items``.
+
+    Shop, active mark and creation time of a known item stay, even where they are null; numbers are always overwritten,
+    texts only by a value. A new item is active and created at the time of its first action.
+    """
     new = item_changes(actions)
-    stamps = ("created_at", "updated_at")
-    old = items.select(
-        *ITEM_COLUMNS,
-        *((F.col(c) if c in items.columns else F.lit(None).cast("timestamp_ntz")).alias(c) for c in stamps),
-    )
-    both = old.alias("o").join(new.alias("n"), "item_sku", "full")
-    keep_old = ("shop_code", "created_at")
+    missing = [f for f in ITEMS if f.name not in items.columns]
+    old = items.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).withColumn("_known", F.lit(True))
+    both = old.alias("o").join(new.withColumn("is_active", F.lit(True)).alias("n"), "item_sku", "full")
 
     def merged(c: str) -> Column:
-        first, second = ("o", "n") if c in keep_old else ("n", "o")
-        return F.coalesce(f"{first}.{c}", f"{second}.{c}").alias(c)
+        if c in _FIRST:
+            return F.when(F.col("_known"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c)
+        return F.coalesce(f"n.{c}", f"o.{c}").alias(c)
 
-    return both.select("item_sku", *(merged(c) for c in (*ITEM_COLUMNS[1:], *stamps)))
+    more = [c for c in items.columns if c not in ITEMS.names]
+    return both.select("item_sku", *(merged(f.name) for f in ITEMS if f.name != "item_sku"), *(f"o.{c}" for c in more))
 
 
-def upsert_customers(customers: DataFrame, actions: DataFrame) -> DataFrame:
+def upsert_customers(customers: DataFrame, actions: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
     """Customers after the accepted actions: one per contact text of a rental, blank contacts as a walk-in."""
-    new = new_customers(actions).join(customers.select("display_name"), "display_name", "left_anti")
-    return customers.unionByName(new.select("id", "display_name"), allowMissingColumns=True)
+    new = new_customers(actions, user).join(customers.select("display_name"), "display_name", "left_anti")
+    return customers.unionByName(new.select("id", "display_name", "created_at", "created_by"), allowMissingColumns=True)
 
 
-def new_customers(actions: DataFrame) -> DataFrame:
+def new_customers(actions: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
+    """One row per contact text of a rental, created by ``user`` at the first of its bookings."""
     name = F.coalesce("customer_name_contact", F.lit(WALK_IN)).alias("display_name")
-    names = actions.where(F.col("action_type") == "Rental Out").select(name).distinct()
-    return names.select(customer_id(F.col("display_name")).alias("id"), "display_name")
+    booked = actions.where(F.col("action_type") == "Rental Out").select(name, "created_at")
+    return booked.groupBy("display_name").agg(F.min("created_at").alias("created_at")).select(
+        customer_id(F.col("display_name")).alias("id"), "display_name", "created_at", F.lit(user).alias("created_by"))
 
 
-def open_rentals(actions: DataFrame, customers: DataFrame | None = None) -> DataFrame:
+def open_rentals(
+    actions: DataFrame, customers: DataFrame | None = None, user: str = DEFAULT_USER,
+) -> DataFrame:
     """Bookings the accepted actions open. ``customers`` gives ids to names it already knows."""
     name = F.coalesce("customer_name_contact", F.lit(WALK_IN))
     rows = actions.where(F.col("action_type") == "Rental Out").withColumn("display_name", name)
@@ -273,7 +283,7 @@ def open_rentals(actions: DataFrame, customers: DataFrame | None = None) -> Data
         F.coalesce(known, customer_id(F.col("display_name"))).alias("customer_id"),
         F.col("created_at").alias("booked_at"), F.col("rental_due_date").cast("date").alias("due_date"),
         F.lit(None).cast("timestamp_ntz").alias("returned_at"), F.col("sell_price").alias("rental_price"),
-        "quantity", F.lit("Rented").alias("status"), "notes",
+        "quantity", F.lit("Rented").alias("status"), "notes", "created_at", F.lit(user).alias("created_by"),
     )
 
 
@@ -285,33 +295,38 @@ def rental_closures(actions: DataFrame) -> DataFrame:
 
 
 def close_rentals(rentals: DataFrame, actions: DataFrame) -> DataFrame:
-    """Bookings, old and new, with those closed by the accepted returns marked as returned."""
+    """Bookings, old and new, with those closed by the accepted returns marked as returned.
+
+    Only open bookings are joined to the returns; the others, nearly all of a long history, pass by.
+    """
     # A booking is found by id and SKU together: ids of a batch need not differ from older ids of other SKUs.
-    joined = rentals.join(rental_closures(actions), ["id", "item_sku"], "left")
-    done = F.col("_returned_at").isNotNull() & (F.col("status") == "Rented")
-    return joined.withColumns(
+    is_open = F.col("status").eqNullSafe("Rented")
+    joined = rentals.where(is_open).join(rental_closures(actions), ["id", "item_sku"], "left")
+    done = F.col("_returned_at").isNotNull()
+    closed = joined.withColumns(
         {
             "returned_at": F.when(done, F.col("_returned_at")).otherwise(F.col("returned_at")),
             "status": F.when(done, "Returned").otherwise(F.col("status")),
         }
-    ).select(*rentals.columns)
+    )
+    return rentals.where(~is_open).unionByName(closed.select(*rentals.columns))
 
 
-def append_lifecycle(actions: DataFrame) -> DataFrame:
+def append_lifecycle(actions: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
     """Lifecycle events of status changes and of returns that name a lifecycle status."""
     change = F.col("action_type") == "Status Change"
     back = (F.col("action_type") == "Rental Return") & F.col("bridal_status").isin(*LIFECYCLE_STATUSES)
     return actions.where(change | F.coalesce(back, F.lit(False))).select(
         F.col("seq").cast(ROW_ID).alias("id"), "item_sku",
         F.coalesce("bridal_status", F.lit("Available")).alias("status"), "notes",
-        F.col("created_at").alias("occurred_at"),
+        F.col("created_at").alias("occurred_at"), F.lit(user).alias("recorded_by"),
     )
 
 
-def append_movements(actions: DataFrame) -> DataFrame:
+def append_movements(actions: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
     return actions.where(F.col("action_type").isin(*LEDGER_ACTIONS)).select(
         F.col("seq").cast(ROW_ID).alias("id"), "item_sku", "action_type", "quantity_change",
-        F.col("stock_cost_price").alias("unit_cost_price"), "notes", "created_at",
+        F.col("stock_cost_price").alias("unit_cost_price"), "notes", "created_at", F.lit(user).alias("created_by"),
     )
 
 
@@ -341,16 +356,16 @@ class Ingested:
     results: DataFrame
 
 
-def ingest(raw: DataFrame, tables: Tables, hot_rows: int = HOT_ROWS) -> Ingested:
-    """Apply a batch of raw actions to the tables."""
+def ingest(raw: DataFrame, tables: Tables, hot_rows: int = HOT_ROWS, user: str = DEFAULT_USER) -> Ingested:
+    """Apply a batch of raw actions to the tables; ``user`` is noted on every row it adds."""
     decided = decide(raw, tables.rentals, hot_rows)
     actions = accepted(decided)
-    customers = upsert_customers(tables.customers, actions)
-    opened = tables.rentals.unionByName(open_rentals(actions, tables.customers), allowMissingColumns=True)
+    customers = upsert_customers(tables.customers, actions, user)
+    opened = tables.rentals.unionByName(open_rentals(actions, tables.customers, user), allowMissingColumns=True)
     after = Tables(
         upsert_items(tables.items, actions),
-        tables.movements.unionByName(append_movements(actions), allowMissingColumns=True),
-        tables.lifecycle.unionByName(append_lifecycle(actions), allowMissingColumns=True),
+        tables.movements.unionByName(append_movements(actions, user), allowMissingColumns=True),
+        tables.lifecycle.unionByName(append_lifecycle(actions, user), allowMissingColumns=True),
         customers,
         close_rentals(opened, actions),
     )
@@ -400,22 +415,34 @@ def _orphans(df: DataFrame, table: str, column: str, parent: DataFrame, parent_k
     )
 
 
-def check_constraints(tables: Tables) -> DataFrame:
-    """Every column, value, uniqueness and reference rule of the tables as a report (rule, key, value)."""
+def _required(df: DataFrame, *columns: str) -> dict[str, tuple[Column, Column]]:
+    """Not-null rules of columns that have defaults, tested where a frame carries them."""
+    return _not_null(*(c for c in columns if c in df.columns))
+
+
+def check_constraints(tables: Tables, shops: DataFrame | None = None) -> DataFrame:
+    """Every column, value, uniqueness and reference rule of the tables as a report (rule, key, value).
+
+    ``shops``: the shop table that items refer to; without it the two fixed shops are the only check.
+    """
     t = tables
     item_rules = _not_null("item_sku", "shop_code", "item_name", "stock_cost_price", "sell_price", "min_stock_alert")
+    item_rules |= _required(t.items, "is_active", "created_at", "updated_at")
     item_rules |= _allowed("shop_code", SHOPS) | _lengths(t.items)
     item_rules |= {f"{c} >= 0": (F.col(c) < 0, F.col(c)) for c in ("stock_cost_price", "sell_price")}
     move_rules = _not_null("item_sku", "action_type", "quantity_change", "created_at") | _lengths(t.movements)
-    move_rules |= _allowed("action_type", MOVEMENT_ACTIONS)
+    move_rules |= _allowed("action_type", MOVEMENT_ACTIONS) | _required(t.movements, "created_by")
     life_rules = _not_null("item_sku", "status", "occurred_at") | _allowed("status", LIFECYCLE_STATUSES)
+    life_rules |= _lengths(t.lifecycle) | _required(t.lifecycle, "recorded_by")
     rent_rules = _not_null("item_sku", "customer_id", "booked_at", "due_date", "rental_price", "quantity", "status")
-    rent_rules |= _allowed("status", RENTAL_STATUSES)
+    rent_rules |= _allowed("status", RENTAL_STATUSES) | _lengths(t.rentals)
+    rent_rules |= _required(t.rentals, "created_at", "created_by")
     rent_rules |= {
         "quantity > 0": (F.col("quantity") <= 0, F.col("quantity")),
         "due_date >= booked_at": (F.col("due_date") < F.col("booked_at").cast("date"), F.col("due_date")),
     }
     customer_rules = _not_null("id", "display_name") | _lengths(t.customers)
+    customer_rules |= _required(t.customers, "created_at", "created_by")
     if "email" in t.customers.columns:
         customer_rules["email form"] = (~F.col("email").rlike(EMAIL_PATTERN), F.col("email"))
     parts = [
@@ -435,6 +462,9 @@ def check_constraints(tables: Tables) -> DataFrame:
         _orphans(t.rentals, "rentals", "item_sku", t.items, "item_sku"),
         _orphans(t.rentals, "rentals", "customer_id", t.customers, "id"),
     ]
+    if shops is not None:
+        coded = t.items.withColumn("id", F.col("item_sku"))
+        parts.append(_orphans(coded, "items", "shop_code", shops, "shop_code"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)
@@ -447,7 +477,8 @@ def check_log(log: DataFrame) -> DataFrame:
     rules = _not_null("shop_type", "item_sku", "item_name", "stock_cost_price", "sell_price", "action_type")
     rules |= _allowed("shop_type", SHOPS) | _allowed("action_type", ACTIONS) | _lengths(log)
     rules["bridal_status value"] = (~status.isin(*BRIDAL_STATUSES), status)
-    return _violations(log, "log", "seq", rules)
+    rules |= _not_null("seq")
+    return _violations(log, "log", "seq", rules).unionByName(_duplicates(log, "log", "seq"))
 
 
 # --- delete and guard ----------------------------------------------------------------------------------------------

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import instant
-from ..schemas import DEFAULT_ALERT, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
+from ..schemas import AT, DEFAULT_ALERT, DEFAULT_USER, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
 from .ordered import HOT_ROWS, running
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
@@ -20,33 +21,52 @@ def customer_id(name):
     return F.md5(name)
 
 
-def backfill_items(log: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """Newest log row per SKU becomes the item; an existing item keeps its shop and takes the rest."""
+def _at(as_of: dt.datetime | None) -> Column:
+    return instant(as_of) if as_of else F.lit(None).cast(AT)
+
+
+def backfill_items(log: DataFrame, items: DataFrame | None = None, as_of: dt.datetime | None = None) -> DataFrame:
+    """Newest log row per SKU becomes the item.
+
+    An existing item keeps every column the log says nothing about (shop, active mark, creation time, further ones) and
+    takes the rest; ``as_of`` becomes the update time of the items taken over, and both times of new ones.
+    """
     newest = log.groupBy("item_sku").agg(F.max(F.struct("created_at", "seq", "shop_type", *_ITEM)).alias("n"))
     fresh = newest.select(
         "item_sku", F.col("n.shop_type").alias("shop_code"),
         *(F.col(f"n.{c}").alias(c) for c in _ITEM if c != "min_stock_alert"),
         F.coalesce("n.min_stock_alert", F.lit(DEFAULT_ALERT)).alias("min_stock_alert"),
-    ).select("item_sku", "shop_code", *_ITEM)
+    ).select(
+        "item_sku", "shop_code", *_ITEM, F.lit(True).alias("is_active"), _at(as_of).alias("created_at"),
+        _at(as_of).alias("updated_at"),
+    )
     if items is None:
         return fresh
-    old = items.select("item_sku", "shop_code", *_ITEM).withColumn("_old", F.lit(True))
-    new = fresh.withColumn("_new", F.lit(True))
-    both = old.alias("o").join(new.alias("n"), "item_sku", "full")
+    missing = [f for f in fresh.schema if f.name not in items.columns]
+    old = items.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).withColumn("_old", F.lit(True))
+    both = old.alias("o").join(fresh.withColumn("_new", F.lit(True)).alias("n"), "item_sku", "full")
+    taken = {c: F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in _ITEM}
+    taken["updated_at"] = F.coalesce("n.updated_at", "o.updated_at")
+    taken |= {c: F.when(F.col("_old"), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+              for c in ("shop_code", "is_active", "created_at")}
+    more = [c for c in items.columns if c not in fresh.columns]
     return both.select(
-        "item_sku", F.coalesce("o.shop_code", "n.shop_code").alias("shop_code"),
-        *(F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in _ITEM),
-    )
+        "item_sku", *(taken[c].alias(c) for c in fresh.columns if c != "item_sku"), *(f"o.{c}" for c in more))
 
 
-def backfill_customers(log: DataFrame, customers: DataFrame | None = None) -> DataFrame:
-    """One customer per distinct contact text; names already known are left as they are."""
+def backfill_customers(
+    log: DataFrame, customers: DataFrame | None = None, as_of: dt.datetime | None = None, user: str = DEFAULT_USER,
+) -> DataFrame:
+    """One customer per distinct contact text; customers already known keep all their columns."""
     contact = F.col("customer_name_contact")
     found = log.where(contact.isNotNull()).select(contact.alias("display_name")).distinct()
     if customers is not None:
         found = found.join(customers.select("display_name"), "display_name", "left_anti")
-    fresh = found.select(customer_id(F.col("display_name")).alias("id"), "display_name")
-    return fresh if customers is None else customers.select("id", "display_name").unionByName(fresh)
+    fresh = found.select(
+        customer_id(F.col("display_name")).alias("id"), "display_name", _at(as_of).alias("created_at"),
+        F.lit(user).alias("created_by"),
+    )
+    return fresh if customers is None else customers.unionByName(fresh, allowMissingColumns=True)
 
 
 def backfill_movements(log: DataFrame) -> DataFrame:
@@ -91,25 +111,48 @@ def _latest_bookings(log: DataFrame, hot_rows: int) -> DataFrame:
     return seen.where(F.col("_out") == 1).groupBy("item_sku").agg(newest.alias("o")).select("item_sku", "o.*")
 
 
-def _rental_rows(log: DataFrame, customers: DataFrame, hot_rows: int) -> DataFrame:
+def _rental_rows(log: DataFrame, customers: DataFrame, hot_rows: int, kept: DataFrame | None = None) -> DataFrame:
+    """The booking of each SKU with ``reason``: the rule of the target it breaks, or null.
+
+    ``kept``: rentals that stay in the target; a SKU with an open one among them can have no second.
+    """
+    # A booking without a contact has no customer and needs no lookup.
     booked = _latest_bookings(log, hot_rows)
     names = customers.select(F.col("id").alias("customer_id"), F.col("display_name").alias("customer_name_contact"))
     due = F.coalesce("rental_due_date", F.date_add(F.col("created_at").cast("date"), 7))
-    return booked.join(names, "customer_name_contact", "left").select(
+    named = booked.where(F.col("customer_name_contact").isNotNull()).join(names, "customer_name_contact", "left")
+    every = named.unionByName(booked.where(F.col("customer_name_contact").isNull()), allowMissingColumns=True)
+    rows = every.select(
         F.col("seq").alias("id"), "item_sku", "customer_id", F.col("created_at").alias("booked_at"),
         due.alias("due_date"), "returned_at", F.col("sell_price").alias("rental_price"), F.lit(1).alias("quantity"),
-        F.when(F.col("returned_at").isNotNull(), "Returned").otherwise("Rented").alias("status"), "notes",
+        F.when(F.col("returned_at").isNotNull(), "Returned").otherwise("Rented").alias("status"), "notes", "created_at",
         F.lit(MIGRATION_TAG).alias("created_by"),
     )
+    taken = F.lit(False)
+    if kept is not None:
+        opened = kept.where(F.col("status") == "Rented").select("item_sku").distinct().withColumn("_taken", F.lit(True))
+        rows = rows.join(opened, "item_sku", "left")
+        taken = F.coalesce("_taken", F.lit(False)) & (F.col("status") == "Rented")
+    reason = (
+        F.when(F.col("customer_id").isNull(), "customer unknown")
+        .when(F.col("due_date") < F.col("booked_at").cast("date"), "due date before booking")
+        .when(F.col("rental_price").isNull(), "price missing")
+        .when(taken, "open rental exists for this SKU")
+    )
+    return rows.withColumn("reason", reason).drop("_taken")
 
 
-def backfill_rentals(log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    return _rental_rows(log, customers, hot_rows).where(F.col("customer_id").isNotNull())
+def backfill_rentals(
+    log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS, kept: DataFrame | None = None,
+) -> DataFrame:
+    return _rental_rows(log, customers, hot_rows, kept).where(F.col("reason").isNull()).drop("reason")
 
 
-def rental_rejects(log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Bookings without a known customer; the target does not allow them."""
-    return _rental_rows(log, customers, hot_rows).where(F.col("customer_id").isNull())
+def rental_rejects(
+    log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS, kept: DataFrame | None = None,
+) -> DataFrame:
+    """Bookings that the target's rules refuse, with the reason."""
+    return _rental_rows(log, customers, hot_rows, kept).where(F.col("reason").isNotNull())
 
 
 def migration_cleanup(tables: Tables) -> Tables:
@@ -128,19 +171,41 @@ def _append(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def migrate(log: DataFrame, tables: Tables | None = None) -> Tables:
-    """All backfills in order. With ``tables``, a rerun over the result of the first run changes nothing."""
+@dataclass(frozen=True)
+class Migrated:
+    """The tables, and every log row they could not take: (table_name, id, item_sku, reason)."""
+
+    tables: Tables
+    rejects: DataFrame
+
+
+def migrate(
+    log: DataFrame, tables: Tables | None = None, as_of: dt.datetime | None = None, user: str = DEFAULT_USER,
+) -> Migrated:
+    """All backfills in order. With ``tables``, a rerun over the result of the first run changes nothing but, where
+    ``as_of`` is given, the update time of the items.
+
+    Every status change and every SKU's newest booking ends up in a table or in ``rejects``.
+    """
     base = migration_cleanup(tables) if tables else None
-    items = backfill_items(log, base.items if base else None)
-    customers = backfill_customers(log, base.customers if base else None)
+    items = backfill_items(log, base.items if base else None, as_of)
+    customers = backfill_customers(log, base.customers if base else None, as_of, user)
     moved, changed = backfill_movements(log), backfill_lifecycle(log)
-    rented = backfill_rentals(log, customers)
+    kept = base.rentals if base else None
+    rented = backfill_rentals(log, customers, kept=kept)
+    refused = (
+        lifecycle_rejects(log).select(
+            F.lit("item_lifecycle_events").alias("table_name"), "id", "item_sku", F.lit("status not allowed").alias("reason"))
+        .unionByName(rental_rejects(log, customers, kept=kept).select(
+            F.lit("rentals").alias("table_name"), "id", "item_sku", "reason"))
+    )
     if base is None:
-        return Tables(items, moved, changed, customers, rented)
-    return Tables(
+        return Migrated(Tables(items, moved, changed, customers, rented), refused)
+    after = Tables(
         items, _append(base.movements, moved), _append(base.lifecycle, changed), customers,
         _append(base.rentals, rented),
     )
+    return Migrated(after, refused)
 
 
 def migration_counts(tables: Tables) -> DataFrame:
@@ -170,6 +235,7 @@ def sku_parity(log: DataFrame, items: DataFrame) -> DataFrame:
 
 def inflight_rentals(log: DataFrame, as_of: dt.datetime, minutes: int = 5) -> DataFrame:
     since = instant(as_of - dt.timedelta(minutes=minutes))
-    return log.where((F.col("action_type") == "Rental Out") & (F.col("created_at") > since)).agg(
+    recent = (F.col("created_at") > since) & (F.col("created_at") <= instant(as_of))
+    return log.where((F.col("action_type") == "Rental Out") & recent).agg(
         F.count(F.lit(1)).alias("inflight")
     )

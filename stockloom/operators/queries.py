@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_overdue, js_trim
-from ..schemas import GRAND_TOTAL, SHOPS
+from ..schemas import GRAND_TOTAL, SHOPS, Tables
+from . import state
 
 DEFAULT_PAGE = 500
 
@@ -50,14 +51,24 @@ def live_summary(inventory: DataFrame, as_of: dt.datetime) -> DataFrame:
 def history_query(
     history: DataFrame, shop: str | None = None, sku: str | None = None, limit: object = DEFAULT_PAGE
 ) -> DataFrame:
-    """Newest events first. ``history`` needs its ``id``, which settles equal times."""
+    """Newest events first. The ``id`` of ``history`` settles equal times; without it any of them may come first."""
     rows = history.where(F.col("shop_type") == shop) if shop in SHOPS else history
     if sku:
         rows = rows.where(F.col("item_sku") == sku_text(sku))
-    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(page_size(limit))
+    order = [F.col(c).desc() for c in ("created_at", "id") if c in rows.columns]
+    return rows.orderBy(*order).limit(page_size(limit))
+
+
+def history_page(
+    tables: Tables, shop: str | None = None, sku: str | None = None, limit: object = DEFAULT_PAGE
+) -> DataFrame:
+    """``history_query`` straight from the tables: the same rows and ids, without numbering the whole log."""
+    known = shop if shop in SHOPS else None
+    return state.history_page(tables, known, sku_text(sku) if sku else None, page_size(limit))
 
 
 def history_count(page: DataFrame) -> DataFrame:
+    """Rows of a page. Ids play no part, so a ``history`` without them will do."""
     return page.agg(F.count(F.lit(1)).alias("count"))
 
 

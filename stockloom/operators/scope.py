@@ -56,17 +56,24 @@ def role_counts(tables: Tables, shop: str | None) -> DataFrame:
         tables.rentals.join(scope_items(tables.items, shop).select("item_sku"), "item_sku", "left_semi")
         .select(F.col("customer_id").alias("id")).distinct().withColumn("_shop", wanted)
     )
+
+    def per_sku(rows: DataFrame) -> DataFrame:
+        # Counted before the join: a busy SKU is one row there.
+        return rows.groupBy("item_sku").agg(F.count(F.lit(1)).alias("_n")).join(shop_of, "item_sku", "left")
+
     marked = {
         "items": tables.items.withColumn("_shop", F.col("shop_code")),
-        "movements": tables.movements.join(shop_of, "item_sku", "left"),
-        "lifecycle": tables.lifecycle.join(shop_of, "item_sku", "left"),
+        "movements": per_sku(tables.movements),
+        "lifecycle": per_sku(tables.lifecycle),
         "customers": tables.customers.join(renters, "id", "left"),
-        "rentals": tables.rentals.join(shop_of, "item_sku", "left"),
+        "rentals": per_sku(tables.rentals),
     }
     result = None
     for name, rows in marked.items():
+        n = F.col("_n") if "_n" in rows.columns else F.lit(1)
         tally = rows.agg(
-            F.count(F.lit(1)).alias("_all"), F.count_if(F.col("_shop") == wanted).alias("_scoped")
+            F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("_all"),
+            F.coalesce(F.sum(F.when(F.col("_shop") == wanted, n)), F.lit(0)).cast("bigint").alias("_scoped"),
         ).select(F.lit(name).alias("table_name"), "_all", "_scoped")
         result = tally if result is None else result.unionByName(tally)
     shared = F.col("table_name").isin("items", "customers")
@@ -79,6 +86,23 @@ def role_counts(tables: Tables, shop: str | None) -> DataFrame:
     return result.select("*", roles).select("role", "table_name", visible.alias("visible"))
 
 
+def refused_writes(role: str, table: str, rows: DataFrame, items: DataFrame, shop: str | None) -> DataFrame:
+    """Rows of ``table`` (a field of Tables) that ``role`` may not write from a session of ``shop``.
+
+    The administrator may write everything and plain readers nothing. Inventory managers write items of their shop;
+    managers and clerks write movements, lifecycle events and rentals of items of their shop, and customers of any.
+    """
+    if role not in ROLES or table not in Tables.names():
+        raise ValueError(f"unknown role or table: {role!r}, {table!r}")
+    if role == "app_admin":
+        return rows.where(F.lit(False))
+    if role not in _CHILD_READERS or (table == "items" and role != "inventory_mgr"):
+        return rows
+    if table == "customers":
+        return rows.where(F.lit(False))
+    return check_write_scope(rows, items, shop)
+
+
 def check_write_scope(rows: DataFrame, items: DataFrame, shop: str | None) -> DataFrame:
     """Rows a session of ``shop`` may not write: their item is unknown or belongs elsewhere."""
     if "shop_code" in rows.columns:

@@ -266,6 +266,11 @@ def history(tables: Tables, with_id: bool = True) -> DataFrame:
         # Events of unknown items take no number.
         events = events.join(tables.items.select("item_sku"), "item_sku", "left_semi")
         events = global_row_number(events, ("created_at", "src", "seq"), "id")
+    return _described(tables, events, with_id)
+
+
+def _described(tables: Tables, events: DataFrame, with_id: bool) -> DataFrame:
+    """Events with the columns of their items, prices and statuses."""
     status = item_current_status(tables.items, tables.lifecycle, tables.rentals).select("item_sku", "current_status")
     described = tables.items.join(status, "item_sku", "left").select(
         "item_sku", F.col("shop_code").alias("shop_type"), "item_name", "brand_designer", "item_image",
@@ -289,6 +294,45 @@ def history(tables: Tables, with_id: bool = True) -> DataFrame:
     return priced.select(*(("id",) if with_id else ()), *_HISTORY)
 
 
+def history_page(tables: Tables, shop: str | None, sku: str | None, size: int) -> DataFrame:
+    """The newest ``size`` rows of ``history`` (of a shop, of a SKU) with their ids, without numbering the log.
+
+    The id of an event is the number of events up to it, so for the rows of a page it follows from counts: of the events
+    between the page's times, and of those that share one of its times. Each is one aggregation over the bare keys, and
+    what comes back to the driver is no longer than the page.
+    """
+    spark = tables.items.sparkSession
+    known = _history_events(tables).join(tables.items.select("item_sku"), "item_sku", "left_semi")
+    rows = known
+    if shop is not None:
+        rows = rows.join(tables.items.where(F.col("shop_code") == shop).select("item_sku"), "item_sku", "left_semi")
+    if sku is not None:
+        rows = rows.where(F.col("item_sku") == sku)
+    newest = rows.orderBy(F.col("created_at").desc(), F.col("src").desc(), F.col("seq").desc()).limit(size)
+    found = newest.collect()
+    times = sorted({r.created_at for r in found if r.created_at is not None})
+    kind = newest.schema["created_at"].dataType.simpleString()
+    keys = known.select("created_at", "src", "seq")
+    listed = F.split(F.lit(",".join(t.isoformat(" ") for t in times)), ",").cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(times).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
+        F.get(listed, at + s - 1) <= F.col("created_at"), at + s).otherwise(at))
+    between = {r.place: r.n for r in keys.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()} if times else {}
+    page = spark.createDataFrame(found, newest.schema)
+    cuts = page.select("created_at", F.struct("src", "seq").alias("cut"))
+    # Events at the very times of the page, up to each of its rows.
+    same = keys.join(F.broadcast(cuts), "created_at").where(F.struct("src", "seq") <= F.col("cut"))
+    same = same.groupBy("created_at", "cut").agg(F.count(F.lit(1)).alias("n")).collect()
+    before, total = {}, 0
+    for k, t in enumerate(times):
+        total += between.get(k, 0)
+        before[t] = total
+    ids = {(r.created_at, r.cut.src, r.cut.seq): before[r.created_at] + r.n for r in same}
+    numbered = [(*r, ids[r.created_at, r.src, r.seq]) for r in found]
+    events = spark.createDataFrame(numbered, newest.select("*", F.lit(0).cast("bigint").alias("id")).schema)
+    return _described(tables, events, True).orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
 def legacy_live(log: DataFrame) -> DataFrame:
     """Current state straight from the single-table log: newest row per SKU plus running totals."""
     meta = (

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits, boards, ingest, migrate, queries, scope, state
 
+from ..schemas import Tables
 from ..session import scratch_path
 from ..sources import csv_files, tables as files
 from ..sources import fixtures as fx
@@ -85,8 +86,10 @@ def s4_read_import_csv(spark, d):
 
 @_query
 def s5_normalize_import(spark, d):
-    rows = csv_files.read_import_csv(spark, _exported(spark, d, "Bags"))
-    return csv_files.normalize_import(rows, IMPORT_AT).drop("seq", "quantity")
+    listed = csv_files.export_rows(_live(spark, d), "Bags").orderBy("item_sku")
+    path = csv_files.export_csv(listed, scratch_path(spark, "export"), "Bags", AS_OF.date())
+    rows = csv_files.read_import_csv(spark, path, numbered=True)
+    return csv_files.normalize_import(rows, IMPORT_AT, first=1000).drop("quantity")
 
 
 @_query
@@ -133,7 +136,7 @@ def i1_validate_actions(spark, d):
 
 @_query
 def i2_coerce_actions(spark, d):
-    return ingest.coerce_actions(fx.raw_actions(spark, d)).drop("item_image", "brand_designer", "bridal_size", "notes")
+    return ingest.coerce_actions(fx.raw_actions(spark, d))
 
 
 @_query
@@ -148,35 +151,34 @@ def i3_route_actions(spark, d):
 
 @_query
 def i4_upsert_items(spark, d):
-    return ingest.upsert_items(fx.items(spark, d), _actions(spark, d))
+    return ingest.upsert_items(fx.full_items(spark, d), _actions(spark, d))
 
 
 @_query
 def i5_upsert_customers(spark, d):
-    return ingest.upsert_customers(fx.customers(spark, d), _actions(spark, d))
+    return ingest.upsert_customers(fx.full_customers(spark, d), _actions(spark, d), "till")
 
 
 @_query
 def i6_open_rentals(spark, d):
-    return _ids_as_text(ingest.open_rentals(_actions(spark, d), fx.customers(spark, d)), "id")
+    return _ids_as_text(ingest.open_rentals(_actions(spark, d), fx.customers(spark, d), "till"), "id")
 
 
 @_query
 def i7_close_rentals(spark, d):
-    actions, old = _actions(spark, d), fx.rentals(spark, d)
-    every = old.unionByName(ingest.open_rentals(actions, fx.customers(spark, d)), allowMissingColumns=True)
-    closed = ingest.close_rentals(every, actions)
-    return _ids_as_text(closed.select("id", "item_sku", "booked_at", "returned_at", "status"), "id")
+    actions, old = _actions(spark, d), fx.full_rentals(spark, d)
+    every = old.unionByName(ingest.open_rentals(actions, fx.customers(spark, d), "till"), allowMissingColumns=True)
+    return _ids_as_text(ingest.close_rentals(every, actions), "id")
 
 
 @_query
 def i8_append_lifecycle(spark, d):
-    return _ids_as_text(ingest.append_lifecycle(_actions(spark, d)), "id")
+    return _ids_as_text(ingest.append_lifecycle(_actions(spark, d), "till"), "id")
 
 
 @_query
 def i9_append_movements(spark, d):
-    return _ids_as_text(ingest.append_movements(_actions(spark, d)), "id")
+    return _ids_as_text(ingest.append_movements(_actions(spark, d), "till"), "id")
 
 
 @_query
@@ -209,15 +211,48 @@ def i12_delete_item(spark, d):
 
 
 @_query
-def i13_ingest_stream(spark, d):
+def i12_rows_left(spark, d):
+    """Every row that a deletion leaves, as text."""
+    doomed = fx.table(spark, d, "part").where("p_size = 7").select(
+        F.expr("concat('SKU-', lpad(CAST(p_partkey AS STRING), 12, '0'))").alias("item_sku")
+    )
+    after, _ = ingest.delete_items(fx.full_tables(spark, d), doomed, "Bags")
+    return _as_lines({name: getattr(after, name) for name in after.names()})
+
+
+def _streamed(spark, d):
     root = scratch_path(spark, "store")
-    stream.start_store(spark, root, fx.tables(spark, d))
+    stream.start_store(spark, root, fx.full_tables(spark, d))
     events = fx.table(spark, d, "events").schema
     source = spark.readStream.schema(events).option("pathGlobFilter", "events.parquet").parquet(d)
     raw = fx.raw_from_events(source)
-    stream.ingest_stream(raw, root, scratch_path(spark, "offsets"), every=None).awaitTermination()
+    stream.ingest_stream(raw, root, scratch_path(spark, "offsets"), every=None, user="till").awaitTermination()
+    return root
+
+
+@_query
+def i13_ingest_stream(spark, d):
+    return stream.read_store(spark, _streamed(spark, d)).items
+
+
+@_query
+def i13_stream_rows(spark, d):
+    """Every row of the other tables and of the rejects after the stream, as text."""
+    root = _streamed(spark, d)
     after = stream.read_store(spark, root)
-    return after.items.select(*ingest.ITEM_COLUMNS, "updated_at")
+    frames = {name: getattr(after, name) for name in ("movements", "lifecycle", "customers", "rentals")}
+    frames["rejects"] = stream.read_rejects(spark, root).select("seq", "item_sku", F.concat_ws("; ", "errors").alias("errors"))
+    return _as_lines(frames)
+
+
+def _as_lines(frames):
+    """Full rows of several tables in one frame: (table_name, line)."""
+    union = None
+    for name, df in frames.items():
+        line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)))
+        part = df.select(F.lit(name).alias("table_name"), line.alias("line"))
+        union = part if union is None else union.unionByName(part)
+    return union
 
 
 @_query
@@ -319,12 +354,12 @@ def q2_live_summary(spark, d):
 
 @_query
 def q3_history_query(spark, d):
-    return queries.history_query(state.history(fx.tables(spark, d)), "Bridal", limit="500")
+    return queries.history_page(fx.tables(spark, d), "Bridal", limit="500")
 
 
 @_query
 def q3_history_count(spark, d):
-    page = queries.history_query(state.history(fx.tables(spark, d)), sku=" sku-000000000012 ")
+    page = queries.history_query(state.history(fx.tables(spark, d), with_id=False), sku=" sku-000000000012 ")
     return queries.history_count(page)
 
 
@@ -434,12 +469,12 @@ def d16_product_label(spark, d):
 
 @_query
 def m1_backfill_items(spark, d):
-    return migrate.backfill_items(fx.log(spark, d), fx.items(spark, d))
+    return migrate.backfill_items(fx.log(spark, d), fx.full_items(spark, d), AS_OF)
 
 
 @_query
 def m2_backfill_customers(spark, d):
-    return migrate.backfill_customers(fx.log(spark, d))
+    return migrate.backfill_customers(fx.log(spark, d), fx.full_customers(spark, d), AS_OF, "mover")
 
 
 @_query
@@ -470,13 +505,36 @@ def m6_migration_rerun(spark, d):
     """Counts after a second run over the result of the first: the same as after one run."""
     log = fx.log(spark, d)
     root = scratch_path(spark, "migrated")
-    files.write_tables(migrate.migrate(log), root)
-    return migrate.migration_counts(migrate.migrate(log, files.current_tables(spark, root)))
+    files.write_tables(migrate.migrate(log).tables, root)
+    return migrate.migration_counts(migrate.migrate(log, files.current_tables(spark, root)).tables)
+
+
+@_query
+def m6_rerun_rows(spark, d):
+    """Every row after a migration into filled tables and a second one over its result, as text."""
+    log = fx.log(spark, d)
+    root = scratch_path(spark, "migrated")
+    old = fx.full_tables(spark, d)
+    base = Tables(old.items, old.movements.where("false"), old.lifecycle.where("false"), old.customers, old.rentals.where("false"))
+    files.write_tables(migrate.migrate(log, base, AS_OF, "mover").tables, root)
+    after = migrate.migrate(log, files.current_tables(spark, root), AS_OF, "mover").tables
+    return _as_lines({name: getattr(after, name) for name in after.names()})
+
+
+@_query
+def m_rejects(spark, d):
+    """What a migration cannot take from a log with early due dates, missing contacts and odd statuses."""
+    bad = fx.log(spark, d).withColumns({
+        "rental_due_date": F.expr("CASE WHEN min_stock_alert % 5 = 0 THEN DATE'1990-01-01' ELSE rental_due_date END"),
+        "customer_name_contact": F.expr("CASE WHEN min_stock_alert % 7 = 0 THEN NULL ELSE customer_name_contact END"),
+        "bridal_status": F.expr("CASE WHEN action_type = 'Status Change' AND min_stock_alert % 3 = 0 THEN 'Returned' ELSE bridal_status END"),
+    })
+    return _ids_as_text(migrate.migrate(bad).rejects, "id")
 
 
 @_query
 def m7_migration_counts(spark, d):
-    return migrate.migration_counts(migrate.migrate(fx.log(spark, d)))
+    return migrate.migration_counts(migrate.migrate(fx.log(spark, d)).tables)
 
 
 @_query
@@ -498,6 +556,35 @@ def r1_scope_items(spark, d):
     return scope.scope_items(fx.items(spark, d), "Bridal")
 
 
+@_query
+def r4_role_rows(spark, d):
+    """Keys of every row that each role sees."""
+    t = fx.tables(spark, d)
+    union = None
+    for role in scope.ROLES:
+        seen = scope.role_view(role, t, "Bridal")
+        for name in seen.names():
+            rows = getattr(seen, name)
+            key = F.col("item_sku" if name == "items" else "id").cast("string").alias("key")
+            part = rows.select(F.lit(role).alias("role"), F.lit(name).alias("table_name"), key)
+            union = part if union is None else union.unionByName(part)
+    return union
+
+
+@_query
+def r5_refused_writes(spark, d):
+    """Rows that each role may not write in a session of the bridal shop, per table."""
+    t = fx.tables(spark, d)
+    union = None
+    for role in scope.ROLES:
+        for name in t.names():
+            rows = scope.refused_writes(role, name, getattr(t, name), t.items, "Bridal")
+            part = rows.agg(F.count(F.lit(1)).alias("refused")).select(
+                F.lit(role).alias("role"), F.lit(name).alias("table_name"), "refused")
+            union = part if union is None else union.unionByName(part)
+    return union
+
+
 @_query
 def r2_scope_children(spark, d):
     rows = scope.scope_children(fx.movements(spark, d), fx.items(spark, d), "Bridal")
@@ -523,7 +610,7 @@ def r5_check_write_scope(spark, d):
 
 @_query
 def r6_audit_items(spark, d):
-    old = fx.items(spark, d).select("item_sku", "shop_code", "item_name", "sell_price", "bag_color")
+    old = fx.items(spark, d)
     return scope.audit_items(old, fx.repriced_items(old), AS_OF, "app_admin")
 
 

@@ -91,6 +91,47 @@ fx_elog AS (
   FROM events)
 """
 
+_FULL = """
+full_items AS (
+  SELECT * EXCLUDE (num), num % 4 <> 0 AS is_active,
+    CASE WHEN num % 5 <> 0 THEN TIMESTAMP '1991-01-01' + to_seconds((num % 86400)::INT) END AS created_at,
+    CASE WHEN num % 7 = 0 THEN TIMESTAMP '1991-01-01' + to_seconds((num % 86400)::INT) END AS updated_at
+  FROM (SELECT *, substr(item_sku, 5)::BIGINT AS num FROM fx_items)),
+full_cust AS (
+  SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey <= 10 THEN 'Customer ' || c_custkey ELSE c_name END AS display_name,
+    '+44 ' || c_custkey AS phone, 'c' || c_custkey || '@example.org' AS email, CASE WHEN c_custkey % 3 = 0 THEN 'regular' END AS notes,
+    TIMESTAMP '1991-02-01' AS created_at, 'desk' AS created_by FROM customer),
+full_rent AS (SELECT r.*, booked_at AS created_at, staff AS created_by FROM fx_rent r JOIN lines ON lines.seq = r.id)
+"""
+
+# What accepted actions leave in tables with all their columns.
+_AFTER = """
+after_items AS (
+  SELECT m.* EXCLUDE (created_at, updated_at, existed), CASE WHEN existed THEN f.is_active ELSE true END AS is_active,
+    CASE WHEN existed THEN f.created_at ELSE m.created_at END AS created_at, coalesce(m.updated_at, f.updated_at) AS updated_at
+  FROM merged_items m LEFT JOIN full_items f USING (item_sku)),
+after_cust AS (
+  SELECT * FROM full_cust
+  UNION ALL BY NAME SELECT md5(display_name) AS id, display_name, first_at AS created_at, 'till' AS created_by FROM (
+    SELECT coalesce(customer_name_contact, 'Walk-in') AS display_name, min(created_at) AS first_at FROM good
+    WHERE action_type = 'Rental Out' GROUP BY 1) WHERE display_name NOT IN (SELECT display_name FROM full_cust)),
+after_moves AS (
+  SELECT * FROM fx_mov UNION ALL BY NAME
+  SELECT seq::HUGEINT AS id, item_sku, action_type, quantity_change, stock_cost_price AS unit_cost_price, NULL::VARCHAR AS notes, created_at,
+    'till' AS created_by FROM good WHERE action_type IN ('New Item', 'Restock', 'Retail Sale')),
+after_life AS (
+  SELECT * FROM fx_life UNION ALL BY NAME
+  SELECT seq::HUGEINT AS id, item_sku, coalesce(bridal_status, 'Available') AS status, NULL::VARCHAR AS notes, created_at AS occurred_at,
+    'till' AS recorded_by FROM good WHERE action_type = 'Status Change'
+    OR (action_type = 'Rental Return' AND bridal_status IN ('Available', 'In Alteration', 'Dry Cleaning', 'Sold'))),
+every_rent AS (
+  SELECT * FROM full_rent UNION ALL BY NAME
+  SELECT *, booked_at AS created_at, 'till' AS created_by FROM new_rent),
+after_rent AS (
+  SELECT a.* REPLACE (coalesce(g.created_at, a.returned_at) AS returned_at, CASE WHEN g.seq IS NOT NULL THEN 'Returned' ELSE a.status END AS status)
+  FROM every_rent a LEFT JOIN good g ON g.closes_id = a.id AND g.item_sku = a.item_sku)
+"""
+
 # Latest open booking, latest lifecycle status and latest event per SKU, then one row per item.
 _LIVE = """
 opened AS (
@@ -278,6 +319,25 @@ migrated AS (
   FROM last_out o)
 """
 
+# The log moved into tables with all their columns, at a given time by a given user.
+_MOVED = """
+moved_items AS (
+  SELECT item_sku, i.shop_code, coalesce(t.item_name, i.item_name) AS item_name,
+    CASE WHEN t.seq IS NULL THEN i.brand_designer ELSE t.brand_designer END AS brand_designer, NULL::VARCHAR AS item_image,
+    coalesce(t.stock_cost_price, i.stock_cost_price)::DECIMAL(10,2) AS stock_cost_price,
+    coalesce(t.sell_price, i.sell_price)::DECIMAL(10,2) AS sell_price,
+    CASE WHEN t.seq IS NULL THEN i.min_stock_alert ELSE coalesce(t.min_stock_alert, 2) END AS min_stock_alert,
+    CASE WHEN t.seq IS NULL THEN i.bag_color ELSE t.bag_color END AS bag_color,
+    CASE WHEN t.seq IS NULL THEN i.bridal_size ELSE t.bridal_size END AS bridal_size, i.is_active, i.created_at,
+    CASE WHEN t.seq IS NULL THEN i.updated_at ELSE TIMESTAMP '2001-06-01 12:00:00' END AS updated_at
+  FROM full_items i LEFT JOIN log_top t USING (item_sku)),
+moved_cust AS (
+  SELECT * FROM full_cust
+  UNION ALL BY NAME SELECT md5(contact) AS id, contact AS display_name, TIMESTAMP '2001-06-01 12:00:00' AS created_at, 'mover' AS created_by
+  FROM (SELECT DISTINCT customer_name_contact AS contact FROM fx_log WHERE customer_name_contact IS NOT NULL)
+  WHERE contact NOT IN (SELECT display_name FROM full_cust))
+"""
+
 _EXPORT = """
 exported AS (
   SELECT shop_type, item_sku, item_name, coalesce(brand_designer, '') AS brand_designer, coalesce(item_image, '') AS item_image,
@@ -326,6 +386,48 @@ _MIGRATED_COUNTS = _COUNT_TABLES.format(
 )
 
 
+# Columns of the tables, in the order of their names.
+_TABLE_COLUMNS = {
+    "items": "bag_color brand_designer bridal_size created_at is_active item_image item_name item_sku min_stock_alert sell_price "
+             "shop_code stock_cost_price updated_at",
+    "movements": "action_type created_at created_by id item_sku notes quantity_change unit_cost_price",
+    "lifecycle": "id item_sku notes occurred_at recorded_by status",
+    "customers": "created_at created_by display_name email id notes phone",
+    "rentals": "booked_at created_at created_by customer_id due_date id item_sku notes quantity rental_price returned_at status",
+    "rejects": "errors item_sku seq",
+}
+
+
+def _lines_of(**sources: str) -> str:
+    """Full rows of several tables as text: (table_name, line)."""
+    parts = []
+    for name, source in sources.items():
+        line = ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in _TABLE_COLUMNS[name].split())
+        parts.append(f"SELECT '{name}' AS table_name, concat_ws('|', {line}) AS line FROM {source}")
+    return " UNION ALL ".join(parts)
+
+
+def _refused() -> str:
+    own = "SELECT item_sku FROM fx_items WHERE shop_code = 'Bridal'"
+    tables = {"items": "fx_items", "movements": "fx_mov", "lifecycle": "fx_life", "customers": "fx_cust", "rentals": "fx_rent"}
+    parts = []
+    for role in ("readonly", "inventory_mgr", "rental_clerk", "app_admin"):
+        for name, source in tables.items():
+            if role == "readonly" or (role == "rental_clerk" and name == "items"):
+                condition = "true"
+            elif role == "app_admin" or name == "customers":
+                condition = "false"
+            else:
+                condition = f"item_sku NOT IN ({own})"
+            parts.append(f"SELECT '{role}' AS role, '{name}' AS table_name, count(*) AS refused FROM {source} WHERE {condition}")
+    return " UNION ALL ".join(parts)
+
+
+def _role_rows() -> str:
+    return _roles().replace("count(*) AS visible FROM fx_items", "item_sku AS key FROM fx_items").replace(
+        "count(*) AS visible", "id::VARCHAR AS key")
+
+
 def _roles() -> str:
     scoped = {
         "items": "fx_items WHERE shop_code = 'Bridal'",
@@ -373,7 +475,7 @@ def oracle_queries() -> dict[str, str]:
     add("s3_shops", """SELECT shop_code, CASE shop_code WHEN 'Bags' THEN 'Bags retail and resale'
         ELSE 'Bridal wear retail and rental' END AS description, count(*) AS items FROM fx_items GROUP BY shop_code""")
     add("s4_read_import_csv", f"SELECT {_EXPORT_TEXT} FROM exported WHERE shop_type = 'Bridal'", _LIVE, _EXPORT)
-    add("s5_normalize_import", """SELECT TIMESTAMP '2001-06-01 12:00:00' AS created_at, shop_type, item_sku, item_name, brand_designer,
+    add("s5_normalize_import", """SELECT 999 + row_number() OVER (ORDER BY item_sku) AS seq, TIMESTAMP '2001-06-01 12:00:00' AS created_at, shop_type, item_sku, item_name, brand_designer,
         item_image, stock_cost_price::VARCHAR AS stock_cost_price, sell_price::VARCHAR AS sell_price, '0' AS quantity_change, bag_color,
         min_stock_alert::VARCHAR AS min_stock_alert, bridal_size, bridal_status, rental_due_date, customer_name_contact,
         'New Item' AS action_type, '' AS notes FROM exported WHERE shop_type = 'Bags'""", _LIVE, _EXPORT)
@@ -391,23 +493,16 @@ def oracle_queries() -> dict[str, str]:
     # ingest
     add("i1_validate_actions", "SELECT seq, errors FROM checked", _ACTIONS)
     add("i2_coerce_actions", """SELECT seq, created_at, shop_type, item_sku, item_name, stock_cost_price, sell_price, quantity_change,
-        quantity, bag_color, min_stock_alert, bridal_status, rental_due_date, customer_name_contact, action_type, false AS overflow FROM typed""", _ACTIONS)
+        quantity, bag_color, min_stock_alert, bridal_status, rental_due_date, customer_name_contact, action_type, false AS overflow,
+        NULL::VARCHAR AS brand_designer, NULL::VARCHAR AS item_image, NULL::VARCHAR AS bridal_size, NULL::VARCHAR AS notes FROM typed""", _ACTIONS)
     add("i3_route_actions", """SELECT seq, CASE action_type WHEN 'Rental Out' THEN 'rental' WHEN 'Rental Return' THEN 'return'
         WHEN 'Status Change' THEN 'lifecycle' ELSE 'ledger' END AS route FROM fx_raw""")
-    add("i4_upsert_items", f"""SELECT {_COLS}, CASE WHEN NOT existed THEN created_at ELSE created_at END AS created_at, updated_at
-        FROM merged_items""", _ACTIONS)
-    add("i5_upsert_customers", "SELECT id, display_name FROM all_cust", _ACTIONS)
-    add("i6_open_rentals", "SELECT * REPLACE (id::VARCHAR AS id) FROM new_rent", _ACTIONS)
-    add("i7_close_rentals", """SELECT a.id::VARCHAR AS id, a.item_sku, a.booked_at, coalesce(g.created_at, a.returned_at) AS returned_at,
-        CASE WHEN g.seq IS NOT NULL THEN 'Returned' ELSE a.status END AS status
-        FROM (SELECT id, item_sku, booked_at, returned_at, status FROM fx_rent
-              UNION ALL SELECT id, item_sku, booked_at, returned_at, status FROM new_rent) a
-        LEFT JOIN good g ON g.closes_id = a.id AND g.item_sku = a.item_sku""", _ACTIONS)
-    add("i8_append_lifecycle", """SELECT seq::VARCHAR AS id, item_sku, coalesce(bridal_status, 'Available') AS status,
-        NULL::VARCHAR AS notes, created_at AS occurred_at FROM good WHERE action_type = 'Status Change'
-        OR (action_type = 'Rental Return' AND bridal_status IN ('Available', 'In Alteration', 'Dry Cleaning', 'Sold'))""", _ACTIONS)
-    add("i9_append_movements", """SELECT seq::VARCHAR AS id, item_sku, action_type, quantity_change, stock_cost_price AS unit_cost_price,
-        NULL::VARCHAR AS notes, created_at FROM good WHERE action_type IN ('New Item', 'Restock', 'Retail Sale')""", _ACTIONS)
+    add("i4_upsert_items", "SELECT * FROM after_items", _FULL, _ACTIONS, _AFTER)
+    add("i5_upsert_customers", "SELECT * FROM after_cust", _FULL, _ACTIONS, _AFTER)
+    add("i6_open_rentals", "SELECT * REPLACE (id::VARCHAR AS id), booked_at AS created_at, 'till' AS created_by FROM new_rent", _ACTIONS)
+    add("i7_close_rentals", "SELECT * REPLACE (id::VARCHAR AS id) FROM after_rent", _FULL, _ACTIONS, _AFTER)
+    add("i8_append_lifecycle", "SELECT * REPLACE (id::VARCHAR AS id) FROM after_life WHERE recorded_by = 'till'", _FULL, _ACTIONS, _AFTER)
+    add("i9_append_movements", "SELECT * REPLACE (id::VARCHAR AS id) FROM after_moves WHERE created_by = 'till'", _FULL, _ACTIONS, _AFTER)
     add("i10_action_result", """SELECT seq, (CASE WHEN action_type = 'Rental Return' THEN closes_id ELSE seq END)::VARCHAR AS id,
         coalesce(closes_at, created_at) AS created_at, item_sku, item_name, action_type,
         CASE WHEN action_type = 'Rental Out' THEN quantity END AS quantity,
@@ -434,7 +529,17 @@ def oracle_queries() -> dict[str, str]:
           + (SELECT count(*) FROM fx_mov m WHERE m.item_sku = i.item_sku) + (SELECT count(*) FROM fx_life m WHERE m.item_sku = i.item_sku)
           + (SELECT count(*) FROM fx_rent m WHERE m.item_sku = i.item_sku) ELSE 0 END::BIGINT AS deleted
         FROM fx_items i WHERE min_stock_alert = 7""")
-    add("i13_ingest_stream", f"SELECT {_COLS}, updated_at FROM merged_items", _ACTIONS)
+    gone = "NOT IN (SELECT item_sku FROM fx_items WHERE min_stock_alert = 7 AND shop_code = 'Bags')"
+    add("i12_rows_left", _lines_of(
+        items=f"full_items WHERE item_sku {gone}", movements=f"fx_mov WHERE item_sku {gone}", lifecycle=f"fx_life WHERE item_sku {gone}",
+        customers="full_cust", rentals=f"full_rent WHERE item_sku {gone}"), _FULL)
+    add("i13_ingest_stream", "SELECT * FROM after_items", _FULL, _ACTIONS, _AFTER)
+    # The stream knows the customers with all columns, some under names that the actions use.
+    known = "(SELECT c.id FROM full_cust c WHERE c.display_name = (SELECT n.display_name FROM all_cust n WHERE n.id = after_rent.customer_id))"
+    add("i13_stream_rows", _lines_of(
+        movements="after_moves", lifecycle="after_life", customers="after_cust",
+        rentals=f"(SELECT * REPLACE (CASE WHEN created_by = 'till' THEN coalesce({known}, customer_id) ELSE customer_id END AS customer_id) FROM after_rent)",
+        rejects="(SELECT seq, item_sku, verdict AS errors FROM decided WHERE verdict <> '')"), _FULL, _ACTIONS, _AFTER)
     add("i14_guard_actions", """SELECT seq, created_at, item_sku, action_type, CASE WHEN action_type = 'Rental Out' THEN 'reject: no stock'
           ELSE 'warn: no open rental' END AS warning
         FROM good WHERE (action_type = 'Rental Return' AND closes_id IS NULL) OR (action_type = 'Rental Out'
@@ -525,16 +630,8 @@ def oracle_queries() -> dict[str, str]:
         || coalesce(' · ' || bridal_status, '') AS label FROM live""", _LIVE)
 
     # migration
-    add("m1_backfill_items", """SELECT item_sku, i.shop_code, coalesce(t.item_name, i.item_name) AS item_name,
-        CASE WHEN t.seq IS NULL THEN i.brand_designer ELSE t.brand_designer END AS brand_designer, NULL::VARCHAR AS item_image,
-        coalesce(t.stock_cost_price, i.stock_cost_price)::DECIMAL(10,2) AS stock_cost_price,
-        coalesce(t.sell_price, i.sell_price)::DECIMAL(10,2) AS sell_price,
-        CASE WHEN t.seq IS NULL THEN i.min_stock_alert ELSE coalesce(t.min_stock_alert, 2) END AS min_stock_alert,
-        CASE WHEN t.seq IS NULL THEN i.bag_color ELSE t.bag_color END AS bag_color,
-        CASE WHEN t.seq IS NULL THEN i.bridal_size ELSE t.bridal_size END AS bridal_size
-        FROM fx_items i LEFT JOIN log_top t USING (item_sku)""", _LOG_TOP)
-    add("m2_backfill_customers", """SELECT md5(contact) AS id, contact AS display_name FROM
-        (SELECT DISTINCT customer_name_contact AS contact FROM fx_log WHERE customer_name_contact IS NOT NULL)""")
+    add("m1_backfill_items", "SELECT * FROM moved_items", _LOG_TOP, _FULL, _MOVED)
+    add("m2_backfill_customers", "SELECT * FROM moved_cust", _LOG_TOP, _FULL, _MOVED)
     add("m3_backfill_movements", """SELECT seq::VARCHAR AS id, item_sku, action_type, coalesce(quantity_change, 0) AS quantity_change,
         stock_cost_price::DECIMAL(10,2) AS unit_cost_price, notes, created_at, 'migration' AS created_by FROM fx_log
         WHERE action_type IN ('New Item', 'Restock', 'Retail Sale')""")
@@ -544,12 +641,35 @@ def oracle_queries() -> dict[str, str]:
         WHERE action_type = 'Status Change' AND bridal_status IN ('Rented', 'Returned')""")
     add("m5_backfill_rentals", """SELECT id::VARCHAR AS id, item_sku, customer_id, booked_at, due_date, returned_at,
         rental_price::DECIMAL(10,2) AS rental_price, 1 AS quantity, CASE WHEN returned_at IS NULL THEN 'Rented' ELSE 'Returned' END AS status,
-        notes, 'migration' AS created_by FROM migrated""", _LOG_TOP)
+        notes, booked_at AS created_at, 'migration' AS created_by FROM migrated""", _LOG_TOP)
     add("m6_migration_rerun", _MIGRATED_COUNTS)
+    add("m6_rerun_rows", _lines_of(
+        items="moved_items", customers="moved_cust", rentals="""(SELECT id, item_sku, c.id AS customer_id, booked_at, due_date, returned_at,
+          rental_price::DECIMAL(10,2) AS rental_price, 1 AS quantity, CASE WHEN returned_at IS NULL THEN 'Rented' ELSE 'Returned' END AS status,
+          m.notes, booked_at AS created_at, 'migration' AS created_by
+          FROM migrated m JOIN last_out o USING (item_sku) JOIN moved_cust c ON c.display_name = o.customer_name_contact)""".replace("SELECT id,", "SELECT m.id,")
+          .replace("m.notes, booked_at", "m.notes, m.booked_at"),
+        movements="""(SELECT seq AS id, item_sku, action_type, coalesce(quantity_change, 0) AS quantity_change,
+          stock_cost_price::DECIMAL(10,2) AS unit_cost_price, notes, created_at, 'migration' AS created_by FROM fx_log
+          WHERE action_type IN ('New Item', 'Restock', 'Retail Sale'))""",
+        lifecycle="""(SELECT seq AS id, item_sku, bridal_status AS status, notes, created_at AS occurred_at, 'migration' AS recorded_by
+          FROM fx_log WHERE action_type = 'Status Change')"""), _LOG_TOP, _FULL, _MOVED)
+    add("m_rejects", """SELECT 'item_lifecycle_events' AS table_name, seq::VARCHAR AS id, item_sku, 'status not allowed' AS reason FROM bad
+        WHERE action_type = 'Status Change' AND bridal_status IN ('Rented', 'Returned')
+        UNION ALL SELECT 'rentals', seq::VARCHAR, item_sku,
+          CASE WHEN customer_name_contact IS NULL THEN 'customer unknown' ELSE 'due date before booking' END
+        FROM (SELECT * FROM bad WHERE action_type = 'Rental Out'
+          QUALIFY row_number() OVER (PARTITION BY item_sku ORDER BY created_at DESC, seq DESC) = 1)
+        WHERE customer_name_contact IS NULL OR rental_due_date < created_at::DATE""", """
+bad AS (SELECT * REPLACE (
+    CASE WHEN min_stock_alert % 5 = 0 THEN DATE '1990-01-01' ELSE rental_due_date END AS rental_due_date,
+    CASE WHEN min_stock_alert % 7 = 0 THEN NULL ELSE customer_name_contact END AS customer_name_contact,
+    CASE WHEN action_type = 'Status Change' AND min_stock_alert % 3 = 0 THEN 'Returned' ELSE bridal_status END AS bridal_status)
+  FROM fx_log)""")
     add("m7_migration_counts", _MIGRATED_COUNTS)
     add("m8_sku_parity", """SELECT count(DISTINCT item_sku) AS legacy_skus, count(DISTINCT item_sku) AS new_items, true AS match FROM fx_log""")
     add("m9_inflight_rentals", """SELECT count(*) AS inflight FROM fx_log WHERE action_type = 'Rental Out'
-        AND created_at > TIMESTAMP '2001-03-01' - INTERVAL 1 DAY""")
+        AND created_at > TIMESTAMP '2001-03-01' - INTERVAL 1 DAY AND created_at <= TIMESTAMP '2001-03-01'""")
 
     # scope
     add("r1_scope_items", "SELECT * FROM fx_items WHERE shop_code = 'Bridal'")
@@ -560,8 +680,14 @@ def oracle_queries() -> dict[str, str]:
     add("r4_role_view", _roles())
     add("r5_check_write_scope", """SELECT id::VARCHAR AS id, item_sku FROM fx_mov
         WHERE item_sku NOT IN (SELECT item_sku FROM fx_items WHERE shop_code = 'Bridal')""")
-    json = ("'{\"item_sku\":\"' || item_sku || '\",\"shop_code\":\"' || shop_code || '\",\"item_name\":\"' || item_name || '\",\"sell_price\":' "
-            "|| {price}::DECIMAL(10,2)::VARCHAR || ',\"bag_color\":' || coalesce('\"' || bag_color || '\"', 'null') || '}'")
+    text = lambda c: f"coalesce('\"' || {c} || '\"', 'null')"
+    fields = {c: text(c) for c in ("item_sku", "shop_code", "item_name", "brand_designer", "item_image")}
+    fields |= {"stock_cost_price": "stock_cost_price::VARCHAR", "sell_price": "{price}::DECIMAL(10,2)::VARCHAR",
+               "min_stock_alert": "min_stock_alert::VARCHAR", "bag_color": text("bag_color"), "bridal_size": text("bridal_size")}
+    json = "'{{' || " + " || ',' || ".join(f"'\"{c}\":' || {v}" for c, v in fields.items()) + " || '}}'"
+    json = json.replace("{{", "{").replace("}}", "}")
+    add("r4_role_rows", _role_rows())
+    add("r5_refused_writes", _refused())
     add("r6_audit_items", f"""SELECT 'items' AS table_name, item_sku AS row_pk, CASE WHEN num % 97 = 5 THEN 'DELETE' ELSE 'UPDATE' END AS action,
         'app_admin' AS changed_by, TIMESTAMP '2001-06-01 12:00:00' AS changed_at, {json.replace('{price}', 'sell_price')} AS old_data,
         CASE WHEN num % 97 <> 5 THEN {json.replace('{price}', '(sell_price + 1)')} END AS new_data

@@ -19,6 +19,7 @@ SHOP_DESCRIPTIONS = (("Bags", "Bags retail and resale"), ("Bridal", "Bridal wear
 DEFAULT_ALERT = 2
 WALK_IN = "Walk-in"
 MIGRATION_TAG = "migration"
+DEFAULT_USER = "app"
 EMAIL_PATTERN = r"(?i)^[^@]+@[^@]+\.[^@]+$"
 
 # Column lengths of the text columns.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instant, js_trim
 from ..operators.ingest import accepted, decide
+from ..operators.ordered import global_row_number
 from ..schemas import RAW_FIELDS
 
 # The exported columns, in order.
@@ -32,28 +33,38 @@ _DEFAULTS = {
 }
 
 
-def read_import_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False, numbered: bool = False) -> DataFrame:
     """Rows of a CSV file or folder as trimmed text; absent trailing fields are ''.
 
-    Standard quoting: doubled quotes and line breaks inside quotes belong to the value. ``multi_line=False`` lets
-    Spark split large files and is enough when no value holds a line break.
+    Blank lines are no rows, lines of nothing but commas are. Standard quoting: doubled quotes belong to the value.
+    Large files are split over tasks; ``multi_line=True`` reads each file in one task and is needed only where a value
+    holds a line break. All files of a folder must have the same header, otherwise reading fails. ``numbered`` adds
+    ``row_no``, counted from 0 by file name and place in the file, whatever way the files were split.
     """
     raw = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True, inferSchema=False,
+        ignoreTrailingWhiteSpace=True, inferSchema=False, enforceSchema=False,
     )
     if not raw.columns:
         return raw
-    named = raw.toDF(*(c.strip() for c in raw.columns))
-    cleaned = named.select(*(F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")).alias(c) for c in named.columns))
-    filled = F.lit(False)
-    for c in cleaned.columns:
-        filled = filled | (F.col(f"`{c}`") != "")
-    return cleaned.where(filled)
-
-
-def normalize_import(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
-    """Imported rows as raw actions. '' counts as absent, so aliases and defaults apply to it too."""
+    cleaned = {c.strip(): F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")) for c in raw.columns}
+    columns = [value.alias(name) for name, value in cleaned.items()]
+    if not numbered:
+        return raw.select(*columns)
+    # Ids rise within a split of a file, so file, start of the split and id give the order of the lines.
+    placed = raw.select(
+        *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line"))
+    counted = global_row_number(placed, ["_file", "_start", "_line"], "row_no")
+    return counted.withColumn("row_no", F.col("row_no") - 1).select(*cleaned, "row_no")
+
+
+def normalize_import(rows: DataFrame, as_of: dt.datetime, first: int = 0) -> DataFrame:
+    """Imported rows as raw actions. '' counts as absent, so aliases and defaults apply to it too.
+
+    Actions are numbered from ``first`` on by ``row_no`` where the rows have it (see ``read_import_csv``). Numbers become
+    row ids, so each import should start above the ids of the last.
+    """
 
     def pick(field: str) -> Column:
         names = [n for n in (field, _ALIASES.get(field)) if n in rows.columns]
@@ -61,8 +72,9 @@ def normalize_import(rows: DataFrame, as_of: dt.datetime) -> DataFrame:
         return F.coalesce(*values, F.lit(_DEFAULTS.get(field, ""))).alias(field)
 
     fields = [f for f in RAW_FIELDS if f != "quantity"]
+    number = F.col("row_no") if "row_no" in rows.columns else F.monotonically_increasing_id()
     return rows.select(
-        F.monotonically_increasing_id().alias("seq"), instant(as_of).alias("created_at"),
+        (number + F.lit(first)).cast("bigint").alias("seq"), instant(as_of).alias("created_at"),
         *(pick(f) for f in fields), F.lit(None).cast("string").alias("quantity"),
     )
 

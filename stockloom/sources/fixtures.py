@@ -62,6 +62,17 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items with all columns of their table; every fifth has no creation time."""
+    number = "CAST(substr(item_sku, 5) AS BIGINT)"
+    at = "TIMESTAMP_NTZ '1991-01-01 00:00:00' + make_dt_interval(0, 0, 0, CAST({0} % 86400 AS INT))"
+    return items(spark, sf_dir).withColumns({
+        "is_active": F.expr(f"{number} % 4 <> 0"),
+        "created_at": F.expr(f"CASE WHEN {number} % 5 <> 0 THEN {at.format(number)} END"),
+        "updated_at": F.expr(f"CASE WHEN {number} % 7 = 0 THEN {at.format(number)} END"),
+    })
+
+
 def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _lines(spark, sf_dir, f"NOT ({_RENTAL}) AND NOT ({_LIFECYCLE})")
     price = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
@@ -105,6 +116,23 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def full_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers with all columns of their table. Some bear the names that raw actions use."""
+    raw = table(spark, sf_dir, "customer")
+    return raw.select(
+        F.col("c_custkey").cast("string").alias("id"),
+        F.expr("CASE WHEN c_custkey <= 10 THEN concat('Customer ', CAST(c_custkey AS STRING)) ELSE c_name END").alias("display_name"),
+        F.expr("concat('+44 ', CAST(c_custkey AS STRING))").alias("phone"),
+        F.expr("concat('c', CAST(c_custkey AS STRING), '@example.org')").alias("email"),
+        F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'regular' END").alias("notes"),
+        F.expr("TIMESTAMP_NTZ '1991-02-01 00:00:00'").alias("created_at"), F.lit("desk").alias("created_by"),
+    )
+
+
+def full_rentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rentals(spark, sf_dir).withColumn("created_at", F.col("booked_at"))
+
+
 def rentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     booker = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
     lines = _lines(spark, sf_dir, _RENTAL)
@@ -142,6 +170,14 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
+def full_tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables with every column of their schemas filled."""
+    return Tables(
+        full_items(spark, sf_dir), movements(spark, sf_dir), lifecycle(spark, sf_dir), full_customers(spark, sf_dir),
+        full_rentals(spark, sf_dir),
+    )
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The single-table action log that the normalized tables could have come from."""
     t = tables(spark, sf_dir)

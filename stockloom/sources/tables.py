@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import instant
 from ..schemas import LOG, SHOP_DESCRIPTIONS, TABLE_SCHEMAS, Tables
 
 
@@ -64,11 +67,27 @@ def shops(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     return known.unionByName(seed.join(known.select("shop_code"), "shop_code", "left_anti"))
 
 
-def archive_history(history: DataFrame, path: str, period: str = "day") -> None:
-    """Append the audit trail to an archive laid out by shop and day (or another ``date_trunc`` period)."""
-    dated = history.withColumn("period", F.date_trunc(period, F.col("created_at")).cast("date"))
+def archive_history(
+    history: DataFrame, path: str, period: str = "day", since: dt.datetime | None = None, until: dt.datetime | None = None,
+) -> None:
+    """Write the audit trail of [since, until) to an archive laid out by shop and day (or another ``date_trunc`` period).
+
+    The history only grows, so a period that is written again is replaced by the same rows or more: a rerun leaves the
+    archive as it is, and periods outside the range are not touched. The bounds must not cut a period in two.
+    """
+    spark = history.sparkSession
+    for bound in (since, until):
+        if bound is not None and spark.range(1).select(F.date_trunc(period, F.lit(bound)) == F.lit(bound)).first()[0] is not True:
+            raise ValueError(f"{bound} is not the start of a {period}")
+    rows = history
+    if since is not None:
+        rows = rows.where(F.col("created_at") >= instant(since))
+    if until is not None:
+        rows = rows.where(F.col("created_at") < instant(until))
+    dated = rows.withColumn("period", F.date_trunc(period, F.col("created_at")).cast("date"))
     # Rows of a folder are brought together, but a period with very many rows is split over several writers.
-    dated.hint("rebalance", "shop_type", "period").write.mode("append").partitionBy("shop_type", "period").parquet(path)
+    spread = dated.hint("rebalance", "shop_type", "period")
+    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shop_type", "period").parquet(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:

@@ -9,66 +9,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators import ingest as ing
-from ..schemas import Tables
+from ..schemas import CUSTOMERS, DEFAULT_USER, ITEMS, LIFECYCLE, MOVEMENTS, RENTALS, Tables
 
 _BASE = -1
-_ITEM_CHANGE = (
-    "item_sku string, shop_code string, item_name string, stock_cost_price decimal(10,2), sell_price decimal(10,2),"
-    " min_stock_alert int, brand_designer string, item_image string, bag_color string, bridal_size string,"
-    " created_at timestamp_ntz, updated_at timestamp_ntz"
-)
-_MOVEMENT = (
-    "id decimal(38,0), item_sku string, action_type string, quantity_change int, unit_cost_price decimal(10,2),"
-    " notes string, created_at timestamp_ntz"
-)
-_LIFECYCLE = "id decimal(38,0), item_sku string, status string, notes string, occurred_at timestamp_ntz"
-_CUSTOMER = "id string, display_name string"
-_RENTAL = (
-    "id decimal(38,0), item_sku string, customer_id string, booked_at timestamp_ntz, due_date date,"
-    " returned_at timestamp_ntz, rental_price decimal(10,2), quantity int, status string, notes string"
-)
-_CLOSURE = "id decimal(38,0), item_sku string, _returned_at timestamp_ntz"
-_REJECT = (
-    "seq bigint, created_at timestamp_ntz, shop_type string, item_sku string, item_name string,"
-    " action_type string, errors array<string>"
-)
+
+
+def _with(schema: StructType, *names: str) -> StructType:
+    """Only the named columns of a table."""
+    return StructType([f for f in schema if f.name in names])
+
+
+# Every part holds all columns of its table, so that nothing is lost between a batch table and the store.
 _PARTS = {
-    "item_changes": _ITEM_CHANGE, "movements": _MOVEMENT, "lifecycle": _LIFECYCLE, "customers": _CUSTOMER,
-    "rentals": _RENTAL, "closures": _CLOSURE, "rejects": _REJECT, "commits": "n int",
+    "item_changes": ITEMS, "movements": MOVEMENTS, "lifecycle": LIFECYCLE, "customers": CUSTOMERS, "rentals": RENTALS,
+    "closures": _with(RENTALS, "id", "item_sku").add("_returned_at", RENTALS["returned_at"].dataType),
+    "open": _with(RENTALS, "id", "item_sku", "booked_at", "status"),
+    "rejects": "seq bigint, created_at timestamp_ntz, shop_type string, item_sku string, item_name string,"
+               " action_type string, errors array<string>",
+    "commits": "n int",
 }
 
 
+def _schema(spark: SparkSession, part: str) -> StructType:
+    return spark.createDataFrame([], _PARTS[part]).schema
+
+
 def _read(spark: SparkSession, root: str, part: str) -> DataFrame:
-    return spark.read.schema(f"{_PARTS[part]}, batch_id bigint").parquet(f"{root}/{part}")
+    schema = StructType([*_schema(spark, part), StructField("batch_id", LongType())])
+    return spark.read.schema(schema).parquet(f"{root}/{part}")
+
+
+def _filled(df: DataFrame, part: str) -> DataFrame:
+    """The frame with the columns of the part that it lacks, as nulls."""
+    missing = [f for f in _schema(df.sparkSession, part) if f.name not in df.columns]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else df
 
 
 def _write(df: DataFrame, root: str, part: str, batch_id: int) -> None:
-    shaped = df.to(df.sparkSession.createDataFrame([], _PARTS[part]).schema)
-    shaped.write.mode("overwrite").parquet(f"{root}/{part}/batch_id={batch_id}")
+    """The rows of one batch in as many files as their size asks for, mostly one."""
+    shaped = df.to(_schema(df.sparkSession, part))
+    shaped.hint("rebalance").write.mode("overwrite").parquet(f"{root}/{part}/batch_id={batch_id}")
 
 
 def start_store(
     spark: SparkSession, root: str, tables: Tables | None = None, rejects: DataFrame | None = None
 ) -> None:
     """Create the stream's tables, empty or from existing ones."""
-    empty = {part: spark.createDataFrame([], schema) for part, schema in _PARTS.items()}
-    start = dict(empty)
+    start = {part: spark.createDataFrame([], schema) for part, schema in _PARTS.items()}
     if tables is not None:
         start |= {
-            "item_changes": empty["item_changes"].unionByName(tables.items, allowMissingColumns=True),
-            "movements": tables.movements, "lifecycle": tables.lifecycle, "customers": tables.customers,
-            "rentals": tables.rentals,
+            "item_changes": tables.items, "movements": tables.movements, "lifecycle": tables.lifecycle,
+            "customers": tables.customers, "rentals": tables.rentals,
+            "open": tables.rentals.where(F.col("status") == "Rented"),
         }
     if rejects is not None:
         start["rejects"] = rejects
-    for part in _PARTS:
-        _write(start[part].select(*empty[part].columns), root, part, _BASE)
+    for part, rows in start.items():
+        _write(_filled(rows, part), root, part, _BASE)
 
 
-def _committed(spark: SparkSession, root: str) -> int:
-    return _read(spark, root, "commits").agg(F.max("batch_id")).first()[0]
+def _committed(spark: SparkSession, root: str, before: int | None = None) -> int:
+    """The last complete batch, or the last one before a given batch; the start of the store counts as one."""
+    done = _read(spark, root, "commits")
+    last = (done if before is None else done.where(F.col("batch_id") < before)).agg(F.max("batch_id")).first()[0]
+    return _BASE if last is None else last
 
 
 def _rentals(spark: SparkSession, root: str, upto: int) -> DataFrame:
@@ -91,17 +98,14 @@ def read_store(spark: SparkSession, root: str) -> Tables:
     def part(name: str) -> DataFrame:
         return _read(spark, root, name).where(F.col("batch_id") <= upto)
 
+    # A batch has one change per SKU. Numbers come from the last change, texts from the last that has one, and what is
+    # settled for good from the first.
     order = F.struct("batch_id", "updated_at")
-    latest = ("item_name", "stock_cost_price", "sell_price", "min_stock_alert", "updated_at")
-    texts = ("brand_designer", "item_image", "bag_color", "bridal_size")
+    latest, first = (*ing._LATEST, "updated_at"), ing._FIRST
     items = part("item_changes").groupBy("item_sku").agg(
-        F.min_by("shop_code", F.struct("batch_id", "created_at")).alias("shop_code"),
-        F.max(F.struct("batch_id", *(F.col(c) for c in ("updated_at", *latest[:-1])))).alias("_n"),
-        *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in texts),
-        F.min(F.struct("batch_id", "created_at"))["created_at"].alias("created_at"),
-    ).select(
-        "item_sku", "shop_code", *(F.col(f"_n.{c}").alias(c) for c in latest), *texts, "created_at"
-    )
+        F.min_by(F.struct(*first), "batch_id").alias("_f"), F.max_by(F.struct(*latest), "batch_id").alias("_n"),
+        *(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(c) for c in ing._KEPT),
+    ).select("item_sku", "_f.*", "_n.*", *ing._KEPT).select(*ITEMS.names)
     return Tables(
         items, part("movements").drop("batch_id"), part("lifecycle").drop("batch_id"),
         part("customers").drop("batch_id"), _rentals(spark, root, upto),
@@ -120,12 +124,16 @@ def compact_store(spark: SparkSession, root: str, target: str) -> None:
     start_store(spark, target, read_store(spark, root), read_rejects(spark, root))
 
 
-def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
-    """Log one micro-batch. Only state of earlier batches is read, so running it again gives the same result."""
+def apply_batch(batch: DataFrame, batch_id: int, root: str, user: str = DEFAULT_USER) -> None:
+    """Log one micro-batch. Only state of earlier batches is read, so running it again gives the same result.
+
+    What a batch needs of the past is the open bookings, which each batch writes anew, and the customers it names. The
+    open bookings are at most one per SKU, however long the history is.
+    """
     spark = batch.sparkSession
-    earlier = batch_id - 1
+    earlier = _committed(spark, root, batch_id)
     actions = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-    still_open = _rentals(spark, root, earlier).where(F.col("status") == "Rented")
+    still_open = _read(spark, root, "open").where(F.col("batch_id") == earlier).drop("batch_id")
     held: list[DataFrame] = []
 
     def hold(df: DataFrame) -> DataFrame:
@@ -135,23 +143,26 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     try:
         decided = hold(ing.decide(actions, still_open, hold=hold))
         good = ing.accepted(decided)
-        names = ing.new_customers(good)
+        names = ing.new_customers(good, user)
         # Only the known customers named in this batch are kept: a scan with a semi-join, then a small join.
         known = (
             _read(spark, root, "customers").where(F.col("batch_id") <= earlier).drop("batch_id")
             .join(names.select("display_name"), "display_name", "left_semi")
         )
+        opened, closed = ing.open_rentals(good, known, user), ing.rental_closures(good)
         parts = {
-            "item_changes": ing.item_changes(good),
-            "movements": ing.append_movements(good),
-            "lifecycle": ing.append_lifecycle(good),
+            "item_changes": ing.item_changes(good).withColumn("is_active", F.lit(True)),
+            "movements": ing.append_movements(good, user),
+            "lifecycle": ing.append_lifecycle(good, user),
             "customers": names.join(known.select("display_name"), "display_name", "left_anti"),
-            "rentals": ing.open_rentals(good, known),
-            "closures": ing.rental_closures(good),
+            "rentals": opened,
+            "closures": closed,
+            "open": still_open.unionByName(opened.select(*still_open.columns)).join(
+                closed.select("id", "item_sku"), ["id", "item_sku"], "left_anti"),
             "rejects": ing.rejected(decided),
         }
         for part, rows in parts.items():
-            _write(rows, root, part, batch_id)
+            _write(_filled(rows, part), root, part, batch_id)
         # Written last: readers ignore batches without it.
         _write(spark.range(1).select(F.lit(1).alias("n")), root, "commits", batch_id)
     finally:
@@ -160,12 +171,12 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str) -> None:
 
 
 def ingest_stream(
-    raw: DataFrame, root: str, checkpoint: str, every: str | None = "60 seconds"
+    raw: DataFrame, root: str, checkpoint: str, every: str | None = "60 seconds", user: str = DEFAULT_USER,
 ) -> StreamingQuery:
     """Log a stream of raw actions; ``every=None`` handles what is there and stops."""
     timing = {"processingTime": every} if every else {"availableNow": True}
     return (
-        raw.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, root))
+        raw.writeStream.foreachBatch(lambda batch, batch_id: apply_batch(batch, batch_id, root, user))
         .option("checkpointLocation", checkpoint).trigger(**timing).start()
     )
 

@@ -9,13 +9,15 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 import compare  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
+from stockloom.plans import catalog, oracle  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ("v11_live_inventory", "v12_history", "i10_action_result", "m5_backfill_rentals", "a17_assign_cause", "i13_ingest_stream")
 
 
 def test_names():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(oracle.oracle_queries()) == set(catalog.registry())
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")

@@ -165,3 +165,34 @@ def test_constraints_and_delete(spark):
     assert [tuple(r) for r in ingest.delete_item(t, "A", "Bags")[1].collect()] == [("A", 0)]
     with pytest.raises(ValueError):
         ingest.delete_item(t, "A", "Hats")
+
+
+def test_stream_store_keeps_every_column(spark, tmp_path):
+    """Batch and stream leave the same tables, whatever columns an action does not know; compaction keeps them."""
+    actions = random_actions(60, 11)
+    tables = base_tables(spark)
+    done = ingest.ingest(raw(spark, actions), tables, user="till").tables
+    root = str(tmp_path / "store")
+    stream.start_store(spark, root, tables)
+    assert stream.read_store(spark, root).items.count() == 1
+    stream.apply_batch(raw(spark, actions[:25]), 0, root, "till")
+    stream.apply_batch(raw(spark, actions[25:]), 1, root, "till")
+    compact = str(tmp_path / "compact")
+    stream.compact_store(spark, root, compact)
+    for name in Tables.names():
+        expected = getattr(done, name)
+        for where in (root, compact):
+            got = getattr(stream.read_store(spark, where), name)
+            assert sorted(map(str, got.select(*expected.columns).collect())) == sorted(map(str, expected.collect())), name
+    item = {r.item_sku: r for r in done.items.collect()}
+    assert item["A"].is_active and item["A"].created_at == START
+    assert all(r.created_by in ("x", "till") for r in done.rentals.collect())
+
+
+def test_known_items_keep_what_actions_do_not_say(spark):
+    old = spark.createDataFrame(
+        [("A", "Bridal", "gown", None, None, Decimal("1.00"), Decimal("2.00"), 3, None, None, False, None, None)], ITEMS)
+    old = old.withColumn("shelf", F.lit("left"))
+    action = {"seq": 1, "created_at": START, "shop_type": "Bags", "item_sku": "a", "item_name": "x", "action_type": "New Item"}
+    row = ingest.upsert_items(old, ingest.accepted(ingest.decide(raw(spark, [action])))).first()
+    assert (row.shop_code, row.is_active, row.created_at, row.updated_at, row.shelf) == ("Bridal", False, None, START, "left")

@@ -1,6 +1,7 @@
 import datetime as dt
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockloom.operators import audits
@@ -22,7 +23,7 @@ def test_export_import_round_trip(spark, tmp_path):
     assert path.endswith("inventory-bags-2024-03-01")
     text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
     assert '"say ""hi"", all\nof you"' in text and ",red,,,,," in text
-    back = csv_files.read_import_csv(spark, path).collect()
+    back = csv_files.read_import_csv(spark, path, multi_line=True).collect()  # a value holds a line break
     assert len(back) == 1 and back[0].item_name == awkward and back[0].brand_designer == ""
     action = csv_files.normalize_import(csv_files.read_import_csv(spark, path), NOW).first()
     # An exported file carries stock, not a quantity change, so it comes back with 0.
@@ -34,15 +35,27 @@ def test_import_aliases_and_report(spark, tmp_path):
     file.write_text("sku , name,cost,price,qty_change,shop_type\n a1 , Bag ,1,2,3,\n\nb2,\nc3,Hat,1,2,3,Hats\n ,  \n")
     rows = csv_files.read_import_csv(spark, str(file))
     got = {r.item_sku: r for r in csv_files.normalize_import(rows, NOW).collect()}
-    assert set(got) == {"a1", "b2", "c3"}
+    assert set(got) == {"a1", "b2", "c3", ""}  # a line of nothing but a comma is a row
     assert (got["a1"].item_name, got["a1"].shop_type, got["a1"].stock_cost_price, got["a1"].quantity_change) == ("Bag", "Bags", "1", "3")
     report = csv_files.import_report(csv_files.normalize_import(rows, NOW)).first()
-    assert (report.ok, report.failed) == (1, 2)
+    assert (report.ok, report.failed) == (1, 3)
     empty = tmp_path / "empty.csv"
     empty.write_text("sku,name\n")
     assert csv_files.read_import_csv(spark, str(empty)).count() == 0
 
 
+def test_import_folder_is_numbered_in_order(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part{k}.csv").write_text("sku,name\n" + "".join(f"s{k}{n},x\n" for n in range(4)))
+    rows = csv_files.read_import_csv(spark, str(tmp_path), numbered=True)
+    got = csv_files.normalize_import(rows, NOW, first=100).collect()
+    assert [r.item_sku for r in sorted(got, key=lambda r: r.seq)] == [f"s{k}{n}" for k in range(3) for n in range(4)]
+    assert sorted(r.seq for r in got) == list(range(100, 112))
+    (tmp_path / "part9.csv").write_text("name,sku\nx,s9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_files.read_import_csv(spark, str(tmp_path)).collect()
+
+
 def test_shops_and_archive(spark, tmp_path):
     known = spark.createDataFrame([("Bags", "mine")], "shop_code string, description string")
     assert {r.shop_code: r.description for r in files.shops(spark, known).collect()} == {
@@ -50,7 +63,13 @@ def test_shops_and_archive(spark, tmp_path):
     trail = spark.createDataFrame([("Bags", NOW, 1), ("Bags", NOW, 2)], "shop_type string, created_at timestamp_ntz, n int")
     for _ in range(2):
         files.archive_history(trail, str(tmp_path / "archive"))
-    assert files.read_archive(spark, str(tmp_path / "archive")).where("period = '2024-03-01'").count() == 4
+    assert files.read_archive(spark, str(tmp_path / "archive")).where("period = '2024-03-01'").count() == 2
+    later = trail.withColumn("created_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    day = dt.datetime(NOW.year, NOW.month, NOW.day) + dt.timedelta(days=1)
+    files.archive_history(trail.unionByName(later), str(tmp_path / "archive"), since=day, until=day + dt.timedelta(days=1))
+    assert sorted(r["count"] for r in files.read_archive(spark, str(tmp_path / "archive")).groupBy("period").count().collect()) == [2, 2]
+    with pytest.raises(ValueError):
+        files.archive_history(trail, str(tmp_path / "archive"), since=NOW)
     assert files.latest_version(spark, str(tmp_path / "none")) == 0
 
 

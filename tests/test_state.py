@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import boards, migrate, queries, scope, state
 from stockloom.schemas import CUSTOMERS, ITEMS, LIFECYCLE, LOG, MOVEMENTS, RENTALS, Tables
+from stockloom.sources import fixtures as fx
 from stockloom.sources import tables as files
 
 T0 = dt.datetime(2024, 3, 1, 9)
@@ -137,7 +138,8 @@ def test_migration(spark):
         log_row(8, "B", "Status Change", bridal_status="Returned"), log_row(9, "B", "Status Change", bridal_status="Sold"),
     ]
     log = spark.createDataFrame(rows, LOG)
-    done = migrate.migrate(log)
+    moved = migrate.migrate(log)
+    done = moved.tables
     rent = done.rentals.collect()
     assert [(r.item_sku, r.status, r.returned_at, r.due_date) for r in rent] == [
         ("A", "Returned", T0 + dt.timedelta(hours=4), dt.date(2024, 3, 8))]
@@ -149,6 +151,33 @@ def test_migration(spark):
     assert {r.item_sku: r.min_stock_alert for r in done.items.collect()} == {"A": 2, "B": 2}
     counts = {r.table_name: r["count"] for r in migrate.migration_counts(done).collect()}
     assert counts == {"items": 2, "stock_movements": 1, "item_lifecycle_events": 1, "customers": 2, "rentals": 1}
-    again = migrate.migration_counts(migrate.migrate(log, done)).collect()
+    again = migrate.migration_counts(migrate.migrate(log, done).tables).collect()
     assert {r.table_name: r["count"] for r in again} == counts
     assert migrate.sku_parity(log, done.items).first().match
+
+
+def test_migration_takes_or_rejects_every_booking(spark):
+    """Early due dates, unknown customers and second open bookings come back with a reason; kept rows stay whole."""
+    at = dt.datetime(2024, 1, 1)
+    rows = [(1, at, "Bags", "A", "Rental Out", "Ann", dt.date(2020, 1, 1)), (2, at, "Bags", "B", "Rental Out", None, None),
+            (3, at, "Bags", "C", "Rental Out", "Bob", None), (4, at, "Bags", "D", "Rental Out", "Bob", None),
+            (5, at, "Bags", "E", "Status Change", None, None)]
+    log = spark.createDataFrame(
+        [(Decimal(r[0]), r[1], r[2], r[3], "n", None, None, Decimal(1), Decimal(2), 0, 1, None, None, "Returned", r[6], r[5], r[4], None) for r in rows],
+        LOG)
+    kept = migrate.migrate(log.where("item_sku = 'C'")).tables
+    kept = Tables(kept.items, kept.movements, kept.lifecycle, kept.customers.withColumn("phone", F.lit("1")),
+                  kept.rentals.withColumn("created_by", F.lit("desk")))
+    done = migrate.migrate(log, kept)
+    assert {(r.table_name, r.item_sku, r.reason) for r in done.rejects.collect()} == {
+        ("rentals", "A", "due date before booking"), ("rentals", "B", "customer unknown"),
+        ("rentals", "C", "open rental exists for this SKU"), ("item_lifecycle_events", "E", "status not allowed")}
+    assert {(r.item_sku, r.created_by) for r in done.tables.rentals.collect()} == {("C", "desk"), ("D", "migration")}
+    assert {(r.display_name, r.phone) for r in done.tables.customers.collect()} == {("Ann", None), ("Bob", "1")}
+
+
+def test_history_page_has_the_ids_of_the_log(spark):
+    for shop, sku, limit in ((None, None, 7), ("Bridal", None, 40), (None, "SKU-000000000012", 3), ("Bags", "SKU-000000000012", 5)):
+        tables = fx.tables(spark, "/root/testdata/sf0.001")
+        plain = queries.history_query(state.history(tables), shop, sku, limit)
+        assert queries.history_page(tables, shop, sku, limit).collect() == plain.collect()
