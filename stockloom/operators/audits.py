@@ -15,6 +15,7 @@ from .state import newest_rows
 # Cause categories in the order the checks are run; the first that applies wins.
 CAUSES = (
     "Counting error",
+    "System or query bug",
     "Unrecorded return",
     "Data-entry error",
     "Lost transaction",
@@ -234,6 +235,35 @@ def wrong_sku_pairs(deltas: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
+def counting_errors(deltas: DataFrame, recount: DataFrame) -> DataFrame:
+    """Discrepancies that a second count (item_sku, physical_qty) does not confirm."""
+    second = recount.select("item_sku", F.col("physical_qty").alias("_again"))
+    return deltas.join(second, "item_sku").where(F.col("_again") == F.col("recorded_qty")).select("item_sku")
+
+
+def find_causes(
+    deltas: DataFrame, log: DataFrame, trail: DataFrame, live: DataFrame, rentals: DataFrame, as_of: dt.datetime, *,
+    recount: DataFrame | None = None, gaps: DataFrame | None = None, seconds: int = 5,
+) -> DataFrame:
+    """All checks of the audit procedure over ``deltas``, in its order; the first that lists a SKU names the cause.
+
+    ``log`` are the logged actions, ``trail`` the rows whose quantities must add up to the stock shown; a SKU where they
+    do not is a bug of the system and is not looked into further. ``recount`` is a second count, ``gaps`` the findings of
+    ``gap_transactions``.
+    """
+    findings = {
+        "Counting error": [counting_errors(deltas, recount)] if recount is not None else [],
+        "System or query bug": [baseline_check(trail, live)],
+        "Unrecorded return": [unmatched_rentals(log), overdue_without_return(rentals, as_of)],
+        "Data-entry error": [
+            implausible_qty(log), zero_qty_returns(log), duplicate_submits(log, seconds), wrong_sku_pairs(deltas)],
+        "Lost transaction": [gaps] if gaps is not None else [],
+        "Cross-shop mixing": [cross_shop_skus(log)],
+        "Status desync": [status_desync(log)],
+    }
+    return assign_cause(deltas, findings)
+
+
 def assign_cause(deltas: DataFrame, findings: Mapping[str, Sequence[DataFrame]]) -> DataFrame:
     """Label each discrepancy with the first cause whose checks list its SKU, else Unknown.
 

@@ -725,13 +725,9 @@ def a16_wrong_sku_pairs(spark, d):
 
 @_query
 def a17_assign_cause(spark, d):
-    live, log = _figures(spark, d), fx.event_log(spark, d)
+    live = _figures(spark, d)
     deltas = audits.count_delta(fx.counts(live), live)
-    findings = {
-        "Unrecorded return": [audits.unmatched_rentals(log)],
-        "Data-entry error": [audits.implausible_qty(log, k=4), audits.wrong_sku_pairs(deltas)],
-        "Lost transaction": [audits.gap_transactions(fx.receipts(spark, d), fx.patchy_log(spark, d), GAP_SINCE)],
-        "Cross-shop mixing": [audits.cross_shop_skus(log)],
-        "Status desync": [audits.status_desync(log)],
-    }
-    return audits.assign_cause(deltas, findings)
+    gaps = audits.gap_transactions(fx.receipts(spark, d), fx.patchy_log(spark, d), GAP_SINCE)
+    return audits.find_causes(
+        deltas, fx.event_log(spark, d), fx.damaged_trail(spark, d), live, fx.rentals(spark, d), AS_OF,
+        recount=fx.recounts(deltas), gaps=gaps, seconds=REPEAT_SECONDS)

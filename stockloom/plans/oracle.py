@@ -738,8 +738,15 @@ bad AS (SELECT * REPLACE (
     add("a16_wrong_sku_pairs", "SELECT * FROM matched WHERE counterparts > 0", _LIVE, _COUNTS)
     add("a17_assign_cause", """SELECT item_sku, shop_type, recorded_qty, physical_qty, delta, CASE WHEN abs(delta) > 5 THEN 'severe'
           WHEN abs(delta) >= 2 OR shop_type = 'Bridal' THEN 'moderate' ELSE 'minor' END AS severity,
-        CASE WHEN item_sku IN (SELECT item_sku FROM unmatched) THEN 'Unrecorded return'
-          WHEN item_sku IN (SELECT item_sku FROM fx_elog WHERE action_type IN ('Rental Out', 'Retail Sale') AND abs(quantity_change) > 4)
+        CASE WHEN num % 9 = 2 THEN 'Counting error'
+          WHEN num % 41 = 3 AND recorded_qty <> 0 THEN 'System or query bug'
+          WHEN item_sku IN (SELECT item_sku FROM unmatched)
+            OR item_sku IN (SELECT item_sku FROM fx_rent WHERE status = 'Rented' AND due_date::TIMESTAMP < TIMESTAMP '2001-06-01 12:00:00')
+            THEN 'Unrecorded return'
+          WHEN item_sku IN (SELECT item_sku FROM fx_elog WHERE action_type IN ('Rental Out', 'Retail Sale') AND abs(quantity_change) > 2)
+            OR item_sku IN (SELECT item_sku FROM fx_elog WHERE action_type = 'Rental Return' AND quantity_change = 0)
+            OR item_sku IN (SELECT a.item_sku FROM fx_elog a JOIN fx_elog b ON a.item_sku = b.item_sku AND a.action_type = b.action_type
+              AND a.seq <> b.seq AND a.created_at >= b.created_at AND a.created_at - b.created_at <= INTERVAL 3 HOUR)
             OR item_sku IN (SELECT item_sku FROM matched WHERE counterparts > 0) THEN 'Data-entry error'
           WHEN item_sku IN (SELECT item_sku FROM gaps) THEN 'Lost transaction'
           WHEN item_sku IN (SELECT item_sku FROM crossed) THEN 'Cross-shop mixing'

@@ -301,6 +301,17 @@ def patchy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return movements(spark, sf_dir).where("created_by <> 'staff-3'")
 
 
+def damaged_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger without the rows of some items."""
+    return movements(spark, sf_dir).where("CAST(substr(item_sku, 5) AS BIGINT) % 41 <> 3")
+
+
+def recounts(deltas: DataFrame) -> DataFrame:
+    """Second counts of discrepant items; some agree with the recorded stock."""
+    wrong = F.expr("CAST(substr(item_sku, 5) AS BIGINT) % 9 = 2")
+    return deltas.select("item_sku", F.when(wrong, F.col("recorded_qty")).otherwise(F.col("physical_qty")).alias("physical_qty"))
+
+
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A discrepancy log with one incident per order."""
     columns = {
