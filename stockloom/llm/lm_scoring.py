@@ -168,14 +168,15 @@ def _count_ngrams(docs: DataFrame, head, order: int, lower) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch):
+                # All texts of the piece in one line; a -1 behind each keeps n-grams from reaching into the next.
+                line: list[int] = []
                 for text in piece.column(0).to_pylist():
-                    tokens = _tokens(text)
-                    ids = np.empty(len(tokens) + 2, np.int64)
-                    ids[0], ids[-1] = START, END
-                    ids[1:-1] = np.fromiter(map(words.get, tokens, repeat(-1)), np.int64, len(tokens))
-                    grams = _codes(ids, order, parts)
-                    held_codes.append(grams)
-                    size += len(grams)
+                    line.append(START)
+                    line.extend(map(words.get, _tokens(text), repeat(-1)))
+                    line += (END, -1)
+                grams = _codes(np.array(line, np.int64), order, parts)
+                held_codes.append(grams)
+                size += len(grams)
                 if size > 2_000_000:
                     yield out()
                     held_codes, size = [], 0
@@ -189,7 +190,7 @@ _BITS = 20
 
 
 def _codes(ids: np.ndarray, order: int, lower: np.ndarray | None) -> np.ndarray:
-    """Codes of the n-grams of a text. ``lower`` holds the sorted codes of kept (n-1)-grams; rare words are -1."""
+    """Codes of the n-grams of a line. ``lower`` holds the sorted codes of kept (n-1)-grams; rare words are -1."""
     n = len(ids) - order + 1
     if n <= 0:
         return np.empty(0, np.int64)
@@ -199,10 +200,18 @@ def _codes(ids: np.ndarray, order: int, lower: np.ndarray | None) -> np.ndarray:
         part = ids[k:k + n]
         good &= part >= 0
         code = (code << _BITS) | np.maximum(part, 0)
+    code = code[good]
     if lower is not None:
-        good &= np.isin(code >> _BITS, lower)
-        good &= np.isin(code & ((1 << _BITS * (order - 1)) - 1), lower)
-    return code[good]
+        for part in (lambda c: c >> _BITS, lambda c: c & ((1 << _BITS * (order - 1)) - 1)):
+            code = code[_among(part(code), lower)]
+    return code
+
+
+def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(listed):
+        return np.zeros(len(values), bool)
+    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
 
 
 @dataclass
