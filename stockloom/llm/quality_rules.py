@@ -136,12 +136,14 @@ def clean_documents(docs: DataFrame, rules: LineRules = LineRules()) -> DataFram
 def keep_clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The kept documents with their cleaned text, under the columns of ``docs``; n_chars follows the text if present."""
     names = docs.columns
-    text = whole(F.col("text"))
-    judged = docs.withColumn("__llm_f", _figures(text, rules))
+    # A generator of one row: unlike a projection, nothing above it is merged into it, so the figures are computed once
+    # although the filter and the result both use them.
+    figures = F.inline(F.array(F.struct(_figures(whole(F.col("text")), rules).alias("__llm_f"))))
+    judged = docs.select("*", figures)
     f = F.col("__llm_f")
     n, chars, repeat = f["w"]["n_words"], f["w"]["word_chars"], f["w"]["n_repeat_words"]
-    judged = judged.withColumn("__llm_left", _length_without(f["cleaned"], GAP))
+    left = _length_without(f["cleaned"], GAP)
     good = (n >= rules.min_words) & (repeat * 100 <= n * rules.max_repeat) & (
-        (chars - F.col("__llm_left")) * 100 <= chars * rules.max_loss)
+        (chars - left) * 100 <= chars * rules.max_loss)
     new = {"text": f["cleaned"], "n_chars": F.length(f["cleaned"]).cast("bigint")}
     return judged.where(good).select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in names])
