@@ -13,12 +13,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import LINE_END
+from .quality_rules import LINE_END, repeated_words
 from .text import GAP, WORD_CHAR, bind, fold, whole
 
-#: Statistics of a text, all numbers between 0 and about 10 whatever its length.
+#: Statistics of a text, all numbers between 0 and about 10 whatever its length. Repetition is measured by windows of
+#: eight words and not by distinct words, whose share falls with the length of any text.
 STATISTICS = (
-    "log_words", "word_length", "symbols", "bars", "bangs", "upper", "digits", "distinct_words", "distinct_lines",
+    "log_words", "word_length", "symbols", "bars", "bangs", "upper", "digits", "repeated", "distinct_lines",
     "open_lines", "words_per_line",
 )
 
@@ -31,7 +32,7 @@ def statistics(text: Column) -> Column:
 
     def of_words(w: Column) -> Column:
         return F.struct(
-            F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), F.size(F.array_distinct(w)).alias("distinct"))
+            F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("chars"), repeated_words(w).alias("repeated"))
 
     def of_lines(x: Column) -> Column:
         return F.struct(
@@ -48,7 +49,7 @@ def statistics(text: Column) -> Column:
         chars, n, lines_n = r["w"]["chars"], r["w"]["n"], r["l"]["n"]
         values = (
             F.log10(n + F.lit(1.0)), per(chars, n), per(r["symbols"], chars), per(r["bars"], n), per(r["bangs"], n),
-            per(r["upper"], chars), per(r["digits"], chars), per(r["w"]["distinct"], n), per(r["l"]["distinct"], lines_n),
+            per(r["upper"], chars), per(r["digits"], chars), per(r["w"]["repeated"], n), per(r["l"]["distinct"], lines_n),
             per(r["l"]["open"], lines_n), F.log10(per(n, lines_n) + 1))
         return F.struct(*[v.alias(name) for v, name in zip(values, STATISTICS)])
 
