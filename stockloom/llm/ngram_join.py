@@ -3,9 +3,11 @@
 Every distinct shingle set draws a few of its shingles by a shared hash. Sets that drew the same shingle meet in a bucket.
 Sets of a bucket that is too large are split again by paths through several sampled MinHash coordinates at once (each
 stands for a sampled shared shingle, so sets must share several of them to stay together), and a second time by longer
-paths. Buckets that are small are compared in full; those that are still large after the last split hold sets much alike
-and are compared in full, too, in blocks. Each level repeats its draws in as many independent runs as a pair at the
-threshold needs to be found with the target recall. Pairs are verified on the exact sets.
+paths. Each level repeats its draws in as many independent runs as a pair at the threshold needs to be found with the
+target recall. Small buckets are compared in full, and pairs are verified on the exact sets. Buckets that are still large
+after the last split hold sets much alike. Those that hang together form a crowd, whose members are compared all with all
+on the exact sets, block by block inside tasks; what leaves a task are each member's number of links and its connection,
+never the pairs.
 
 Only distinct sets take part: copies are counted, not paired, so a group of copies of any size is one set. Rows of
 buckets with one member are dropped before anything is joined to them, and a pair is reported by the smallest path that
@@ -20,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +41,7 @@ class JoinPlan:
     per_run: float = 2.0  # shingles that a set draws in one run, on average
     widths: tuple[int, ...] = (4, 8)  # coordinates of a path in the first and second split of large buckets
     bucket: int = 32  # buckets up to this size are compared in full
-    block: int = 128  # larger ones are compared in blocks of this size
+    block: int = 256  # crowds are compared in blocks of this size
     seed: int = 20240501
 
     @property
@@ -103,11 +106,12 @@ def _coordinate_paths(width: int, keys: int, seed: int):
     return paths
 
 
-def _candidates(sets: DataFrame, plan: JoinPlan) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of ids whose sketches leave the threshold possible."""
+def _candidates(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a, b), a < b, of ids whose sketches leave the threshold possible, and the crowds (id, crowd), whose
+    members are not paired here."""
     found = _buckets(sets.select("id", F.explode("drawn").alias("path")))
     large = F.col("members") > plan.bucket
-    finished = found.where(~large)
+    small = found.where(~large)
     for width in plan.widths:
         crowded = found.where(large).select("id").distinct()
         if crowded.isEmpty():
@@ -115,47 +119,47 @@ def _candidates(sets: DataFrame, plan: JoinPlan) -> DataFrame:
         paths = _coordinate_paths(width, plan.paths(width), plan.seed)
         again = sets.select("id", "sketch").join(crowded, "id", "left_semi")
         found = _buckets(again.select("id", F.explode(paths("sketch")).alias("path")))
-        finished = finished.unionByName(found if width == plan.widths[-1] else found.where(~large))
-
-    # Small buckets are one group; the members of a large one meet block by block, each pair of blocks is a group.
-    blocks = F.when(F.col("members") <= plan.bucket, 1).otherwise(F.ceil(F.col("members") / plan.block)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    met = finished.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    known = held(sets.select("id", "n", "sketch").join(met, "id"), "met")
-    grouped = (
-        finished.withColumn("blocks", blocks).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("path", "id", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-        .join(known, "id")
-        .groupBy("path", "low", "high").agg(F.collect_list(F.struct("id", "n", "mine", "sketch", "paths")).alias("members"))
-    )
+        small = small.unionByName(found.where(~large))
+    crowds = _crowds(found.where(large))
+
+    met = small.groupBy("id").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    known = held(sets.select("id", "n", "sketch").join(met, "id").join(crowds, "id", "left"), "met")
+    grouped = small.select("path", "id").join(known, "id").groupBy("path").agg(
+        F.collect_list(F.struct("id", "n", "crowd", "sketch", "paths")).alias("members"))
     near = _near_pairs(plan.threshold)
-    pair = F.explode(near(F.col("path"), F.col("members"), F.col("low") != F.col("high"))).alias("p")
-    return grouped.select(pair).select("p.a", "p.b").distinct()
+    pairs = grouped.select(F.explode(near(F.col("path"), F.col("members"))).alias("p")).select("p.a", "p.b").distinct()
+    return held(pairs, "pairs"), crowds
+
+
+def _crowds(buckets: DataFrame) -> DataFrame:
+    """(id, crowd) of the members of large buckets (path, id); buckets with a common member are one crowd."""
+    heads = buckets.groupBy("path").agg(F.min("id").alias("b"))
+    links = buckets.join(heads, "path").select(F.col("id").alias("a"), "b").distinct()
+    return component_labels(links).withColumnRenamed("label", "crowd")
 
 
 def _near_pairs(threshold: float):
-    """Pairs within each group whose sizes and sketches allow the threshold and whose smallest common path is the group's;
-    in a group of two blocks only pairs over both."""
+    """Pairs within each small bucket whose sizes and sketches allow the threshold and whose smallest common path is the
+    bucket's. Pairs within a crowd are left to it."""
     result = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
     @F.arrow_udf("array<struct<a:bigint,b:bigint>>")
-    def near(groups: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for path, lists, cross in groups:
+    def near(groups: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for path, lists in groups:
             offsets, flat = lists.offsets.to_numpy(), lists.values
-            ids, n, mine = (flat.field(name).to_numpy() for name in ("id", "n", "mine"))
+            ids, n = flat.field("id").to_numpy(), flat.field("n").to_numpy()
+            crowd = pc.fill_null(flat.field("crowd"), -1).to_numpy(zero_copy_only=False)
             marks = np.frombuffer(b"".join(flat.field("sketch").to_pylist()), np.uint8).reshape(-1, sh.BINS // 2)
             own = flat.field("paths")
             starts, every = own.offsets.to_numpy(), own.values.to_numpy()
-            here, crossed = path.to_numpy(), cross.to_numpy(zero_copy_only=False)
+            here = path.to_numpy()
             lefts, rights, counts = [], [], [0]
             for g in range(len(lists)):
                 s, e = offsets[g], offsets[g + 1]
                 i, j = np.triu_indices(e - s, 1)
                 i, j = i + s, j + s
                 good = np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j])
-                if crossed[g]:
-                    good &= mine[i] != mine[j]
+                good &= (crowd[i] != crowd[j]) | (crowd[i] < 0)
                 i, j = i[good], j[good]
                 good = sh.sketches_allow(marks[i], marks[j], threshold)
                 i, j = i[good], j[good]
@@ -177,9 +181,43 @@ def _near_pairs(threshold: float):
     return near
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs whose exact Jaccard similarity reaches the threshold: a, b, jaccard. Written."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def _crowd_links(crowds: DataFrame, sets: DataFrame, exact: DataFrame, plan: JoinPlan) -> DataFrame:
+    """(id, others, root) for members of crowds: linked documents counted with copies, and a set the links lead to."""
+    sizes = crowds.groupBy("crowd").agg(F.count(F.lit(1)).alias("members"))
+    blocks = F.ceil(F.col("members") / plan.block).cast("int")
+    placed = crowds.join(sizes, "crowd").withColumn("blocks", blocks).withColumn(
+        "mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "crowd", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+    grouped = dealt.join(sets.select("id", "copies"), "id").join(exact, "id").groupBy("crowd", "low", "high").agg(
+        F.collect_list(F.struct("id", "mine", "copies", "shingles")).alias("members"))
+    threshold = plan.threshold
+
+    @F.arrow_udf("array<struct<id:bigint,others:bigint,root:bigint>>")
+    def linked(groups: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for lists, cross in groups:
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            ids, mine, copies = (flat.field(name).to_numpy() for name in ("id", "mine", "copies"))
+            own = flat.field("shingles")
+            starts, every = own.offsets.to_numpy(), own.values.to_numpy()
+            out = []
+            for g in range(len(lists)):
+                s, e = offsets[g], offsets[g + 1]
+                near = sh.all_similar(every[starts[s]:starts[e]], np.diff(starts[s:e + 1]), threshold)
+                if cross[g].as_py():
+                    near &= mine[s:e, None] != mine[None, s:e]
+                root = sh.spread(near, ids[s:e])
+                others = near @ copies[s:e]
+                out.append([{"id": i, "others": o, "root": r} for i, o, r in zip(ids[s:e].tolist(), others.tolist(), root.tolist()) if o])
+            yield pa.array(out, pa.list_(pa.struct([("id", pa.int64()), ("others", pa.int64()), ("root", pa.int64())])))
+
+    return held(
+        grouped.select(F.explode(linked(F.col("members"), F.col("low") != F.col("high"))).alias("l")).select("l.*"), "crowd-links")
+
+
+def _exact_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, crowds: DataFrame) -> DataFrame:
+    """(id, shingles) of all sets that are to be compared exactly, read from the texts again. Written."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
     wanted = sets.join(ids, "id", "left_semi").select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), "id")
     text = whole(F.col("text")).cast("binary")
     texts = docs.select("doc_id", text.alias("text"))
@@ -197,28 +235,38 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, threshold: flo
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "shingles"])
 
     # Rows that repeat an id and its text would come back more than once.
-    exact = held(found.mapInArrow(run, "id bigint, shingles array<bigint>"), "shingles").dropDuplicates(["id"])
+    return held(found.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+
+
+def _verified(exact: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact Jaccard similarity reaches the threshold: a, b. Written."""
     both = (
         pairs.join(exact.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
         .join(exact.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
         .select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("common"))
     )
-    scored = both.select("a", "b", (F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))).alias("jaccard"))
-    return held(scored.where(F.col("jaccard") >= threshold), "links")
+    jaccard = F.col("common") / (F.col("nx") + F.col("ny") - F.col("common"))
+    return held(both.where(jaccard >= threshold).select("a", "b"), "links")
 
 
-def _joined(docs: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Signatures of all rows, distinct sets (with their copies) and verified links between them."""
+def _joined(docs: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Signatures of all rows, distinct sets with their copies, linked documents per set (id, others) and links (a, b)
+    that connect what is linked."""
     signed = _signatures(docs, plan)
-    groups = signed.groupBy("key").agg(
-        F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
-    groups = held(groups, "groups")
+    groups = held(signed.groupBy("key").agg(
+        F.min("row").alias("id"), F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")), "groups")
     sets = held(
-        signed.where("n > 0").join(groups.select("id", "copies", "first_doc"), F.col("row") == F.col("id"))
-        .select("id", "doc_id", "text_key", "n", "sketch", "drawn"), "sets")
-    pairs = held(_candidates(sets, plan), "pairs")
-    links = _verified(docs, sets, pairs, plan.threshold)
-    return signed, groups, links
+        signed.where("n > 0").join(groups.select("id", "copies"), F.col("row") == F.col("id"))
+        .select("id", "doc_id", "text_key", "n", "sketch", "drawn", "copies"), "sets")
+    pairs, crowds = _candidates(sets, plan)
+    exact = _exact_sets(docs, sets, pairs, crowds)
+    links = _verified(exact, pairs, plan.threshold)
+    crowd = _crowd_links(crowds, sets, exact, plan)
+    ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
+    others = ends.join(sets.select(F.col("id").alias("b"), "copies"), "b").select(F.col("a").alias("id"), F.col("copies").alias("others"))
+    counted = others.unionByName(crowd.select("id", "others")).groupBy("id").agg(F.sum("others").alias("others"))
+    joining = links.unionByName(crowd.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    return signed, groups, counted, joining
 
 
 def ngram_jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame:
@@ -231,19 +279,16 @@ def ngram_jaccard_join(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFram
     words; texts without words (null, empty, blank) are copies of each other. Repeated rows are copies. Null ids are
     smaller than none: a class whose ids are all null has a null class_id. An empty table gives no rows.
     """
-    signed, groups, links = _joined(docs, plan)
-    per_id = _per_set(groups, links)
+    signed, groups, counted, links = _joined(docs, plan)
+    per_id = _per_set(groups, counted, links)
     return signed.select("doc_id", "key", F.col("n").cast("bigint").alias("n_shingles")).join(per_id, "key").select(
         "doc_id", "class_id", "n_links", "copy_id", "n_shingles")
 
 
-def _per_set(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """key, id, class_id, n_links, copy_id of every distinct set."""
-    ends = links.select("a", "b").union(links.select(F.col("b"), F.col("a")))
-    copies = groups.select(F.col("id").alias("b"), "copies")
-    linked = ends.join(copies, "b").groupBy("a").agg(F.sum("copies").alias("others")).withColumnRenamed("a", "id")
+def _per_set(groups: DataFrame, counted: DataFrame, links: DataFrame) -> DataFrame:
+    """key, id, label, class_id, n_links, copy_id of every distinct set."""
     labels = component_labels(links)
-    known = groups.join(labels, "id", "left").join(linked, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    known = groups.join(labels, "id", "left").join(counted, "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = known.groupBy("label").agg(F.min("first_doc").alias("class_id"))
     return known.join(classes, "label").select(
         "key", "id", "label", "class_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).cast("bigint").alias("n_links"),
@@ -255,8 +300,8 @@ def one_of_each_class(docs: DataFrame, plan: JoinPlan = JoinPlan()) -> DataFrame
 
     Where the smallest id stands on several rows of the class, one row of the smallest text hash stays.
     """
-    signed, groups, links = _joined(docs, plan)
-    per_id = _per_set(groups, links).select("key", F.col("label").alias("class"))
+    signed, groups, counted, links = _joined(docs, plan)
+    per_id = _per_set(groups, counted, links).select("key", F.col("label").alias("class"))
     # The first row of each class by (doc_id, text): a minimum, so the copies of a class are combined before they move.
     place = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("text_key").alias("t"))
     first = (

@@ -125,3 +125,40 @@ def chosen(shingles: np.ndarray, per_set: float, salts: Sequence[int]) -> list[n
                     found[k].append(values[cuts[k]:cuts[k + 1]])
     empty = np.empty(0, np.int64)
     return [np.concatenate(x).view(np.int64) if x else empty for x in found]
+
+
+def all_similar(values: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the sets, given one after the other, have a Jaccard similarity of ``threshold`` or more (bool matrix).
+
+    Only shingles that at least two of the sets hold are laid out, a slice of them at a time, so memory is bounded by the
+    number of sets and by what they hold.
+    """
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, held = np.unique(values, return_inverse=True, return_counts=True)
+    shared = held > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sizes), len(sizes)), np.float32)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((len(sizes), 4096), np.float32)
+        part[owner[a:b], column[a:b] - start] = 1
+        common += part @ part.T
+    common = common.astype(np.float64)
+    near = common / (sizes[:, None] + sizes[None, :] - common) >= threshold
+    np.fill_diagonal(near, False)
+    return near
+
+
+def spread(near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each set reaches over the relation ``near``."""
+    labels = ids.copy()
+    while True:
+        reach = np.where(near, labels[None, :], np.iinfo(np.int64).max).min(1, initial=np.iinfo(np.int64).max)
+        new = np.minimum(labels, reach)
+        if (new == labels).all():
+            return labels
+        labels = new
