@@ -1,39 +1,41 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Unigrams are exact: every word of the corpus is counted and every word of a scored text is looked up. Higher orders are
-pruned by relative frequency: an n-gram stays if it makes up at least one in ``ngram_parts`` tokens, so at most that many
-stay, whatever the corpus. Kept n-grams form an automaton: states are contexts, arcs carry discounted log probabilities,
-and a failure arc leads to the next shorter context and carries its backoff weight. A text is scored in one traversal.
-
-The automaton and the words that make up at least one in ``head_parts`` tokens (again at most that many) travel to the
-tasks. All rarer words always back off to the unigram, so a traversal only notes them, and their counts come from one
-join of (document, rare word) pairs with the count table, which no common word can skew.
+Every word of the corpus is counted, and every n-gram that occurs ``least`` times or more is kept, whatever the size of the
+corpus. Words and n-grams go by 64-bit hashes, made from the hashes of their two parts (all but the last word, all but the
+first). Arc and failure weights of the automaton are kept in a written table of n-grams, never on the driver.
+
+A traversal adds the weights of its arcs and failure arcs. The same sum can be taken n-gram by n-gram: each occurrence of a
+kept n-gram adds what its arc has over backing off, and each occurrence of a context the weight of leaving it. So scoring
+joins the n-grams of all texts with the table and sums by text. N-grams that make up one in ``ngram_parts`` tokens or more
+(one in ``head_parts`` for words) are at most that many of each order; they travel to the tasks and are left out of the
+join, so no common one can skew it.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shingles as sh
 from .batches import pieces
 from .text import held, ship, whole
 
 #: Ids of the two tokens that are no words: the end of a text and, as a context only, its start.
 END, START = 0, 1
-_FLUSH = 200_000
+_FLUSH = 4_000_000
+_U = np.uint64
 
 
 @dataclass(frozen=True)
 class ModelPlan:
     order: int = 3
+    least: int = 2  # n-grams are kept from this count on
     head_parts: int = 1 << 20
     ngram_parts: int = 1 << 17
     discount: float = 0.75
@@ -75,7 +77,7 @@ class Automaton:
 def build_automaton(
     head: list[tuple[bytes, int]], texts: int, total: int, distinct: int, ngrams: dict[tuple[int, ...], int], discount: float,
 ) -> Automaton:
-    """Automaton from head words with their counts, the number of training texts, token and type counts, and kept n-grams.
+    """Automaton in memory, the plain form of the joined tables below, from head words with their counts, the number of training texts, token and type counts, and kept n-grams.
 
     Ids are END, START, then the head words in order. An n-gram's parts of lower order must be kept, too.
     """
@@ -130,182 +132,195 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of docs (text as binary), counted within tasks first."""
+def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens of the texts in one line, each text between its start and its end; where texts begin; lengths."""
+    # No word has a space in it.
+    start, end = sh.word_hash(b" start"), sh.word_hash(b" end")
+    line: list[int] = []
+    starts = []
+    for text in texts:
+        starts.append(len(line))
+        line.append(start)
+        line.extend(sh.word_hashes(_tokens(text)))
+        line.append(end)
+    starts = np.array(starts, np.int64)
+    return np.array(line, _U), starts, np.diff(np.append(starts, len(line)))
+
+
+def _joined_code(order: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return sh.mix(prefix * _U(0x9E3779B97F4A7C15) + suffix + _U(order))
+
+
+def _orders(line: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, first places, codes, codes of prefixes, codes of suffixes) of the n-grams that lie within one text."""
+    codes, places = line, np.arange(len(line))
+    yield 1, places, codes, codes, codes
+    ends = np.zeros(len(line), bool)
+    ends[starts[1:] - 1] = ends[-1:] = True
+    inside = np.ones(len(line), bool)
+    for order in range(2, most + 1):
+        inside = inside[:-1] & ~ends[order - 2:-1]
+        prefix, suffix = codes[:-1], codes[1:]
+        codes = _joined_code(order, prefix, suffix)
+        yield order, places[:len(codes)][inside], codes[inside], prefix[inside], suffix[inside]
+
+
+def _count_grams(docs: DataFrame, most: int) -> DataFrame:
+    """(n, a, b, c): counts of the n-grams of order n with prefix a and suffix b (words: both their hash), over all rows of
+    docs (text as binary), counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                counts.update(_tokens(text.as_py()))
-                if len(counts) > _FLUSH:
-                    yield out()
-                    counts.clear()
-        yield out()
-
-    return docs.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def _count_ngrams(docs: DataFrame, head, order: int, lower) -> DataFrame:
-    """(gram, c): counts of the n-grams whose words are all in ``head`` and whose two parts of n-1 are in ``lower``.
-
-    A gram is one number of 20 bits for each id; ids of words common enough for n-grams are below 2**18.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts = head.value, lower.value if lower is not None else None
-        held_codes: list[np.ndarray] = []
+        waiting: list[bytes] = []
         size = 0
 
         def out():
-            codes, counts = np.unique(np.concatenate(held_codes), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], ["gram", "c"])
+            line, starts, _ = _lines(waiting)
+            for order, _, codes, prefix, suffix in _orders(line, starts, most):
+                _, first, counts = np.unique(codes, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(first), order, np.int8)), pa.array(prefix[first].view(np.int64)),
+                     pa.array(suffix[first].view(np.int64)), pa.array(counts.astype(np.int64))], ["n", "a", "b", "c"])
 
         for batch in batches:
             for piece in pieces(batch):
-                # All texts of the piece in one line; a -1 behind each keeps n-grams from reaching into the next.
-                line: list[int] = []
                 for text in piece.column(0).to_pylist():
-                    line.append(START)
-                    line.extend(map(words.get, _tokens(text), repeat(-1)))
-                    line += (END, -1)
-                grams = _codes(np.array(line, np.int64), order, parts)
-                held_codes.append(grams)
-                size += len(grams)
-                if size > 2_000_000:
-                    yield out()
-                    held_codes, size = [], 0
-        if size:
-            yield out()
-
-    return docs.mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
-
-
-_BITS = 20
-
-
-def _codes(ids: np.ndarray, order: int, lower: np.ndarray | None) -> np.ndarray:
-    """Codes of the n-grams of a line. ``lower`` holds the sorted codes of kept (n-1)-grams; rare words are -1."""
-    n = len(ids) - order + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    code = np.zeros(n, np.int64)
-    good = np.ones(n, bool)
-    for k in range(order):
-        part = ids[k:k + n]
-        good &= part >= 0
-        code = (code << _BITS) | np.maximum(part, 0)
-    code = code[good]
-    if lower is not None:
-        for part in (lambda c: c >> _BITS, lambda c: c & ((1 << _BITS * (order - 1)) - 1)):
-            code = code[_among(part(code), lower)]
-    return code
-
-
-def _among(values: np.ndarray, listed: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted array."""
-    if not len(listed):
-        return np.zeros(len(values), bool)
-    return listed[np.minimum(np.searchsorted(listed, values), len(listed) - 1)] == values
+                    waiting.append(text)
+                    size += len(text) + 1
+                    if size > _FLUSH:
+                        yield from out()
+                        waiting, size = [], 0
+        if waiting:
+            yield from out()
+
+    return docs.mapInArrow(run, "n tinyint, a bigint, b bigint, c bigint").groupBy("n", "a", "b").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class FittedModel:
-    automaton: object  # broadcast Automaton
-    counts: DataFrame
+    """``values``: gram, n, c, value, base. Each occurrence of the n-gram adds ``value`` to a score; words also add ``base``
+    to the unigram score. ``hot`` holds the commonest ones, sorted by code."""
+
+    order: int
+    values: DataFrame
+    hot: object  # broadcast tuple of arrays: gram, value, base (NaN where there is none)
     total: int
     distinct: int
 
 
 def fit(texts: DataFrame, plan: ModelPlan = ModelPlan()) -> FittedModel:
-    """Count the corpus ``texts`` (one binary column ``text``) and build the automaton. Orders up to 3 are possible."""
+    """Count the corpus ``texts`` (one binary column ``text``) and weigh its n-grams, order by order."""
     spark = texts.sparkSession
     ship(spark)
-    counts = held(_count_words(texts), "words")
-    n_texts = texts.count()
-    sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total = (sums.n or 0) + n_texts
-    distinct = sums.v + (1 if n_texts else 0)
-    # At most head_parts rows, since each makes up one in head_parts tokens or more.
-    rows = counts.where(F.col("c") * plan.head_parts >= total).collect()
-    head = sorted(((bytes(r.word), r.c) for r in rows), key=lambda x: (-x[1], x[0]))
-    common = {w: k + 2 for k, (w, c) in enumerate(head) if c * plan.ngram_parts >= total}
-    shared = spark.sparkContext.broadcast(common)
-    ngrams: dict[tuple[int, ...], int] = {}
-    lower = None
+    start, end = (int(np.array(sh.word_hash(x), _U).view(np.int64)) for x in (b" start", b" end"))
+    counted = held(_count_grams(texts, plan.order).where((F.col("n") == 1) | (F.col("c") >= plan.least)), "grams")
+    words = counted.where("n = 1").select(F.col("a").alias("gram"), "c")
+    sums = words.where(F.col("gram") != start).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = sums.n or 0, sums.v
+
+    @F.arrow_udf("bigint")
+    def code(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
+        n, a, b = n.to_numpy(), a.to_numpy().view(_U), b.to_numpy().view(_U)
+        with np.errstate(over="ignore"):
+            return pa.array(sh.mix(a * _U(0x9E3779B97F4A7C15) + b + n.astype(_U)).view(np.int64))
+
+    # By order: gram, c, p, and ``over``, what its arc has over backing off. The start is no event.
+    p0 = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
+    lower = words.withColumn("p", p0).withColumn("over", F.when(F.col("gram") != start, F.log10("p")).otherwise(0.0))
+    levels, leaving = [lower], []
     for order in range(2, plan.order + 1):
-        found = _count_ngrams(texts, shared, order, lower).where(
-            (F.col("c") * plan.ngram_parts >= total) & (F.col("c") > 1)).collect()
-        codes = np.array(sorted(r.gram for r in found), np.int64)
-        lower = spark.sparkContext.broadcast(codes)
-        mask = (1 << _BITS) - 1
-        for r in found:
-            ngrams[tuple((r.gram >> _BITS * k) & mask for k in reversed(range(order)))] = r.c
-        if not found:
-            break
-    automaton = build_automaton(head, n_texts, total, distinct, ngrams, plan.discount)
-    return FittedModel(spark.sparkContext.broadcast(automaton), counts, total, distinct)
+        grams = counted.where(F.col("n") == order).select(code("n", "a", "b").alias("gram"), "a", "b", "c")
+        own = F.greatest(F.col("c") - plan.discount, F.lit(0.0)) / F.col("seen")
+        arcs = held(
+            grams.join(lower.select(F.col("gram").alias("a"), F.col("c").alias("seen")), "a")
+            .join(lower.select(F.col("gram").alias("b"), F.col("p").alias("below")), "b")
+            .select("gram", "a", "c", own.alias("p"), "below"), "arcs")
+        rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
+        weights = held(arcs.groupBy("a").agg(F.log10(rest("p") / rest("below")).alias("weight")), "weights")
+        lower = held(arcs.join(weights, "a").select(
+            "gram", "c", "p", (F.log10("p") - F.col("weight") - F.log10("below")).alias("over")), "level")
+        levels.append(lower)
+        leaving.append(weights.withColumnRenamed("a", "gram"))
+    tables = []
+    for n, level in enumerate(levels, 1):
+        left = level.join(leaving[n - 1], "gram", "left") if n < plan.order else level.withColumn("weight", F.lit(0.0))
+        base = F.when(F.col("gram") != start, F.col("over")) if n == 1 else F.lit(None).cast("double")
+        tables.append(left.select(
+            "gram", F.lit(n).cast("tinyint").alias("n"), "c",
+            (F.col("over") + F.coalesce("weight", F.lit(0.0))).alias("value"), base.alias("base")))
+    values = tables[0]
+    for more in tables[1:]:
+        values = values.unionByName(more)
+    values = held(values, "values")
+    # At most head_parts words and ngram_parts n-grams of each order, since each makes up so large a part of all tokens.
+    parts = F.when(F.col("n") == 1, plan.head_parts).otherwise(plan.ngram_parts)
+    found = values.where(F.col("c") * parts >= total).select("gram", "value", F.coalesce("base", F.lit(math.nan)).alias("base"))
+    hot = found.toArrow()
+    grams, value, base = (hot.column(k).to_numpy() for k in range(3))
+    by_code = np.argsort(grams)
+    shared = spark.sparkContext.broadcast((grams[by_code], value[by_code], base[by_code]))
+    return FittedModel(plan.order, values.where(F.col("c") * parts < total), shared, total, distinct)
 
 
 def score_documents(docs: DataFrame, model: FittedModel, carry: list[str]) -> DataFrame:
     """Score every whole text of ``docs``: the columns ``carry``, n_tokens, n_known, base_score, score."""
     ship(docs.sparkSession)
-    shared = model.automaton
-    source = docs.select(*carry, whole(F.col("text")).cast("binary").alias("__llm_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
+    hot, most = model.hot, model.order
+    # The ids of rows must not change when a lost task runs again.
+    source = held(docs.select(
+        *carry, F.monotonically_increasing_id().alias("__row"), whole(F.col("text")).cast("binary").alias("__llm_text")), "rows")
+    fields = source.schema.fields[:-1]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     at = len(carry)
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = shared.value
-        get, base, known = auto.head.get, auto.base, auto.known
-        base_at, known_at = np.array(base), np.array(known)
+        listed, value, base = hot.value
         for batch in batches:
             for piece in pieces(batch, "__llm_text"):
-                n_tokens, n_known, bases, scores, words, counts, ends = [], [], [], [], [], [], [0]
-                for text in piece.column(at).to_pylist():
-                    tokens = _tokens(text)
-                    ids = list(map(get, tokens, repeat(-1)))
-                    ids.append(END)
-                    array = np.array(ids, np.int64)
-                    common = array[array >= 0]
-                    n_tokens.append(len(ids))
-                    n_known.append(int(known_at[common].sum()))
-                    bases.append(float(base_at[common].sum()))
-                    scores.append(auto.traverse(ids))
-                    rare = Counter([tokens[k] for k in np.flatnonzero(array < 0).tolist()])
-                    words.extend(rare)
-                    counts.extend(rare.values())
-                    ends.append(len(words))
-                flat = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int32())], ["word", "n"])
-                rare_lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat).cast(rare_type)
+                line, starts, lengths = _lines(piece.column(at + 1).to_pylist())
+                owner = np.repeat(np.arange(len(starts)), lengths)
+                n = len(starts)
+                known, bases, scores = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+                owners, grams = [], []
+                for _, places, codes, _, _ in _orders(line, starts, most):
+                    codes, whose = codes.view(np.int64), owner[places]
+                    if len(listed):
+                        found = np.minimum(np.searchsorted(listed, codes), len(listed) - 1)
+                        hit = listed[found] == codes
+                        at_hit, of = found[hit], whose[hit]
+                        scores += np.bincount(of, value[at_hit], n)
+                        word = ~np.isnan(base[at_hit])
+                        bases += np.bincount(of[word], base[at_hit][word], n)
+                        known += np.bincount(of[word], minlength=n)
+                        codes, whose = codes[~hit], whose[~hit]
+                    owners.append(whose)
+                    grams.append(codes)
+                # One row for each text, with a code of its own, and one for each n-gram that is to be looked up.
+                rows = piece.column(at).to_numpy()
+                of = np.concatenate([np.arange(n), *owners])
+                codes = np.concatenate([sh.mix(rows.view(_U)).view(np.int64), *grams])
+                blank = len(codes) - n
+                first = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(blank, kind)])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(k) for k in range(at)] + [
-                        pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()),
-                        pa.array(scores, pa.float64()), rare_lists],
-                    [*carry, "__tokens", "__known", "__base", "__score", "__rare"])
+                    [pa.concat_arrays([piece.column(k), pa.nulls(blank, piece.column(k).type)]) for k in range(at)] + [
+                        pa.array(rows[of]), pa.array(codes), first(lengths - 1, pa.int64()), first(known, pa.int64()),
+                        first(bases, pa.float64()), first(scores, pa.float64())],
+                    [*carry, "__row", "__gram", "__tokens", "__known", "__base", "__score"])
 
     walked = source.mapInArrow(
-        run, f"{schema}, __tokens bigint, __known bigint, __base double, __score double, "
-        "__rare array<struct<word:binary,n:int>>")
-    walked = held(walked.select(F.monotonically_increasing_id().alias("__row"), "*"), "walked")
-    pairs = walked.select("__row", F.explode("__rare").alias("r")).select("__row", "r.word", "r.n")
-    unseen = float(model.total + model.distinct + 1)
-    c = F.coalesce("c", F.lit(0))
-    rare = pairs.join(model.counts, "word", "left").groupBy("__row").agg(
-        F.sum(F.col("n") * F.log10((c + 1) / F.lit(unseen))).alias("rare_base"),
-        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    scored = walked.drop("__rare").join(rare, "__row", "left")
-    more: Column = F.coalesce("rare_base", F.lit(0.0))
+        run, f"{schema}, __gram bigint, __tokens bigint, __known bigint, __base double, __score double")
+    looked = walked.join(
+        model.values.select(F.col("gram").alias("__gram"), F.col("value").alias("__v"), F.col("base").alias("__b")), "__gram", "left")
+    of_gram = F.col("__tokens").isNull()
+    scored = looked.groupBy("__row").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry], F.max("__tokens").alias("n_tokens"),
+        (F.max("__known") + F.count(F.when(of_gram, F.col("__b")))).alias("n_known"),
+        (F.max("__base") + F.coalesce(F.sum(F.when(of_gram, F.col("__b"))), F.lit(0.0))).alias("__base"),
+        (F.max("__score") + F.coalesce(F.sum(F.when(of_gram, F.col("__v"))), F.lit(0.0))).alias("__score"))
+    # Tokens that are not in the corpus.
+    more: Column = (F.col("n_tokens") - F.col("n_known")) * F.lit(-math.log10(model.total + model.distinct + 1))
     return scored.select(
-        *carry, F.col("__tokens").alias("n_tokens"),
-        (F.col("__known") + F.coalesce("rare_known", F.lit(0))).cast("bigint").alias("n_known"),
-        (F.col("__base") + more).alias("base_score"), (F.col("__score") + more).alias("score"))
+        *carry, "n_tokens", "n_known", (F.col("__base") + more).alias("base_score"), (F.col("__score") + more).alias("score"))
 
 
 def score_by_fold(docs: DataFrame, held_out: Column, plan: ModelPlan = ModelPlan()) -> DataFrame:

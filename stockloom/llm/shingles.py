@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import xxhash
@@ -27,6 +27,14 @@ class _WordHashes(dict):
 _HASHES = _WordHashes()
 
 
+def word_hash(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def word_hashes(words: list[bytes]) -> Iterator[int]:
+    return map(_HASHES.__getitem__, words)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)

@@ -314,6 +314,32 @@ def test_automaton_sums_to_one_and_matches_plain_backoff():
         assert math.isclose(auto.traverse(line[1:]), plain, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 1 << 17])
+def test_lm_keeps_ngrams_whatever_the_corpus(spark, parts):
+    """Joined scores equal a traversal of the automaton with every n-gram that occurs twice, also rare ones by size."""
+    draw = random.Random(6)
+    rows = [(i, " ".join(draw.choice("aaaaaabbbcdefg") for _ in range(draw.randint(0, 30))), "a") for i in range(150)]
+    rows += [(1000 + i, t, "a") for i, t in enumerate(["x y z", "x y z a", "", None, "x y q", "new words x y z"])]
+    plan = lm_scoring.ModelPlan(head_parts=parts, ngram_parts=parts)
+    got = lm_scoring.score_by_fold(frame(spark, rows), F.col("doc_id") == 1005, plan).collect()
+    texts = {i: (t or "").split() for i, t, _ in rows}
+    learned = [t for i, t in texts.items() if i != 1005]
+    counts = collections.Counter(w for t in learned for w in t)
+    ids = {w: k + 2 for k, w in enumerate(counts)}
+    grams = collections.Counter()
+    for t in learned:
+        line = [lm_scoring.START, *[ids[w] for w in t], lm_scoring.END]
+        for n in (2, 3):
+            grams.update(tuple(line[k:k + n]) for k in range(len(line) - n + 1))
+    total, kinds = sum(counts.values()) + len(learned), len(counts) + 1
+    auto = lm_scoring.build_automaton(
+        [(w.encode(), c) for w, c in counts.items()], len(learned), total, kinds, {g: c for g, c in grams.items() if c > 1}, 0.75)
+    for r in got:
+        tokens = [ids.get(w, -1) for w in texts[r.doc_id]] + [lm_scoring.END]
+        expected = auto.traverse(tokens) - tokens.count(-1) * math.log10(total + kinds + 1)
+        assert math.isclose(r.score, expected, rel_tol=1e-9), (r, expected)
+
+
 def test_pipeline_against_its_stages(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
