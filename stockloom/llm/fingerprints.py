@@ -5,9 +5,10 @@ lower end stands in at least 1/rarest of all documents, so there are at most ``r
 words of a document, however large the corpus is; that makes the lexicon small enough to travel with the plan, as a
 byte map over hashed words. Everything else is built-in column functions on single rows.
 
-Every randomised lexicon is a hash sample of the lexicon at one of several rates, so that short and long texts alike have
-samples of about one term. A sample's distinct terms are sorted and hashed together; the likeness of two fingerprints is
-the share of equal hashes among samples fine enough for the two texts.
+Every randomised lexicon is a hash sample of the lexicon at one of many rates in steps of 2, so that texts of any size have
+samples of about one term, and enough of them: all terms of a text up to 64 terms, about 32 or more of a longer one. A
+sample's distinct terms are sorted and hashed together; the likeness of two fingerprints is the share of equal hashes among
+samples fine enough for the two texts.
 """
 
 from __future__ import annotations
@@ -20,11 +21,10 @@ from pyspark.sql import functions as F
 from .text import bind, sha256_hex, whole, words
 
 #: Rates of the randomised lexicons: one in so many terms. Each rate has up to ``SUBSETS`` disjoint samples.
-RATES = (4, 16, 64, 256, 1024, 4096)
-SUBSETS = 16
+RATES = tuple(1 << k for k in range(2, 19))
+SUBSETS = 64
 #: Slots of the byte map that holds the lexicon.
 SLOTS = 1 << 18
-_ENTRY_RATE = [rate for rate in RATES for _ in range(min(rate, SUBSETS))]
 
 
 @dataclass(frozen=True)
@@ -67,28 +67,35 @@ def terms(text: Column, lexicon: Lexicon) -> Column:
 
 
 def subset_hashes(found: Column) -> Column:
-    """struct(m, entries): the number of terms, and a hash of each randomised lexicon's terms ('' where it has none)."""
-
-    def at_rate(t: Column, level: int, rate: int) -> Column:
-        drawn = F.filter(F.transform(t, lambda h: F.struct(
-            h.alias("h"), F.pmod(F.xxhash64(h, F.lit(level)), F.lit(rate)).cast("int").alias("j"))),
-            lambda x: x["j"] < SUBSETS)
-        hashed = lambda own: F.when(F.size(own) == 0, F.lit("")).otherwise(
-            F.lower(F.hex(F.pmod(F.xxhash64(own), F.lit(1 << 32)))))
-        samples = lambda d: F.transform(
-            F.sequence(F.lit(0), F.lit(min(rate, SUBSETS) - 1)),
-            lambda j: bind(F.transform(F.filter(d, lambda x: x["j"] == j), lambda x: x["h"]), hashed))
-        return bind(drawn, samples)
+    """struct(m, entries): the number of terms, and (k, h) for each randomised lexicon that has terms of the text: its
+    number, rate * SUBSETS + subset, and the hash of these terms.
+
+    Rates below the number of terms are left out, since ``likeness`` passes them over, but for the first, whose samples hold
+    all terms.
+    """
+
+    def at_rate(t: Column, rate: int) -> Column:
+        own = F.filter(t, lambda x: F.pmod(x["u"], F.lit(rate)) < SUBSETS)
+        own = F.transform(own, lambda x: F.struct((F.pmod(x["u"], F.lit(rate)) + rate * SUBSETS).alias("k"), x["h"].alias("h")))
+        hashed = lambda d, k: F.pmod(
+            F.xxhash64(F.transform(F.filter(d, lambda x: x["k"] == k), lambda x: x["h"])), F.lit(1 << 32))
+        samples = bind(own, lambda d: F.transform(
+            F.array_distinct(F.transform(d, lambda x: x["k"])), lambda k: F.struct(k.alias("k"), hashed(d, k).alias("h"))))
+        if rate in (RATES[0], RATES[-1]):
+            return samples
+        return F.when(F.size(t) <= rate, samples).otherwise(F.array().cast("array<struct<k:bigint,h:bigint>>"))
 
     def entries(t: Column) -> Column:
-        parts = [at_rate(t, level, rate) for level, rate in enumerate(RATES)]
-        return F.struct(F.size(t).alias("m"), F.concat(*parts).alias("entries"))
+        return F.struct(F.size(t).alias("m"), F.concat(*[at_rate(t, rate) for rate in RATES]).alias("entries"))
 
-    return bind(found, entries)
+    numbered = F.transform(found, lambda h: F.struct(
+        h.alias("h"), F.pmod(F.xxhash64(h, F.lit(0)), F.lit(RATES[-1])).alias("u")))
+    return bind(numbered, entries)
 
 
 def fingerprint_text(parts: Column) -> Column:
-    return F.concat_ws(".", parts["m"].cast("string"), F.array_join(parts["entries"], "."))
+    shown = F.transform(parts["entries"], lambda e: F.lower(F.concat_ws(":", F.hex(e["k"]), F.hex(e["h"]))))
+    return F.concat_ws(".", parts["m"].cast("string"), F.array_join(shown, "."))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -97,13 +104,13 @@ def likeness(a: Column, b: Column) -> Column:
     Rates that leave more than one term of the larger text in a sample, on average, are passed over, since one change among many
     terms already alters their hash. Equal fingerprints have likeness 1, without any term in common it is 0.
     """
-    rates = F.split(F.lit(",".join(map(str, _ENTRY_RATE))), ",").cast("array<int>")
     most = F.greatest(a["m"], b["m"])
-    both = F.filter(
-        F.arrays_zip(a["entries"].alias("x"), b["entries"].alias("y"), rates.alias("r")),
-        lambda e: ((e["x"] != "") | (e["y"] != "")) & ((e["r"] >= most) | (e["r"] == RATES[-1])))
-    share = bind(both, lambda e: F.when(F.size(e) == 0, F.lit(0.0)).otherwise(
-        F.size(F.filter(e, lambda z: z["x"] == z["y"])) / F.size(e)))
+    fine = lambda p: F.filter(p["entries"], lambda e: (
+        F.floor(e["k"] / SUBSETS) >= most) | (e["k"] >= RATES[-1] * SUBSETS))
+    keys = lambda x: F.transform(x, lambda e: e["k"])
+    share = bind(F.struct(fine(a).alias("x"), fine(b).alias("y")), lambda z: bind(
+        F.size(F.array_union(keys(z["x"]), keys(z["y"]))), lambda n: F.when(n == 0, F.lit(0.0)).otherwise(
+            F.size(F.array_intersect(z["x"], z["y"])) / n)))
     return F.when((a["m"] == b["m"]) & (a["entries"] == b["entries"]), F.lit(1.0)).otherwise(share)
 
 

@@ -238,6 +238,26 @@ def test_fingerprints_tell_edits_from_others(spark):
     assert all(len(x) == 1 for x in same.values())
 
 
+@pytest.mark.parametrize("common", [0.95, 0.67])
+def test_likeness_of_edits_at_every_size(spark, common):
+    """Texts just above a rate, too, have enough sampled terms: no edit looks like an unrelated text."""
+    draw = random.Random(5)
+    rows = []
+    for m in [2, 17, 65, 260, 1030, 5000]:
+        for _ in range(60 if m < 5000 else 10):
+            terms = [draw.getrandbits(63) for _ in range(m)]
+            changed = draw.sample(range(m), m - round(m * common))
+            rows.append((m, sorted(terms), sorted([draw.getrandbits(63) if k in set(changed) else t for k, t in enumerate(terms)]
+                                                  if m < 1000 else terms[len(changed):] + [draw.getrandbits(63) for _ in changed]),
+                         sorted(draw.getrandbits(63) for _ in range(m))))
+    pairs = spark.createDataFrame(rows, "m int, a array<bigint>, b array<bigint>, c array<bigint>").select(
+        "m", *[fingerprints.subset_hashes(F.col(x)).alias(x) for x in "abc"])
+    got = pairs.select(
+        "m", fingerprints.likeness(F.col("a"), F.col("b")).alias("edit"), fingerprints.likeness(F.col("a"), F.col("c")).alias("other")).collect()
+    assert len(got) == len(rows) and all(r.other == 0 for r in got)
+    assert min(r.edit for r in got if r.m > 2) > (0.5 if common > 0.9 else 0.1)
+
+
 def lower(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
