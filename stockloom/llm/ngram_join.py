@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by chosen paths.
 
 Every distinct shingle set draws a few of its shingles by a shared hash. Sets that drew the same shingle meet in a bucket.
-Sets of a bucket that is too large are split again by paths through several sampled MinHash coordinates at once (each
+Sets of a bucket that is too large are split again by paths through several MinHash coordinates of the full sets at once (each
 stands for a sampled shared shingle, so sets must share several of them to stay together), and a second time by longer
 paths. Each level repeats its draws in as many independent runs as a pair at the threshold needs to be found with the
 target recall. Small buckets are compared in full, and pairs are verified on the exact sets. Buckets that are still large
@@ -51,7 +51,8 @@ class JoinPlan:
         return max(1, math.ceil(-math.log(1 - self.recall) / (self.per_run * self.threshold)))
 
     def paths(self, width: int) -> int:
-        """Paths through ``width`` coordinates for the target recall; sets with Jaccard t share one with probability t**width."""
+        """Paths through ``width`` coordinates for the target recall; sets with Jaccard t share each with probability
+        t**width, independently, since every coordinate has a salt of its own."""
         return max(1, math.ceil(math.log(1 - self.recall) / math.log(1 - self.threshold**width)))
 
     def salts(self) -> list[int]:
@@ -97,28 +98,31 @@ def _buckets(rows: DataFrame) -> DataFrame:
 
 def _coordinate_paths(width: int, keys: int, seed: int):
     @F.arrow_udf("array<bigint>")
-    def paths(sketches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in sketches:
-            found = [sh.coordinate_paths(sh.coordinates(x), width, keys, seed) for x in batch.to_pylist()]
+    def paths(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in lists:
+            offsets, every = batch.offsets.to_numpy(), batch.values.to_numpy().view(np.uint64)
+            found = [sh.coordinate_paths(every[s:e], width, keys, seed) for s, e in zip(offsets[:-1], offsets[1:])]
             ends = pa.array(np.arange(0, keys * len(found) + 1, keys, dtype=np.int32))
             yield pa.ListArray.from_arrays(ends, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
 
     return paths
 
 
-def _candidates(sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
+def _candidates(docs: DataFrame, sets: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b), a < b, of ids whose sketches leave the threshold possible, and the crowds (id, crowd), whose
     members are not paired here."""
     found = _buckets(sets.select("id", F.explode("drawn").alias("path")))
     large = F.col("members") > plan.bucket
     small = found.where(~large)
+    full = None
     for width in plan.widths:
         crowded = found.where(large).select("id").distinct()
         if crowded.isEmpty():
             break
         paths = _coordinate_paths(width, plan.paths(width), plan.seed)
-        again = sets.select("id", "sketch").join(crowded, "id", "left_semi")
-        found = _buckets(again.select("id", F.explode(paths("sketch")).alias("path")))
+        full = _shingles(docs, sets, crowded, "crowded") if full is None else full
+        again = full.join(crowded, "id", "left_semi")
+        found = _buckets(again.select("id", F.explode(paths("shingles")).alias("path")))
         small = small.unionByName(found.where(~large))
     crowds = _crowds(found.where(large))
 
@@ -218,6 +222,11 @@ def _crowd_links(crowds: DataFrame, sets: DataFrame, exact: DataFrame, plan: Joi
 def _exact_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, crowds: DataFrame) -> DataFrame:
     """(id, shingles) of all sets that are to be compared exactly, read from the texts again. Written."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowds.select("id")).distinct()
+    return _shingles(docs, sets, ids, "shingles")
+
+
+def _shingles(docs: DataFrame, sets: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(id, shingles) of the sets ``ids``, read from the texts again. Written."""
     wanted = sets.join(ids, "id", "left_semi").select(F.col("doc_id").alias("w_doc"), F.col("text_key").alias("w_key"), "id")
     text = whole(F.col("text")).cast("binary")
     texts = docs.select("doc_id", text.alias("text"))
@@ -235,7 +244,7 @@ def _exact_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, crowds: Data
                     [piece.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], ["id", "shingles"])
 
     # Rows that repeat an id and its text would come back more than once.
-    return held(found.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "shingles")
+    return held(found.mapInArrow(run, "id bigint, shingles array<bigint>").dropDuplicates(["id"]), label)
 
 
 def _verified(exact: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
@@ -258,7 +267,7 @@ def _joined(docs: DataFrame, plan: JoinPlan) -> tuple[DataFrame, DataFrame, Data
     sets = held(
         signed.where("n > 0").join(groups.select("id", "copies"), F.col("row") == F.col("id"))
         .select("id", "doc_id", "text_key", "n", "sketch", "drawn", "copies"), "sets")
-    pairs, crowds = _candidates(sets, plan)
+    pairs, crowds = _candidates(docs, sets, plan)
     exact = _exact_sets(docs, sets, pairs, crowds)
     links = _verified(exact, pairs, plan.threshold)
     crowd = _crowd_links(crowds, sets, exact, plan)

@@ -86,32 +86,25 @@ def sketches_allow(a: np.ndarray, b: np.ndarray, threshold: float, deviations: f
     return _zeros(a ^ b) - neither >= least
 
 
-def coordinates(sketch: bytes) -> np.ndarray:
-    """The 128 parts of a sketch as a MinHash of the set: an empty part takes the value of the next filled one."""
-    raw = np.frombuffer(sketch, np.uint8)
-    codes = np.empty(BINS, _U)
-    codes[::2], codes[1::2] = raw & 15, raw >> 4
-    filled = np.flatnonzero(codes)
-    if not len(filled):
-        return codes
-    source = filled[np.searchsorted(filled, np.arange(BINS)) % len(filled)]
-    return codes[source] + (source.astype(_U) << _U(8))
-
-
-def coordinate_paths(values: np.ndarray, width: int, keys: int, seed: int) -> np.ndarray:
-    """``keys`` paths, each through ``width`` sampled coordinates, as int64 hashes."""
-    picks = _picks(width, keys, seed)
+def coordinate_paths(shingles: np.ndarray, width: int, keys: int, seed: int) -> np.ndarray:
+    """``keys`` paths, each through ``width`` coordinates, as int64 hashes. Every coordinate is a MinHash of the whole set by
+    a salt of its own, so the paths of a pair are independent however small the sets are."""
+    salts = _path_salts(width, keys, seed)
+    least = np.full(len(salts), ~_U(0))
     with np.errstate(over="ignore"):
+        step = max(1, (1 << 18) // len(salts))
+        for start in range(0, len(shingles), step):
+            least = np.minimum(least, mix(shingles[start:start + step, None] ^ salts[None, :]).min(0))
+        values = least.reshape(keys, width)
         path = np.arange(keys, dtype=_U) + _U(seed + width)
         for k in range(width):
-            path = mix(path * _U(0x9E3779B97F4A7C15) + values[picks[:, k]])
+            path = mix(path * _U(0x9E3779B97F4A7C15) + values[:, k])
     return path.view(np.int64)
 
 
 @functools.cache
-def _picks(width: int, keys: int, seed: int) -> np.ndarray:
-    draw = np.random.default_rng(seed + width)
-    return np.stack([draw.choice(BINS, width, replace=False) for _ in range(keys)])
+def _path_salts(width: int, keys: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed + width).integers(1, 2**63 - 1, width * keys).astype(_U)
 
 
 def chosen(shingles: np.ndarray, per_set: float, salts: Sequence[int]) -> list[np.ndarray]:

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,20 @@ def test_large_groups_are_not_paired(spark):
     assert {(r.class_id, r.n_links) for r in got} == {(0, 399)}
 
 
+@pytest.mark.parametrize("common, own", [(4, 1), (8, 1), (16, 2), (24, 3)])
+def test_paths_of_small_sets_reach_their_recall(common, own):
+    """Near copies of 5 to 27 shingles: similarity at the threshold or next to it, one split at a time."""
+    plan, draw = ngram_join.JoinPlan(), np.random.default_rng(common)
+    for width in plan.widths:
+        keys, missed = plan.paths(width), 0
+        for _ in range(1500):
+            drawn = draw.integers(0, 2**64, common + 2 * own, dtype=np.uint64)
+            a, b = np.sort(drawn[:common + own]), np.sort(np.append(drawn[:common], drawn[common + own:] if common > 4 else drawn[:0]))
+            x, y = (set(shingles.coordinate_paths(s, width, keys, plan.seed).tolist()) for s in (a, b))
+            missed += x.isdisjoint(y)
+        assert missed <= 8
+
+
 def test_components(spark):
     draw = random.Random(3)
     pairs = [(i, i + 1) for i in range(40)] + [(100 + draw.randrange(30), 200 + draw.randrange(30)) for _ in range(25)]
