@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockloom.llm import bpe, mixing, ngram_join, quality_rules, secret_scan
-from stockloom.llm.text import held, table
+from stockloom.llm.text import held, sha256_hex, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +30,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix."""
+    """Token ids of every document of the mix, and the digest of the text decoded from them."""
     import public_tokenizers
 
-    coded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+    coded = bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), decode=True)
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
 
 STAGES = [

@@ -375,6 +375,19 @@ def test_lm_keeps_ngrams_whatever_the_corpus(spark, parts):
         assert math.isclose(r.score, expected, rel_tol=1e-9), (r, expected)
 
 
+def test_pipeline_decodes_what_it_encodes(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = corpus_pipeline.encode(spark, frame(spark, [(1, "some plain words é", "a"), (2, None, "a")]), "").collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.decoded_sha256 == hashlib.sha256(plain.decode(r.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
 def test_pipeline_against_its_stages(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
