@@ -8,7 +8,8 @@ A traversal adds the weights of its arcs and failure arcs. The same sum can be t
 kept n-gram adds what its arc has over backing off, and each occurrence of a context the weight of leaving it. So scoring
 joins the n-grams of all texts with the table and sums by text. N-grams that make up one in ``ngram_parts`` tokens or more
 (one in ``head_parts`` for words) are at most that many of each order; they travel to the tasks and are left out of the
-join, so no common one can skew it.
+join, so none that is common in the corpus can skew it. One that is common only in the scored texts is left to the adaptive
+planner, which splits skewed join partitions.
 """
 
 from __future__ import annotations
