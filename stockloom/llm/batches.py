@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,3 +24,18 @@ def pieces(batch: pa.RecordBatch, column: str = "text", most: int = PIECE_BYTES)
         stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+
+
+#: White space at which texts may be cut.
+GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
+SLAB_BYTES = 1 << 20
+
+
+def slabs(text: bytes, gap: re.Pattern = GAP, most: int = SLAB_BYTES) -> Iterator[bytes]:
+    """The text in parts of about ``most`` bytes that end at a gap, so that a long text is never a list of all its words."""
+    start = 0
+    while start < len(text):
+        found = gap.search(text, start + most) if start + most < len(text) else None
+        stop = found.end() if found else len(text)
+        yield text[start:stop]
+        start = stop

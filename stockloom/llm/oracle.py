@@ -112,5 +112,53 @@ def _quality() -> str:
         NOT base_failed AND NOT lost AS kept, kept_chars FROM judged"""
 
 
+def _phrases() -> str:
+    """Counts by position, scores in 128-bit integers."""
+    return r"""WITH parts AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM parts),
+    starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists),
+    placed AS (SELECT lang, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM starts),
+    totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+    f1 AS (SELECT lang, a AS p, count(*) AS f FROM placed GROUP BY ALL),
+    f2 AS (SELECT lang, a || ' ' || b AS p, any_value(a) AS a, any_value(b) AS b, count(*) AS f FROM placed WHERE b IS NOT NULL GROUP BY lang, a || ' ' || b),
+    f3 AS (SELECT lang, a || ' ' || b || ' ' || c AS p, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, count(*) AS f
+        FROM placed WHERE c IS NOT NULL GROUP BY lang, a || ' ' || b || ' ' || c),
+    inside AS (SELECT lang, p, max(f) AS f FROM (
+        SELECT lang, a || ' ' || b AS p, f FROM f3 WHERE f >= 10 UNION ALL SELECT lang, b || ' ' || c, f FROM f3 WHERE f >= 10) GROUP BY ALL),
+    cuts AS (
+        SELECT f2.lang, f2.p, f2.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2
+            JOIN f1 l ON l.lang = f2.lang AND l.p = f2.a JOIN f1 r ON r.lang = f2.lang AND r.p = f2.b
+            LEFT JOIN inside x ON x.lang = f2.lang AND x.p = f2.p
+            WHERE f2.f >= 10 AND NOT coalesce(100 * x.f >= 50 * f2.f, false)
+        UNION ALL SELECT f3.lang, f3.p, f3.f, 1, l.f, r.f FROM f3
+            JOIN f1 l ON l.lang = f3.lang AND l.p = f3.a JOIN f2 r ON r.lang = f3.lang AND r.p = f3.b || ' ' || f3.c WHERE f3.f >= 10
+        UNION ALL SELECT f3.lang, f3.p, f3.f, 2, l.f, r.f FROM f3
+            JOIN f2 l ON l.lang = f3.lang AND l.p = f3.a || ' ' || f3.b JOIN f1 r ON r.lang = f3.lang AND r.p = f3.c WHERE f3.f >= 10),
+    scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+    lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, k) AS place FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM lowest WHERE place = 1)
+    SELECT r.lang, r.rank, r.p AS phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000"""
+
+
+def _hard_negatives() -> str:
+    """Every anchor against every row; products of small whole numbers are exact in doubles."""
+    return """WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            [floor(256 * v::DOUBLE) FOR v IN embedding] AS x FROM embeddings
+            WHERE label IS NOT NULL AND len([v FOR v IN embedding IF v IS NOT NULL AND isfinite(v)]) = len(embedding)),
+    scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+        FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place
+        FROM scored WHERE same) WHERE place <= 5),
+    negatives AS (SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+        row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS rank
+        FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+        AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= 5"""
+
+
 def oracle_queries() -> dict[str, str]:
-    return {"op1_source_mixing": _mixing(), "op5_chat_formatting": _chat(), "op8_quality_rules": _quality()}
+    return {
+        "op1_source_mixing": _mixing(), "op5_chat_formatting": _chat(), "op8_quality_rules": _quality(),
+        "op11_phrase_collocations": _phrases(), "op13_hard_negatives": _hard_negatives(),
+    }

@@ -1,4 +1,4 @@
-"""The ten operators as named queries over the given tables."""
+"""The operators as named queries over the given tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, lm_scoring, mixing, ngram_join, quality_model, quality_rules, secret_scan, urls
+from . import bpe, chat, collocations, fingerprints, hard_negatives, lm_scoring, mixing, ngram_join, quality_model, quality_rules
+from . import secret_scan, toxicity, urls
 from .text import fold, sha256_hex, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +95,21 @@ def op9_lm_scoring(spark, d):
 def op7_quality_classifier(spark, d):
     labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
     return quality_model.classify_by_fold(table(spark, d, "documents"), labels)
+
+
+@_query
+def op11_phrase_collocations(spark, d):
+    return collocations.mine_phrases(table(spark, d, "documents").select("text", "lang"))
+
+
+@_query
+def op12_toxicity(spark, d):
+    labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.toxicity_by_fold(table(spark, d, "documents"), labels)
+
+
+@_query
+def op13_hard_negatives(spark, d):
+    rows = table(spark, d, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.points(rows.withColumn("label", label)), F.col("vec_id") % 100 == 0)
