@@ -46,7 +46,7 @@ class PhrasePlan:
     stretch: int = 4096  # a chunk without a trigger is cut after so many tokens
     chunk_bytes: int = 8 << 20  # of chunks held in a task
     entries: int = 600_000  # of phrases held in a task
-    blocks: int = 2  # blocks of phrases per shuffle partition
+    block_bytes: int = 8 << 20  # of text per block of phrases
     hot_parts: int = 4096  # words and phrases this common are looked up without a shuffle
     salts: int = 64
 
@@ -206,9 +206,11 @@ def phrase_counts(docs: DataFrame, plan: PhrasePlan = PhrasePlan()) -> DataFrame
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counted = _counted(_chunks(docs, plan), plan, parts * plan.blocks)
-    dealt = counted.repartitionById(parts, F.col("block") % parts)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    blocks = 1 + size // plan.block_bytes
+    parts = min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = _counted(_chunks(docs, plan), plan, blocks)
+    dealt = counted.repartitionById(parts, (F.col("block") % parts).cast("int"))
     return held(_merged(dealt, plan.least), "phrases")
 
 
