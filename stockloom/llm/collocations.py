@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
+from operator import and_, ne
 
 import numpy as np
 import pyarrow as pa
@@ -117,21 +119,17 @@ def _chunks(docs: DataFrame, plan: PhrasePlan) -> DataFrame:
     return found.groupBy("lang", "owned", "chunk").agg(F.sum("n").alias("n"))
 
 
-def count_chunk(chunk: bytes, owned: int, times: int, longest: int, counts: dict[bytes, int]) -> None:
-    """Add the phrases a chunk owns to ``counts``; the empty phrase counts words."""
+def owned_phrases(chunk: bytes, owned: int, longest: int) -> tuple[int, list[bytes]]:
+    """(words, phrases of all lengths) that begin among the owned tokens of a chunk; none goes over a stop."""
     line = chunk.split(b" ")
-    n = len(line)
-    for i in range(min(owned, n)):
-        phrase = line[i]
-        if phrase == _STOP:
-            continue
-        counts[b""] += times
-        counts[phrase] += times
-        for j in range(i + 1, min(i + longest, n)):
-            if line[j] == _STOP:
-                break
-            phrase = phrase + b" " + line[j]
-            counts[phrase] += times
+    plain = list(map(ne, line, repeat(_STOP)))
+    found = list(compress(line[:owned], plain))
+    words, sound = len(found), plain
+    for size in range(2, longest + 1):
+        sound = list(map(and_, sound, plain[size - 1:]))
+        grams = map(b" ".join, zip(*[line[k:owned + k] for k in range(size)]))
+        found.extend(compress(grams, sound))
+    return words, found
 
 
 def _counted(chunks: DataFrame, plan: PhrasePlan, blocks: int) -> DataFrame:
@@ -140,32 +138,40 @@ def _counted(chunks: DataFrame, plan: PhrasePlan, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        tables: dict[str, dict[bytes, int]] = {}
+        tables: dict[str, Counter[bytes]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, counts in tables.items():
-                phrases = sorted(counts)
+                phrases = list(counts)
+                values = np.fromiter(counts.values(), np.int64, len(phrases))
                 block = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % blocks
                 order = np.argsort(block, kind="stable")
-                values = np.fromiter(map(counts.__getitem__, phrases), np.int64, len(phrases))
                 for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                    ordered = sorted(part.tolist(), key=phrases.__getitem__)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block[part[0]]], pa.int32()), pa.array([lang]),
-                         pa.array([pack(b"\n".join([phrases[k] for k in part]))], pa.binary()),
-                         pa.array([pack(values[part].tobytes())], pa.binary())], ["block", "lang", "phrases", "counts"])
+                        [pa.array([block[part[0]]], pa.int64()), pa.array([lang]),
+                         pa.array([pack(b"\n".join([phrases[k] for k in ordered]))], pa.binary()),
+                         pa.array([pack(values[ordered].tobytes())], pa.binary())], ["block", "lang", "phrases", "counts"])
 
         for batch in batches:
             for lang, owned, chunk, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 counts = tables.get(lang)
                 if counts is None:
-                    counts = tables[lang] = defaultdict(int)
-                count_chunk(chunk, owned, n, longest, counts)
+                    counts = tables[lang] = Counter()
+                words, found = owned_phrases(chunk, owned, longest)
+                # The empty phrase counts words.
+                counts[b""] += words * n
+                if n == 1:
+                    counts.update(found)
+                else:
+                    for phrase in found:
+                        counts[phrase] += n
                 if len(counts) > most or len(tables) > 64:
                     yield from out()
                     tables.clear()
         yield from out()
 
-    return chunks.mapInArrow(run, "block int, lang string, phrases binary, counts binary")
+    return chunks.mapInArrow(run, "block bigint, lang string, phrases binary, counts binary")
 
 
 def _merged(blocks: DataFrame, least: int) -> DataFrame:
