@@ -14,14 +14,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress, repeat
-from operator import and_, ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,7 +46,7 @@ class PhrasePlan:
     period: int = 16  # a window is a trigger once in so many
     stretch: int = 4096  # a chunk without a trigger is cut after so many tokens
     chunk_bytes: int = 8 << 20  # of chunks held in a task
-    entries: int = 600_000  # of phrases held in a task
+    tokens: int = 1_000_000  # of chunks counted at a time in a task
     block_bytes: int = 8 << 20  # of text per block of phrases
     hot_parts: int = 4096  # words and phrases this common are looked up without a shuffle
     salts: int = 64
@@ -119,56 +118,84 @@ def _chunks(docs: DataFrame, plan: PhrasePlan) -> DataFrame:
     return found.groupBy("lang", "owned", "chunk").agg(F.sum("n").alias("n"))
 
 
-def owned_phrases(chunk: bytes, owned: int, longest: int) -> tuple[int, list[bytes]]:
-    """(words, phrases of all lengths) that begin among the owned tokens of a chunk; none goes over a stop."""
-    line = chunk.split(b" ")
-    plain = list(map(ne, line, repeat(_STOP)))
-    found = list(compress(line[:owned], plain))
-    words, sound = len(found), plain
-    for size in range(2, longest + 1):
-        sound = list(map(and_, sound, plain[size - 1:]))
-        grams = map(b" ".join, zip(*[line[k:owned + k] for k in range(size)]))
-        found.extend(compress(grams, sound))
-    return words, found
+def tally(chunks: list[tuple[list[bytes], int, int]], longest: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(phrases, hashes, counts) of the phrases that begin among the owned tokens of chunks (tokens, owned, times).
+
+    No phrase goes over a stop. The empty phrase counts words. Words get numbers in their order, and a phrase is the number of
+    the phrase without its last word next to the number of that word, so sorting numbers sorts phrases.
+    """
+    line = [t for tokens_, _, _ in chunks for t in tokens_]
+    lengths = np.array([len(tokens_) for tokens_, _, _ in chunks])
+    listed = sorted(set(line))
+    number = dict(zip(listed, range(len(listed))))
+    ids = np.fromiter(map(number.__getitem__, line), np.int64, len(line))
+    chunk = np.repeat(np.arange(len(chunks)), lengths)
+    within = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    times = np.array([n for _, _, n in chunks], np.int64)[chunk]
+    plain = ids != number.get(_STOP, -1)
+    at = np.flatnonzero(plain & (within < np.array([owned for _, owned, _ in chunks])[chunk]))
+    rank, hashed = ids.copy(), np.fromiter(map(zlib.crc32, listed), _U, len(listed))
+    words = pa.array(listed, pa.binary())
+    phrases, hashes, counts = [pa.array([b""])], [np.zeros(1, _U)], [np.array([times[at].sum()])]
+    for size in range(1, longest + 1):
+        key = ids[at]
+        if size > 1:
+            last = at + size - 1
+            fits = last < len(line)
+            at, last = at[fits], last[fits]
+            fits = (chunk[last] == chunk[at]) & plain[last]
+            at, last = at[fits], last[fits]
+            key = rank[at] << 32 | ids[last]
+        if not len(at):
+            break
+        order = np.argsort(key, kind="stable")
+        new = np.append(True, np.diff(key[order]) > 0)
+        rank[at[order]] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        counts.append(np.add.reduceat(times[at[order]], first))
+        begin, code = at[order[first]], np.zeros(len(first), _U)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                code = mix(code * _U(0x9E3779B97F4A7C15) + hashed[ids[begin + k]])
+        hashes.append(code)
+        parts = [words.take(pa.array(ids[begin + k])) for k in range(size)]
+        phrases.append(pc.binary_join_element_wise(*parts, pa.scalar(b" ")) if size > 1 else parts[0])
+    return pa.concat_arrays(phrases), np.concatenate(hashes), np.concatenate(counts)
 
 
 def _counted(chunks: DataFrame, plan: PhrasePlan, blocks: int) -> DataFrame:
     """Phrase counts of tasks as blocks: (block, lang, phrases, counts), phrases in order and parted by line feeds."""
-    longest, most = plan.longest, plan.entries
+    longest, most = plan.longest, plan.tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
-        tables: dict[str, Counter[bytes]] = {}
+        waiting: dict[str, list[tuple[list[bytes], int, int]]] = defaultdict(list)
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, counts in tables.items():
-                phrases = list(counts)
-                values = np.fromiter(counts.values(), np.int64, len(phrases))
-                block = np.fromiter(map(zlib.crc32, phrases), np.int64, len(phrases)) % blocks
+            for lang, some in waiting.items():
+                phrases, hashes, counts = tally(some, longest)
+                block = (hashes % _U(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
-                for part in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                    ordered = sorted(part.tolist(), key=phrases.__getitem__)
+                ended = pc.binary_join_element_wise(phrases.take(pa.array(order)), pa.scalar(b""), pa.scalar(b"\n"))
+                ends = np.frombuffer(ended.buffers()[1], np.int32)[ended.offset:ended.offset + len(ended) + 1]
+                text = memoryview(ended.buffers()[2])
+                edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+                for a, b in zip(edges, edges[1:]):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([block[part[0]]], pa.int64()), pa.array([lang]),
-                         pa.array([pack(b"\n".join([phrases[k] for k in ordered]))], pa.binary()),
-                         pa.array([pack(values[ordered].tobytes())], pa.binary())], ["block", "lang", "phrases", "counts"])
+                        [pa.array([block[order[a]]], pa.int64()), pa.array([lang]),
+                         pa.array([pack(text[ends[a]:ends[b] - 1])], pa.binary()),
+                         pa.array([pack(counts[order[a:b]].tobytes())], pa.binary())], ["block", "lang", "phrases", "counts"])
 
         for batch in batches:
             for lang, owned, chunk, n in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                counts = tables.get(lang)
-                if counts is None:
-                    counts = tables[lang] = Counter()
-                words, found = owned_phrases(chunk, owned, longest)
-                # The empty phrase counts words.
-                counts[b""] += words * n
-                if n == 1:
-                    counts.update(found)
-                else:
-                    for phrase in found:
-                        counts[phrase] += n
-                if len(counts) > most or len(tables) > 64:
+                held_tokens = chunk.split(b" ")
+                waiting[lang].append((held_tokens, owned, n))
+                size += len(held_tokens)
+                if size > most:
                     yield from out()
-                    tables.clear()
+                    waiting.clear()
+                    size = 0
         yield from out()
 
     return chunks.mapInArrow(run, "block bigint, lang string, phrases binary, counts binary")

@@ -67,7 +67,7 @@ def toy_texts(seed):
 
 @pytest.mark.parametrize("plan", [
     collocations.PhrasePlan(),
-    collocations.PhrasePlan(period=2, least=2, stretch=5, entries=50, chunk_bytes=100, hot_parts=4, block_bytes=300),
+    collocations.PhrasePlan(period=2, least=2, stretch=5, tokens=50, chunk_bytes=100, hot_parts=4, block_bytes=300),
     collocations.PhrasePlan(period=1, longest=4, least=2, hot_parts=1 << 40),
     collocations.PhrasePlan(period=10**6, stretch=3, least=2, longest=2, top=5, salts=2),
 ])
