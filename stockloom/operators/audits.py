@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import days_until, instant, is_overdue
-from .ordered import HOT_ROWS, global_row_number, running
+from .ordered import SHARE, global_row_number, running
 from .state import newest_rows
 
 # Cause categories in the order the checks are run; the first that applies wins.
@@ -39,7 +39,7 @@ def baseline_check(log: DataFrame, live: DataFrame) -> DataFrame:
     )
 
 
-def unmatched_rentals(log: DataFrame, paired: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+def unmatched_rentals(log: DataFrame, paired: bool = False, share: float = SHARE) -> DataFrame:
     """Rental Out rows without a later Rental Return of the SKU.
 
     ``paired`` asks for a return of its own: the next rental action after the row must be a return.
@@ -48,7 +48,7 @@ def unmatched_rentals(log: DataFrame, paired: bool = False, hot_rows: int = HOT_
     action = F.col("action_type")
     if paired:
         moves = log.where(action.isin("Rental Out", "Rental Return")).select(*keep, "action_type")
-        following = running(moves, ["item_sku"], _EVENT, lasts={"_next": action}, latest_first=True, hot_rows=hot_rows)
+        following = running(moves, ["item_sku"], _EVENT, lasts={"_next": action}, latest_first=True, share=share)
         unmatched = (action == "Rental Out") & ~F.col("_next").eqNullSafe(F.lit("Rental Return"))
         return following.where(unmatched).select(*keep)
     last = log.where(action == "Rental Return").groupBy("item_sku").agg(F.max("created_at").alias("_last_return"))
@@ -69,11 +69,11 @@ def zero_qty_returns(log: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_submits(log: DataFrame, seconds: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def duplicate_submits(log: DataFrame, seconds: int = 5, share: float = SHARE) -> DataFrame:
     """Rows that repeat the SKU and action of the row before them within ``seconds``."""
     rows = log.select("seq", "created_at", "item_sku", "action_type")
     previous = F.struct(F.col("created_at").alias("at"), F.col("seq").alias("seq"))
-    seen = running(rows, ["item_sku", "action_type"], _EVENT, lasts={"_previous": previous}, hot_rows=hot_rows)
+    seen = running(rows, ["item_sku", "action_type"], _EVENT, lasts={"_previous": previous}, share=share)
     near = F.col("created_at") <= F.col("_previous.at") + F.make_dt_interval(secs=F.lit(seconds))
     return seen.where(near).select(
         "seq", "created_at", "item_sku", "action_type",
@@ -208,7 +208,7 @@ def gap_transactions(
     return both.withColumn("missing", missing).where(F.col("missing") > 0).select(*on, "receipts", "missing")
 
 
-def wrong_sku_pairs(deltas: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def wrong_sku_pairs(deltas: DataFrame, share: float = SHARE) -> DataFrame:
     """Short SKUs next to SKUs of the same shop that are over by the same amount.
 
     Every SKU with such a counterpart is listed once with the number of counterparts, and with one proposed partner:
@@ -225,7 +225,7 @@ def wrong_sku_pairs(deltas: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         "counterparts", F.when(F.col("over"), F.col("_short")).otherwise(F.col("_over"))
     ).drop("_over", "_short")
     ranked = running(
-        listed, ["shop_type", "amount", "over"], ["item_sku"], sums={"place": F.lit(1)}, hot_rows=hot_rows
+        listed, ["shop_type", "amount", "over"], ["item_sku"], sums={"place": F.lit(1)}, share=share
     )
     other = ranked.select(
         "shop_type", "amount", (~F.col("over")).alias("over"), "place", F.col("item_sku").alias("partner_sku")

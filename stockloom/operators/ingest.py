@@ -34,7 +34,7 @@ from ..schemas import (
 )
 from ..session import scratch_path
 from .migrate import customer_id
-from .ordered import HOT_ROWS, hot_keys, running
+from .ordered import SHARE, key_splits, running
 
 _TEXT = ("brand_designer", "item_image", "bag_color", "bridal_size", "bridal_status", "customer_name_contact", "notes")
 
@@ -154,7 +154,7 @@ def check_actions(raw: DataFrame) -> DataFrame:
 def decide(
     raw: DataFrame,
     open_rentals: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    share: float = SHARE,
     hold: Callable[[DataFrame], DataFrame] = _held,
 ) -> DataFrame:
     """Coerced actions with ``errors`` and, for returns that close a rental, ``closes``.
@@ -184,12 +184,12 @@ def decide(
     order = ["_phase", "created_at", "seq"]
 
     out = F.col("action_type") == "Rental Out"
-    hot = hot_keys(step, ["item_sku"], hot_rows)
-    step = running(step, ["item_sku"], order, lasts={"_before": F.col("action_type")}, hot=hot)
+    splits = key_splits(step, ["item_sku"], order, share)
+    step = running(step, ["item_sku"], order, lasts={"_before": F.col("action_type")}, splits=splits)
     taken = F.coalesce(F.col("_before") == "Rental Out", F.lit(False))
     step = step.withColumns({"_accepted": out & ~taken, "_booking": booking})
     # Accepted bookings and closing returns alternate, so the last accepted booking is the one a return closes.
-    step = running(step, ["item_sku"], order, lasts={"_opened": F.when(F.col("_accepted"), F.col("_booking"))}, hot=hot)
+    step = running(step, ["item_sku"], order, lasts={"_opened": F.when(F.col("_accepted"), F.col("_booking"))}, splits=splits)
     decided = step.where(F.col("_phase") == 1).withColumns(
         {
             "errors": F.when(out & ~F.col("_accepted"), F.array(F.lit(_OPEN))).otherwise(F.col("errors")),
@@ -356,9 +356,9 @@ class Ingested:
     results: DataFrame
 
 
-def ingest(raw: DataFrame, tables: Tables, hot_rows: int = HOT_ROWS, user: str = DEFAULT_USER) -> Ingested:
+def ingest(raw: DataFrame, tables: Tables, share: float = SHARE, user: str = DEFAULT_USER) -> Ingested:
     """Apply a batch of raw actions to the tables; ``user`` is noted on every row it adds."""
-    decided = decide(raw, tables.rentals, hot_rows)
+    decided = decide(raw, tables.rentals, share)
     actions = accepted(decided)
     customers = upsert_customers(tables.customers, actions, user)
     opened = tables.rentals.unionByName(open_rentals(actions, tables.customers, user), allowMissingColumns=True)
@@ -519,9 +519,9 @@ def delete_item(tables: Tables, sku: str, shop: str | None = None) -> tuple[Tabl
     return delete_items(tables, one, shop)
 
 
-def guard_actions(raw: DataFrame, live: DataFrame, rentals: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def guard_actions(raw: DataFrame, live: DataFrame, rentals: DataFrame, share: float = SHARE) -> DataFrame:
     """Soft checks before logging: booking an item without stock, returning an item nobody has rented."""
-    decided = accepted(decide(raw, rentals, hot_rows))
+    decided = accepted(decide(raw, rentals, share))
     stock = live.select("item_sku", "live_stock")
     action = F.col("action_type")
     checked = decided.where(action.isin("Rental Out", "Rental Return")).join(stock, "item_sku", "left")

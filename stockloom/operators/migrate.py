@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instant
 from ..schemas import AT, DEFAULT_ALERT, DEFAULT_USER, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
-from .ordered import HOT_ROWS, running
+from .ordered import SHARE, running
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
          "bag_color", "bridal_size")
@@ -95,7 +95,7 @@ def lifecycle_rejects(log: DataFrame) -> DataFrame:
     return _status_rows(log).where(~F.col("status").isin(*LIFECYCLE_STATUSES))
 
 
-def _latest_bookings(log: DataFrame, hot_rows: int) -> DataFrame:
+def _latest_bookings(log: DataFrame, share: float) -> DataFrame:
     """The newest Rental Out per SKU with the first Rental Return strictly later than it."""
     out = F.col("action_type") == "Rental Out"
     keep = ("rental_due_date", "sell_price", "notes", "customer_name_contact")
@@ -106,18 +106,18 @@ def _latest_bookings(log: DataFrame, hot_rows: int) -> DataFrame:
     # last return met is the nearest one.
     back = F.when(F.col("_out") == 0, F.col("created_at"))
     seen = running(moves, ["item_sku"], ["created_at", "_out", "seq"], lasts={"returned_at": back}, latest_first=True,
-                   hot_rows=hot_rows)
+                   share=share)
     newest = F.max(F.struct("created_at", "seq", *keep, "returned_at"))
     return seen.where(F.col("_out") == 1).groupBy("item_sku").agg(newest.alias("o")).select("item_sku", "o.*")
 
 
-def _rental_rows(log: DataFrame, customers: DataFrame, hot_rows: int, kept: DataFrame | None = None) -> DataFrame:
+def _rental_rows(log: DataFrame, customers: DataFrame, share: float, kept: DataFrame | None = None) -> DataFrame:
     """The booking of each SKU with ``reason``: the rule of the target it breaks, or null.
 
     ``kept``: rentals that stay in the target; a SKU with an open one among them can have no second.
     """
     # A booking without a contact has no customer and needs no lookup.
-    booked = _latest_bookings(log, hot_rows)
+    booked = _latest_bookings(log, share)
     names = customers.select(F.col("id").alias("customer_id"), F.col("display_name").alias("customer_name_contact"))
     due = F.coalesce("rental_due_date", F.date_add(F.col("created_at").cast("date"), 7))
     named = booked.where(F.col("customer_name_contact").isNotNull()).join(names, "customer_name_contact", "left")
@@ -143,16 +143,16 @@ def _rental_rows(log: DataFrame, customers: DataFrame, hot_rows: int, kept: Data
 
 
 def backfill_rentals(
-    log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS, kept: DataFrame | None = None,
+    log: DataFrame, customers: DataFrame, share: float = SHARE, kept: DataFrame | None = None,
 ) -> DataFrame:
-    return _rental_rows(log, customers, hot_rows, kept).where(F.col("reason").isNull()).drop("reason")
+    return _rental_rows(log, customers, share, kept).where(F.col("reason").isNull()).drop("reason")
 
 
 def rental_rejects(
-    log: DataFrame, customers: DataFrame, hot_rows: int = HOT_ROWS, kept: DataFrame | None = None,
+    log: DataFrame, customers: DataFrame, share: float = SHARE, kept: DataFrame | None = None,
 ) -> DataFrame:
     """Bookings that the target's rules refuse, with the reason."""
-    return _rental_rows(log, customers, hot_rows, kept).where(F.col("reason").isNotNull())
+    return _rental_rows(log, customers, share, kept).where(F.col("reason").isNotNull())
 
 
 def migration_cleanup(tables: Tables) -> Tables:

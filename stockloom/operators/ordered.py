@@ -1,8 +1,11 @@
 """Running values over an ordered key that stay spread out when one key holds most of the rows.
 
-A plain window sends every row of a key to one task. Here the few keys whose row count would make such a task the
-bottleneck are cut into sorted blocks: each block gets its local running value, and the value carried in from the
-blocks before it is added from a per-block summary (one row per block). All other keys use the plain window.
+A plain window sends every row of a key to one task. Here keys that hold more than their share of an average partition are
+cut into blocks at sampled rows, so that a block is about a partition. Each block gets its local running value, and what
+the blocks before it carry in comes from a summary of one row per block. The other keys are a block of their own.
+
+A block follows from the row and the cuts alone, so it does not matter which task computes it, nor how often, and nothing is
+written between the steps. Like a range partitioning, splitting takes a job of its own that counts and samples.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
-# A key below this many rows sorts comfortably inside one task.
-HOT_ROWS = 5_000_000
+#: A key is split when it holds more rows than so many average shuffle partitions.
+SHARE = 2.0
 
+_SAMPLES = 32  # of a hot key, per average partition; every 32nd one is a cut
 _BLOCK = "_block"
+_CUTS = "_cuts"
 _POS = "_pos"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number inside the partition in the lower 33 bits
 
@@ -26,21 +31,40 @@ def _partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list:
-    """Keys worth splitting: over ``hot_rows`` rows, the largest first, at most one per shuffle partition.
+def key_splits(df: DataFrame, keys: Sequence[str], order: Sequence[str], share: float = SHARE) -> DataFrame | None:
+    """The keys worth splitting with the ordered rows that cut them: keys, _cuts (array of structs of ``order``), or None.
 
-    A key outside that list holds less than an average partition, so a plain window is fine for it.
+    There are at most ``partitions / share`` such keys, and about one cut for each average partition they fill (more for a
+    share below 2); that bounds the frame whatever the size of ``df``. Rows are sampled by their hash.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    top = counts.orderBy(F.col("_rows").desc(), *keys).limit(_partitions(df.sparkSession))
-    return top.select(*keys).collect()
+    spark = df.sparkSession
+    parts = _partitions(spark)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    size = counts.agg(F.sum("_rows").alias("all"), F.max("_rows").alias("most")).first()
+    if not size.all or size.most * parts <= share * size.all:
+        return None
+    hot = counts.where(F.col("_rows") * parts > share * size.all).select(*keys)
+    rate = min(1.0, _SAMPLES * parts * SHARE / (share * size.all))
+    drawn = F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 30)) < int(rate * (1 << 30))
+    sampled = df.select(*keys, *order).where(drawn).join(F.broadcast(hot), list(keys))
+    rows = F.array_sort(F.collect_list(F.struct(*order)))
+    cut = sampled.groupBy(*keys).agg(F.filter(rows, lambda _, i: i % _SAMPLES == _SAMPLES - 1).alias(_CUTS))
+    found = cut.where(F.size(_CUTS) > 0).collect()
+    return spark.createDataFrame(found, cut.schema) if found else None
+
+
+def _with_block(df: DataFrame, most: int) -> DataFrame:
+    """Add how many of the cuts of its key lie at or before a row, by bisection; 0 for a key without cuts."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(_CUTS, at + s - 1) <= F.col("_row"), at + s).otherwise(at))
+    return df.withColumn(_BLOCK, F.when(F.col(_CUTS).isNull(), F.lit(0)).otherwise(place)).drop(_CUTS, "_row")
 
 
 def _order(order: Sequence[str], latest_first: bool) -> list[Column]:
     return [F.col(c).desc() if latest_first else F.col(c).asc() for c in order]
 
 
-def _plain(df, partition, order, sums, lasts, latest_first):
+def _local(df, partition, order, sums, lasts, latest_first):
     spec = Window.partitionBy(*partition).orderBy(*_order(order, latest_first))
     through = spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = spec.rowsBetween(Window.unboundedPreceding, -1)
@@ -49,32 +73,6 @@ def _plain(df, partition, order, sums, lasts, latest_first):
     return df.withColumns(added)
 
 
-def _blocked(df, keys, order, sums, lasts, latest_first, blocks):
-    spark = df.sparkSession
-    sort = [F.col(k).asc() for k in keys] + _order(order, latest_first)
-    path = scratch_path(spark, "blocks")
-    # Written once: the block of a row must not change if a later stage is run again after an executor is lost.
-    df.repartitionByRange(blocks, *sort).withColumn(_BLOCK, F.spark_partition_id()).write.parquet(path)
-    cut = spark.read.parquet(path)
-
-    rank = F.struct(*order)
-    pick = F.min_by if latest_first else F.max_by
-    totals = [F.sum(value).alias(f"_c_{name}") for name, value in sums.items()]
-    totals += [pick(value, F.when(value.isNotNull(), rank)).alias(f"_c_{name}") for name, value in lasts.items()]
-    summary = cut.groupBy(*keys, _BLOCK).agg(*totals)
-    before = Window.partitionBy(*keys).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = {f"_c_{name}": F.sum(f"_c_{name}").over(before) for name in sums}
-    carried |= {f"_c_{name}": F.last(f"_c_{name}", ignorenulls=True).over(before) for name in lasts}
-    # One row per (key, block) pair: at most blocks + hot keys rows, both bounded by the shuffle partitions.
-    carry = F.broadcast(summary.withColumns(carried))
-
-    local = _plain(cut, [*keys, _BLOCK], order, sums, lasts, latest_first)
-    joined = local.join(carry, [*keys, _BLOCK])
-    final = {name: F.coalesce(F.col(f"_c_{name}") + F.col(name), F.col(name), F.col(f"_c_{name}")) for name in sums}
-    final |= {name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in lasts}
-    return joined.withColumns(final).select(*df.columns, *sums, *lasts)
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -83,28 +81,40 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     latest_first: bool = False,
-    hot_rows: int = HOT_ROWS,
-    hot: list | None = None,
+    share: float = SHARE,
+    splits: DataFrame | None | bool = True,
 ) -> DataFrame:
     """Add running columns per key, rows taken in ``order``.
 
     ``sums``: running total up to and including the row. ``lasts``: last non-null value strictly before the row.
     ``order`` must be unique within a key; ``latest_first`` walks it backwards. Keys and order are not null.
-    ``hot``: the keys to split, when they are known already.
+    ``splits``: what ``key_splits`` returns for these keys, if it is known already.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    if hot is None:
-        hot = hot_keys(df, keys, hot_rows)
-    if not hot:
-        return _plain(df, keys, order, sums, lasts, latest_first)
-    schema = df.select(*keys).schema
-    hot_df = F.broadcast(df.sparkSession.createDataFrame(hot, schema))
-    cold = _plain(df.join(hot_df, list(keys), "left_anti"), keys, order, sums, lasts, latest_first)
-    blocks = _partitions(df.sparkSession)
-    split = _blocked(
-        df.join(hot_df, list(keys), "left_semi").select(*df.columns), keys, order, sums, lasts, latest_first, blocks
-    )
-    return cold.select(*split.columns).unionByName(split)
+    if splits is True:
+        splits = key_splits(df, keys, order, share)
+    if splits is None:
+        return _local(df, keys, order, sums, lasts, latest_first)
+    most = splits.agg(F.max(F.size(_CUTS))).first()[0]
+    rows = df.withColumn("_row", F.struct(*order))
+
+    # The summary is taken from split keys only: at most one row per cut and key.
+    rank = F.struct(*order)
+    pick = F.min_by if latest_first else F.max_by
+    totals = [F.sum(value).alias(f"_c_{name}") for name, value in sums.items()]
+    totals += [pick(value, F.when(value.isNotNull(), rank)).alias(f"_c_{name}") for name, value in lasts.items()]
+    summary = _with_block(rows.join(F.broadcast(splits), list(keys)), most).groupBy(*keys, _BLOCK).agg(*totals)
+    earlier = Window.partitionBy(*keys).orderBy(*_order([_BLOCK], latest_first)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = {f"_c_{name}": F.sum(f"_c_{name}").over(earlier) for name in sums}
+    carried |= {f"_c_{name}": F.last(f"_c_{name}", ignorenulls=True).over(earlier) for name in lasts}
+    carry = F.broadcast(summary.withColumns(carried))
+
+    marked = _with_block(rows.join(F.broadcast(splits), list(keys), "left"), most)
+    local = _local(marked, [*keys, _BLOCK], order, sums, lasts, latest_first)
+    joined = local.join(carry, [*keys, _BLOCK], "left")
+    final = {name: F.coalesce(F.col(f"_c_{name}") + F.col(name), F.col(name), F.col(f"_c_{name}")) for name in sums}
+    final |= {name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in lasts}
+    return joined.withColumns(final).select(*df.columns, *sums, *lasts)
 
 
 def global_row_number(df: DataFrame, order: Sequence[str], name: str = "id") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import margin_pct, money
 from ..schemas import TOTAL, Tables
-from .ordered import HOT_ROWS, global_row_number, running
+from .ordered import SHARE, global_row_number, running
 
 _MOVE, _LIFE, _RENT = 1, 2, 3  # source rank: breaks ties between tables, newest wins
 _NOBODY = "\u0001"  # starts a join key that no customer id can have
@@ -353,10 +353,10 @@ def legacy_live(log: DataFrame) -> DataFrame:
     )
 
 
-def running_stock(log: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_stock(log: DataFrame, share: float = SHARE) -> DataFrame:
     """Log rows with the stock level of their SKU after each row."""
     quantity = F.coalesce("quantity_change", F.lit(0))
-    return running(log, ["item_sku"], ["created_at", "seq"], sums={"running_stock": quantity}, hot_rows=hot_rows)
+    return running(log, ["item_sku"], ["created_at", "seq"], sums={"running_stock": quantity}, share=share)
 
 
 def newest_rows(df: DataFrame, key: str, order: list[str], n: int) -> DataFrame:

@@ -649,15 +649,20 @@ def a5_duplicate_submits(spark, d):
 
 @_query
 def a5_drop_repeats_stream(spark, d):
-    schema = fx.table(spark, d, "events").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    """The actions left when the log arrives in five parts, each with actions of all times, and a last one far ahead."""
+    parts, events = scratch_path(spark, "parts"), fx.table(spark, d, "events")
+    for part in range(5):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(5)) == part).write.parquet(f"{parts}/{part}")
+    ahead = events.orderBy("event_id").limit(1).withColumn("ts", (F.col("ts") + F.make_ym_interval(F.lit(100))).cast(events.schema["ts"].dataType))
+    ahead.write.parquet(f"{parts}/ahead")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(parts)
     raw = fx.raw_from_events(source).select("seq", "created_at", "item_sku", "action_type")
-    unique = stream.drop_repeats(raw, REPEAT_SECONDS, "30 days").select("item_sku", "action_type", "slot")
+    unique = stream.drop_repeats(raw, REPEAT_SECONDS, "1000 days")
     out = scratch_path(spark, "unique")
     unique.writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", scratch_path(spark, "offsets")
     ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.schema(unique.schema).parquet(out)
 
 
 @_query

@@ -708,8 +708,9 @@ bad AS (SELECT * REPLACE (
     add("a5_duplicate_submits", """SELECT seq, created_at, item_sku, action_type, repeats_seq, repeats_at FROM (
         SELECT *, lag(seq) OVER w AS repeats_seq, lag(created_at) OVER w AS repeats_at FROM fx_elog
         WINDOW w AS (PARTITION BY item_sku, action_type ORDER BY created_at, seq)) WHERE created_at - repeats_at <= INTERVAL 3 HOUR""")
-    add("a5_drop_repeats_stream", """SELECT DISTINCT item_sku, action_type, (epoch(created_at)::BIGINT // 10800)::BIGINT AS slot
-        FROM (SELECT item_sku, action_type, date_trunc('second', created_at) AS created_at FROM fx_raw)""")
+    add("a5_drop_repeats_stream", """SELECT seq, created_at, item_sku, action_type FROM (
+        SELECT *, lag(created_at) OVER (PARTITION BY item_sku, action_type ORDER BY created_at, seq) AS before FROM fx_raw)
+        WHERE before IS NULL OR created_at - before > INTERVAL 3 HOUR""")
     add("a6_cross_shop_skus", "SELECT * FROM crossed", _ELOG)
     add("a7_status_desync", "SELECT * FROM desync", _ELOG)
     add("a8_count_delta", """SELECT item_sku, shop_type, recorded_qty, physical_qty, delta, CASE WHEN abs(delta) > 5 OR sell_price >= 1000

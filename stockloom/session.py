@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join partition even where an aggregation on the same key follows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sessions of a stream are merged before the shuffle, so that a busy key arrives as few rows.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # Executor loss must not lose shuffle output when decommissioning is in use.
     "spark.storage.decommission.shuffleBlocks.enabled": "true",
 }

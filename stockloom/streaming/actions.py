@@ -6,7 +6,7 @@ first attempt wrote, and no table is rewritten. Items and rentals are kept as ch
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
@@ -181,23 +181,20 @@ def ingest_stream(
     )
 
 
-def repeat_slot(created_at: Column, seconds: int) -> Column:
-    """Number of the ``seconds``-long slot a time falls into."""
-    day = F.unix_date(F.to_date(created_at)).cast("bigint") * 86_400
-    of_day = F.hour(created_at) * 3600 + F.minute(created_at) * 60 + F.second(created_at)
-    return F.floor((day + of_day) / seconds)
-
-
 def drop_repeats(raw: DataFrame, seconds: int = 5, lateness: str = "1 day") -> DataFrame:
-    """Stream that keeps one action per SKU, action and slot of ``seconds``.
+    """Stream without the actions that repeat the SKU and action of the one before them within ``seconds``.
 
-    Actions further apart than ``seconds`` are never taken for repeats, however large a micro-batch is, and a busy SKU
-    is spread over its slots. A repeat across the edge of two slots passes; the batch check finds it. Actions that
-    arrive more than ``lateness`` behind the newest one are no longer accepted.
+    The rows left are those that ``duplicate_submits`` does not list. Actions that follow each other within ``seconds`` make
+    up a session, whatever order and micro-batch they arrive in, and the first of them is kept. The state of a SKU and action
+    is that row and the end of its session; it is given out and forgotten once the watermark, ``lateness`` behind the newest
+    action, has passed the session. So a row comes out that much later, and a stream that ends holds its last sessions back
+    until a later action arrives. Actions further behind are no longer accepted, nor are those without a time.
     """
-    slotted = raw.withColumn("slot", repeat_slot(F.col("created_at"), seconds))
-    return (
-        slotted.withColumn("created_at", F.col("created_at").cast("timestamp"))
-        .withWatermark("created_at", lateness)
-        .dropDuplicatesWithinWatermark(["item_sku", "action_type", "slot"])
-    )
+    timed = raw.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", lateness)
+    rest = [c for c in raw.columns if c not in ("created_at", "seq", "item_sku", "action_type")]
+    first = F.min(F.struct("created_at", "seq", *rest)).alias("_first")
+    sessions = timed.groupBy(F.session_window("created_at", f"{seconds} seconds"), "item_sku", "action_type").agg(first)
+    kind = raw.schema["created_at"].dataType
+    at = {c: F.col(f"_first.{c}") for c in ("created_at", "seq", *rest)} | {c: F.col(c) for c in ("item_sku", "action_type")}
+    at["created_at"] = at["created_at"].cast(kind)
+    return sessions.select(*(at[c].alias(c) for c in raw.columns))

@@ -101,10 +101,10 @@ def check(tables, rejects, actions):
     assert {r.seq for r in rejects.collect()} == rejected
 
 
-@pytest.mark.parametrize("seed,hot_rows", [(1, 10**9), (2, 10)])
-def test_ingest_equals_replay(spark, seed, hot_rows):
+@pytest.mark.parametrize("seed,share", [(1, 10**9), (2, 0.01)])
+def test_ingest_equals_replay(spark, seed, share):
     actions = random_actions(300, seed)
-    done = ingest.ingest(raw(spark, actions), base_tables(spark), hot_rows)
+    done = ingest.ingest(raw(spark, actions), base_tables(spark), share)
     check(done.tables, done.rejects, actions)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 from decimal import Decimal
 
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stockloom.operators import audits
 from stockloom.sources import csv_files, tables as files
+from stockloom.streaming.actions import drop_repeats
 
 NOW = dt.datetime(2024, 3, 1, 9)
 LIVE = ("shop_type string, item_sku string, item_name string, brand_designer string, item_image string,"
@@ -87,8 +89,8 @@ def test_log_audits(spark):
     ])
     assert [r.seq for r in audits.unmatched_rentals(df).collect()] == [3]
     assert sorted(r.seq for r in audits.unmatched_rentals(df, paired=True).collect()) == [0, 3]
-    for hot_rows in (10**9, 1):
-        repeats = audits.duplicate_submits(df, 5, hot_rows).collect()
+    for share in (10**9, 0.01):
+        repeats = audits.duplicate_submits(df, 5, share).collect()
         assert [(r.seq, r.repeats_seq) for r in repeats] == [(1, 0)]
     assert [r.item_sku for r in audits.cross_shop_skus(df).collect()] == ["A"]
     assert sorted((r.item_sku, r.bridal_status) for r in audits.status_desync(df).collect()) == [("A", "Rented"), ("B", None)]
@@ -106,8 +108,8 @@ def test_counts(spark):
     deltas = audits.count_delta(counts, live, high_value=50, recurring=again)
     assert {r.item_sku: r.severity for r in deltas.collect()} == {
         "A": "minor", "B": "minor", "C": "severe", "D": "moderate", "E": "severe"}
-    for hot_rows in (10**9, 0):
-        pairs = {r.item_sku: (r.counterparts, r.partner_sku) for r in audits.wrong_sku_pairs(deltas, hot_rows).collect()}
+    for share in (10**9, 0.01):
+        pairs = {r.item_sku: (r.counterparts, r.partner_sku) for r in audits.wrong_sku_pairs(deltas, share).collect()}
         assert pairs == {"A": (2, "B"), "B": (2, "A"), "C": (2, "E"), "E": (2, "C")}
     causes = audits.assign_cause(deltas, {
         "Status desync": [deltas.where("item_sku in ('A', 'B')")], "Unrecorded return": [deltas.where("item_sku = 'A'")]})
@@ -127,3 +129,23 @@ def test_corrections(spark):
         {"created_at": F.lit("x"), "item_sku": F.lit("A"), "action_type": F.lit("Restock")})
     got = {r.id: (r.kind, r.row_reference, r.missing_reference) for r in audits.correction_rows(df).collect()}
     assert got == {1: ("CORRECTION", "41", False), 2: ("CORRECTION", None, True), 3: ("BACKFILL", None, False)}
+
+
+def test_repeats_on_a_stream_are_those_of_the_batch(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=draw.choice([5 * i, 7 * draw.randrange(300), 500, 505, 510.001])),
+             draw.choice(["hot", "hot", "hot", "b", None]), draw.choice(["Restock", "Retail Sale"]), f"n{i}") for i in range(300)]
+    schema = "seq bigint, created_at timestamp_ntz, item_sku string, action_type string, notes string"
+    # Six micro-batches whose rows come in no order; the last one moves the watermark past all of them.
+    for k in range(6):
+        spark.createDataFrame(rows[k::6], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([(10**6, dt.datetime(2030, 1, 1), "end", "Restock", None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/9")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    query = drop_repeats(source, 5, "1 day").writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(p["numInputRows"] > 0 for p in query.recentProgress) >= 6
+    kept = spark.read.schema(schema).parquet(f"{tmp_path}/out").where("item_sku is null or item_sku <> 'end'").collect()
+    repeats = {r.seq for r in audits.duplicate_submits(spark.createDataFrame(rows, schema), 5).collect()}
+    assert len(repeats) > 50
+    assert sorted(tuple(r) for r in kept) == sorted((r for r in rows if r[0] not in repeats), key=lambda r: r[0])

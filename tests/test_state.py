@@ -144,7 +144,7 @@ def test_migration(spark):
     assert [(r.item_sku, r.status, r.returned_at, r.due_date) for r in rent] == [
         ("A", "Returned", T0 + dt.timedelta(hours=4), dt.date(2024, 3, 8))]
     # The same with every key cut into blocks.
-    assert sorted(map(tuple, migrate.backfill_rentals(log, done.customers, hot_rows=0).collect())) == sorted(map(tuple, rent))
+    assert sorted(map(tuple, migrate.backfill_rentals(log, done.customers, share=0.01).collect())) == sorted(map(tuple, rent))
     # No contact means no customer row to point at.
     assert [r.item_sku for r in migrate.rental_rejects(log, done.customers).collect()] == ["B"]
     assert [r.status for r in migrate.lifecycle_rejects(log).collect()] == ["Returned"]
