@@ -294,43 +294,68 @@ def _described(tables: Tables, events: DataFrame, with_id: bool) -> DataFrame:
     return priced.select(*(("id",) if with_id else ()), *_HISTORY)
 
 
+_RANK = ("created_at", "src", "seq")
+
+
+def _event_keys(tables: Tables, items: DataFrame) -> DataFrame:
+    """(created_at, src, seq, item_sku) of the events of ``items``, straight from the three event tables."""
+    parts = ((tables.movements, _MOVE, "created_at"), (tables.lifecycle, _LIFE, "occurred_at"), (tables.rentals, _RENT, "booked_at"))
+    union = None
+    for df, source, at in parts:
+        keys = df.select(F.col(at).alias("created_at"), F.lit(source).alias("src"), F.col("id").alias("seq"), "item_sku")
+        union = keys if union is None else union.unionByName(keys)
+    return union.join(items.select("item_sku"), "item_sku", "left_semi")
+
+
+def _ranks(keys: DataFrame, wanted: list) -> list[int]:
+    """How many rows of ``keys`` come up to each of the ``wanted`` rows, which are in order and few enough for a literal.
+
+    One aggregation over the bare keys: each row finds the wanted rows before it by bisection, whatever times they share.
+    """
+    schema = keys.select(*_RANK).schema
+    text = "[" + ",".join(
+        f'{{"created_at":{"null" if r.created_at is None else chr(34) + r.created_at.isoformat() + chr(34)},"src":{r.src},"seq":{r.seq}}}'
+        for r in wanted) + "]"
+    cuts = F.from_json(F.lit(text), f"array<{schema.simpleString()}>")
+    row = F.struct(*_RANK)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(wanted).bit_length()))])
+    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(cuts, at + s - 1) < row, at + s).otherwise(at))
+    # Nearly all of a long log lies before a page.
+    place = F.when(row <= F.get(cuts, F.lit(0)), F.lit(0)).otherwise(place)
+    counts = {r.place: r.n for r in keys.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    ranks, total = [], 0
+    for k in range(len(wanted)):
+        total += counts.get(k, 0)
+        ranks.append(total)
+    return ranks
+
+
 def history_page(tables: Tables, shop: str | None, sku: str | None, size: int) -> DataFrame:
     """The newest ``size`` rows of ``history`` (of a shop, of a SKU) with their ids, without numbering the log.
 
-    The id of an event is the number of events up to it, so for the rows of a page it follows from counts: of the events
-    between the page's times, and of those that share one of its times. Each is one aggregation over the bare keys, and
-    what comes back to the driver is no longer than the page.
+    The id of an event is the number of events up to it. Both the choice of the page and the counts work on bare keys; names,
+    prices and statuses are looked up for the rows of the page only. What comes back to the driver is no longer than the page.
     """
     spark = tables.items.sparkSession
-    known = _history_events(tables).join(tables.items.select("item_sku"), "item_sku", "left_semi")
-    rows = known
-    if shop is not None:
-        rows = rows.join(tables.items.where(F.col("shop_code") == shop).select("item_sku"), "item_sku", "left_semi")
-    if sku is not None:
-        rows = rows.where(F.col("item_sku") == sku)
-    newest = rows.orderBy(F.col("created_at").desc(), F.col("src").desc(), F.col("seq").desc()).limit(size)
-    found = newest.collect()
-    times = sorted({r.created_at for r in found if r.created_at is not None})
-    kind = newest.schema["created_at"].dataType.simpleString()
-    keys = known.select("created_at", "src", "seq")
-    listed = F.split(F.lit(",".join(t.isoformat(" ") for t in times)), ",").cast(f"array<{kind}>")
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(times).bit_length()))])
-    place = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
-        F.get(listed, at + s - 1) <= F.col("created_at"), at + s).otherwise(at))
-    between = {r.place: r.n for r in keys.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).collect()} if times else {}
-    page = spark.createDataFrame(found, newest.schema)
-    cuts = page.select("created_at", F.struct("src", "seq").alias("cut"))
-    # Events at the very times of the page, up to each of its rows.
-    same = keys.join(F.broadcast(cuts), "created_at").where(F.struct("src", "seq") <= F.col("cut"))
-    same = same.groupBy("created_at", "cut").agg(F.count(F.lit(1)).alias("n")).collect()
-    before, total = {}, 0
-    for k, t in enumerate(times):
-        total += between.get(k, 0)
-        before[t] = total
-    ids = {(r.created_at, r.cut.src, r.cut.seq): before[r.created_at] + r.n for r in same}
-    numbered = [(*r, ids[r.created_at, r.src, r.seq]) for r in found]
-    events = spark.createDataFrame(numbered, newest.select("*", F.lit(0).cast("bigint").alias("id")).schema)
-    return _described(tables, events, True).orderBy(F.col("created_at").desc(), F.col("id").desc())
+    items = tables.items if shop is None else tables.items.where(F.col("shop_code") == shop)
+    rows = _event_keys(tables, items if sku is None else items.where(F.col("item_sku") == sku))
+    newest = rows.orderBy(*(F.col(c).desc() for c in _RANK)).limit(size)
+    found = newest.collect()[::-1]
+    ranks = _ranks(_event_keys(tables, tables.items), found) if found else []
+    kind = newest.select("item_sku", *_RANK, F.lit(0).cast("bigint").alias("id")).schema
+    page = spark.createDataFrame([(r.item_sku, r.created_at, r.src, r.seq, n) for r, n in zip(found, ranks)], kind)
+
+    skus = F.broadcast(page.select("item_sku").distinct())
+    of_page = lambda df: df.join(skus, "item_sku", "left_semi")
+    listed = lambda df, source: df.join(
+        F.broadcast(page.where(F.col("src") == source).select("item_sku", F.col("seq").alias("id"))), ["item_sku", "id"], "left_semi")
+    near = Tables(of_page(tables.items), tables.movements, of_page(tables.lifecycle), tables.customers, of_page(tables.rentals))
+    events = _history_events(Tables(
+        near.items, listed(tables.movements, _MOVE), listed(tables.lifecycle, _LIFE), tables.customers, listed(tables.rentals, _RENT)))
+    asked = page.select("id", *(F.col(c).alias(f"_p_{c}") for c in ("item_sku", *_RANK)))
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in ("item_sku", *_RANK)]
+    numbered = events.join(F.broadcast(asked), same).select(*events.columns, "id")
+    return _described(near, numbered, True).orderBy(F.col("created_at").desc(), F.col("id").desc())
 
 
 def legacy_live(log: DataFrame) -> DataFrame:

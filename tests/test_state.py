@@ -181,3 +181,17 @@ def test_history_page_has_the_ids_of_the_log(spark):
         tables = fx.tables(spark, "/root/testdata/sf0.001")
         plain = queries.history_query(state.history(tables), shop, sku, limit)
         assert queries.history_page(tables, shop, sku, limit).collect() == plain.collect()
+
+
+def test_history_page_of_tied_events(spark):
+    """All events of an import share one time; ranks come from one pass over their keys."""
+    tables = fx.tables(spark, "/root/testdata/sf0.001")
+    at = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
+    tied_page = state.Tables(tables.items, tables.movements.withColumn("created_at", at), tables.lifecycle, tables.customers, tables.rentals)
+    plain = queries.history_query(state.history(tied_page), None, None, 400)
+    assert queries.history_page(tied_page, None, None, 400).collect() == plain.collect()
+
+
+def test_history_page_of_nothing(spark):
+    tables = fx.tables(spark, "/root/testdata/sf0.001")
+    assert queries.history_page(tables, None, "no such SKU", 5).collect() == []
