@@ -25,14 +25,29 @@ def _at(as_of: dt.datetime | None) -> Column:
     return instant(as_of) if as_of else F.lit(None).cast(AT)
 
 
+def _newest_rows(log: DataFrame) -> DataFrame:
+    return log.groupBy("item_sku").agg(F.max(F.struct("created_at", "seq", "shop_type", *_ITEM)).alias("n"))
+
+
+def _price_refused() -> Column:
+    """Whether the newest row of a SKU has a price that the items table does not allow."""
+    return F.coalesce((F.col("n.stock_cost_price") < 0) | (F.col("n.sell_price") < 0), F.lit(False))
+
+
+def item_rejects(log: DataFrame) -> DataFrame:
+    """(id, item_sku, reason) of the newest log rows that cannot become an item."""
+    return _newest_rows(log).where(_price_refused()).select(
+        F.col("n.seq").alias("id"), "item_sku", F.lit("price below 0").alias("reason"))
+
+
 def backfill_items(log: DataFrame, items: DataFrame | None = None, as_of: dt.datetime | None = None) -> DataFrame:
     """Newest log row per SKU becomes the item.
 
     An existing item keeps every column the log says nothing about (shop, active mark, creation time, further ones) and
-    takes the rest; ``as_of`` becomes the update time of the items taken over, and both times of new ones.
+    takes the rest; ``as_of`` becomes the update time of the items taken over, and both times of new ones. A row with a price
+    below 0 makes no item and changes none.
     """
-    newest = log.groupBy("item_sku").agg(F.max(F.struct("created_at", "seq", "shop_type", *_ITEM)).alias("n"))
-    fresh = newest.select(
+    fresh = _newest_rows(log).where(~_price_refused()).select(
         "item_sku", F.col("n.shop_type").alias("shop_code"),
         *(F.col(f"n.{c}").alias(c) for c in _ITEM if c != "min_stock_alert"),
         F.coalesce("n.min_stock_alert", F.lit(DEFAULT_ALERT)).alias("min_stock_alert"),
@@ -185,20 +200,32 @@ def migrate(
     """All backfills in order. With ``tables``, a rerun over the result of the first run changes nothing but, where
     ``as_of`` is given, the update time of the items.
 
-    Every status change and every SKU's newest booking ends up in a table or in ``rejects``.
+    Every stock movement, status change and newest booking of a SKU ends up in a table or in ``rejects``, and so does every
+    SKU's newest row. Rows of an item that is refused and not known are refused with it.
     """
     base = migration_cleanup(tables) if tables else None
     items = backfill_items(log, base.items if base else None, as_of)
     customers = backfill_customers(log, base.customers if base else None, as_of, user)
-    moved, changed = backfill_movements(log), backfill_lifecycle(log)
+    # Without its item a row has nowhere to go.
+    bad_items = item_rejects(log)
+    missing = bad_items.select("item_sku")
+    if base:
+        missing = missing.join(base.items.select("item_sku"), "item_sku", "left_anti")
     kept = base.rentals if base else None
-    rented = backfill_rentals(log, customers, kept=kept)
-    refused = (
-        lifecycle_rejects(log).select(
-            F.lit("item_lifecycle_events").alias("table_name"), "id", "item_sku", F.lit("status not allowed").alias("reason"))
-        .unionByName(rental_rejects(log, customers, kept=kept).select(
-            F.lit("rentals").alias("table_name"), "id", "item_sku", "reason"))
-    )
+
+    def rows(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return backfill_movements(part), backfill_lifecycle(part), backfill_rentals(part, customers, kept=kept)
+
+    orphans = log.join(missing, "item_sku", "left_semi")
+    moved, changed, rented = rows(log.join(missing, "item_sku", "left_anti"))
+    names = ("stock_movements", "item_lifecycle_events", "rentals")
+    refused = bad_items.select(F.lit("items").alias("table_name"), "id", "item_sku", "reason")
+    for name, part in zip(names, rows(orphans)):
+        refused = refused.unionByName(part.select(F.lit(name).alias("table_name"), "id", "item_sku", F.lit("item refused").alias("reason")))
+    refused = refused.unionByName(lifecycle_rejects(log).select(
+        F.lit("item_lifecycle_events").alias("table_name"), "id", "item_sku", F.lit("status not allowed").alias("reason")))
+    refused = refused.unionByName(rental_rejects(log, customers, kept=kept).select(
+        F.lit("rentals").alias("table_name"), "id", "item_sku", "reason"))
     if base is None:
         return Migrated(Tables(items, moved, changed, customers, rented), refused)
     after = Tables(

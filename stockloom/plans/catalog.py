@@ -94,7 +94,11 @@ def s5_normalize_import(spark, d):
 
 @_query
 def s6_import_report(spark, d):
-    return csv_files.import_report(fx.raw_actions(spark, d), fx.rentals(spark, d))
+    """A CSV folder imported into the tables: what was logged and what failed."""
+    path = scratch_path(spark, "import")
+    raw = fx.raw_actions(spark, d).orderBy("created_at", "seq").drop("created_at", "seq")
+    raw.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    return csv_files.import_counts(csv_files.import_csv(spark, path, fx.full_tables(spark, d), EVENTS_AS_OF))
 
 
 @_query
@@ -523,8 +527,9 @@ def m6_rerun_rows(spark, d):
 
 @_query
 def m_rejects(spark, d):
-    """What a migration cannot take from a log with early due dates, missing contacts and odd statuses."""
+    """What a migration cannot take from a log with prices below 0, early due dates, missing contacts and odd statuses."""
     bad = fx.log(spark, d).withColumns({
+        "sell_price": F.expr("CASE WHEN min_stock_alert % 11 = 0 THEN CAST(-1 AS DECIMAL(10,2)) ELSE sell_price END"),
         "rental_due_date": F.expr("CASE WHEN min_stock_alert % 5 = 0 THEN DATE'1990-01-01' ELSE rental_due_date END"),
         "customer_name_contact": F.expr("CASE WHEN min_stock_alert % 7 = 0 THEN NULL ELSE customer_name_contact END"),
         "bridal_status": F.expr("CASE WHEN action_type = 'Status Change' AND min_stock_alert % 3 = 0 THEN 'Returned' ELSE bridal_status END"),

@@ -656,16 +656,24 @@ def oracle_queries() -> dict[str, str]:
           FROM fx_log WHERE action_type = 'Status Change')"""), _LOG_TOP, _FULL, _MOVED)
     add("m_rejects", """SELECT 'item_lifecycle_events' AS table_name, seq::VARCHAR AS id, item_sku, 'status not allowed' AS reason FROM bad
         WHERE action_type = 'Status Change' AND bridal_status IN ('Rented', 'Returned')
-        UNION ALL SELECT 'rentals', seq::VARCHAR, item_sku,
-          CASE WHEN customer_name_contact IS NULL THEN 'customer unknown' ELSE 'due date before booking' END
+        UNION ALL SELECT * FROM (SELECT 'rentals', seq::VARCHAR, item_sku,
+          CASE WHEN customer_name_contact IS NULL THEN 'customer unknown' WHEN rental_due_date < created_at::DATE THEN 'due date before booking'
+            WHEN sell_price IS NULL THEN 'price missing' WHEN item_sku IN (SELECT item_sku FROM refused) THEN 'item refused' END AS reason
         FROM (SELECT * FROM bad WHERE action_type = 'Rental Out'
-          QUALIFY row_number() OVER (PARTITION BY item_sku ORDER BY created_at DESC, seq DESC) = 1)
-        WHERE customer_name_contact IS NULL OR rental_due_date < created_at::DATE""", """
+          QUALIFY row_number() OVER (PARTITION BY item_sku ORDER BY created_at DESC, seq DESC) = 1)) WHERE reason IS NOT NULL
+        UNION ALL SELECT 'items', seq::VARCHAR, item_sku, 'price below 0' FROM refused
+        UNION ALL SELECT 'stock_movements', seq::VARCHAR, item_sku, 'item refused' FROM bad
+        WHERE action_type IN ('New Item', 'Restock', 'Retail Sale') AND item_sku IN (SELECT item_sku FROM refused)
+        UNION ALL SELECT 'item_lifecycle_events', seq::VARCHAR, item_sku, 'item refused' FROM bad
+        WHERE action_type = 'Status Change' AND bridal_status NOT IN ('Rented', 'Returned') AND item_sku IN (SELECT item_sku FROM refused)""", """
 bad AS (SELECT * REPLACE (
+    CASE WHEN min_stock_alert % 11 = 0 THEN -1 ELSE sell_price END AS sell_price,
     CASE WHEN min_stock_alert % 5 = 0 THEN DATE '1990-01-01' ELSE rental_due_date END AS rental_due_date,
     CASE WHEN min_stock_alert % 7 = 0 THEN NULL ELSE customer_name_contact END AS customer_name_contact,
     CASE WHEN action_type = 'Status Change' AND min_stock_alert % 3 = 0 THEN 'Returned' ELSE bridal_status END AS bridal_status)
-  FROM fx_log)""")
+  FROM fx_log),
+refused AS (SELECT * FROM (SELECT * FROM bad QUALIFY row_number() OVER (PARTITION BY item_sku ORDER BY created_at DESC, seq DESC) = 1)
+  WHERE sell_price < 0 OR stock_cost_price < 0)""")
     add("m7_migration_counts", _MIGRATED_COUNTS)
     add("m8_sku_parity", """SELECT count(DISTINCT item_sku) AS legacy_skus, count(DISTINCT item_sku) AS new_items, true AS match FROM fx_log""")
     add("m9_inflight_rentals", """SELECT count(*) AS inflight FROM fx_log WHERE action_type = 'Rental Out'

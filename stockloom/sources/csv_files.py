@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import instant, js_trim
-from ..operators.ingest import accepted, decide
+from ..operators.ingest import Ingested, accepted, decide, ingest
 from ..operators.ordered import global_row_number
-from ..schemas import RAW_FIELDS
+from ..schemas import DEFAULT_USER, RAW_FIELDS, ROW_ID, Tables
 
 # The exported columns, in order.
 EXPORT_COLUMNS = (
@@ -73,12 +74,42 @@ def normalize_import(rows: DataFrame, as_of: dt.datetime, first: int = 0) -> Dat
 
     fields = [f for f in RAW_FIELDS if f != "quantity"]
     number = F.col("row_no") if "row_no" in rows.columns else F.monotonically_increasing_id()
+    # Ids of very large sources do not fit 64 bits.
+    fits = first < 1 << 62
+    seq = (number + F.lit(first)).cast("bigint") if fits else (number.cast(ROW_ID) + F.lit(Decimal(first))).cast(ROW_ID)
     return rows.select(
-        (number + F.lit(first)).cast("bigint").alias("seq"), instant(as_of).alias("created_at"),
+        seq.alias("seq"), instant(as_of).alias("created_at"),
         *(pick(f) for f in fields), F.lit(None).cast("string").alias("quantity"),
     )
 
 
+def next_id(tables: Tables) -> int:
+    """A number above the row ids of all event tables."""
+    tops = [df.agg(F.max("id").alias("top")) for df in (tables.movements, tables.lifecycle, tables.rentals)]
+    top = tops[0].unionByName(tops[1]).unionByName(tops[2]).agg(F.max("top")).first()[0]
+    return 0 if top is None else int(top) + 1
+
+
+def import_csv(
+    spark: SparkSession, path: str, tables: Tables, as_of: dt.datetime, first: int | None = None, user: str = DEFAULT_USER,
+    multi_line: bool = False,
+) -> Ingested:
+    """A CSV file or folder logged as actions: the tables after it, the rejects, and a result for each logged row.
+
+    Rows are taken in the order of the files and get ids from ``first`` on, by default above all ids in the tables, so no
+    two imports share an id. A row that fails leaves no trace but its reject.
+    """
+    rows = read_import_csv(spark, path, multi_line, numbered=True)
+    start = next_id(tables) if first is None else first
+    return ingest(normalize_import(rows, as_of, start), tables, user=user)
+
+
+def import_counts(done: Ingested) -> DataFrame:
+    """ok and failed: how many rows of an import were logged, how many were not."""
+    marked = done.results.select(F.lit(1).alias("ok")).unionByName(done.rejects.select(F.lit(0).alias("ok")))
+    return marked.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"), F.count_if(F.col("ok") == 0).alias("failed"))
+
+
 def import_report(actions: DataFrame, open_rentals: DataFrame | None = None) -> DataFrame:
     """How many imported rows are logged and how many fail."""
     decided = decide(actions, open_rentals)
@@ -87,8 +118,10 @@ def import_report(actions: DataFrame, open_rentals: DataFrame | None = None) ->
     )
 
 
-def import_actions(rows: DataFrame, as_of: dt.datetime, open_rentals: DataFrame | None = None) -> DataFrame:
-    return accepted(decide(normalize_import(rows, as_of), open_rentals))
+def import_actions(
+    rows: DataFrame, as_of: dt.datetime, open_rentals: DataFrame | None = None, first: int = 0,
+) -> DataFrame:
+    return accepted(decide(normalize_import(rows, as_of, first), open_rentals))
 
 
 def export_rows(live: DataFrame, shop: str) -> DataFrame:

@@ -149,3 +149,20 @@ def test_repeats_on_a_stream_are_those_of_the_batch(spark, tmp_path):
     repeats = {r.seq for r in audits.duplicate_submits(spark.createDataFrame(rows, schema), 5).collect()}
     assert len(repeats) > 50
     assert sorted(tuple(r) for r in kept) == sorted((r for r in rows if r[0] not in repeats), key=lambda r: r[0])
+
+
+def test_imports_from_csv_share_no_id(spark, tmp_path):
+    from test_ingest import base_tables
+
+    lines = ["shop_type,item_sku,item_name,action_type,sell_price,quantity_change",
+             'Bags,n1,"New, one",New Item,5,2', "Bags,n2,Two,Restock,5,3", "Shoes,n3,Three,Restock,5,3", ",n4,,New Item,,"]
+    (tmp_path / "rows.csv").write_text("\n".join(lines))
+    before = base_tables(spark)
+    once = csv_files.import_csv(spark, str(tmp_path / "rows.csv"), before, NOW, user="desk")
+    assert [tuple(r) for r in csv_files.import_counts(once).collect()] == [(2, 2)]
+    twice = csv_files.import_csv(spark, str(tmp_path / "rows.csv"), once.tables, NOW, user="desk")
+    known = before.movements.count()
+    ids = [r.id for r in twice.tables.movements.collect()]
+    assert len(ids) == known + 4 and len(set(ids)) == len(ids)
+    assert {r.item_sku for r in twice.tables.items.collect()} >= {"N1", "N2"}
+    assert {len(r.errors) > 0 for r in twice.rejects.collect()} == {True}
