@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import days_until, instant, is_overdue
-from .ordered import SHARE, global_row_number, running
+from .ordered import SHARE, running
 from .state import newest_rows
 
 # Cause categories in the order the checks are run; the first that applies wins.
@@ -143,11 +143,19 @@ def snapshot_sku(history: DataFrame, live: DataFrame, deltas: DataFrame, n: int
 
 
 def class_a_skus(live: DataFrame, pct: float = 0.2) -> DataFrame:
-    """The most valuable ``pct`` of the rental SKUs, for cycle counts."""
-    rentable = live.where(F.col("shop_type") == "Bridal").select("item_sku", "item_name", "sell_price")
-    ranked = global_row_number(rentable.withColumn("_down", -F.col("sell_price")), ["_down", "item_sku"], "value_rank")
-    share = F.ceil(ranked.agg(F.count(F.lit(1)).cast("double")).scalar() * F.lit(pct))
-    return ranked.where(F.col("value_rank") <= share).drop("_down")
+    """The most valuable ``pct`` of the rental SKUs with a price, for cycle counts; equal prices go by SKU.
+
+    The share is cut at a price that follows from the counts per price, one row for each price there is. Only SKUs at or
+    above it are ranked, each among those of its own price.
+    """
+    rentable = live.where((F.col("shop_type") == "Bridal") & F.col("sell_price").isNotNull()).select("item_sku", "item_name", "sell_price")
+    counts = rentable.groupBy("sell_price").agg(F.count(F.lit(1)).alias("_n"))
+    dearer = Window.orderBy(F.col("sell_price").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    share = F.ceil(counts.agg(F.sum("_n").cast("double")).scalar() * F.lit(pct))
+    prices = counts.select("sell_price", F.coalesce(F.sum("_n").over(dearer), F.lit(0)).alias("_before")).where(F.col("_before") < share)
+    placed = running(rentable.join(prices, "sell_price"), ["sell_price"], ["item_sku"], sums={"_place": F.lit(1)})
+    ranked = placed.withColumn("value_rank", (F.col("_before") + F.col("_place")).cast("bigint"))
+    return ranked.where(F.col("value_rank") <= share).select("value_rank", "item_sku", "item_name", "sell_price")
 
 
 def discrepancy_trend(incidents: DataFrame, items: DataFrame) -> DataFrame:
