@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import days_until, instant, is_overdue
-from .ordered import SHARE, running
+from .ordered import SHARE, key_splits, running
 from .state import newest_rows
 
 # Cause categories in the order the checks are run; the first that applies wins.
@@ -222,25 +222,29 @@ def wrong_sku_pairs(deltas: DataFrame, share: float = SHARE) -> DataFrame:
     Every SKU with such a counterpart is listed once with the number of counterparts, and with one proposed partner:
     the n-th short SKU goes with the n-th over SKU. The full set of pairs is all of one side with all of the other
     for equal (shop, amount); listing it would grow with the square of the group.
+
+    Both sides are counted in one ordered walk of their group and one back, which give a SKU's place and the size of each side.
+    Partners meet by place, so a group of any size is spread.
     """
-    rows = deltas.where(F.col("delta") != 0).select(
-        "item_sku", "shop_type", "delta", F.abs("delta").alias("amount"), (F.col("delta") > 0).alias("over")
-    )
-    sizes = rows.groupBy("shop_type", "amount").agg(
-        F.count_if("over").alias("_over"), F.count_if(~F.col("over")).alias("_short")
-    ).where((F.col("_over") > 0) & (F.col("_short") > 0))
-    listed = rows.join(sizes, ["shop_type", "amount"]).withColumn(
-        "counterparts", F.when(F.col("over"), F.col("_short")).otherwise(F.col("_over"))
-    ).drop("_over", "_short")
-    ranked = running(
-        listed, ["shop_type", "amount", "over"], ["item_sku"], sums={"place": F.lit(1)}, share=share
-    )
-    other = ranked.select(
-        "shop_type", "amount", (~F.col("over")).alias("over"), "place", F.col("item_sku").alias("partner_sku")
-    )
-    return ranked.join(other, ["shop_type", "amount", "over", "place"], "left").select(
-        "item_sku", "shop_type", "delta", "counterparts", "partner_sku"
-    )
+    group = ["shop_type", "amount"]
+    over = F.col("delta") > 0
+    rows = deltas.where(F.col("delta") != 0).select("item_sku", "shop_type", "delta", F.abs("delta").alias("amount"))
+    splits = key_splits(rows, group, ["item_sku"], share)
+    sides = {"over": F.when(over, 1).otherwise(0), "short": F.when(over, 0).otherwise(1)}
+    walked = running(rows, group, ["item_sku"], sums=sides, splits=splits)
+    back = {f"_{name}": value for name, value in sides.items()}
+    counted = running(walked, group, ["item_sku"], sums=back, latest_first=True, splits=splits)
+    # Up to a row and from it on: the row itself counts twice.
+    size = {name: F.col(name) + F.col(f"_{name}") - value for name, value in sides.items()}
+    listed = counted.select(
+        "item_sku", "shop_type", "delta", "amount", F.when(over, size["short"]).otherwise(size["over"]).alias("counterparts"),
+        F.when(over, F.col("over")).otherwise(F.col("short")).alias("place")).where(F.col("counterparts") > 0)
+    # At most one SKU of each side has a place.
+    met = listed.groupBy(*group, "place").agg(F.collect_list(F.struct("item_sku", "delta", "counterparts")).alias("who"))
+    one = F.explode(F.transform("who", lambda x: F.struct(
+        x["item_sku"].alias("item_sku"), x["delta"].alias("delta"), x["counterparts"].alias("counterparts"),
+        F.get(F.filter("who", lambda y: y["item_sku"] != x["item_sku"]), F.lit(0))["item_sku"].alias("partner_sku"))))
+    return met.select("shop_type", one.alias("r")).select("r.item_sku", "shop_type", "r.delta", "r.counterparts", "r.partner_sku")
 
 
 def counting_errors(deltas: DataFrame, recount: DataFrame) -> DataFrame:
