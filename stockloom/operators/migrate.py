@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instant
 from ..schemas import AT, DEFAULT_ALERT, DEFAULT_USER, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
+from ..session import scratch_path
 from .ordered import SHARE, running
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
@@ -207,25 +208,34 @@ def migrate(
     items = backfill_items(log, base.items if base else None, as_of)
     customers = backfill_customers(log, base.customers if base else None, as_of, user)
     # Without its item a row has nowhere to go.
-    bad_items = item_rejects(log)
+    # Few SKUs if any, needed by every part: found once and held.
+    bad_items, path = item_rejects(log), scratch_path(log.sparkSession, "refused")
+    bad_items.write.parquet(path)
+    bad_items = log.sparkSession.read.schema(bad_items.schema).parquet(path)
     missing = bad_items.select("item_sku")
     if base:
         missing = missing.join(base.items.select("item_sku"), "item_sku", "left_anti")
     kept = base.rentals if base else None
 
-    def rows(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return backfill_movements(part), backfill_lifecycle(part), backfill_rentals(part, customers, kept=kept)
-
-    orphans = log.join(missing, "item_sku", "left_semi")
-    moved, changed, rented = rows(log.join(missing, "item_sku", "left_anti"))
-    names = ("stock_movements", "item_lifecycle_events", "rentals")
-    refused = bad_items.select(F.lit("items").alias("table_name"), "id", "item_sku", "reason")
-    for name, part in zip(names, rows(orphans)):
-        refused = refused.unionByName(part.select(F.lit(name).alias("table_name"), "id", "item_sku", F.lit("item refused").alias("reason")))
-    refused = refused.unionByName(lifecycle_rejects(log).select(
-        F.lit("item_lifecycle_events").alias("table_name"), "id", "item_sku", F.lit("status not allowed").alias("reason")))
-    refused = refused.unionByName(rental_rejects(log, customers, kept=kept).select(
-        F.lit("rentals").alias("table_name"), "id", "item_sku", "reason"))
+    gone = missing.withColumn("_gone", F.lit(True))
+    orphans, rest = log.join(missing, "item_sku", "left_semi"), log.join(missing, "item_sku", "left_anti")
+    moved, changed = backfill_movements(rest), backfill_lifecycle(rest)
+    # One pass over the bookings for both what is taken and what is not.
+    booked = _rental_rows(log, customers, SHARE, kept).join(gone, "item_sku", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_gone"), F.lit("item refused")))).drop("_gone")
+    rented = booked.where(F.col("reason").isNull()).drop("reason")
+
+    def named(table: str, rows: DataFrame, reason: Column) -> DataFrame:
+        return rows.select(F.lit(table).alias("table_name"), "id", "item_sku", reason.alias("reason"))
+
+    refused = named("items", bad_items, F.col("reason"))
+    for more in (
+        named("stock_movements", backfill_movements(orphans), F.lit("item refused")),
+        named("item_lifecycle_events", backfill_lifecycle(orphans), F.lit("item refused")),
+        named("item_lifecycle_events", lifecycle_rejects(log), F.lit("status not allowed")),
+        named("rentals", booked.where(F.col("reason").isNotNull()), F.col("reason")),
+    ):
+        refused = refused.unionByName(more)
     if base is None:
         return Migrated(Tables(items, moved, changed, customers, rented), refused)
     after = Tables(
