@@ -221,8 +221,9 @@ def migrate(
     orphans, rest = log.join(missing, "item_sku", "left_semi"), log.join(missing, "item_sku", "left_anti")
     moved, changed = backfill_movements(rest), backfill_lifecycle(rest)
     # One pass over the bookings for both what is taken and what is not.
-    booked = _rental_rows(log, customers, SHARE, kept).join(gone, "item_sku", "left").withColumn(
-        "reason", F.coalesce("reason", F.when(F.col("_gone"), F.lit("item refused")))).drop("_gone")
+    decided = _rental_rows(log, customers, SHARE, kept)
+    booked = decided.join(gone, "item_sku", "left").withColumn(
+        "reason", F.coalesce("reason", F.when(F.col("_gone"), F.lit("item refused")))).select(*decided.columns)
     rented = booked.where(F.col("reason").isNull()).drop("reason")
 
     def named(table: str, rows: DataFrame, reason: Column) -> DataFrame:
