@@ -1,25 +1,27 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Every word of the corpus is counted, and every n-gram that occurs ``least`` times or more is kept, whatever the size of the
-corpus. Words and n-grams go by 64-bit hashes, made from the hashes of their two parts (all but the last word, all but the
-first). Arc and failure weights of the automaton are kept in a written table of n-grams, never on the driver.
-
-A traversal adds the weights of its arcs and failure arcs. The same sum can be taken n-gram by n-gram: each occurrence of a
-kept n-gram adds what its arc has over backing off, and each occurrence of a context the weight of leaving it. So scoring
-joins the n-grams of all texts with the table and sums by text. N-grams that make up one in ``ngram_parts`` tokens or more
-(one in ``head_parts`` for words) are at most that many of each order; they travel to the tasks and are left out of the
-join, so none that is common in the corpus can skew it. One that is common only in the scored texts is left to the adaptive
-planner, which splits skewed join partitions.
+Every n-gram that occurs ``least`` times or more is kept, whatever the size of the corpus, with discounted counts that are
+interpolated with the next lower order. Texts are dealt into batches of about ``batch_bytes``. A batch sends its distinct
+n-grams, packed and sorted, to ranges of the hash of their contexts; a range adds up the counts of all batches and answers
+each batch with the counts of just its n-grams and the sums of its contexts. From the answers a batch builds the part of the
+automaton that its texts can reach: contexts become states, kept n-grams arcs, and a state without an arc for the next word
+passes on to the state of its shorter context by a failure arc that has a weight. One traversal from left to right then scores
+each text. The model is never in one place: a range holds its contexts, a batch what its own texts contain.
+
+Contexts that begin one n-gram in ``hot_parts`` are at most that many of each order. Their n-grams are dealt by their own
+hash instead of the context's, and the sums of these contexts go through the driver; so does the empty context.
+Words and n-grams go by 64-bit hashes, the n-grams of one context by 40 bits, so two of them could be taken for one.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,105 +29,33 @@ from . import shingles as sh
 from .batches import pieces
 from .text import held, ship, whole
 
-#: Ids of the two tokens that are no words: the end of a text and, as a context only, its start.
-END, START = 0, 1
-_FLUSH = 4_000_000
 _U = np.uint64
+_ROOT = 0  # stands for the empty context among the sums of contexts
+_TAIL = 5  # bytes kept of the code of an n-gram within its context
 
 
 @dataclass(frozen=True)
 class ModelPlan:
     order: int = 3
     least: int = 2  # n-grams are kept from this count on
-    head_parts: int = 1 << 20
-    ngram_parts: int = 1 << 17
     discount: float = 0.75
+    batch_bytes: int = 8 << 20
+    range_bytes: int = 16 << 20  # text per range of contexts
+    fewest_ranges: int = 32
+    hot_parts: int = 1 << 12
 
 
 @dataclass
-class Automaton:
-    """States with arcs (word id -> log10 probability, next state), backoff weight and failure state. State 0 is the
-    empty context; it has an arc for each head word and the end. ``to_root`` is the sum of weights on the way to it."""
-
-    head: dict[bytes, int]
-    base: list[float]  # log10 unigram probability by id
-    known: list[bool]
-    arcs: list[dict[int, tuple[float, int]]] = field(default_factory=list)
-    weight: list[float] = field(default_factory=list)
-    fail: list[int] = field(default_factory=list)
-    to_root: list[float] = field(default_factory=list)
-    start: int = 0
-
-    def traverse(self, ids: list[int]) -> float:
-        """log10 probability of a token sequence without the unigram part of rare words (-1)."""
-        arcs, weight, fail, to_root = self.arcs, self.weight, self.fail, self.to_root
-        state, total = self.start, 0.0
-        for i in ids:
-            if i < 0:
-                total += to_root[state]
-                state = 0
-                continue
-            hit = arcs[state].get(i)
-            while hit is None:
-                total += weight[state]
-                state = fail[state]
-                hit = arcs[state].get(i)
-            total += hit[0]
-            state = hit[1]
-        return total
-
+class Level:
+    """The distinct n-grams of one order in some texts, sorted by code. ``index`` gives the n-gram that begins at a place of
+    the line (-1: none); ``prefix`` and ``suffix`` are numbers in the level below, ``word`` is the number of the last word."""
 
-def build_automaton(
-    head: list[tuple[bytes, int]], texts: int, total: int, distinct: int, ngrams: dict[tuple[int, ...], int], discount: float,
-) -> Automaton:
-    """Automaton in memory, the plain form of the joined tables below, from head words with their counts, the number of training texts, token and type counts, and kept n-grams.
-
-    Ids are END, START, then the head words in order. An n-gram's parts of lower order must be kept, too.
-    """
-    counts = [texts, texts] + [c for _, c in head]
-    unseen = total + distinct + 1
-    p0 = [(c + 1) / unseen for c in counts]
-    base = [math.log10(p) for p in p0]
-    result = Automaton({w: k + 2 for k, (w, _) in enumerate(head)}, base, [c > 0 for c in counts])
-    followers: dict[tuple[int, ...], dict[int, int]] = {}
-    for gram, c in ngrams.items():
-        followers.setdefault(gram[:-1], {})[gram[-1]] = c
-    contexts = sorted(followers, key=len)
-    state_of = {(): 0} | {context: k + 1 for k, context in enumerate(contexts)}
-
-    def reached(gram: tuple[int, ...]) -> int:
-        for k in range(len(gram)):
-            if gram[k:] in state_of:
-                return state_of[gram[k:]]
-        return 0
-
-    result.arcs.append({i: (base[i], reached((i,))) for i in range(len(base)) if i != START})
-    result.weight.append(0.0)
-    result.fail.append(0)
-    result.to_root.append(0.0)
-    probability: dict[tuple[int, ...], dict[int, float]] = {}
-    left: dict[tuple[int, ...], float] = {}
-
-    def chance(context: tuple[int, ...], word: int) -> float:
-        if not context:
-            return p0[word]
-        known = probability.get(context)
-        if known and word in known:
-            return known[word]
-        return (left[context] if context in left else 1.0) * chance(context[1:], word)
-
-    for context in contexts:
-        seen = counts[context[0]] if len(context) == 1 else ngrams[context]
-        own = {w: max(c - discount, 0.0) / seen for w, c in followers[context].items()}
-        lower = sum(chance(context[1:], w) for w in own)
-        left[context] = max(1.0 - sum(own.values()), 1e-12) / max(1.0 - lower, 1e-12)
-        probability[context] = own
-        result.arcs.append({w: (math.log10(p), reached(context + (w,))) for w, p in own.items() if p > 0})
-        result.weight.append(math.log10(left[context]))
-        result.fail.append(reached(context[1:]))
-        result.to_root.append(result.weight[-1] + result.to_root[result.fail[-1]])
-    result.start = state_of.get((START,), 0)
-    return result
+    codes: np.ndarray
+    counts: np.ndarray  # in training texts
+    index: np.ndarray
+    prefix: np.ndarray
+    suffix: np.ndarray
+    word: np.ndarray
 
 
 def _tokens(text: bytes) -> list[bytes]:
@@ -133,208 +63,411 @@ def _tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _lines(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts in one line, each text between its start and its end; where texts begin; lengths."""
+def _line(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens in one line, each text between its start and its end, and where texts begin (the end, too)."""
     # No word has a space in it.
     start, end = sh.word_hash(b" start"), sh.word_hash(b" end")
-    line: list[int] = []
-    starts = []
+    parts, starts = [], [0]
     for text in texts:
-        starts.append(len(line))
-        line.append(start)
-        line.extend(sh.word_hashes(_tokens(text)))
-        line.append(end)
-    starts = np.array(starts, np.int64)
-    return np.array(line, _U), starts, np.diff(np.append(starts, len(line)))
+        tokens = _tokens(text)
+        codes = np.empty(len(tokens) + 2, _U)
+        codes[0], codes[-1] = start, end
+        codes[1:-1] = np.fromiter(sh.word_hashes(tokens), _U, len(tokens))
+        parts.append(codes)
+        starts.append(starts[-1] + len(codes))
+    return np.concatenate(parts) if parts else np.empty(0, _U), np.array(starts)
+
+
+def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[Level], np.ndarray]:
+    """Levels of orders 1 to ``most`` of the texts, and where each text begins in the line."""
+    line, starts = _line(texts)
+    taught = np.repeat(np.asarray(training, bool), np.diff(starts))
+    ends = np.zeros(len(line), bool)
+    ends[starts[1:] - 1] = True
+    inside, codes, levels = np.ones(len(line), bool), line, []
+    for order in range(1, most + 1):
+        if order > 1:
+            inside = inside[:-1] & ~ends[order - 2:-1]
+            with np.errstate(over="ignore"):
+                codes = sh.mix(codes[:-1] * _U(0x9E3779B97F4A7C15) + codes[1:] + _U(order))
+        places = np.flatnonzero(inside)
+        distinct, first, inverse = np.unique(codes[places], return_index=True, return_inverse=True)
+        counts = np.bincount(inverse[taught[places]], minlength=len(distinct))
+        index = np.full(len(line) + 1, -1, np.int64)
+        index[places] = inverse
+        at = places[first]
+        if order == 1:
+            own = np.arange(len(distinct))
+            # The start of a text is no event.
+            counts[distinct == _U(sh.word_hash(b" start"))] = 0
+            levels.append(Level(distinct, counts, index, own, own, own))
+        else:
+            below = levels[-1].index
+            levels.append(Level(distinct, counts, index, below[at], below[at + 1], levels[0].index[at + order - 1]))
+    return levels, starts
 
 
-def _joined_code(order: int, prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return sh.mix(prefix * _U(0x9E3779B97F4A7C15) + suffix + _U(order))
+def _among(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    if not len(sorted_codes):
+        return np.zeros(len(codes), bool)
+    return sorted_codes[np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)] == codes
 
 
-def _orders(line: np.ndarray, starts: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(order, first places, codes, codes of prefixes, codes of suffixes) of the n-grams that lie within one text."""
-    codes, places = line, np.arange(len(line))
-    yield 1, places, codes, codes, codes
-    ends = np.zeros(len(line), bool)
-    ends[starts[1:] - 1] = ends[-1:] = True
-    inside = np.ones(len(line), bool)
-    for order in range(2, most + 1):
-        inside = inside[:-1] & ~ends[order - 2:-1]
-        prefix, suffix = codes[:-1], codes[1:]
-        codes = _joined_code(order, prefix, suffix)
-        yield order, places[:len(codes)][inside], codes[inside], prefix[inside], suffix[inside]
+def _dealt(levels: list[Level], n: int, ranges: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams of order n in the order in which they travel, by (range, context, code), and where each range begins."""
+    level = levels[n - 1]
+    by = level.codes
+    if n > 1:
+        context = levels[n - 2].codes[level.prefix]
+        by = np.where(_among(hot, context), level.codes, context)
+    part = (sh.mix(by + _U(n)) % _U(ranges)).astype(np.int64)
+    order = np.lexsort((level.codes, level.prefix, part))
+    return order, np.searchsorted(part[order], np.arange(ranges + 1))
 
 
-def _count_grams(docs: DataFrame, most: int) -> DataFrame:
-    """(n, a, b, c): counts of the n-grams of order n with prefix a and suffix b (words: both their hash), over all rows of
-    docs (text as binary), counted within tasks first."""
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[bytes] = []
-        size = 0
 
-        def out():
-            line, starts, _ = _lines(waiting)
-            for order, _, codes, prefix, suffix in _orders(line, starts, most):
-                _, first, counts = np.unique(codes, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(first), order, np.int8)), pa.array(prefix[first].view(np.int64)),
-                     pa.array(suffix[first].view(np.int64)), pa.array(counts.astype(np.int64))], ["n", "a", "b", "c"])
+def _pack(x: np.ndarray, kept: int = 8) -> bytes:
+    """The low ``kept`` bytes of 64-bit numbers, byte by byte of their places, compressed."""
+    planes = np.ascontiguousarray(x.astype(_U).view(np.uint8).reshape(len(x), 8)[:, :kept].T)
+    return pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
 
-        for batch in batches:
-            for piece in pieces(batch):
-                for text in piece.column(0).to_pylist():
-                    waiting.append(text)
-                    size += len(text) + 1
-                    if size > _FLUSH:
-                        yield from out()
-                        waiting, size = [], 0
-        if waiting:
-            yield from out()
 
-    return docs.mapInArrow(run, "n tinyint, a bigint, b bigint, c bigint").groupBy("n", "a", "b").agg(F.sum("c").alias("c"))
+def _unpack(data: bytes, n: int, kept: int = 8) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(data, decompressed_size=n * kept, asbytes=True) if n else b""
+    result = np.zeros((n, 8), np.uint8)
+    result[:, :kept] = np.frombuffer(raw, np.uint8).reshape(kept, n).T
+    return result.reshape(-1).view(_U)
 
 
-@dataclass
-class FittedModel:
-    """``values``: gram, n, c, value, base. Each occurrence of the n-gram adds ``value`` to a score; words also add ``base``
-    to the unigram score. ``hot`` holds the commonest ones, sorted by code."""
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=_U(0)))
 
-    order: int
-    values: DataFrame
-    hot: object  # broadcast tuple of arrays: gram, value, base (NaN where there is none)
-    total: int
-    distinct: int
 
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n), dtype=_U)
 
-def fit(texts: DataFrame, plan: ModelPlan = ModelPlan()) -> FittedModel:
-    """Count the corpus ``texts`` (one binary column ``text``) and weigh its n-grams, order by order."""
-    spark = texts.sparkSession
-    ship(spark)
-    start, end = (int(np.array(sh.word_hash(x), _U).view(np.int64)) for x in (b" start", b" end"))
-    counted = held(_count_grams(texts, plan.order).where((F.col("n") == 1) | (F.col("c") >= plan.least)), "grams")
-    words = counted.where("n = 1").select(F.col("a").alias("gram"), "c")
-    sums = words.where(F.col("gram") != start).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = sums.n or 0, sums.v
-
-    @F.arrow_udf("bigint")
-    def code(n: pa.Array, a: pa.Array, b: pa.Array) -> pa.Array:
-        n, a, b = n.to_numpy(), a.to_numpy().view(_U), b.to_numpy().view(_U)
-        with np.errstate(over="ignore"):
-            return pa.array(sh.mix(a * _U(0x9E3779B97F4A7C15) + b + n.astype(_U)).view(np.int64))
-
-    # By order: gram, c, p, and ``over``, what its arc has over backing off. The start is no event.
-    p0 = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
-    lower = words.withColumn("p", p0).withColumn("over", F.when(F.col("gram") != start, F.log10("p")).otherwise(0.0))
-    levels, leaving = [lower], []
-    for order in range(2, plan.order + 1):
-        grams = counted.where(F.col("n") == order).select(code("n", "a", "b").alias("gram"), "a", "b", "c")
-        own = F.greatest(F.col("c") - plan.discount, F.lit(0.0)) / F.col("seen")
-        arcs = held(
-            grams.join(lower.select(F.col("gram").alias("a"), F.col("c").alias("seen")), "a")
-            .join(lower.select(F.col("gram").alias("b"), F.col("p").alias("below")), "b")
-            .select("gram", "a", "c", own.alias("p"), "below"), "arcs")
-        rest = lambda x: F.greatest(1 - F.sum(x), F.lit(1e-12))
-        weights = held(arcs.groupBy("a").agg(F.log10(rest("p") / rest("below")).alias("weight")), "weights")
-        lower = held(arcs.join(weights, "a").select(
-            "gram", "c", "p", (F.log10("p") - F.col("weight") - F.log10("below")).alias("over")), "level")
-        levels.append(lower)
-        leaving.append(weights.withColumnRenamed("a", "gram"))
-    tables = []
-    for n, level in enumerate(levels, 1):
-        left = level.join(leaving[n - 1], "gram", "left") if n < plan.order else level.withColumn("weight", F.lit(0.0))
-        base = F.when(F.col("gram") != start, F.col("over")) if n == 1 else F.lit(None).cast("double")
-        tables.append(left.select(
-            "gram", F.lit(n).cast("tinyint").alias("n"), "c",
-            (F.col("over") + F.coalesce("weight", F.lit(0.0))).alias("value"), base.alias("base")))
-    values = tables[0]
-    for more in tables[1:]:
-        values = values.unionByName(more)
-    values = held(values, "values")
-    # At most head_parts words and ngram_parts n-grams of each order, since each makes up so large a part of all tokens.
-    parts = F.when(F.col("n") == 1, plan.head_parts).otherwise(plan.ngram_parts)
-    found = values.where(F.col("c") * parts >= total).select("gram", "value", F.coalesce("base", F.lit(math.nan)).alias("base"))
-    hot = found.toArrow()
-    grams, value, base = (hot.column(k).to_numpy() for k in range(3))
-    by_code = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[by_code], value[by_code], base[by_code]))
-    return FittedModel(plan.order, values.where(F.col("c") * parts < total), shared, total, distinct)
-
-
-def score_documents(docs: DataFrame, model: FittedModel, carry: list[str]) -> DataFrame:
-    """Score every whole text of ``docs``: the columns ``carry``, n_tokens, n_known, base_score, score."""
-    ship(docs.sparkSession)
-    hot, most = model.hot, model.order
-    # The ids of rows must not change when a lost task runs again.
-    source = held(docs.select(
-        *carry, F.monotonically_increasing_id().alias("__row"), whole(F.col("text")).cast("binary").alias("__llm_text")), "rows")
-    fields = source.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    at = len(carry)
+
+_BLOCK = ("range int, level int, batch bigint, first int, last int, n_contexts int, n_grams int, contexts binary, "
+          "followers binary, grams binary, counts binary")
+_ANSWER = ("batch bigint, first int, last int, range int, level int, n_contexts int, n_grams int, counts binary, seen binary, "
+           "kept_count binary, kept binary, context bigint, sum_seen bigint, sum_kept_count bigint, sum_kept bigint, kinds bigint")
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
+    fields = [tuple(f.split()) for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table({name: pa.array(values, kinds[kind]) for (name, kind), values in zip(fields, columns)})
+
+
+def _batched(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` (with __text as binary) with __batch and __at: batches of about ``size`` bytes, rows numbered within them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, value, base = hot.value
-        for batch in batches:
-            for piece in pieces(batch, "__llm_text"):
-                line, starts, lengths = _lines(piece.column(at + 1).to_pylist())
-                owner = np.repeat(np.arange(len(starts)), lengths)
-                n = len(starts)
-                known, bases, scores = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-                owners, grams = [], []
-                for _, places, codes, _, _ in _orders(line, starts, most):
-                    codes, whose = codes.view(np.int64), owner[places]
-                    if len(listed):
-                        found = np.minimum(np.searchsorted(listed, codes), len(listed) - 1)
-                        hit = listed[found] == codes
-                        at_hit, of = found[hit], whose[hit]
-                        scores += np.bincount(of, value[at_hit], n)
-                        word = ~np.isnan(base[at_hit])
-                        bases += np.bincount(of[word], base[at_hit][word], n)
-                        known += np.bincount(of[word], minlength=n)
-                        codes, whose = codes[~hit], whose[~hit]
-                    owners.append(whose)
-                    grams.append(codes)
-                # One row for each text, with a code of its own, and one for each n-gram that is to be looked up.
-                rows = piece.column(at).to_numpy()
-                of = np.concatenate([np.arange(n), *owners])
-                codes = np.concatenate([sh.mix(rows.view(_U)).view(np.int64), *grams])
-                blank = len(codes) - n
-                first = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(blank, kind)])
+        batch, at, filled = TaskContext.get().partitionId() << 32, 0, 0
+        for whole_batch in batches:
+            for piece in pieces(whole_batch, "__text", max(1, size // 4)):
+                n = piece.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([piece.column(k), pa.nulls(blank, piece.column(k).type)]) for k in range(at)] + [
-                        pa.array(rows[of]), pa.array(codes), first(lengths - 1, pa.int64()), first(known, pa.int64()),
-                        first(bases, pa.float64()), first(scores, pa.float64())],
-                    [*carry, "__row", "__gram", "__tokens", "__known", "__base", "__score"])
-
-    walked = source.mapInArrow(
-        run, f"{schema}, __gram bigint, __tokens bigint, __known bigint, __base double, __score double")
-    looked = walked.join(
-        model.values.select(F.col("gram").alias("__gram"), F.col("value").alias("__v"), F.col("base").alias("__b")), "__gram", "left")
-    of_gram = F.col("__tokens").isNull()
-    scored = looked.groupBy("__row").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in carry], F.max("__tokens").alias("n_tokens"),
-        (F.max("__known") + F.count(F.when(of_gram, F.col("__b")))).alias("n_known"),
-        (F.max("__base") + F.coalesce(F.sum(F.when(of_gram, F.col("__b"))), F.lit(0.0))).alias("__base"),
-        (F.max("__score") + F.coalesce(F.sum(F.when(of_gram, F.col("__v"))), F.lit(0.0))).alias("__score"))
-    # Tokens that are not in the corpus.
-    more: Column = (F.col("n_tokens") - F.col("n_known")) * F.lit(-math.log10(model.total + model.distinct + 1))
+                    [*piece.columns, pa.array(np.full(n, batch)), pa.array(np.arange(at, at + n, dtype=np.int32))],
+                    [*piece.schema.names, "__batch", "__at"])
+                at, filled = at + n, filled + piece.column(piece.schema.get_field_index("__text")).nbytes
+                if filled >= size:
+                    batch, at, filled = batch + 1, 0, 0
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{fields}, __batch bigint, __at int")
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes], list[bool]]]:
+    """(batch, first row, texts, training flags): runs of rows of one batch; a reader may see a batch in several runs."""
+    batch, last, texts, flags = None, -2, [], []
+    for rows in batches:
+        for b, at, text, train in zip(*(rows.column(k).to_pylist() for k in range(4))):
+            if texts and (b != batch or at != last + 1):
+                yield batch, last - len(texts) + 1, texts, flags
+                texts, flags = [], []
+            batch, last = b, at
+            texts.append(text)
+            flags.append(train)
+    if texts:
+        yield batch, last - len(texts) + 1, texts, flags
+
+
+def _hot_contexts(rows: DataFrame, plan: ModelPlan) -> np.ndarray:
+    """Sorted codes of the contexts that begin one n-gram in ``hot_parts``; at most twice that many of each order.
+
+    Batches name the contexts above a quarter of that share of their own text, so that at least half of the occurrences of
+    each context sought are added up.
+    """
+    parts, most = plan.hot_parts, plan.order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts, flags in _gathered(batches):
+            levels, starts = _levels(texts, flags, most - 1)
+            codes, counts = [np.array([_ROOT], _U)], [np.array([starts[-1]])]
+            for level in levels:
+                used = np.bincount(level.index[level.index >= 0], minlength=len(level.codes))
+                often = used * 4 * parts >= starts[-1]
+                codes.append(level.codes[often])
+                counts.append(used[often])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(codes).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], ["code", "c"])
+
+    sums = held(rows.mapInArrow(run, "code bigint, c bigint").groupBy("code").agg(F.sum("c").alias("c")), "contexts")
+    total = sums.where(F.col("code") == _ROOT).agg(F.sum("c")).first()[0] or 0
+    found = sums.where((F.col("code") != _ROOT) & (F.col("c") * 2 * parts >= total)).select("code").toArrow()
+    return np.sort(found.column(0).to_numpy().view(_U))
+
+
+def _blocks(rows: DataFrame, plan: ModelPlan, ranges: int, hot) -> DataFrame:
+    """The distinct n-grams of each batch in packed blocks, one for each range and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, first, texts, flags in _gathered(batches):
+            levels, _ = _levels(texts, flags, plan.order)
+            for n, level in enumerate(levels, 1):
+                order, bounds = _dealt(levels, n, ranges, hot.value)
+                out = []
+                for r in np.flatnonzero(np.diff(bounds)):
+                    of = order[bounds[r]:bounds[r + 1]]
+                    codes, counts = level.codes[of], _pack(level.counts[of])
+                    head = (int(r), n, batch, first, first + len(texts) - 1)
+                    if n == 1:
+                        out.append((*head, 0, len(of), b"", b"", _pack_sorted(codes), counts))
+                        continue
+                    runs = _runs(level.prefix[of])
+                    contexts = levels[n - 2].codes[level.prefix[of[runs]]]
+                    out.append((*head, len(runs), len(of), _pack_sorted(contexts), _pack(np.diff(runs, append=len(of))),
+                                _pack(codes, _TAIL), counts))
+                yield from _table(_BLOCK, out).to_batches()
+
+    return rows.mapInArrow(run, _BLOCK)
+
+
+def _answers(blocks: DataFrame, plan: ModelPlan, hot) -> DataFrame:
+    """Counts over all batches for the n-grams of each block, sums of its contexts, and the parts of sums of hot contexts."""
+    least = plan.least
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        first_order = rows[0]["level"] == 1
+        sizes = np.array([r["n_grams"] for r in rows])
+        ends = np.cumsum(sizes)
+        counts = np.concatenate([_unpack(r["counts"], r["n_grams"]) for r in rows]).astype(np.int64)
+        if first_order:
+            keys = np.concatenate([_unpack_sorted(r["grams"], r["n_grams"]) for r in rows])
+            contexts = None
+        else:
+            tails = np.concatenate([_unpack(r["grams"], r["n_grams"], _TAIL) for r in rows])
+            contexts = np.concatenate([np.repeat(
+                _unpack_sorted(r["contexts"], r["n_contexts"]), _unpack(r["followers"], r["n_contexts"]).astype(np.int64)) for r in rows])
+            with np.errstate(over="ignore"):
+                keys = sh.mix(contexts * _U(0x9E3779B97F4A7C15) + tails)
+            del tails
+        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        del keys
+        c = np.zeros(len(at), np.int64)
+        np.add.at(c, inverse, counts)
+        out = []
+        if first_order:
+            out.append((*[None] * 11, _ROOT, int(c.sum()), 0, 0, int((c > 0).sum())))
+        else:
+            distinct, of = np.unique(contexts[at], return_inverse=True)
+            keep = c >= least
+            seen, kept_count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+            np.add.at(seen, of, c)
+            np.add.at(kept_count, of[keep], c[keep])
+            kept = np.bincount(of[keep], minlength=len(distinct))
+            for k in np.flatnonzero(_among(hot.value, distinct)):
+                out.append((*[None] * 11, int(distinct[k:k + 1].view(np.int64)[0]), int(seen[k]), int(kept_count[k]), int(kept[k]), 0))
+        for row, end in zip(rows, ends):
+            mine = slice(end - row["n_grams"], end)
+            head = tuple(row[name] for name in ("batch", "first", "last", "range", "level", "n_contexts", "n_grams"))
+            sums = (b"", b"", b"")
+            if not first_order:
+                own = contexts[mine]
+                place = np.searchsorted(distinct, own[_runs(own)])
+                sums = tuple(_pack(np.where(kept[place] > 0, x[place], 0)) for x in (seen, kept_count, kept))
+            out.append((*head, _pack(c[inverse[mine]]), *sums, *[None] * 5))
+        return _table(_ANSWER, out)
+
+    return blocks.groupBy("range", "level").applyInArrow(run, _ANSWER)
+
+
+@dataclass
+class Automaton:
+    """State 0 is the empty context and has an arc for every word of the texts it was built for. ``arcs`` maps
+    state * words + word to the number of an arc, with its log10 probability ``gain`` and next state ``goes``; a state
+    without an arc passes on to ``fail`` at the cost ``weight``."""
+
+    words: int
+    arcs: dict[int, int]
+    gain: list[float]
+    goes: list[int]
+    weight: list[float]
+    fail: list[int]
+    start: int
+
+    def traverse(self, words: list[int]) -> float:
+        """log10 probability of the words of one text, its end included."""
+        arcs, gain, goes, weight, fail, n = self.arcs, self.gain, self.goes, self.weight, self.fail, self.words
+        state, total = self.start, 0.0
+        for word in words:
+            arc = arcs.get(state * n + word)
+            while arc is None:
+                total += weight[state]
+                state = fail[state]
+                arc = arcs.get(state * n + word)
+            total += gain[arc]
+            state = goes[arc]
+        return total
+
+
+def build_automaton(
+    levels: list[Level], counts: list[np.ndarray], sums: list[tuple[np.ndarray, np.ndarray, np.ndarray]], total: int,
+    distinct: int, plan: ModelPlan,
+) -> Automaton:
+    """The states and arcs that texts with these n-grams can reach.
+
+    ``counts`` holds the corpus counts of the n-grams of each order, ``sums`` for each order but the last what they begin:
+    occurrences, occurrences of kept n-grams, and how many those are (0, 0, 0 where none is kept). A kept n-gram has
+    probability (c - discount) / occurrences of its context plus the context's weight times that of the lower order; the
+    weight is what the discounts leave.
+    """
+    p = (counts[0] + 1) / (total + distinct + 1)
+    words = len(p)
+    weights, fails = [np.zeros(1)], [np.zeros(1, np.int64)]
+    keys, gains, goes = [], [], []
+    states = 1
+    reached = state = None  # of the order below: the state after an n-gram, and the state an n-gram is (-1: none)
+    for n, level in enumerate(levels, 1):
+        kept = np.ones(words, bool)
+        if n > 1:
+            kept = counts[n - 1] >= plan.least
+            own = np.where(kept, counts[n - 1] - plan.discount, 0.0) / np.maximum(sums[n - 2][0], 1)[level.prefix]
+            p = own + gamma[level.prefix] * p[level.suffix]  # noqa: F821
+        shorter = np.zeros(words, np.int64) if n == 1 else reached[level.suffix]
+        after, here = shorter, None
+        if n < len(levels):
+            seen, kept_count, kinds = sums[n - 1]
+            is_state = kinds > 0
+            gamma = np.where(is_state, 1 - (kept_count - plan.discount * kinds) / np.maximum(seen, 1), 1.0)
+            here = np.where(is_state, states + np.cumsum(is_state) - 1, -1)
+            states += int(is_state.sum())
+            weights.append(np.log10(gamma[is_state]))
+            fails.append(shorter[is_state])
+            after = np.where(is_state, here, shorter)
+        origin = np.zeros(words, np.int64) if n == 1 else state[level.prefix]
+        keys.append(origin[kept] * words + level.word[kept])
+        gains.append(np.log10(p[kept]))
+        goes.append(after[kept])
+        reached, state = after, here
+        if n == 1:
+            first = state
+    keys = np.concatenate(keys)
+    begin = np.flatnonzero(levels[0].codes == _U(sh.word_hash(b" start")))
+    start = int(max(first[begin[0]], 0)) if len(begin) and first is not None else 0
+    listed = lambda x: np.concatenate(x).tolist()
+    return Automaton(words, dict(zip(keys.tolist(), range(len(keys)))), listed(gains), listed(goes), listed(weights), listed(fails), start)
+
+
+def _read_answers(levels: list[Level], answers: list[dict], plan: ModelPlan, ranges: int, hot: np.ndarray, hot_sums: np.ndarray):
+    """Corpus counts of the n-grams of ``levels`` and sums of their contexts, as build_automaton takes them."""
+    counts = [np.zeros(len(level.codes), np.int64) for level in levels]
+    sums = [tuple(np.zeros(len(level.codes), np.int64) for _ in range(3)) for level in levels[:-1]]
+    dealt = {}
+    for row in answers:
+        n = row["level"]
+        if n not in dealt:
+            dealt[n] = _dealt(levels, n, ranges, hot)
+        order, bounds = dealt[n]
+        of = order[bounds[row["range"]]:bounds[row["range"] + 1]]
+        counts[n - 1][of] = _unpack(row["counts"], row["n_grams"])
+        if n > 1:
+            context = levels[n - 1].prefix[of]
+            context = context[_runs(context)]
+            for target, name in zip(sums[n - 2], ("seen", "kept_count", "kept")):
+                target[context] = _unpack(row[name], row["n_contexts"])
+    for n, level in enumerate(levels[:-1]):
+        common = np.flatnonzero(_among(hot, level.codes))
+        for k, target in enumerate(sums[n]):
+            target[common] = hot_sums[np.searchsorted(hot, level.codes[common]), k]
+    return counts, sums
+
+
+def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: ModelPlan = ModelPlan()) -> DataFrame:
+    """Learn from the rows of ``docs`` where ``training`` is true and score every whole text: the columns ``carry``,
+    n_tokens, n_known, train_tokens, base_score, score.
+
+    Null texts are empty and consist of the end token. Repeated rows count and are scored once each. A very long text is a
+    batch of its own; its tokens are held as numbers, about 100 bytes each, while it is worked on. Without training rows
+    every token has probability 1. An empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    # Written once, so that batches and places of rows do not change when a lost task runs again.
+    source = held(_batched(docs.select(
+        *carry, F.coalesce(training, F.lit(False)).alias("__train"), whole(F.col("text")).cast("binary").alias("__text")),
+        plan.batch_bytes), "batches")
+    rows = source.select("__batch", "__at", "__text", "__train")
+    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    ranges = max(plan.fewest_ranges, -(-size // plan.range_bytes))
+    # At most 2 x hot_parts x (order - 1) codes.
+    hot = _hot_contexts(rows, plan)
+    shared = spark.sparkContext.broadcast(hot)
+    answers = held(_answers(_blocks(rows, plan, ranges, shared), plan, shared), "answers")
+    found = answers.where("context IS NOT NULL").groupBy("context").agg(
+        *[F.sum(c).alias(c) for c in ("sum_seen", "sum_kept_count", "sum_kept", "kinds")]).collect()
+    root = [r for r in found if r.context == _ROOT]
+    total, distinct = (root[0].sum_seen, root[0].kinds) if root else (0, 0)
+    hot_sums = np.zeros((len(hot), 3), np.int64)
+    for r in found:
+        if r.context != _ROOT:
+            hot_sums[np.searchsorted(hot, np.array([r.context]).view(_U))[0]] = r.sum_seen, r.sum_kept_count, r.sum_kept
+    known = spark.sparkContext.broadcast((hot, hot_sums))
+
+    def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
+        texts = texts.take(pa.array(np.argsort(texts.column("__at").to_numpy())))
+        places = texts.column("__at").to_numpy()
+        parts: dict[tuple[int, int], list[dict]] = {}
+        for row in sent.to_pylist():
+            parts.setdefault((row["first"], row["last"]), []).append(row)
+        lengths, hits, bases, scores = [], [], [], []
+        for (first, last), mine in sorted(parts.items()):
+            some = texts.slice(int(np.searchsorted(places, first)), last - first + 1)
+            levels, starts = _levels(some.column("__text").to_pylist(), some.column("__train").to_pylist(), plan.order)
+            counts, sums = _read_answers(levels, mine, plan, ranges, *known.value)
+            automaton = build_automaton(levels, counts, sums, total, distinct, plan)
+            base = np.log10((counts[0] + 1) / (total + distinct + 1))
+            for begin, end in zip(starts, starts[1:]):
+                words = levels[0].index[begin + 1:end]
+                lengths.append(len(words))
+                hits.append(int((counts[0][words] > 0).sum()))
+                bases.append(math.fsum(base[words]))
+                scores.append(automaton.traverse(words.tolist()))
+        return pa.table([
+            *(texts.column(c) for c in carry), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()),
+            pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], [*carry, "n_tokens", "n_known", "base_score", "score"])
+
+    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
+    asked = answers.where("batch IS NOT NULL").drop("context", "sum_seen", "sum_kept_count", "sum_kept", "kinds")
+    scored = source.groupBy("__batch").cogroup(asked.groupBy("batch")).applyInArrow(
+        run, f"{fields}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(
-        *carry, "n_tokens", "n_known", (F.col("__base") + more).alias("base_score"), (F.col("__score") + more).alias("score"))
+        *carry, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def score_by_fold(docs: DataFrame, held_out: Column, plan: ModelPlan = ModelPlan()) -> DataFrame:
     """Learn from the rows of ``docs`` (doc_id, text) where ``held_out`` is false and score all of them.
 
-    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Null texts are empty and consist of the
-    end token. Repeated rows count and are scored once each; further columns are ignored. Without training rows every
-    token has probability 1 by the base formula. An empty table gives no rows.
+    Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; further columns are ignored. See
+    score_corpus for nulls, repeats, long texts and empty tables.
     """
     marked = docs.select("doc_id", held_out.alias("held_out"), F.col("text"))
-    training = marked.where(~F.col("held_out")).select(whole(F.col("text")).cast("binary").alias("text"))
-    model = fit(training, plan)
-    scored = score_documents(marked, model, ["doc_id", "held_out"])
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"),
-        "base_score", "score")
+    scored = score_corpus(marked, ~F.col("held_out"), ["doc_id", "held_out"], plan)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

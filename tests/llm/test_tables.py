@@ -287,7 +287,7 @@ def test_lm_base_score(spark):
     total, kinds = sum(counts.values()), len(counts)
     from stockloom.llm.text import fold
 
-    for plan in (lm_scoring.ModelPlan(), lm_scoring.ModelPlan(head_parts=8, ngram_parts=8)):
+    for plan in (lm_scoring.ModelPlan(), lm_scoring.ModelPlan(hot_parts=4, batch_bytes=100)):
         got = lm_scoring.score_by_fold(frame(spark, rows), fold(F.col("doc_id"), 7) == 2, plan).collect()
         expected = [(i, out(i), len(t), sum(counts[x] > 0 for x in t), total,
                      round(sum(math.log10((counts[x] + 1) / (total + kinds + 1)) for x in t), 6)) for (i, _, _), t in zip(rows, tokens)]
@@ -303,76 +303,75 @@ def test_lm_without_training_rows(spark):
     assert lm_scoring.score_by_fold(docs.limit(0), F.lit(False)).count() == 0
 
 
-def test_automaton_sums_to_one_and_matches_plain_backoff():
-    draw = random.Random(1)
-    texts = [[draw.choice("aabbbcd") for _ in range(draw.randint(0, 12))] for _ in range(60)]
-    words = collections.Counter(w for t in texts for w in t)
-    head = sorted(((w.encode(), c) for w, c in words.items()), key=lambda x: (-x[1], x[0]))
-    ids = {w.decode(): k + 2 for k, (w, _) in enumerate(head)}
+def plain_model(learned, discount=0.75, least=2):
+    """Probability of a word after a history, straight from counts of n-grams up to three words."""
     grams = collections.Counter()
-    for t in texts:
-        line = [lm_scoring.START, *[ids[w] for w in t], lm_scoring.END]
-        for n in (2, 3):
-            grams.update(tuple(line[k:k + n]) for k in range(len(line) - n + 1))
-    kept = {g: c for g, c in grams.items() if c > 2 and (len(g) == 2 or grams[g[:2]] > 2 and grams[g[1:]] > 2)}
-    total, kinds = sum(words.values()) + len(texts), len(words) + 1
-    auto = lm_scoring.build_automaton(head, len(texts), total, kinds, kept, 0.75)
-    tokens = [lm_scoring.END, *range(2, len(head) + 2)]
+    for t in learned:
+        line = ["<s>", *t, "</s>"]
+        grams.update(tuple(line[k:k + n]) for n in (1, 2, 3) for k in range(len(line) - n + 1))
+    del grams[("<s>",)]
+    words = {g[0]: c for g, c in grams.items() if len(g) == 1}
+    total, kinds = sum(words.values()), len(words)
+    follow = collections.defaultdict(dict)
+    for g, c in grams.items():
+        if len(g) > 1:
+            follow[g[:-1]][g[-1]] = c
 
     def chance(history, w):
-        """The longest context in use gives the probability; without one it is the add-one unigram."""
         if not history:
-            return 10 ** auto.base[w]
-        own = {g[-1]: c for g, c in kept.items() if g[:-1] == history}
-        if not own:
+            return (words.get(w, 0) + 1) / (total + kinds + 1)
+        counts = follow.get(history, {})
+        kept = {x: c for x, c in counts.items() if c >= least}
+        if not kept:
             return chance(history[1:], w)
-        seen = kept[history] if len(history) == 2 else ([len(texts), len(texts)] + [c for _, c in head])[history[0]]
-        p = {x: (c - 0.75) / seen for x, c in own.items()}
-        if w in p:
-            return p[w]
-        return (1 - sum(p.values())) / (1 - sum(chance(history[1:], x) for x in p)) * chance(history[1:], w)
-
-    unseen = 1 / (total + kinds + 1)
-    for history in {g[:-1] for g in kept}:
-        rest = unseen
-        h = history
-        while h:
-            own = {g[-1]: c for g, c in kept.items() if g[:-1] == h}
-            if own:
-                seen = kept[h] if len(h) == 2 else ([len(texts), len(texts)] + [c for _, c in head])[h[0]]
-                rest *= (1 - sum((c - 0.75) / seen for c in own.values())) / (1 - sum(chance(h[1:], x) for x in own))
-            h = h[1:]
-        assert math.isclose(sum(chance(history, w) for w in tokens) + rest, 1.0, rel_tol=1e-9)
-    for t in texts:
-        line = [lm_scoring.START, *[ids[w] for w in t], lm_scoring.END]
-        plain = sum(math.log10(chance(tuple(line[max(0, k - 2):k]), line[k])) for k in range(1, len(line)))
-        assert math.isclose(auto.traverse(line[1:]), plain, rel_tol=1e-9)
+        seen = sum(counts.values())
+        left = 1 - (sum(kept.values()) - discount * len(kept)) / seen
+        return (kept[w] - discount if w in kept else 0) / seen + left * chance(history[1:], w)
+
+    return chance, words
+
 
+def plain_score(chance, text):
+    line = ["<s>", *text, "</s>"]
+    return sum(math.log10(chance(tuple(line[max(0, k - 2):k]), line[k])) for k in range(1, len(line)))
 
-@pytest.mark.parametrize("parts", [1, 1 << 17])
-def test_lm_keeps_ngrams_whatever_the_corpus(spark, parts):
-    """Joined scores equal a traversal of the automaton with every n-gram that occurs twice, also rare ones by size."""
+
+def test_plain_model_sums_to_one():
+    draw = random.Random(1)
+    chance, words = plain_model([[draw.choice("aabbbcd") for _ in range(draw.randint(0, 12))] for _ in range(60)])
+    for history in [(), ("a",), ("<s>",), ("<s>", "a"), ("b", "b"), ("d", "d"), ("never",)]:
+        assert math.isclose(sum(chance(history, w) for w in [*words, "unseen"]), 1.0, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("plan", [
+    {}, {"hot_parts": 3}, {"hot_parts": 3, "batch_bytes": 200, "fewest_ranges": 3}, {"least": 4, "hot_parts": 2, "batch_bytes": 1},
+])
+def test_lm_scores_are_those_of_the_plain_model(spark, plan):
+    """Whatever the batches, ranges and hot contexts; every n-gram from the least count on takes part."""
     draw = random.Random(6)
     rows = [(i, " ".join(draw.choice("aaaaaabbbcdefg") for _ in range(draw.randint(0, 30))), "a") for i in range(150)]
     rows += [(1000 + i, t, "a") for i, t in enumerate(["x y z", "x y z a", "", None, "x y q", "new words x y z"])]
-    plan = lm_scoring.ModelPlan(head_parts=parts, ngram_parts=parts)
-    got = lm_scoring.score_by_fold(frame(spark, rows), F.col("doc_id") == 1005, plan).collect()
+    rows += [(2000, "a b c " * 3000, "a")] + [(3000, "hot b c d", "a")] * 30
+    plan = lm_scoring.ModelPlan(**plan)
+    out = F.col("doc_id").isin(1005, 7)
+    got = lm_scoring.score_by_fold(frame(spark, rows), out, plan).collect()
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _, _ in rows)
+    chance, _ = plain_model([(t or "").split() for i, t, _ in rows if i not in (1005, 7)], least=plan.least)
     texts = {i: (t or "").split() for i, t, _ in rows}
-    learned = [t for i, t in texts.items() if i != 1005]
-    counts = collections.Counter(w for t in learned for w in t)
-    ids = {w: k + 2 for k, w in enumerate(counts)}
-    grams = collections.Counter()
-    for t in learned:
-        line = [lm_scoring.START, *[ids[w] for w in t], lm_scoring.END]
-        for n in (2, 3):
-            grams.update(tuple(line[k:k + n]) for k in range(len(line) - n + 1))
-    total, kinds = sum(counts.values()) + len(learned), len(counts) + 1
-    auto = lm_scoring.build_automaton(
-        [(w.encode(), c) for w, c in counts.items()], len(learned), total, kinds, {g: c for g, c in grams.items() if c > 1}, 0.75)
+    expected = {i: plain_score(chance, t) for i, t in texts.items()}
     for r in got:
-        tokens = [ids.get(w, -1) for w in texts[r.doc_id]] + [lm_scoring.END]
-        expected = auto.traverse(tokens) - tokens.count(-1) * math.log10(total + kinds + 1)
-        assert math.isclose(r.score, expected, rel_tol=1e-9), (r, expected)
+        assert math.isclose(r.score, expected[r.doc_id], rel_tol=1e-9), r
+
+
+def test_lm_hot_contexts_are_found(spark):
+    """A context above its share is dealt by n-gram; rare ones are not."""
+    rows = [(i, f"the w{i} the x{i} y{i}", "a") for i in range(400)]
+    source = lm_scoring._batched(frame(spark, rows).selectExpr("true __train", "cast(text AS binary) __text"), 2000)
+    found = lm_scoring._hot_contexts(
+        source.select("__batch", "__at", "__text", "__train"), lm_scoring.ModelPlan(hot_parts=20))
+    named = {shingles.word_hash(w) for w in (b"the", b" start", b" end")}
+    # One more is the start followed by "the".
+    assert named < set(found.tolist()) and len(found) == 4
 
 
 def test_pipeline_decodes_what_it_encodes(spark):
