@@ -10,7 +10,7 @@ each text. The model is never in one place: a range holds its contexts, a batch
 
 Contexts that begin one n-gram in ``hot_parts`` are at most that many of each order. Their n-grams are dealt by their own
 hash instead of the context's, and the sums of these contexts go through the driver; so does the empty context.
-Words and n-grams go by 64-bit hashes, the n-grams of one context by 40 bits, so two of them could be taken for one.
+Words and n-grams go by 64-bit hashes, the n-grams of one context by 32 bits, so two of them could be taken for one.
 """
 
 from __future__ import annotations
@@ -21,17 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as sh
-from .batches import pieces
+from .batches import pieces, slabs
 from .text import held, ship, whole
 
 _U = np.uint64
 _ROOT = 0  # stands for the empty context among the sums of contexts
-_TAIL = 5  # bytes kept of the code of an n-gram within its context
+_TAIL = 4  # bytes kept of the code of an n-gram within its context
 
 
 @dataclass(frozen=True)
@@ -48,34 +49,81 @@ class ModelPlan:
 @dataclass
 class Level:
     """The distinct n-grams of one order in some texts, sorted by code. ``index`` gives the n-gram that begins at a place of
-    the line (-1: none); ``prefix`` and ``suffix`` are numbers in the level below, ``word`` is the number of the last word."""
+    the line (-1: none); ``prefix`` and ``suffix`` are numbers in the level below."""
 
     codes: np.ndarray
     counts: np.ndarray  # in training texts
     index: np.ndarray
     prefix: np.ndarray
     suffix: np.ndarray
-    word: np.ndarray
 
 
-def _tokens(text: bytes) -> list[bytes]:
-    """Words with A-Z in lower case; both methods of bytes treat ASCII only."""
-    return text.lower().split()
+#: Base of the polynomial hash of words, any large odd number, and a number for each byte; A-Z count as a-z.
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = sh.mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+_BYTES[65:91] = _BYTES[97:123]
+_IS_GAP = np.zeros(256, bool)
+_IS_GAP[[9, 10, 11, 12, 13, 32]] = True
+_powers = (np.ones(1, _U), np.ones(1, _U))
+
+
+def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse modulo 2^64; those of usual lengths are kept."""
+    global _powers
+    if len(_powers[0]) < n:
+        made = []
+        for factor in (_BASE, pow(_BASE, -1, 1 << 64)):
+            x = np.full(n, factor, _U)
+            x[0] = 1
+            made.append(np.multiply.accumulate(x))
+        if n > 4 << 20:
+            return made[0], made[1]
+        _powers = (made[0], made[1])
+    return _powers[0][:n], _powers[1][:n]
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of every word, from running sums of byte numbers times powers of the base."""
+    raw = np.frombuffer(text, np.uint8)
+    gap = np.concatenate([[True], _IS_GAP[raw], [True]])
+    first = np.flatnonzero(gap[:-1] & ~gap[1:])
+    last = np.flatnonzero(~gap[:-1] & gap[1:])
+    up, down = _powers_of_base(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, _U)
+    np.cumsum(_BYTES[raw] * up[:-1], out=sums[1:])
+    return first, sh.mix((sums[last] - sums[first]) * down[first] + (last - first).astype(_U))
 
 
 def _line(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens in one line, each text between its start and its end, and where texts begin (the end, too)."""
+    joined = b"\n".join(texts)
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    firsts, hashes, at = [np.empty(0, np.int64)], [np.empty(0, _U)], 0
+    for slab in slabs(joined):
+        first, codes = _words(slab)
+        firsts.append(first + at)
+        hashes.append(codes)
+        at += len(slab)
+    n = np.diff(np.searchsorted(np.concatenate(firsts), begins))
+    starts = np.concatenate([[0], np.cumsum(n + 2)])
     # No word has a space in it.
-    start, end = sh.word_hash(b" start"), sh.word_hash(b" end")
-    parts, starts = [], [0]
-    for text in texts:
-        tokens = _tokens(text)
-        codes = np.empty(len(tokens) + 2, _U)
-        codes[0], codes[-1] = start, end
-        codes[1:-1] = np.fromiter(sh.word_hashes(tokens), _U, len(tokens))
-        parts.append(codes)
-        starts.append(starts[-1] + len(codes))
-    return np.concatenate(parts) if parts else np.empty(0, _U), np.array(starts)
+    line = np.full(int(starts[-1]), sh.word_hash(b" end"), _U)
+    line[starts[:-1]] = sh.word_hash(b" start")
+    codes = np.concatenate(hashes)
+    line[np.arange(len(codes)) + 2 * np.repeat(np.arange(len(texts)), n) + 1] = codes
+    return line, starts
+
+
+def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct codes, a place of each, and the number of each place's code; places of equal codes are alike here."""
+    order = np.argsort(codes)
+    ordered = codes[order]
+    runs = _runs(ordered)
+    new = np.zeros(len(codes), np.int64)
+    new[runs[1:]] = 1
+    inverse = np.empty(len(codes), np.int64)
+    inverse[order] = np.cumsum(new)
+    return ordered[runs], order[runs], inverse
 
 
 def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[Level], np.ndarray]:
@@ -89,9 +137,9 @@ def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[L
         if order > 1:
             inside = inside[:-1] & ~ends[order - 2:-1]
             with np.errstate(over="ignore"):
-                codes = sh.mix(codes[:-1] * _U(0x9E3779B97F4A7C15) + codes[1:] + _U(order))
+                codes = sh.mix(codes[:-1] * _U(_BASE) + codes[1:] + _U(order))
         places = np.flatnonzero(inside)
-        distinct, first, inverse = np.unique(codes[places], return_index=True, return_inverse=True)
+        distinct, first, inverse = _distinct(codes[places])
         counts = np.bincount(inverse[taught[places]], minlength=len(distinct))
         index = np.full(len(line) + 1, -1, np.int64)
         index[places] = inverse
@@ -100,10 +148,10 @@ def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[L
             own = np.arange(len(distinct))
             # The start of a text is no event.
             counts[distinct == _U(sh.word_hash(b" start"))] = 0
-            levels.append(Level(distinct, counts, index, own, own, own))
+            levels.append(Level(distinct, counts, index, own, own))
         else:
             below = levels[-1].index
-            levels.append(Level(distinct, counts, index, below[at], below[at + 1], levels[0].index[at + order - 1]))
+            levels.append(Level(distinct, counts, index, below[at], below[at + 1]))
     return levels, starts
 
 
@@ -113,16 +161,47 @@ def _among(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return sorted_codes[np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)] == codes
 
 
-def _dealt(levels: list[Level], n: int, ranges: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams of order n in the order in which they travel, by (range, context, code), and where each range begins."""
-    level = levels[n - 1]
-    by = level.codes
-    if n > 1:
-        context = levels[n - 2].codes[level.prefix]
-        by = np.where(_among(hot, context), level.codes, context)
-    part = (sh.mix(by + _U(n)) % _U(ranges)).astype(np.int64)
-    order = np.lexsort((level.codes, level.prefix, part))
-    return order, np.searchsorted(part[order], np.arange(ranges + 1))
+@dataclass
+class Section:
+    """Some n-grams of order ``n`` in the order in which they travel; range r gets ``order[bounds[r]:bounds[r + 1]]``.
+
+    ``implied``: the context of each is an n-gram of order 2 in the same range, and they come in the order of these."""
+
+    n: int
+    implied: bool
+    order: np.ndarray
+    bounds: np.ndarray
+
+
+def _dealt(levels: list[Level], ranges: int, hot: np.ndarray) -> list[Section]:
+    """All n-grams by range: words by their own hash, pairs by that of their first word, triples with the pair they begin
+    with, longer ones by the hash of their context; what follows a hot context by its own hash."""
+    sections: list[Section] = []
+    within = np.arange(ranges + 1)
+    for n, level in enumerate(levels, 1):
+        m = len(level.codes)
+        part = lambda by: (sh.mix(by + _U(n)) % _U(ranges)).astype(np.int64)  # noqa: B023, E731
+        spread = np.ones(m, bool)
+        if n == 1:
+            to = part(level.codes)
+        else:
+            context = levels[n - 2].codes[level.prefix]
+            common = _among(hot, context)
+            to = part(np.where(common, level.codes, context))
+            if n == 3:
+                pairs = sections[-1]
+                rank = np.empty(len(pairs.order), np.int64)
+                rank[pairs.order] = np.arange(len(pairs.order))
+                spread = common
+                own = np.flatnonzero(~common)
+                place = rank[level.prefix[own]]
+                by = np.argsort(place, kind="stable")
+                sections.append(Section(3, True, own[by], np.searchsorted(place[by], pairs.bounds)))
+        # Levels are sorted by code, so equal keys stay in that order.
+        some = np.flatnonzero(spread)
+        by = np.argsort(to[some] * (m + len(levels[max(n - 2, 0)].codes)) + level.prefix[some], kind="stable")
+        sections.append(Section(n, False, some[by], np.searchsorted(to[some[by]], within)))
+    return sections
 
 
 def _runs(x: np.ndarray) -> np.ndarray:
@@ -151,9 +230,9 @@ def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(_unpack(data, n), dtype=_U)
 
 
-_BLOCK = ("range int, level int, batch bigint, first int, last int, n_contexts int, n_grams int, contexts binary, "
+_BLOCK = ("range int, domain int, section int, level int, batch bigint, first int, last int, n_contexts int, n_grams int, contexts binary, "
           "followers binary, grams binary, counts binary")
-_ANSWER = ("batch bigint, first int, last int, range int, level int, n_contexts int, n_grams int, counts binary, seen binary, "
+_ANSWER = ("batch bigint, first int, last int, range int, section int, n_contexts int, n_grams int, counts binary, seen binary, "
            "kept_count binary, kept binary, context bigint, sum_seen bigint, sum_kept_count bigint, sum_kept bigint, kinds bigint")
 
 
@@ -165,37 +244,49 @@ def _table(schema: str, rows: list[tuple]) -> pa.Table:
 
 
 def _batched(docs: DataFrame, size: int) -> DataFrame:
-    """``docs`` (with __text as binary) with __batch and __at: batches of about ``size`` bytes, rows numbered within them."""
+    """The rows of ``docs`` (with __text as binary) in batches of about ``size`` bytes: batch, at (number of the first row in
+    its batch), size (of the texts), data (the rows as a compressed Arrow stream)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         batch, at, filled = TaskContext.get().partitionId() << 32, 0, 0
         for whole_batch in batches:
             for piece in pieces(whole_batch, "__text", max(1, size // 4)):
-                n = piece.num_rows
+                # A slice is copied, or it would be written with all of its batch.
+                piece = pa.Table.from_batches([piece]).take(pa.array(np.arange(piece.num_rows))).combine_chunks()
+                out = pa.BufferOutputStream()
+                with pa.ipc.new_stream(out, piece.schema, options=options) as stream:
+                    stream.write_table(piece)
+                length = int(pc.sum(pc.binary_length(piece.column("__text"))).as_py() or 0)
                 yield pa.RecordBatch.from_arrays(
-                    [*piece.columns, pa.array(np.full(n, batch)), pa.array(np.arange(at, at + n, dtype=np.int32))],
-                    [*piece.schema.names, "__batch", "__at"])
-                at, filled = at + n, filled + piece.column(piece.schema.get_field_index("__text")).nbytes
+                    [pa.array([batch], pa.int64()), pa.array([at], pa.int32()), pa.array([length], pa.int64()),
+                     pa.array([out.getvalue().to_pybytes()], pa.binary())], ["batch", "at", "size", "data"])
+                at, filled = at + piece.num_rows, filled + length
                 if filled >= size:
                     batch, at, filled = batch + 1, 0, 0
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, __batch bigint, __at int")
+    return docs.mapInArrow(run, "batch bigint, at int, size bigint, data binary")
+
+
+def _opened(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes], list[bool]]]:
     """(batch, first row, texts, training flags): runs of rows of one batch; a reader may see a batch in several runs."""
-    batch, last, texts, flags = None, -2, [], []
+    batch, texts, flags, start = None, [], [], 0
     for rows in batches:
-        for b, at, text, train in zip(*(rows.column(k).to_pylist() for k in range(4))):
-            if texts and (b != batch or at != last + 1):
-                yield batch, last - len(texts) + 1, texts, flags
+        for b, at, data in zip(*(rows.column(name).to_pylist() for name in ("batch", "at", "data"))):
+            if texts and (b != batch or at != start + len(texts)):
+                yield batch, start, texts, flags
                 texts, flags = [], []
-            batch, last = b, at
-            texts.append(text)
-            flags.append(train)
+            if not texts:
+                batch, start = b, at
+            opened = _opened(data)
+            texts.extend(opened.column("__text").to_pylist())
+            flags.extend(opened.column("__train").to_pylist())
     if texts:
-        yield batch, last - len(texts) + 1, texts, flags
+        yield batch, start, texts, flags
 
 
 def _hot_contexts(rows: DataFrame, plan: ModelPlan) -> np.ndarray:
@@ -230,20 +321,28 @@ def _blocks(rows: DataFrame, plan: ModelPlan, ranges: int, hot) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, texts, flags in _gathered(batches):
             levels, _ = _levels(texts, flags, plan.order)
-            for n, level in enumerate(levels, 1):
-                order, bounds = _dealt(levels, n, ranges, hot.value)
+            sections = _dealt(levels, ranges, hot.value)
+            for k, section in enumerate(sections):
+                n, level, bounds = section.n, levels[section.n - 1], section.bounds
+                # Words are counted on their own, pairs together with the triples they begin.
+                domain = 2 if section.implied else n if n < 3 else n + 1
                 out = []
+                begun = np.bincount(level.prefix[section.order], minlength=len(levels[1].codes)) if section.implied else None
                 for r in np.flatnonzero(np.diff(bounds)):
-                    of = order[bounds[r]:bounds[r + 1]]
+                    of = section.order[bounds[r]:bounds[r + 1]]
                     codes, counts = level.codes[of], _pack(level.counts[of])
-                    head = (int(r), n, batch, first, first + len(texts) - 1)
+                    head = (int(r), domain, k, n, batch, first, first + len(texts) - 1)
                     if n == 1:
                         out.append((*head, 0, len(of), b"", b"", _pack_sorted(codes), counts))
                         continue
-                    runs = _runs(level.prefix[of])
-                    contexts = levels[n - 2].codes[level.prefix[of[runs]]]
-                    out.append((*head, len(runs), len(of), _pack_sorted(contexts), _pack(np.diff(runs, append=len(of))),
-                                _pack(codes, _TAIL), counts))
+                    if section.implied:
+                        pairs = sections[k - 1].order[sections[k - 1].bounds[r]:sections[k - 1].bounds[r + 1]]
+                        followers, contexts = begun[pairs], b""
+                    else:
+                        runs = _runs(level.prefix[of])
+                        followers = np.diff(runs, append=len(of))
+                        contexts = _pack_sorted(levels[n - 2].codes[level.prefix[of[runs]]])
+                    out.append((*head, len(followers), len(of), contexts, _pack(followers), _pack(codes, _TAIL), counts))
                 yield from _table(_BLOCK, out).to_batches()
 
     return rows.mapInArrow(run, _BLOCK)
@@ -254,75 +353,89 @@ def _answers(blocks: DataFrame, plan: ModelPlan, hot) -> DataFrame:
     least = plan.least
 
     def run(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        first_order = rows[0]["level"] == 1
-        sizes = np.array([r["n_grams"] for r in rows])
-        ends = np.cumsum(sizes)
-        counts = np.concatenate([_unpack(r["counts"], r["n_grams"]) for r in rows]).astype(np.int64)
-        if first_order:
-            keys = np.concatenate([_unpack_sorted(r["grams"], r["n_grams"]) for r in rows])
-            contexts = None
-        else:
-            tails = np.concatenate([_unpack(r["grams"], r["n_grams"], _TAIL) for r in rows])
-            contexts = np.concatenate([np.repeat(
-                _unpack_sorted(r["contexts"], r["n_contexts"]), _unpack(r["followers"], r["n_contexts"]).astype(np.int64)) for r in rows])
-            with np.errstate(over="ignore"):
-                keys = sh.mix(contexts * _U(0x9E3779B97F4A7C15) + tails)
-            del tails
-        _, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        del keys
-        c = np.zeros(len(at), np.int64)
-        np.add.at(c, inverse, counts)
-        out = []
-        if first_order:
-            out.append((*[None] * 11, _ROOT, int(c.sum()), 0, 0, int((c > 0).sum())))
-        else:
-            distinct, of = np.unique(contexts[at], return_inverse=True)
-            keep = c >= least
-            seen, kept_count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-            np.add.at(seen, of, c)
-            np.add.at(kept_count, of[keep], c[keep])
-            kept = np.bincount(of[keep], minlength=len(distinct))
-            for k in np.flatnonzero(_among(hot.value, distinct)):
-                out.append((*[None] * 11, int(distinct[k:k + 1].view(np.int64)[0]), int(seen[k]), int(kept_count[k]), int(kept[k]), 0))
-        for row, end in zip(rows, ends):
-            mine = slice(end - row["n_grams"], end)
-            head = tuple(row[name] for name in ("batch", "first", "last", "range", "level", "n_contexts", "n_grams"))
-            sums = (b"", b"", b"")
-            if not first_order:
-                own = contexts[mine]
-                place = np.searchsorted(distinct, own[_runs(own)])
-                sums = tuple(_pack(np.where(kept[place] > 0, x[place], 0)) for x in (seen, kept_count, kept))
-            out.append((*head, _pack(c[inverse[mine]]), *sums, *[None] * 5))
+        by_section: dict[int, list[dict]] = {}
+        for row in group.to_pylist():
+            by_section.setdefault(row["section"], []).append(row)
+        out, numbers = [], {}
+        for section, rows in sorted(by_section.items()):
+            ends = np.cumsum([r["n_grams"] for r in rows])
+            counts = np.concatenate([_unpack(r["counts"], r["n_grams"]) for r in rows]).astype(np.int64)
+            words, implied = rows[0]["level"] == 1, rows[0]["level"] > 1 and not rows[0]["contexts"]
+            own = []  # the contexts of each block; those of triples go by the number of the pair among all of the range
+            if words:
+                keys = np.concatenate([_unpack_sorted(r["grams"], r["n_grams"]) for r in rows])
+            else:
+                followers = [_unpack(r["followers"], r["n_contexts"]).astype(np.int64) for r in rows]
+                own = [numbers[r["batch"], r["first"]] if implied else _unpack_sorted(r["contexts"], r["n_contexts"]) for r in rows]
+                contexts = np.concatenate([np.repeat(x, n) for x, n in zip(own, followers)])
+                tails = np.concatenate([_unpack(r["grams"], r["n_grams"], _TAIL) for r in rows])
+                with np.errstate(over="ignore"):
+                    keys = sh.mix(contexts * _U(_BASE) + tails)
+                del tails
+            _, at, inverse = _distinct(keys)
+            c = np.zeros(len(at), np.int64)
+            np.add.at(c, inverse, counts)
+            if words:
+                out.append((*[None] * 11, _ROOT, int(c.sum()), 0, 0, int((c > 0).sum())))
+            else:
+                distinct, _, of = _distinct(contexts[at])
+                keep = c >= least
+                seen, kept_count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+                np.add.at(seen, of, c)
+                np.add.at(kept_count, of[keep], c[keep])
+                kept = np.bincount(of[keep], minlength=len(distinct))
+                for k in np.flatnonzero(_among(hot.value, distinct)) if not implied else ():
+                    out.append((*[None] * 11, int(distinct[k:k + 1].view(np.int64)[0]), int(seen[k]), int(kept_count[k]), int(kept[k]), 0))
+            for k, (row, end) in enumerate(zip(rows, ends)):
+                mine = inverse[end - row["n_grams"]:end]
+                head = tuple(row[name] for name in ("batch", "first", "last", "range", "section", "n_contexts", "n_grams"))
+                sums = (b"", b"", b"")
+                if not words:
+                    place = np.minimum(np.searchsorted(distinct, own[k]), len(distinct) - 1)
+                    there = (followers[k] > 0) & (kept[place] > 0)
+                    sums = tuple(_pack(np.where(there, x[place], 0)) for x in (seen, kept_count, kept))
+                if section == 1:
+                    numbers[row["batch"], row["first"]] = mine.astype(_U)
+                out.append((*head, _pack(c[mine]), *sums, *[None] * 5))
         return _table(_ANSWER, out)
 
-    return blocks.groupBy("range", "level").applyInArrow(run, _ANSWER)
+    return blocks.groupBy("range", "domain").applyInArrow(run, _ANSWER)
 
 
 @dataclass
 class Automaton:
-    """State 0 is the empty context and has an arc for every word of the texts it was built for. ``arcs`` maps
-    state * words + word to the number of an arc, with its log10 probability ``gain`` and next state ``goes``; a state
-    without an arc passes on to ``fail`` at the cost ``weight``."""
+    """State 0 is the empty context and has an arc for every word of the texts it was built for. A state of ``depth`` m
+    stands for the last m words, so its arc for the next word is that of the n-gram of order m + 1 ending there: ``arcs``
+    gives for each order the arc of each n-gram (-1: none). An arc has a log10 probability ``gain`` and a next state
+    ``goes``; a state without an arc passes on to ``fail`` at the cost ``weight``."""
 
-    words: int
-    arcs: dict[int, int]
+    arcs: list[np.ndarray]
     gain: list[float]
     goes: list[int]
     weight: list[float]
     fail: list[int]
+    depth: list[int]
     start: int
 
-    def traverse(self, words: list[int]) -> float:
+    def ahead(self, levels: list[Level], begin: int, end: int) -> Iterator[tuple[int, ...]]:
+        """For each place of a text but its start: the arcs that states of depth 0, 1, ... have there."""
+        found = []
+        for m, arcs in enumerate(self.arcs):
+            index = levels[m].index[max(begin + 1 - m, begin):max(end - m, begin)]
+            some = np.where(index >= 0, arcs[index], -1) if len(arcs) else np.full(len(index), -1)
+            found.append([-1] * (end - begin - 1 - len(index)) + some.tolist())
+        return zip(*found)
+
+    def traverse(self, ahead: Iterator[tuple[int, ...]]) -> float:
         """log10 probability of the words of one text, its end included."""
-        arcs, gain, goes, weight, fail, n = self.arcs, self.gain, self.goes, self.weight, self.fail, self.words
+        gain, goes, weight, fail, depth = self.gain, self.goes, self.weight, self.fail, self.depth
         state, total = self.start, 0.0
-        for word in words:
-            arc = arcs.get(state * n + word)
-            while arc is None:
+        for arcs in ahead:
+            arc = arcs[depth[state]]
+            while arc < 0:
                 total += weight[state]
                 state = fail[state]
-                arc = arcs.get(state * n + word)
+                arc = arcs[depth[state]]
             total += gain[arc]
             state = goes[arc]
         return total
@@ -341,10 +454,10 @@ def build_automaton(
     """
     p = (counts[0] + 1) / (total + distinct + 1)
     words = len(p)
-    weights, fails = [np.zeros(1)], [np.zeros(1, np.int64)]
-    keys, gains, goes = [], [], []
-    states = 1
-    reached = state = None  # of the order below: the state after an n-gram, and the state an n-gram is (-1: none)
+    weights, fails, depths = [np.zeros(1)], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    arcs, gains, goes = [], [], []
+    states, known = 1, 0
+    reached = first = None  # of the order below: the state after an n-gram
     for n, level in enumerate(levels, 1):
         kept = np.ones(words, bool)
         if n > 1:
@@ -352,7 +465,7 @@ def build_automaton(
             own = np.where(kept, counts[n - 1] - plan.discount, 0.0) / np.maximum(sums[n - 2][0], 1)[level.prefix]
             p = own + gamma[level.prefix] * p[level.suffix]  # noqa: F821
         shorter = np.zeros(words, np.int64) if n == 1 else reached[level.suffix]
-        after, here = shorter, None
+        after = shorter
         if n < len(levels):
             seen, kept_count, kinds = sums[n - 1]
             is_state = kinds > 0
@@ -361,37 +474,37 @@ def build_automaton(
             states += int(is_state.sum())
             weights.append(np.log10(gamma[is_state]))
             fails.append(shorter[is_state])
+            depths.append(np.full(int(is_state.sum()), n))
             after = np.where(is_state, here, shorter)
-        origin = np.zeros(words, np.int64) if n == 1 else state[level.prefix]
-        keys.append(origin[kept] * words + level.word[kept])
+            first = here if n == 1 else first
+        arcs.append(np.where(kept, known + np.cumsum(kept) - 1, -1))
+        known += int(kept.sum())
         gains.append(np.log10(p[kept]))
         goes.append(after[kept])
-        reached, state = after, here
-        if n == 1:
-            first = state
-    keys = np.concatenate(keys)
+        reached = after
     begin = np.flatnonzero(levels[0].codes == _U(sh.word_hash(b" start")))
     start = int(max(first[begin[0]], 0)) if len(begin) and first is not None else 0
     listed = lambda x: np.concatenate(x).tolist()
-    return Automaton(words, dict(zip(keys.tolist(), range(len(keys)))), listed(gains), listed(goes), listed(weights), listed(fails), start)
+    return Automaton(arcs, listed(gains), listed(goes), listed(weights), listed(fails), listed(depths), start)
 
 
-def _read_answers(levels: list[Level], answers: list[dict], plan: ModelPlan, ranges: int, hot: np.ndarray, hot_sums: np.ndarray):
+def _read_answers(levels: list[Level], answers: list[dict], ranges: int, hot: np.ndarray, hot_sums: np.ndarray):
     """Corpus counts of the n-grams of ``levels`` and sums of their contexts, as build_automaton takes them."""
     counts = [np.zeros(len(level.codes), np.int64) for level in levels]
     sums = [tuple(np.zeros(len(level.codes), np.int64) for _ in range(3)) for level in levels[:-1]]
-    dealt = {}
+    sections = _dealt(levels, ranges, hot)
     for row in answers:
-        n = row["level"]
-        if n not in dealt:
-            dealt[n] = _dealt(levels, n, ranges, hot)
-        order, bounds = dealt[n]
-        of = order[bounds[row["range"]]:bounds[row["range"] + 1]]
-        counts[n - 1][of] = _unpack(row["counts"], row["n_grams"])
-        if n > 1:
-            context = levels[n - 1].prefix[of]
-            context = context[_runs(context)]
-            for target, name in zip(sums[n - 2], ("seen", "kept_count", "kept")):
+        section, r = sections[row["section"]], row["range"]
+        of = section.order[section.bounds[r]:section.bounds[r + 1]]
+        counts[section.n - 1][of] = _unpack(row["counts"], row["n_grams"])
+        if section.n > 1:
+            if section.implied:
+                pairs = sections[row["section"] - 1]
+                context = pairs.order[pairs.bounds[r]:pairs.bounds[r + 1]]
+            else:
+                context = levels[section.n - 1].prefix[of]
+                context = context[_runs(context)]
+            for target, name in zip(sums[section.n - 2], ("seen", "kept_count", "kept")):
                 target[context] = _unpack(row[name], row["n_contexts"])
     for n, level in enumerate(levels[:-1]):
         common = np.flatnonzero(_among(hot, level.codes))
@@ -411,11 +524,11 @@ def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: Mode
     spark = docs.sparkSession
     ship(spark)
     # Written once, so that batches and places of rows do not change when a lost task runs again.
-    source = held(_batched(docs.select(
-        *carry, F.coalesce(training, F.lit(False)).alias("__train"), whole(F.col("text")).cast("binary").alias("__text")),
-        plan.batch_bytes), "batches")
-    rows = source.select("__batch", "__at", "__text", "__train")
-    size = source.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    asked = docs.select(
+        *carry, F.coalesce(training, F.lit(False)).alias("__train"), whole(F.col("text")).cast("binary").alias("__text"))
+    source = held(_batched(asked, plan.batch_bytes), "batches")
+    rows = source.select("batch", "at", "data")
+    size = source.agg(F.sum("size")).first()[0] or 0
     ranges = max(plan.fewest_ranges, -(-size // plan.range_bytes))
     # At most 2 x hot_parts x (order - 1) codes.
     hot = _hot_contexts(rows, plan)
@@ -432,16 +545,16 @@ def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: Mode
     known = spark.sparkContext.broadcast((hot, hot_sums))
 
     def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
-        texts = texts.take(pa.array(np.argsort(texts.column("__at").to_numpy())))
-        places = texts.column("__at").to_numpy()
+        texts = texts.sort_by("at")
+        texts = pa.concat_tables([_opened(data) for data in texts.column("data").to_pylist()])
         parts: dict[tuple[int, int], list[dict]] = {}
         for row in sent.to_pylist():
             parts.setdefault((row["first"], row["last"]), []).append(row)
         lengths, hits, bases, scores = [], [], [], []
         for (first, last), mine in sorted(parts.items()):
-            some = texts.slice(int(np.searchsorted(places, first)), last - first + 1)
+            some = texts.slice(first, last - first + 1)
             levels, starts = _levels(some.column("__text").to_pylist(), some.column("__train").to_pylist(), plan.order)
-            counts, sums = _read_answers(levels, mine, plan, ranges, *known.value)
+            counts, sums = _read_answers(levels, mine, ranges, *known.value)
             automaton = build_automaton(levels, counts, sums, total, distinct, plan)
             base = np.log10((counts[0] + 1) / (total + distinct + 1))
             for begin, end in zip(starts, starts[1:]):
@@ -449,14 +562,14 @@ def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: Mode
                 lengths.append(len(words))
                 hits.append(int((counts[0][words] > 0).sum()))
                 bases.append(math.fsum(base[words]))
-                scores.append(automaton.traverse(words.tolist()))
+                scores.append(automaton.traverse(automaton.ahead(levels, begin, end)))
         return pa.table([
             *(texts.column(c) for c in carry), pa.array(lengths, pa.int64()), pa.array(hits, pa.int64()),
             pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], [*carry, "n_tokens", "n_known", "base_score", "score"])
 
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
-    asked = answers.where("batch IS NOT NULL").drop("context", "sum_seen", "sum_kept_count", "sum_kept", "kinds")
-    scored = source.groupBy("__batch").cogroup(asked.groupBy("batch")).applyInArrow(
+    fields = ", ".join(f"`{c}` {asked.schema[c].dataType.simpleString()}" for c in carry)
+    sent_back = answers.where("batch IS NOT NULL").drop("context", "sum_seen", "sum_kept_count", "sum_kept", "kinds")
+    scored = rows.groupBy("batch").cogroup(sent_back.groupBy("batch")).applyInArrow(
         run, f"{fields}, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(
         *carry, "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -345,6 +345,7 @@ def test_plain_model_sums_to_one():
 
 @pytest.mark.parametrize("plan", [
     {}, {"hot_parts": 3}, {"hot_parts": 3, "batch_bytes": 200, "fewest_ranges": 3}, {"least": 4, "hot_parts": 2, "batch_bytes": 1},
+    {"hot_parts": 1 << 20},
 ])
 def test_lm_scores_are_those_of_the_plain_model(spark, plan):
     """Whatever the batches, ranges and hot contexts; every n-gram from the least count on takes part."""
@@ -363,13 +364,29 @@ def test_lm_scores_are_those_of_the_plain_model(spark, plan):
         assert math.isclose(r.score, expected[r.doc_id], rel_tol=1e-9), r
 
 
+def test_lm_hashes_follow_the_words():
+    """Equal words have equal hashes wherever they stand, also over the ends of slabs, and no two words share one here."""
+    draw = random.Random(3)
+    texts = ["", " ", "a", *["".join(draw.choice("abAé \t\n\x0b\x0c\r\x00\x1c\x85\xa0") for _ in range(draw.randint(0, 300))) for _ in range(200)],
+             "long word " * 150_000 + "x" * 3_000_000, "end"]
+    line, starts = lm_scoring._line([t.encode() for t in texts])
+    seen = {}
+    for t, begin, end in zip(texts, starts, starts[1:]):
+        words = WORD.findall(lower(t))
+        codes = line[begin + 1:end - 1].tolist()
+        assert len(codes) == len(words)
+        for w, c in zip(words, codes):
+            assert seen.setdefault(w, c) == c
+    assert len(set(seen.values())) == len(seen)
+
+
 def test_lm_hot_contexts_are_found(spark):
     """A context above its share is dealt by n-gram; rare ones are not."""
     rows = [(i, f"the w{i} the x{i} y{i}", "a") for i in range(400)]
     source = lm_scoring._batched(frame(spark, rows).selectExpr("true __train", "cast(text AS binary) __text"), 2000)
     found = lm_scoring._hot_contexts(
-        source.select("__batch", "__at", "__text", "__train"), lm_scoring.ModelPlan(hot_parts=20))
-    named = {shingles.word_hash(w) for w in (b"the", b" start", b" end")}
+        source.select("batch", "at", "data"), lm_scoring.ModelPlan(hot_parts=20))
+    named = {shingles.word_hash(b" start"), shingles.word_hash(b" end"), int(lm_scoring._line([b"THE"])[0][1])}
     # One more is the start followed by "the".
     assert named < set(found.tolist()) and len(found) == 4
 
