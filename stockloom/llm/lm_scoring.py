@@ -41,7 +41,7 @@ class ModelPlan:
     least: int = 2  # n-grams are kept from this count on
     discount: float = 0.75
     batch_bytes: int = 8 << 20
-    range_bytes: int = 16 << 20  # text per range of contexts
+    range_bytes: int = 8 << 20  # text per range of contexts
     fewest_ranges: int = 32
     hot_parts: int = 1 << 12
 
@@ -119,10 +119,10 @@ def _distinct(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(codes)
     ordered = codes[order]
     runs = _runs(ordered)
-    new = np.zeros(len(codes), np.int64)
+    new = np.zeros(len(codes), np.int32)
     new[runs[1:]] = 1
-    inverse = np.empty(len(codes), np.int64)
-    inverse[order] = np.cumsum(new)
+    inverse = np.empty(len(codes), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32)
     return ordered[runs], order[runs], inverse
 
 
@@ -141,11 +141,11 @@ def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[L
         places = np.flatnonzero(inside)
         distinct, first, inverse = _distinct(codes[places])
         counts = np.bincount(inverse[taught[places]], minlength=len(distinct))
-        index = np.full(len(line) + 1, -1, np.int64)
+        index = np.full(len(line) + 1, -1, np.int32)
         index[places] = inverse
         at = places[first]
         if order == 1:
-            own = np.arange(len(distinct))
+            own = np.arange(len(distinct), dtype=np.int32)
             # The start of a text is no event.
             counts[distinct == _U(sh.word_hash(b" start"))] = 0
             levels.append(Level(distinct, counts, index, own, own))
@@ -373,17 +373,19 @@ def _answers(blocks: DataFrame, plan: ModelPlan, hot) -> DataFrame:
                     keys = sh.mix(contexts * _U(_BASE) + tails)
                 del tails
             _, at, inverse = _distinct(keys)
-            c = np.zeros(len(at), np.int64)
-            np.add.at(c, inverse, counts)
+            del keys
+            # Sums of floats are exact up to 2^53.
+            c = np.bincount(inverse, counts, len(at)).astype(np.int64)
+            del counts
             if words:
                 out.append((*[None] * 11, _ROOT, int(c.sum()), 0, 0, int((c > 0).sum())))
             else:
                 distinct, _, of = _distinct(contexts[at])
                 keep = c >= least
-                seen, kept_count = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-                np.add.at(seen, of, c)
-                np.add.at(kept_count, of[keep], c[keep])
+                seen = np.bincount(of, c, len(distinct)).astype(np.int64)
+                kept_count = np.bincount(of[keep], c[keep], len(distinct)).astype(np.int64)
                 kept = np.bincount(of[keep], minlength=len(distinct))
+                del of, keep, contexts
                 for k in np.flatnonzero(_among(hot.value, distinct)) if not implied else ():
                     out.append((*[None] * 11, int(distinct[k:k + 1].view(np.int64)[0]), int(seen[k]), int(kept_count[k]), int(kept[k]), 0))
             for k, (row, end) in enumerate(zip(rows, ends)):
@@ -556,6 +558,7 @@ def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: Mode
             levels, starts = _levels(some.column("__text").to_pylist(), some.column("__train").to_pylist(), plan.order)
             counts, sums = _read_answers(levels, mine, ranges, *known.value)
             automaton = build_automaton(levels, counts, sums, total, distinct, plan)
+            del sums
             base = np.log10((counts[0] + 1) / (total + distinct + 1))
             for begin, end in zip(starts, starts[1:]):
                 words = levels[0].index[begin + 1:end]
