@@ -254,6 +254,47 @@ def upsert_items(items: DataFrame, actions: DataFrame) -> DataFrame:
     return both.select("item_sku", *(merged(f.name) for f in ITEMS if f.name != "item_sku"), *(f"o.{c}" for c in more))
 
 
+def _version(fields: dict[str, Column]) -> Column:
+    return F.to_json(F.struct(*(value.alias(c) for c, value in fields.items())), {"ignoreNullFields": "false"})
+
+
+def item_audit(items: DataFrame, actions: DataFrame, user: str = DEFAULT_USER, share: float = SHARE) -> DataFrame:
+    """One audit row per accepted action that finds its item in place, with the item before and after it as JSON.
+
+    ``items`` are the items before the first action. An action that changes nothing is listed like any other; the one that
+    creates an item is not, those after it are. The versions of an item are running values over its actions, so an item with
+    very many actions is spread. An item without actions takes no part beyond a join on its key.
+    """
+    changing = (*_LATEST, *_KEPT, "updated_at")
+    missing = [f for f in ITEMS if f.name not in items.columns]
+    known = items.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}).withColumn("_known", F.lit(True))
+    columns = [*ITEMS.names, *(c for c in items.columns if c not in ITEMS.names)]
+    settled = [c for c in columns if c not in (*changing, "item_sku")]
+
+    # What no action changes comes from the item or, for a new one, from its first action, and is seen by all of them.
+    born = actions.groupBy("item_sku").agg(F.min(F.struct("created_at", "seq", "shop_type")).alias("_f"))
+    first = {"shop_code": F.col("_f.shop_type"), "is_active": F.lit(True), "created_at": F.col("_f.created_at")}
+    none = F.lit(None)
+    fixed = F.struct(*(F.when(F.col("_known"), F.col(c)).otherwise(first.get(c, none)).alias(c) for c in settled))
+    seed = born.join(known, "item_sku", "left").select(
+        "item_sku", F.lit(0).alias("_phase"), F.col("_f.created_at").alias("_at"), F.col("_f.seq").alias("seq"),
+        *changing, "_known", fixed.alias("_settled"))
+    steps = actions.withColumn("updated_at", F.col("created_at")).select(
+        "item_sku", F.lit(1).alias("_phase"), F.col("created_at").alias("_at"), "seq", *changing, F.lit(True).alias("_known"))
+    lasts = {f"_b_{c}": F.col(c) for c in (*changing, "_known", "_settled")}
+    walked = running(
+        seed.unionByName(steps, allowMissingColumns=True), ["item_sku"], ["_phase", "_at", "seq"], lasts=lasts, share=share,
+    ).where((F.col("_phase") == 1) & F.col("_b__known"))
+
+    before = {c: F.col(f"_b_{c}") if c in changing else F.col(f"_b__settled.{c}") for c in columns if c != "item_sku"}
+    after = {c: F.coalesce(F.col(c), value) if c in changing else value for c, value in before.items()}
+    sku = {"item_sku": F.col("item_sku")}
+    return walked.select(
+        "seq", F.lit("items").alias("table_name"), F.col("item_sku").alias("row_pk"), F.lit("UPDATE").alias("action"),
+        F.lit(user).alias("changed_by"), F.col("_at").alias("changed_at"),
+        _version(sku | before).alias("old_data"), _version(sku | after).alias("new_data"))
+
+
 def upsert_customers(customers: DataFrame, actions: DataFrame, user: str = DEFAULT_USER) -> DataFrame:
     """Customers after the accepted actions: one per contact text of a rental, blank contacts as a walk-in."""
     new = new_customers(actions, user).join(customers.select("display_name"), "display_name", "left_anti")
@@ -354,10 +395,16 @@ class Ingested:
     tables: Tables
     rejects: DataFrame
     results: DataFrame
+    audit: DataFrame | None = None
 
 
-def ingest(raw: DataFrame, tables: Tables, share: float = SHARE, user: str = DEFAULT_USER) -> Ingested:
-    """Apply a batch of raw actions to the tables; ``user`` is noted on every row it adds."""
+def ingest(
+    raw: DataFrame, tables: Tables, share: float = SHARE, user: str = DEFAULT_USER, audit: bool = False,
+) -> Ingested:
+    """Apply a batch of raw actions to the tables; ``user`` is noted on every row it adds.
+
+    ``audit`` asks for the audit rows of all updates of items, too (``item_audit``).
+    """
     decided = decide(raw, tables.rentals, share)
     actions = accepted(decided)
     customers = upsert_customers(tables.customers, actions, user)
@@ -369,7 +416,8 @@ def ingest(raw: DataFrame, tables: Tables, share: float = SHARE, user: str = DEF
         customers,
         close_rentals(opened, actions),
     )
-    return Ingested(after, rejected(decided), action_result(actions))
+    trail = item_audit(tables.items, actions, user, share) if audit else None
+    return Ingested(after, rejected(decided), action_result(actions), trail)
 
 
 # --- data quality --------------------------------------------------------------------------------------------------

@@ -619,6 +619,11 @@ def r6_audit_items(spark, d):
     return scope.audit_items(old, fx.repriced_items(old), AS_OF, "app_admin")
 
 
+@_query
+def r6_audit_actions(spark, d):
+    return ingest.item_audit(fx.full_items(spark, d), _actions(spark, d), "till")
+
+
 # --- reconciliation ------------------------------------------------------------------------------------------------
 
 

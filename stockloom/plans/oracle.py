@@ -701,6 +701,28 @@ refused AS (SELECT * FROM (SELECT * FROM bad QUALIFY row_number() OVER (PARTITIO
         CASE WHEN num % 97 <> 5 THEN {json.replace('{price}', '(sell_price + 1)')} END AS new_data
         FROM (SELECT *, substr(item_sku, 5)::BIGINT AS num FROM fx_items) WHERE num % 97 = 5 OR num % 10 = 0""")
 
+    # Each update with the item before it: numbers of the action before, colours of the last action that had one.
+    moment = lambda c: f"coalesce('\"' || strftime({c}, '%Y-%m-%dT%H:%M:%S.%g') || '\"', 'null')"
+    number = lambda c: f"{c}::VARCHAR"
+    kinds = {"item_sku": text, "shop_code": text, "item_name": text, "brand_designer": text, "item_image": text,
+             "stock_cost_price": number, "sell_price": number, "min_stock_alert": number, "bag_color": text, "bridal_size": text,
+             "is_active": lambda c: f"coalesce({c}::VARCHAR, 'null')", "created_at": moment, "updated_at": moment}
+    moved = ("item_name", "stock_cost_price", "sell_price", "min_stock_alert", "bag_color", "updated_at")
+    shown = {side: "'{' || " + " || ',' || ".join(
+        f"'\"{c}\":' || {kind((prefix if c in moved else 'm.') + c)}" for c, kind in kinds.items()) + " || '}'"
+        for side, prefix in (("old", "p."), ("new", "s."))}
+    changes = "item_sku, {phase} AS phase, {seq} AS seq, item_name, stock_cost_price, sell_price, min_stock_alert, bag_color, {at} AS updated_at"
+    add("r6_audit_actions", f"""SELECT s.seq, 'items' AS table_name, s.item_sku AS row_pk, 'UPDATE' AS action, 'till' AS changed_by,
+        s.updated_at AS changed_at, {shown['old']} AS old_data, {shown['new']} AS new_data
+        FROM states s JOIN states p ON p.item_sku = s.item_sku AND p.place = s.place - 1 JOIN after_items m ON m.item_sku = s.item_sku""",
+        _FULL, _ACTIONS, _AFTER, f"""
+states AS (
+  SELECT * REPLACE (last_value(bag_color IGNORE NULLS) OVER w AS bag_color), row_number() OVER w AS place FROM (
+    SELECT {changes.format(phase=0, seq=0, at='updated_at')} FROM full_items
+    UNION ALL SELECT {changes.format(phase=1, seq='seq', at='created_at')} FROM good)
+  WINDOW w AS (PARTITION BY item_sku ORDER BY phase, updated_at, seq ROWS UNBOUNDED PRECEDING))
+""")
+
     # reconciliation
     add("a1_baseline_check", """SELECT * FROM (SELECT l.item_sku, coalesce(s.q, 0)::BIGINT AS logged_qty, l.live_stock,
         (l.live_stock - coalesce(s.q, 0))::BIGINT AS difference FROM live l

@@ -1,5 +1,7 @@
 import datetime as dt
+import json
 import random
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
@@ -108,6 +110,56 @@ def test_ingest_equals_replay(spark, seed, share):
     check(done.tables, done.rejects, actions)
 
 
+def versions(actions):
+    """(seq, sku, version before, version after) of every update, one action after the other."""
+    _, _, _, _, _, rejects = replay(actions)
+    number = {"5": 5.0, "7.25": 7.25, "junk": 0.0, None: 0.0, "3kg": 3.0, "": 0.0, "2": 2.0}
+    state = {"A": {"item_sku": "A", "shop_code": "Bridal", "item_name": "gown", "brand_designer": "Vera", "item_image": None,
+                   "stock_cost_price": 10.0, "sell_price": 20.0, "min_stock_alert": 3, "bag_color": None, "bridal_size": "UK 8",
+                   "is_active": True, "created_at": START, "updated_at": START, "shelf": "left"}}
+    out = []
+    for a in (a for a in actions if a["seq"] not in rejects):
+        sku = a["item_sku"].strip().upper()
+        old = state.get(sku)
+        new = dict(old) if old else {"item_sku": sku, "shop_code": a["shop_type"], "brand_designer": None, "item_image": None,
+                                     "bag_color": None, "bridal_size": None, "is_active": True, "created_at": a["created_at"],
+                                     "shelf": None}
+        cost = 0.0 if a["action_type"] == "Rental Out" else number[a["stock_cost_price"]]
+        new.update(item_name=a["item_name"], stock_cost_price=cost, sell_price=number[a["sell_price"]],
+                   min_stock_alert=4 if a["min_stock_alert"] == "4" else 2, updated_at=a["created_at"])
+        new["bag_color"] = a["bag_color"] or new["bag_color"]
+        if old:
+            out.append((a["seq"], sku, a["created_at"], old, new))
+        state[sku] = new
+    return out
+
+
+@pytest.mark.parametrize("seed,share", [(1, 10**9), (2, 0.01)])
+def test_each_action_on_an_item_is_audited(spark, seed, share):
+    actions = random_actions(300, seed)
+    last = {**actions[-1], "action_type": "New Item", "item_sku": "a", "shop_type": "Bags", "item_name": "x", "bridal_status": None,
+            "sell_price": "5", "stock_cost_price": "2", "min_stock_alert": "4", "bag_color": ""}
+    actions += [{**last, "seq": 301}, {**last, "seq": 302}]  # the second one changes nothing
+    tables = base_tables(spark)
+    tables = replace(tables, items=tables.items.withColumn("shelf", F.lit("left")))
+    trail = ingest.ingest(raw(spark, actions), tables, share, "till", audit=True).audit.collect()
+
+    def read(text):
+        row = json.loads(text)
+        return row | {c: dt.datetime.fromisoformat(row[c]) for c in ("created_at", "updated_at")}
+
+    got = sorted(((int(r.seq), r.row_pk, r.changed_at, read(r.old_data), read(r.new_data)) for r in trail), key=lambda r: r[0])
+    assert got == versions(actions)
+    assert {(r.table_name, r.action, r.changed_by) for r in trail} == {("items", "UPDATE", "till")}
+    assert {k: v for k, v in got[-1][3].items()} == got[-1][4]
+
+
+def test_audit_of_no_actions_is_empty(spark):
+    done = ingest.ingest(raw(spark, []), base_tables(spark), audit=True)
+    assert done.audit.count() == 0
+    assert ingest.ingest(raw(spark, []), base_tables(spark)).audit is None
+
+
 def test_stream_equals_replay_and_survives_repeats(spark, tmp_path):
     actions = random_actions(120, 3)
     root = str(tmp_path / "store")
