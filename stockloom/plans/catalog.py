@@ -84,6 +84,16 @@ def s4_read_import_csv(spark, d):
     return csv_files.read_import_csv(spark, _exported(spark, d, "Bridal"))
 
 
+@_query
+def s4_read_broken_lines(spark, d):
+    """Values with quotes, commas and line breaks, written as CSV and read again by splits."""
+    path = scratch_path(spark, "import")
+    label = F.concat("item_name", F.lit('\n"'), F.coalesce("brand_designer", F.lit("")), F.lit('",\n\n'), "item_sku")
+    rows = fx.items(spark, d).select("item_sku", label.alias("label"), "shop_code")
+    rows.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    return csv_files.read_import_csv(spark, path, multi_line=True)
+
+
 @_query
 def s5_normalize_import(spark, d):
     listed = csv_files.export_rows(_live(spark, d), "Bags").orderBy("item_sku")

@@ -475,6 +475,8 @@ def oracle_queries() -> dict[str, str]:
     add("s3_shops", """SELECT shop_code, CASE shop_code WHEN 'Bags' THEN 'Bags retail and resale'
         ELSE 'Bridal wear retail and rental' END AS description, count(*) AS items FROM fx_items GROUP BY shop_code""")
     add("s4_read_import_csv", f"SELECT {_EXPORT_TEXT} FROM exported WHERE shop_type = 'Bridal'", _LIVE, _EXPORT)
+    add("s4_read_broken_lines", """SELECT item_sku, item_name || chr(10) || '"' || coalesce(brand_designer, '') || '",' || chr(10) || chr(10) || item_sku
+        AS label, shop_code FROM fx_items""")
     add("s5_normalize_import", """SELECT 999 + row_number() OVER (ORDER BY item_sku) AS seq, TIMESTAMP '2001-06-01 12:00:00' AS created_at, shop_type, item_sku, item_name, brand_designer,
         item_image, stock_cost_price::VARCHAR AS stock_cost_price, sell_price::VARCHAR AS sell_price, '0' AS quantity_change, bag_color,
         min_stock_alert::VARCHAR AS min_stock_alert, bridal_size, bridal_status, rental_due_date, customer_name_contact,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import instant, js_trim
@@ -34,29 +34,83 @@ _DEFAULTS = {
 }
 
 
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines (_file, _start, _line, value) joined to records: a line break inside quotes ends none.
+
+    A line begins a record where the quotes before it in its file are even. They are counted inside each split of a file, and
+    a row per split carries the count and the last beginning on, so a file of any size is spread over the tasks of its
+    splits. Only lines of records with breaks are grouped. Adds ``_head``, whether the record is the first of its file that
+    is not blank.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    split = Window.partitionBy("_file", "_start").orderBy("_line")
+    earlier = split.rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("_quotes", quotes).withColumn("_odd", F.coalesce(F.sum("_quotes").over(earlier), F.lit(0)) % 2)
+    splits = placed.groupBy("_file", "_start").agg(
+        F.sum("_quotes").alias("_sum"), F.max(F.when(F.col("_odd") == 0, F.col("_line"))).alias("_even_line"),
+        F.max(F.when(F.col("_odd") == 1, F.col("_line"))).alias("_odd_line"),
+        F.min(F.when(F.trim("value") != "", F.col("_line"))).alias("_top"))
+    file = Window.partitionBy("_file")
+    before = file.orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    begun = F.struct("_start", F.when(F.col("_in") == 0, F.col("_even_line")).otherwise(F.col("_odd_line")).alias("_line"))
+    carried = (
+        splits.withColumn("_in", F.coalesce(F.sum("_sum").over(before), F.lit(0)) % 2)
+        .withColumn("_open", F.last(F.when(begun["_line"].isNotNull(), begun), ignorenulls=True).over(before))
+        .withColumn("_first", F.min(F.when(F.col("_top").isNotNull(), F.struct("_start", F.col("_top").alias("_line")))).over(file))
+        .select("_file", "_start", "_in", "_open", "_first")
+    )
+    begins = (F.col("_odd") + F.col("_in")) % 2 == 0
+    upto = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.last(F.when(begins, F.struct("_start", "_line")), ignorenulls=True).over(upto)
+    marked = placed.join(carried, ["_file", "_start"]).withColumn("_at", F.coalesce(own, "_open")).withColumn(
+        "_whole", begins & (F.col("_quotes") % 2 == 0))
+    columns = ["_file", F.col("_at._start").alias("_start"), F.col("_at._line").alias("_line"), "value",
+               (F.col("_at") == F.col("_first")).alias("_head")]
+    torn = marked.where(~F.col("_whole")).groupBy("_file", "_at", "_first").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_line", "value"))), lambda x: x["value"]), "\n")
+        .alias("value"))
+    return marked.where("_whole").select(*columns).unionByName(torn.select(*columns))
+
+
+def _broken_lines(spark: SparkSession, path: str, header: list[str], options: dict) -> DataFrame:
+    """Rows of CSV files whose values may hold line breaks, with _file, _start and _line of the line where they begin."""
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.regexp_replace("value", "\r$", "").alias("value"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"))
+    schema = ", ".join(f"c{i} string" for i in range(len(header)))
+    rows = _records(lines).where(F.trim("value") != "").withColumn("_v", F.from_csv("value", schema, options))
+    names = F.array(*(F.lower(F.trim(F.coalesce(F.col(f"_v.c{i}"), F.lit("")))) for i in range(len(header))))
+    same = names == F.array(*(F.lit(c.strip().lower()) for c in header))
+    other = F.raise_error(F.concat(F.lit("another header in "), F.col("_file")))
+    return rows.where(F.when(F.col("_head") & ~same, other).otherwise(~F.col("_head"))).select(
+        *(F.col(f"_v.c{i}").alias(c) for i, c in enumerate(header)), "_file", "_start", "_line")
+
+
 def read_import_csv(spark: SparkSession, path: str, multi_line: bool = False, numbered: bool = False) -> DataFrame:
     """Rows of a CSV file or folder as trimmed text; absent trailing fields are ''.
 
     Blank lines are no rows, lines of nothing but commas are. Standard quoting: doubled quotes belong to the value.
-    Large files are split over tasks; ``multi_line=True`` reads each file in one task and is needed only where a value
-    holds a line break. All files of a folder must have the same header, otherwise reading fails. ``numbered`` adds
-    ``row_no``, counted from 0 by file name and place in the file, whatever way the files were split.
+    Large files are split over tasks. ``multi_line=True`` is needed only where a value holds a line break: lines are then
+    joined while the quotes before them are odd, still split over tasks, for lines that end in LF or CRLF; a quote that is
+    never closed runs to the end of its file. All files of a folder must have the same header, otherwise reading fails.
+    ``numbered`` adds ``row_no``, counted from 0 by file name and place in the file, whatever way the files were split.
     """
-    raw = spark.read.csv(
-        path, header=True, quote='"', escape='"', multiLine=multi_line, ignoreLeadingWhiteSpace=True,
-        ignoreTrailingWhiteSpace=True, inferSchema=False, enforceSchema=False,
-    )
+    options = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, inferSchema=False, enforceSchema=False, **options)
     if not raw.columns:
         return raw
-    cleaned = {c.strip(): F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")) for c in raw.columns}
+    names = raw.columns
+    if multi_line:
+        raw = _broken_lines(spark, path, names, {k: str(v).lower() if v is True else v for k, v in options.items()})
+    cleaned = {c.strip(): F.coalesce(js_trim(F.col(f"`{c}`")), F.lit("")) for c in names}
     columns = [value.alias(name) for name, value in cleaned.items()]
     if not numbered:
         return raw.select(*columns)
     # Ids rise within a split of a file, so file, start of the split and id give the order of the lines.
-    placed = raw.select(
-        *columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_line"))
-    counted = global_row_number(placed, ["_file", "_start", "_line"], "row_no")
+    place = [F.col(c) for c in ("_file", "_start", "_line")] if multi_line else [
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_line")]
+    counted = global_row_number(raw.select(*columns, *place), ["_file", "_start", "_line"], "row_no")
     return counted.withColumn("row_no", F.col("row_no") - 1).select(*cleaned, "row_no")
 
 

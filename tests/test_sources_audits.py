@@ -1,3 +1,4 @@
+import csv
 import datetime as dt
 import random
 from decimal import Decimal
@@ -46,6 +47,42 @@ def test_import_aliases_and_report(spark, tmp_path):
     assert csv_files.read_import_csv(spark, str(empty)).count() == 0
 
 
+def test_broken_lines_are_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["", "a", "b c", 'say "hi"', "two\nlines", '"\n\n"', "x,y", '"', "end\n", " \n,", "\u00e9\n"]
+    files_ = {}
+    for k, end in enumerate(("\n", "\r\n")):
+        rows = [[f"s{k}-{n}", *(rng.choice(words) for _ in range(3))] for n in range(200)]
+        files_[k] = rows
+        with open(tmp_path / f"part{k}.csv", "w", newline="", encoding="utf-8") as out:
+            if k:
+                out.write(end)  # a blank line ahead of the header
+            csv.writer(out, lineterminator=end).writerows([["sku", "na\nme", "brand", "notes"], *rows])
+    expected = [tuple(v.strip() for v in r) for k in sorted(files_) for r in files_[k]]
+    for size in ("100", "128MB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = csv_files.read_import_csv(spark, str(tmp_path), multi_line=True)
+            got = csv_files.read_import_csv(spark, str(tmp_path), multi_line=True, numbered=True).orderBy("row_no").collect()
+            tasks = spark.read.text(str(tmp_path)).rdd.getNumPartitions()
+            assert sorted(tuple(r) for r in rows.collect()) == sorted(expected)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert [tuple(r)[:-1] for r in got] == expected and [r.row_no for r in got] == list(range(400))
+        assert rows.columns == ["sku", "na\nme", "brand", "notes"] and (size != "100" or tasks > 50)
+    (tmp_path / "part9.csv").write_text("name,sku\nx,s9\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_files.read_import_csv(spark, str(tmp_path), multi_line=True).collect()
+
+
+def test_unclosed_quote_and_empty_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('sku,name\ns1,x\ns2,"open\ns3,y\n')
+    (tmp_path / "b.csv").write_text("sku,name\n")
+    (tmp_path / "c.csv").write_text("")
+    got = sorted(tuple(r) for r in csv_files.read_import_csv(spark, str(tmp_path), multi_line=True).collect())
+    assert [r[0] for r in got] == ["s1", "s2"] and "s3,y" in got[1][1]
+
+
 def test_import_folder_is_numbered_in_order(spark, tmp_path):
     for k in range(3):
         (tmp_path / f"part{k}.csv").write_text("sku,name\n" + "".join(f"s{k}{n},x\n" for n in range(4)))
