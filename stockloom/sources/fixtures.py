@@ -290,6 +290,20 @@ def counts(live: DataFrame) -> DataFrame:
     return live.select("item_sku", (F.col("live_stock") + F.expr(off)).alias("physical_qty"))
 
 
+def shortages(live: DataFrame) -> DataFrame:
+    """Physical counts that miss something of every item."""
+    off = F.expr("CAST(substr(item_sku, 5) AS BIGINT) % 7 + 1")
+    return live.select("item_sku", (F.col("live_stock") - off).alias("physical_qty"))
+
+
+def tidy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with plausible quantities, four events to a SKU."""
+    plain = "CASE WHEN action_type IN ('Rental Out', 'Retail Sale') THEN -1 ELSE 1 END"
+    return event_log(spark, sf_dir).withColumns({
+        "item_sku": F.expr(_SKU.format(key="seq div 4")), "quantity_change": F.expr(plain),
+        "shop_type": F.expr("CASE WHEN seq % 10 = 0 THEN 'Bridal' ELSE 'Bags' END")})
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales as an outside till saw them."""
     sales = movements(spark, sf_dir).where("action_type = 'Retail Sale'")

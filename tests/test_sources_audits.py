@@ -203,3 +203,10 @@ def test_imports_from_csv_share_no_id(spark, tmp_path):
     assert len(ids) == known + 4 and len(set(ids)) == len(ids)
     assert {r.item_sku for r in twice.tables.items.collect()} >= {"N1", "N2"}
     assert {len(r.errors) > 0 for r in twice.rejects.collect()} == {True}
+
+
+def test_short_items_may_be_off_site(spark):
+    deltas = spark.createDataFrame([("a", -1), ("b", -2), ("c", 3), ("d", -1)], "item_sku string, delta bigint")
+    live = spark.createDataFrame(
+        [("a", "Dry Cleaning"), ("b", "Available"), ("c", "In Alteration"), ("d", None)], "item_sku string, bridal_status string")
+    assert [tuple(r) for r in audits.off_site(deltas, live).collect()] == [("a", -1, "Dry Cleaning")]
