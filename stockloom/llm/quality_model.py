@@ -150,17 +150,27 @@ def fit_rules(
     return RuleModel(tuple(rules[k] for k in kept), tuple(float(w[k]) for k in kept), float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, rows: int = 8192) -> RuleModel:
-    """Fit on ``labels`` (doc_id, label 0/1) and the texts of ``docs``.
+def labelled_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` pairs of a label and a document: doc_id, label, statistics; the first by hash of id and text.
 
-    At most ``rows`` labels are used, the first by hash of the id; that bounds what reaches the driver. Labels that are
-    null or whose document is missing are passed over; repeated ones count as often as they stand.
+    The bound holds after the join, too, where one id stands for very many documents.
     """
     few = labels.where(F.col("label").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("label").cast("int").alias("label"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     # Broadcast is bounded by ``rows``; texts stay where they are.
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "label", statistics(F.col("text")).alias("s"))
-    data = sample.select("doc_id", "label", "s.*").collect()
+    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    sample = joined.select("doc_id", "label", F.xxhash64("doc_id", "text").alias("__h"), statistics(F.col("text")).alias("s"))
+    return sample.orderBy("__h", "doc_id", "label", "s").limit(rows).select("doc_id", "label", "s.*")
+
+
+def train(docs: DataFrame, labels: DataFrame, *, rows: int = 8192) -> RuleModel:
+    """Fit on ``labels`` (doc_id, label 0/1) and the texts of ``docs``.
+
+    At most ``rows`` labels are used, the first by hash of the id, and at most as many pairs of a label and a document; that
+    bounds what reaches the driver. Labels that are null or whose document is missing are passed over; repeated ones count as
+    often as they stand.
+    """
+    data = labelled_rows(docs, labels, rows).collect()
     data.sort(key=lambda r: tuple(r))
     x = np.array([[r[name] for name in STATISTICS] for r in data], float).reshape(len(data), len(STATISTICS))
     return fit_rules(x, np.array([r.label for r in data], float))

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -139,6 +140,54 @@ def test_constants_reach_sensitive_names():
     assert secret_scan.scan("The password policy: be kind.\nkey: value") == []
 
 
+VALUE = "qT7hP2Zx81Lm"
+
+
+@pytest.mark.parametrize("text,found", [
+    (f'password = DB_PW\nDB_PW = "{VALUE}"', {VALUE}),
+    (f'password = a\na = b\nb = c\nc = "{VALUE}"\nb = a', {VALUE}),
+    (f'my_pwd =\n    "{VALUE}"\nnext = 1', {VALUE}),
+    ('auth_key = (\n  "qT7hP2"\n  "Zx81Lm"\n)', {"qT7hP2", "Zx81Lm"}),
+    (f'private_key = """{VALUE}\n{VALUE}"""', {f"{VALUE}\n{VALUE}"}),
+    (f"db:\n  passphrase: |\n    {VALUE}\n\n    {VALUE}\n  user: bob", {f"{VALUE}\n\n    {VALUE}"}),
+    (f"<pwd> {VALUE} </pwd><user>bobby77X</user>", {VALUE}),
+    (f'my_pwd, user = "{VALUE}", "bobby77X"', {VALUE}),
+    (f'user, my_pwd = "bobby77X", "{VALUE}"', {VALUE}),
+    (f'connect(u, my_pwd="{VALUE}", port=3)', {VALUE}),
+    (f'part = "{VALUE}"\nauth_key = f"{{part}}-z9"', {VALUE, "{part}-z9"}),
+    (f'if pwd == "{VALUE}":', {VALUE}),
+    ('my_pwd = "correct horse battery staple"', {"correct horse battery staple"}),
+    ('title = "correct horse battery staple"', set()),
+    (f'public_key_size = "{VALUE}"\ntoken_count = "{VALUE}"', set()),
+    ("secret:\n  name: foo\n  other: bar", set()),
+    ("passphrase: |\n", set()), ('my_pwd = "', set()), ("my_pwd = (", set()), ("<pwd></pwd>", set()), ("pwd =\n", set()),
+])
+def test_assignments_are_read_whole(text, found):
+    spans = [x for x in secret_scan.scan(text) if x[0] == "literal"]
+    assert {text[s:e] for _, s, e, _ in spans} == found
+
+
+def test_redaction_leaves_no_part_of_a_value(spark):
+    texts = ['password = "correct horse battery staple"', f"db:\n  secret: |\n    {VALUE}\n    {VALUE}\n  a: b"]
+    docs = spark.createDataFrame([(k, t, len(t)) for k, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    clean = [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
+    assert clean == ['password = "[SECRET]"', "db:\n  secret: |\n    [SECRET]\n  a: b"]
+
+
+@pytest.mark.parametrize("text", ["passw" * 100_000 + "=", "a, " * 50_000 + 'key = "q"', "key = \n" * 20_000, 'token = token + "x1Y2z3"\n' * 5_000])
+def test_long_texts_are_lexed_in_linear_time(text):
+    began = time.monotonic()
+    secret_scan.scan(text)
+    assert time.monotonic() - began < 10
+
+
+def test_quality_labels_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"some words {k}") for k in range(3000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0)], "doc_id bigint, label int")
+    assert quality_model.labelled_rows(docs, labels, 50).count() == 50
+    assert quality_model.train(docs, labels, rows=50) == quality_model.train(docs.repartition(5), labels, rows=50)
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", said), (1, 2, "assistant", "b\\<|x<\\|y\\\\"), (1, 2, "assistant", None),
