@@ -7,7 +7,7 @@ both follow from the last earlier rental action of the SKU that is valid by itse
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -455,12 +455,39 @@ def _duplicates(df: DataFrame, table: str, key: str) -> DataFrame:
     )
 
 
-def _orphans(df: DataFrame, table: str, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    keys = parent.select(F.col(parent_key).alias(column))
-    return df.where(F.col(column).isNotNull()).join(keys, column, "left_anti").select(
-        F.lit(f"{table}.{column} exists").alias("rule"), F.col("id").cast("string").alias("key"),
-        F.col(column).cast("string").alias("value"),
-    )
+def _keys_at_fault(tables: Mapping[str, DataFrame], held: Sequence[tuple], used: Sequence[tuple]) -> DataFrame:
+    """Keys that several rows hold, and keys that are referred to while no row holds them: (domain, key, n).
+
+    ``held``: (domain, table, column, condition), ``used``: (domain, table, column); ``n`` is the number of holders, 0 for a
+    key that is missing. All tables meet in one aggregation by domain and key, which adds up inside the map tasks first, so
+    a SKU with very many rows is one row per task.
+    """
+    uses = {name: [] for name in tables}
+    for domain, name, column, *where in held:
+        key = F.when(where[0], F.col(column)) if where else F.col(column)
+        uses[name].append((domain, key, 1))
+    for domain, name, column in used:
+        uses[name].append((domain, F.col(column), 0))
+    union = None
+    for name, df in tables.items():
+        listed = F.array(*(
+            F.struct(F.lit(domain).alias("domain"), key.cast("string").alias("key"), F.lit(n).alias("n"))
+            for domain, key, n in uses[name]))
+        part = df.select(F.explode(listed).alias("use")).select("use.*")
+        union = part if union is None else union.unionByName(part)
+    totals = union.where(F.col("key").isNotNull()).groupBy("domain", "key").agg(F.sum("n").alias("n"))
+    return totals.where(F.col("n") != 1)
+
+
+def _marked(df: DataFrame, faults: DataFrame, domain: str, column: str) -> DataFrame:
+    """Rows with ``_no_<column>``, true where the key they refer to is missing."""
+    missing = faults.where((F.col("domain") == domain) & (F.col("n") == 0)).select(
+        F.col("key").alias("_key"), F.lit(True).alias(f"_no_{column}"))
+    return df.join(missing, F.col(column).cast("string") == F.col("_key"), "left").drop("_key")
+
+
+def _exists(*columns: str) -> dict[str, tuple[Column, Column]]:
+    return {f"{c} exists": (F.col(f"_no_{c}"), F.col(c)) for c in columns}
 
 
 def _required(df: DataFrame, *columns: str) -> dict[str, tuple[Column, Column]]:
@@ -472,6 +499,9 @@ def check_constraints(tables: Tables, shops: DataFrame | None = None) -> DataFra
     """Every column, value, uniqueness and reference rule of the tables as a report (rule, key, value).
 
     ``shops``: the shop table that items refer to; without it the two fixed shops are the only check.
+
+    Every table is read twice. The first pass finds keys held twice and keys that are missing, which are held in the scratch
+    folder; the second tests the rows, and looks their references up among the missing keys.
     """
     t = tables
     item_rules = _not_null("item_sku", "shop_code", "item_name", "stock_cost_price", "sell_price", "min_stock_alert")
@@ -493,26 +523,38 @@ def check_constraints(tables: Tables, shops: DataFrame | None = None) -> DataFra
     customer_rules |= _required(t.customers, "created_at", "created_by")
     if "email" in t.customers.columns:
         customer_rules["email form"] = (~F.col("email").rlike(EMAIL_PATTERN), F.col("email"))
+    sku, customer, shop = "items.item_sku", "customers.id", "shops.shop_code"
+    named = {
+        "items": t.items, "customers": t.customers, "stock_movements": t.movements, "item_lifecycle_events": t.lifecycle,
+        "rentals": t.rentals,
+    }
+    held = [
+        (sku, "items", "item_sku"), (customer, "customers", "id"), ("customers.display_name", "customers", "display_name"),
+        *((f"{name}.id", name, "id") for name in ("stock_movements", "item_lifecycle_events", "rentals")),
+        ("rentals open.item_sku", "rentals", "item_sku", F.col("status") == "Rented"),
+    ]
+    used = [(sku, name, "item_sku") for name in ("stock_movements", "item_lifecycle_events", "rentals")]
+    used.append((customer, "rentals", "customer_id"))
+    if shops is not None:
+        named["shops"] = shops
+        held.append((shop, "shops", "shop_code"))
+        used.append((shop, "items", "shop_code"))
+    path = scratch_path(t.items.sparkSession, "keys")
+    _keys_at_fault(named, held, used).write.parquet(path)
+    faults = t.items.sparkSession.read.schema("domain string, key string, n bigint").parquet(path)
+
+    movements, lifecycle = (_marked(df, faults, sku, "item_sku") for df in (t.movements, t.lifecycle))
+    rentals = _marked(_marked(t.rentals, faults, sku, "item_sku"), faults, customer, "customer_id")
+    items = t.items if shops is None else _marked(t.items, faults, shop, "shop_code")
     parts = [
-        _violations(t.items, "items", "item_sku", item_rules),
-        _violations(t.movements, "stock_movements", "id", move_rules),
-        _violations(t.lifecycle, "item_lifecycle_events", "id", life_rules),
-        _violations(t.rentals, "rentals", "id", rent_rules),
+        _violations(items, "items", "item_sku", item_rules | (_exists("shop_code") if shops is not None else {})),
+        _violations(movements, "stock_movements", "id", move_rules | _exists("item_sku")),
+        _violations(lifecycle, "item_lifecycle_events", "id", life_rules | _exists("item_sku")),
+        _violations(rentals, "rentals", "id", rent_rules | _exists("item_sku", "customer_id")),
         _violations(t.customers, "customers", "id", customer_rules),
-        _duplicates(t.items, "items", "item_sku"),
-        _duplicates(t.customers, "customers", "id"),
-        _duplicates(t.customers, "customers", "display_name"),
-        *(_duplicates(df, name, "id") for df, name in (
-            (t.movements, "stock_movements"), (t.lifecycle, "item_lifecycle_events"), (t.rentals, "rentals"))),
-        _duplicates(t.rentals.where(F.col("status") == "Rented"), "rentals open", "item_sku"),
-        _orphans(t.movements, "stock_movements", "item_sku", t.items, "item_sku"),
-        _orphans(t.lifecycle, "item_lifecycle_events", "item_sku", t.items, "item_sku"),
-        _orphans(t.rentals, "rentals", "item_sku", t.items, "item_sku"),
-        _orphans(t.rentals, "rentals", "customer_id", t.customers, "id"),
+        faults.where((F.col("n") > 1) & (F.col("domain") != shop)).select(
+            F.concat("domain", F.lit(" unique")).alias("rule"), "key", F.col("n").cast("string").alias("value")),
     ]
-    if shops is not None:
-        coded = t.items.withColumn("id", F.col("item_sku"))
-        parts.append(_orphans(coded, "items", "shop_code", shops, "shop_code"))
     report = parts[0]
     for part in parts[1:]:
         report = report.unionByName(part)

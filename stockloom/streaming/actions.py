@@ -6,6 +6,7 @@ first attempt wrote, and no table is rewritten. Items and rentals are kept as ch
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -29,9 +30,12 @@ _PARTS = {
     "open": _with(RENTALS, "id", "item_sku", "booked_at", "status"),
     "rejects": "seq bigint, created_at timestamp_ntz, shop_type string, item_sku string, item_name string,"
                " action_type string, errors array<string>",
-    "commits": "n int",
+    "commits": "live array<bigint>",
 }
 
+#: So many batches of bookings and returns are read on top of the open bookings before those are written anew.
+_LIVE = 16
+
 
 def _schema(spark: SparkSession, part: str) -> StructType:
     return spark.createDataFrame([], _PARTS[part]).schema
@@ -42,6 +46,11 @@ def _read(spark: SparkSession, root: str, part: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{root}/{part}")
 
 
+def _read_batches(spark: SparkSession, root: str, part: str, batches: list[int]) -> DataFrame:
+    """The rows of the named batches, read by their folders; no other folder is listed."""
+    return spark.read.schema(_schema(spark, part)).parquet(*(f"{root}/{part}/batch_id={b}" for b in batches))
+
+
 def _filled(df: DataFrame, part: str) -> DataFrame:
     """The frame with the columns of the part that it lacks, as nulls."""
     missing = [f for f in _schema(df.sparkSession, part) if f.name not in df.columns]
@@ -78,6 +87,33 @@ def _committed(spark: SparkSession, root: str, before: int | None = None) -> int
     return _BASE if last is None else last
 
 
+def _before(spark: SparkSession, root: str, batch_id: int) -> tuple[int, list[int]]:
+    """The last complete batch before a batch, and its live folders: the one with all open bookings, then later batches.
+
+    That is the batch with the number before, whose commit is read by its folder. Only where numbers jump, as at the start of
+    a store, the commits are listed.
+    """
+    try:
+        earlier, row = batch_id - 1, _read_batches(spark, root, "commits", [batch_id - 1]).first()
+    except AnalysisException:  # no such folder
+        row = None
+    if row is None:
+        earlier = _committed(spark, root, batch_id)
+        row = _read_batches(spark, root, "commits", [earlier]).first()
+    return earlier, list(row.live) if row is not None and row.live else [earlier]
+
+
+def _open_bookings(spark: SparkSession, root: str, live: list[int]) -> DataFrame:
+    """The open bookings after the last of the ``live`` batches: those of the first, with what the others booked and closed."""
+    base, *later = live
+    held = _read_batches(spark, root, "open", [base])
+    if not later:
+        return held
+    booked = _read_batches(spark, root, "rentals", later).select(*held.columns)
+    closed = _read_batches(spark, root, "closures", later).select("id", "item_sku")
+    return held.unionByName(booked).join(closed, ["id", "item_sku"], "left_anti")
+
+
 def _rentals(spark: SparkSession, root: str, upto: int) -> DataFrame:
     opened = _read(spark, root, "rentals").where(F.col("batch_id") <= upto).drop("batch_id")
     closed = _read(spark, root, "closures").where(F.col("batch_id") <= upto).drop("batch_id")
@@ -127,13 +163,16 @@ def compact_store(spark: SparkSession, root: str, target: str) -> None:
 def apply_batch(batch: DataFrame, batch_id: int, root: str, user: str = DEFAULT_USER) -> None:
     """Log one micro-batch. Only state of earlier batches is read, so running it again gives the same result.
 
-    What a batch needs of the past is the open bookings, which each batch writes anew, and the customers it names. The
-    open bookings are at most one per SKU, however long the history is.
+    What a batch needs of the past is the open bookings and the customers it names. The open bookings, at most one per SKU
+    however long the history is, are written by every ``_LIVE``-th batch. In between they are those with the bookings and
+    returns of the batches since, so a batch writes what it adds and reads a bounded number of folders, named by the commit
+    before it.
     """
     spark = batch.sparkSession
-    earlier = _committed(spark, root, batch_id)
+    earlier, live = _before(spark, root, batch_id)
     actions = batch.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
-    still_open = _read(spark, root, "open").where(F.col("batch_id") == earlier).drop("batch_id")
+    still_open = _open_bookings(spark, root, live)
+    renew = len(live) > _LIVE
     held: list[DataFrame] = []
 
     def hold(df: DataFrame) -> DataFrame:
@@ -157,14 +196,16 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, user: str = DEFAULT_
             "customers": names.join(known.select("display_name"), "display_name", "left_anti"),
             "rentals": opened,
             "closures": closed,
-            "open": still_open.unionByName(opened.select(*still_open.columns)).join(
-                closed.select("id", "item_sku"), ["id", "item_sku"], "left_anti"),
             "rejects": ing.rejected(decided),
         }
+        if renew:
+            parts["open"] = still_open.unionByName(opened.select(*still_open.columns)).join(
+                closed.select("id", "item_sku"), ["id", "item_sku"], "left_anti")
         for part, rows in parts.items():
             _write(_filled(rows, part), root, part, batch_id)
         # Written last: readers ignore batches without it.
-        _write(spark.range(1).select(F.lit(1).alias("n")), root, "commits", batch_id)
+        after = [batch_id] if renew else [*live, batch_id]
+        _write(spark.range(1).select(F.array(*(F.lit(b).cast("bigint") for b in after)).alias("live")), root, "commits", batch_id)
     finally:
         for df in held:
             df.unpersist()

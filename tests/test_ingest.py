@@ -219,6 +219,35 @@ def test_constraints_and_delete(spark):
         ingest.delete_item(t, "A", "Hats")
 
 
+def test_constraints_of_keys_in_all_tables(spark):
+    """Twice held keys and missing references of every table; null references are a matter of the row rules alone."""
+    t = base_tables(spark)
+    shops = spark.createDataFrame([("Bags",)], "shop_code string")
+    moves = spark.createDataFrame(
+        [{"id": Decimal(k), "item_sku": sku, "action_type": "New Item", "quantity_change": 1, "created_at": START, "created_by": "x"}
+         for k, sku in ((1, "A"), (1, "A"), (2, "gone"), (3, None), *((k, "hot") for k in range(10, 60)))], MOVEMENTS)
+    found = sorted((r.rule, r.key, r.value) for r in ingest.check_constraints(
+        Tables(t.items, moves, t.lifecycle, t.customers, t.rentals), shops).collect())
+    assert found == sorted([
+        ("items.shop_code exists", "A", "Bridal"), ("stock_movements.id unique", "1", "2"),
+        ("stock_movements.item_sku exists", "2", "gone"), ("stock_movements.item_sku not null", "3", None),
+        *(("stock_movements.item_sku exists", str(k), "hot") for k in range(10, 60))])
+
+
+def test_stream_reads_a_bounded_number_of_folders(spark, tmp_path, monkeypatch):
+    """Open bookings are written anew with every second batch here, and the tables are still those of one batch."""
+    monkeypatch.setattr(stream, "_LIVE", 1)
+    actions, root = random_actions(48, 5), str(tmp_path / "store")
+    stream.start_store(spark, root, base_tables(spark))
+    for k in range(4):
+        stream.apply_batch(raw(spark, actions[12 * k:12 * k + 12]), k, root)
+    assert {r.batch_id: r.live for r in spark.read.parquet(f"{root}/commits").collect()} == {0: [-1, 0], 1: [1], 2: [1, 2], 3: [3]}
+    done, got = ingest.ingest(raw(spark, actions), base_tables(spark)).tables, stream.read_store(spark, root)
+    for name in Tables.names():
+        expected = getattr(done, name)
+        assert sorted(map(str, getattr(got, name).select(*expected.columns).collect())) == sorted(map(str, expected.collect())), name
+
+
 def test_stream_store_keeps_every_column(spark, tmp_path):
     """Batch and stream leave the same tables, whatever columns an action does not know; compaction keeps them."""
     actions = random_actions(60, 11)
