@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-random order, range-wise prefix sums and an exact cut per source.
 
-A source's documents are put into a random but repeatable order (md5 of the id). The order is dealt into ranges of the
+A source's documents are put into a random but repeatable order (md5 of id, size and text). The order is dealt into ranges of the
 hash, so that a source of any size is many small groups; running sums inside a range plus the sums of the ranges before
 it give every document's place in words. Only one row per range and per source is ever gathered by source.
 """
@@ -53,8 +53,11 @@ def source_targets(
 def _placed(docs: DataFrame, weights, share, most) -> DataFrame:
     """All columns of ``docs`` with size, source_size, target, whole epochs, rest and the words before the document."""
     size = F.size(words(F.col("text"))).cast("bigint")
-    order = F.md5(F.concat_ws(":", id_text(F.col("doc_id")), size.cast("string")).cast("binary"))
-    sized = docs.withColumn(f"{_P}size", size)
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    order = F.md5(F.concat_ws(":", id_text(F.col("doc_id")), size.cast("string"), text).cast("binary"))
+    # Rows of one id and text are told apart by their other columns.
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    sized = docs.withColumn(f"{_P}size", size).withColumn(f"{_P}tie", F.xxhash64(*hashed))
     totals = sized.groupBy("source").agg(
         F.sum(f"{_P}size").cast("bigint").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = source_targets(totals, weights, share, most).select(
@@ -66,7 +69,7 @@ def _placed(docs: DataFrame, weights, share, most) -> DataFrame:
         .withColumn(f"{_P}range", F.floor(
             F.conv(F.substring(f"{_P}key", 1, 8), 16, 10).cast("bigint") * F.col(f"{_P}ranges") / F.lit(2**32)))
     )
-    in_range = Window.partitionBy(f"{_P}source", f"{_P}range").orderBy(f"{_P}key", "doc_id", f"{_P}size")
+    in_range = Window.partitionBy(f"{_P}source", f"{_P}range").orderBy(f"{_P}key", f"{_P}tie")
     local = placed.withColumn(
         f"{_P}local", F.sum(f"{_P}size").over(in_range.rowsBetween(Window.unboundedPreceding, 0)) - F.col(f"{_P}size"))
     ranges = placed.groupBy(f"{_P}source", f"{_P}range").agg(F.sum(f"{_P}size").alias("words"))
@@ -91,8 +94,8 @@ def mix_sources(
 
     ``docs`` has doc_id, text and source. Each source gives floor(target) words exactly: whole epochs over all its
     documents, then documents in hash order up to the budget, the last of them in part. Null texts have size 0 and take
-    part with 0 words; a null source is a source of its own; documents of one id and size are interchangeable. An empty
-    table gives no rows.
+    part with 0 words; a null source is a source of its own; equal rows are interchangeable. An empty table
+    gives no rows.
     """
     placed = _placed(docs.select("doc_id", "source", "text"), weights, share, most)
     size = F.col(f"{_P}size")
@@ -108,7 +111,8 @@ def mixed_documents(
     """The mix itself under the columns of ``docs``: a document once per epoch that takes it, always whole.
 
     The last epoch of a source ends at the document border nearest to its budget. A document without words goes along
-    with the epochs that reach its place.
+    with the epochs that reach its place. Documents of one id and size have their places by their text, then by a hash of
+    all columns, so reruns agree.
     """
     placed = _placed(docs, weights, share, most)
     reached = F.col(f"{_P}before") * 2 + F.col(f"{_P}size") <= F.col(f"{_P}rest") * 2

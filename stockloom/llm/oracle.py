@@ -26,7 +26,8 @@ def mixing_ctes(docs: str) -> str:
     """CTEs up to ``placed``: every document with size, target, whole epochs, rest and the words before it."""
     return f"""
     sized AS (SELECT *, len({_words("coalesce(text, '')")})::BIGINT AS size,
-        md5(coalesce(doc_id::VARCHAR, '') || ':' || len({_words("coalesce(text, '')")})::VARCHAR) AS k FROM {docs}),
+        md5(coalesce(doc_id::VARCHAR, '') || ':' || len({_words("coalesce(text, '')")})::VARCHAR || ':' || md5(coalesce(text, ''))) AS k
+        FROM {docs}),
     totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
     weighed AS (SELECT *, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS w FROM totals),
     levels AS (SELECT *, source_size * 2.0::DOUBLE AS cap,
