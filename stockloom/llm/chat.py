@@ -19,6 +19,9 @@ from .text import bind, sha256_hex
 START, NEXT, END = "<|im_start|>", "<|im_next|>", "<|im_end|>\n"
 ASSISTANT = "assistant"
 
+#: So many turns are summed in one fold.
+_CHUNK = 128
+
 
 def _swap(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
@@ -40,8 +43,29 @@ def unescape_role(role: Column) -> Column:
     return unescape(_swap(role, "<\\n", "\n"))
 
 
-def _block_type() -> str:
-    return "array<struct<role:string,texts:array<string>>>"
+def _loss_spans(turns: Column) -> Column:
+    """(start, end) of the texts under the loss mask, from the lengths of all turns and of what stands around them.
+
+    Sums run over chunks of turns first and then inside each chunk: one fold over all turns would copy its result for each of them.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    length = lambda t: t["head"] + t["n"] + t["tail"]
+
+    def inside(chunk: Column, start: Column) -> Column:
+        return F.aggregate(chunk, F.struct(start.alias("at"), F.array().cast(kind).alias("spans")), lambda acc, t: F.struct(
+            (acc["at"] + length(t)).alias("at"),
+            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct(
+                (acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["n"]).alias("end"))))
+            ).otherwise(acc["spans"]).alias("spans")))["spans"]
+
+    def chunked(chunks: Column) -> Column:
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, t: a + length(t)))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return bind(starts, lambda at: F.flatten(F.transform(chunks, lambda c, k: inside(c, F.get(at, k)))))
+
+    firsts = lambda ts: F.sequence(F.lit(0), F.floor((F.size(ts) - 1) / _CHUNK).cast("int"))
+    cut = lambda ts: F.transform(firsts(ts), lambda k: F.slice(ts, k * _CHUNK + 1, _CHUNK))
+    return bind(turns, lambda ts: bind(cut(ts), chunked))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -87,20 +111,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         F.when(i == 0, F.length(escape_role(b["role"])) + len(START) + 1).otherwise(len(NEXT)).alias("head"),
         F.length(t).alias("n"),
         F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("tail")))))
-    blank = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"))
-
-    # Running start of every turn by doubling-free prefix sums: a fold over numbers only.
-    spans = F.aggregate(
-        lengths, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["head"] + t["n"] + t["tail"]).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct(
-                (acc["at"] + t["head"]).alias("s"), (acc["at"] + t["head"] + t["n"]).alias("e"))))
-            ).otherwise(acc["spans"]).alias("spans")))["spans"]
-    del blank
     return written.select(
         "conv_id", F.array_join("parts", "").alias("formatted"),
-        F.transform(spans, lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"))).alias("loss_spans"))
+        _loss_spans(lengths).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

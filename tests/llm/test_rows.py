@@ -188,6 +188,15 @@ def test_quality_labels_are_bounded_by_rows(spark):
     assert quality_model.train(docs, labels, rows=50) == quality_model.train(docs.repartition(5), labels, rows=50)
 
 
+def test_chat_of_many_turns(spark):
+    """Spans run on over the chunks in which they are summed."""
+    said = [(9, i, "assistant" if i % 3 else "user", "x" * (i % 7)) for i in range(1000)]
+    row = chat.read_back(chat.format_conversations(
+        spark.createDataFrame(said, "conv_id int, turn int, role string, text string"))).first()
+    assert [(t.role, t.text) for t in row.turns] == [(r, t) for _, _, r, t in said]
+    assert row.loss_text == "".join(t for _, _, r, t in said if r == "assistant")
+
+
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", said), (1, 2, "assistant", "b\\<|x<\\|y\\\\"), (1, 2, "assistant", None),
