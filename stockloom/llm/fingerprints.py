@@ -3,7 +3,7 @@
 The lexicon keeps the words whose document frequency lies in a band relative to the number of documents. A word above the
 lower end stands in at least 1/rarest of all documents, so there are at most ``rarest`` times the mean number of distinct
 words of a document, however large the corpus is; that makes the lexicon small enough to travel with the plan, as a
-byte map over hashed words. Everything else is built-in column functions on single rows.
+table of one-byte tags over hashed words. Everything else is built-in column functions on single rows.
 
 Every randomised lexicon is a hash sample of the lexicon at one of many rates in steps of 2, so that texts of any size have
 samples of about one term, and enough of them: all terms of a text up to 64 terms, about 32 or more of a longer one. A
@@ -13,6 +13,7 @@ samples fine enough for the two texts.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,19 +24,53 @@ from .text import bind, sha256_hex, whole, words
 #: Rates of the randomised lexicons: one in so many terms. Each rate has up to ``SUBSETS`` disjoint samples.
 RATES = tuple(1 << k for k in range(2, 19))
 SUBSETS = 64
-#: Slots of the byte map that holds the lexicon.
+#: Slots of the table that holds the lexicon: at least so many, and at least ``SPARE`` for each word.
 SLOTS = 1 << 18
+SPARE = 8
+_SECOND, _TAG = 20, 40  # a word's first slot, second slot and tag come from its hash from these bits on
+_TAGS = bytes(range(256))
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """``slots[i]`` is 1 where a word of the band hashes to; a word outside the band that hashes to the same slot counts
-    as a term too, always and everywhere."""
+    """A word of the band has its tag (1 to 255) in one of its two slots; 0 is empty. A word outside the band counts as a term
+    too, always and everywhere, if one of its slots holds its tag: fewer than 1 in 1,000, as an eighth of the slots are taken
+    at most."""
 
     slots: bytes
     documents: int
 
 
+def tag_table(hashes: Iterable[int], least: int = SLOTS) -> bytes:
+    """The tags of the hashed words, each in one of its two slots; a word that finds both taken moves another one on."""
+    known = {h & (1 << 64) - 1 for h in hashes}
+    size = least
+    while size < SPARE * len(known):
+        size *= 2
+    while True:
+        held: dict[int, int] = {}
+        if all(_settled(held, h, size) for h in known):
+            break
+        size *= 2
+    table = bytearray(size)
+    for slot, h in held.items():
+        table[slot] = (h >> _TAG) % 255 + 1
+    return bytes(table)
+
+
+def _settled(held: dict[int, int], h: int, size: int) -> bool:
+    at = h % size
+    for _ in range(200):
+        places = (h % size, (h >> _SECOND) % size)
+        free = next((p for p in places if p not in held), None)
+        if free is not None:
+            held[free] = h
+            return True
+        at = places[1] if at == places[0] else places[0]
+        h, held[at] = held[at], h
+    return False
+
+
 def _hashes(text: Column) -> Column:
     """Distinct hashes of a text's words."""
     return F.array_distinct(F.transform(words(text), lambda w: F.xxhash64(w)))
@@ -51,19 +86,20 @@ def build_lexicon(docs: DataFrame, commonest: float = 8.0, rarest: float = 400.0
         docs.select(F.explode(_hashes(F.col("text"))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
         .where((F.col("df") * rarest >= n) & (F.col("df") * commonest <= n))
     )
-    slots = bytearray(SLOTS)
-    # At most min(SLOTS, rarest x mean distinct words) rows, see above.
-    for row in counted.select(F.pmod("h", F.lit(SLOTS)).alias("slot")).distinct().collect():
-        slots[row.slot] = 1
-    return Lexicon(bytes(slots), n)
+    # At most rarest x mean distinct words rows, see above.
+    return Lexicon(tag_table(row.h for row in counted.select("h").collect()), n)
 
 
 def terms(text: Column, lexicon: Lexicon) -> Column:
     """Sorted distinct hashes of the words in the lexicon."""
-    table, one = F.lit(lexicon.slots), F.lit(b"\x01")
-    known = F.filter(
-        _hashes(text), lambda h: F.substring(table, F.pmod(h, F.lit(SLOTS)).cast("int") + 1, 1) == one)
-    return F.sort_array(known)
+    table, tags, size = F.lit(lexicon.slots), F.lit(_TAGS), F.lit(len(lexicon.slots))
+
+    def listed(h: Column) -> Column:
+        tag = F.substring(tags, F.pmod(F.shiftrightunsigned(h, _TAG), F.lit(255)).cast("int") + 2, 1)
+        at = lambda bits: F.pmod(F.shiftrightunsigned(h, bits) if bits else h, size).cast("int") + 1
+        return (F.substring(table, at(0), 1) == tag) | (F.substring(table, at(_SECOND), 1) == tag)
+
+    return F.sort_array(F.filter(_hashes(text), listed))
 
 
 def subset_hashes(found: Column) -> Column:

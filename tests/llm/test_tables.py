@@ -77,6 +77,16 @@ def test_mixing_ranges_agree_with_one(spark, monkeypatch):
     assert sorted(map(str, mixing.mix_sources(docs).collect())) == one
 
 
+def test_mixing_tells_rows_of_one_id_and_size_apart(spark, monkeypatch):
+    """Rows without id and of equal size fill many ranges, and a rerun over other partitions takes the same ones."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    docs = frame(spark, [(None, f"w{i}", "s") for i in range(300)] + [(5, "a b", "t")] * 3)
+    placed = mixing._placed(docs, (3, 1, 2), 1.5, 2.0)
+    assert placed.select("__mix_range").distinct().count() > 20
+    one, two = (sorted(r.text for r in mixing.mixed_documents(d).collect()) for d in (docs, docs.repartition(5)))
+    assert one == two and len(set(one)) > 200
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix_sources(frame(spark, []).limit(0)).count() == 0
     blank = mixing.mix_sources(frame(spark, [(1, None, None), (2, " ", "a")])).collect()
@@ -240,6 +250,17 @@ def test_fingerprint_edits(spark, case):
     assert all(r.near_edited == 1 for r in got if r.fingerprint == r.edited_fingerprint)
 
 
+def test_lexicon_holds_the_band_and_little_else(spark):
+    """Every word of the band is a term; of 60,000 others fewer than 1 in 1,000 are."""
+    words_in, words_out = [f"in{i}" for i in range(20_000)], [f"out{i}" for i in range(60_000)]
+    hashed = lambda ws: spark.createDataFrame([(w,) for w in ws], "w string").select(F.xxhash64("w").alias("h"))
+    lexicon = fingerprints.Lexicon(fingerprints.tag_table(r.h for r in hashed(words_in).collect()), 1)
+    texts = spark.createDataFrame([(" ".join(words_in),), (" ".join(words_out),), (None,)], "text string")
+    found = [r[0] for r in texts.select(F.size(fingerprints.terms(F.col("text"), lexicon))).collect()]
+    assert found[0] == len(words_in) and found[1] < len(words_out) / 1000 and found[2] == 0
+    assert sum(map(bool, fingerprints.tag_table([5, 5, 5 - (1 << 64)], 8))) == 1
+
+
 def test_fingerprints_tell_edits_from_others(spark):
     d = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{d}/documents.parquet")
