@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import held  # noqa: F401
 
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 GAP = r"[\x20\x09-\x0D]+"
@@ -50,16 +50,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def held(df: DataFrame, label: str) -> DataFrame:
-    """The frame written to the shared scratch folder and read again.
-
-    Used where a frame feeds several jobs, or where ids given to rows must not change when a lost task runs again.
-    """
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

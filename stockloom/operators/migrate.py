@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import instant
 from ..schemas import AT, DEFAULT_ALERT, DEFAULT_USER, LEDGER_ACTIONS, LIFECYCLE_STATUSES, MIGRATION_TAG, Tables
-from ..session import scratch_path
+from ..session import held
 from .ordered import SHARE, running
 
 _ITEM = ("item_name", "brand_designer", "item_image", "stock_cost_price", "sell_price", "min_stock_alert",
@@ -27,7 +27,10 @@ def _at(as_of: dt.datetime | None) -> Column:
 
 
 def _newest_rows(log: DataFrame) -> DataFrame:
-    return log.groupBy("item_sku").agg(F.max(F.struct("created_at", "seq", "shop_type", *_ITEM)).alias("n"))
+    # The rows are sorted by their group before they leave a task. SKUs often begin alike, so a hash in front of them
+    # decides nearly all comparisons.
+    newest = F.max(F.struct("created_at", "seq", "shop_type", *_ITEM)).alias("n")
+    return log.groupBy(F.xxhash64("item_sku").alias("_hash"), "item_sku").agg(newest).drop("_hash")
 
 
 def _price_refused() -> Column:
@@ -35,10 +38,14 @@ def _price_refused() -> Column:
     return F.coalesce((F.col("n.stock_cost_price") < 0) | (F.col("n.sell_price") < 0), F.lit(False))
 
 
+def _item_rejects(newest: DataFrame) -> DataFrame:
+    return newest.where(_price_refused()).select(
+        F.col("n.seq").alias("id"), "item_sku", F.lit("price below 0").alias("reason"))
+
+
 def item_rejects(log: DataFrame) -> DataFrame:
     """(id, item_sku, reason) of the newest log rows that cannot become an item."""
-    return _newest_rows(log).where(_price_refused()).select(
-        F.col("n.seq").alias("id"), "item_sku", F.lit("price below 0").alias("reason"))
+    return _item_rejects(_newest_rows(log))
 
 
 def backfill_items(log: DataFrame, items: DataFrame | None = None, as_of: dt.datetime | None = None) -> DataFrame:
@@ -48,7 +55,11 @@ def backfill_items(log: DataFrame, items: DataFrame | None = None, as_of: dt.dat
     takes the rest; ``as_of`` becomes the update time of the items taken over, and both times of new ones. A row with a price
     below 0 makes no item and changes none.
     """
-    fresh = _newest_rows(log).where(~_price_refused()).select(
+    return _items(_newest_rows(log), items, as_of)
+
+
+def _items(newest: DataFrame, items: DataFrame | None, as_of: dt.datetime | None) -> DataFrame:
+    fresh = newest.where(~_price_refused()).select(
         "item_sku", F.col("n.shop_type").alias("shop_code"),
         *(F.col(f"n.{c}").alias(c) for c in _ITEM if c != "min_stock_alert"),
         F.coalesce("n.min_stock_alert", F.lit(DEFAULT_ALERT)).alias("min_stock_alert"),
@@ -127,13 +138,12 @@ def _latest_bookings(log: DataFrame, share: float) -> DataFrame:
     return seen.where(F.col("_out") == 1).groupBy("item_sku").agg(newest.alias("o")).select("item_sku", "o.*")
 
 
-def _rental_rows(log: DataFrame, customers: DataFrame, share: float, kept: DataFrame | None = None) -> DataFrame:
-    """The booking of each SKU with ``reason``: the rule of the target it breaks, or null.
+def _rental_rows(booked: DataFrame, customers: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """The booking of each SKU (``_latest_bookings``) with ``reason``: the rule of the target it breaks, or null.
 
     ``kept``: rentals that stay in the target; a SKU with an open one among them can have no second.
     """
     # A booking without a contact has no customer and needs no lookup.
-    booked = _latest_bookings(log, share)
     names = customers.select(F.col("id").alias("customer_id"), F.col("display_name").alias("customer_name_contact"))
     due = F.coalesce("rental_due_date", F.date_add(F.col("created_at").cast("date"), 7))
     named = booked.where(F.col("customer_name_contact").isNotNull()).join(names, "customer_name_contact", "left")
@@ -161,14 +171,14 @@ def _rental_rows(log: DataFrame, customers: DataFrame, share: float, kept: DataF
 def backfill_rentals(
     log: DataFrame, customers: DataFrame, share: float = SHARE, kept: DataFrame | None = None,
 ) -> DataFrame:
-    return _rental_rows(log, customers, share, kept).where(F.col("reason").isNull()).drop("reason")
+    return _rental_rows(_latest_bookings(log, share), customers, kept).where(F.col("reason").isNull()).drop("reason")
 
 
 def rental_rejects(
     log: DataFrame, customers: DataFrame, share: float = SHARE, kept: DataFrame | None = None,
 ) -> DataFrame:
     """Bookings that the target's rules refuse, with the reason."""
-    return _rental_rows(log, customers, share, kept).where(F.col("reason").isNotNull())
+    return _rental_rows(_latest_bookings(log, share), customers, kept).where(F.col("reason").isNotNull())
 
 
 def migration_cleanup(tables: Tables) -> Tables:
@@ -195,24 +205,45 @@ class Migrated:
     rejects: DataFrame
 
 
+_USED = ("seq", "created_at", "shop_type", "item_sku", *_ITEM, "quantity_change", "bridal_status", "rental_due_date",
+         "customer_name_contact", "action_type", "notes")
+
+
+@dataclass(frozen=True)
+class Source:
+    """What every run over one log needs, held in the scratch folder: the columns of the log that a migration reads, the
+    newest row of each SKU, the SKUs among them that are refused, and the newest booking of each SKU."""
+
+    log: DataFrame
+    newest: DataFrame
+    bad_items: DataFrame
+    bookings: DataFrame
+
+
+def read_source(log: DataFrame) -> Source:
+    """Read the log once. It may be costly to derive, and a migration asks for it in about ten places."""
+    rows = held(log.select(*_USED), "log")
+    newest = held(_newest_rows(rows), "newest")
+    return Source(rows, newest, held(_item_rejects(newest), "refused"), held(_latest_bookings(rows, SHARE), "bookings"))
+
+
 def migrate(
-    log: DataFrame, tables: Tables | None = None, as_of: dt.datetime | None = None, user: str = DEFAULT_USER,
+    log: DataFrame | Source, tables: Tables | None = None, as_of: dt.datetime | None = None, user: str = DEFAULT_USER,
 ) -> Migrated:
     """All backfills in order. With ``tables``, a rerun over the result of the first run changes nothing but, where
     ``as_of`` is given, the update time of the items.
 
     Every stock movement, status change and newest booking of a SKU ends up in a table or in ``rejects``, and so does every
-    SKU's newest row. Rows of an item that is refused and not known are refused with it.
+    SKU's newest row. Rows of an item that is refused and not known are refused with it. A log that is migrated more than
+    once can be given as its ``read_source``.
     """
+    source = log if isinstance(log, Source) else read_source(log)
+    log = source.log
     base = migration_cleanup(tables) if tables else None
-    items = backfill_items(log, base.items if base else None, as_of)
+    items = _items(source.newest, base.items if base else None, as_of)
     customers = backfill_customers(log, base.customers if base else None, as_of, user)
     # Without its item a row has nowhere to go.
-    # Few SKUs if any, needed by every part: found once and held.
-    bad_items, path = item_rejects(log), scratch_path(log.sparkSession, "refused")
-    bad_items.write.parquet(path)
-    bad_items = log.sparkSession.read.schema(bad_items.schema).parquet(path)
-    missing = bad_items.select("item_sku")
+    missing = source.bad_items.select("item_sku")
     if base:
         missing = missing.join(base.items.select("item_sku"), "item_sku", "left_anti")
     kept = base.rentals if base else None
@@ -221,7 +252,7 @@ def migrate(
     orphans, rest = log.join(missing, "item_sku", "left_semi"), log.join(missing, "item_sku", "left_anti")
     moved, changed = backfill_movements(rest), backfill_lifecycle(rest)
     # One pass over the bookings for both what is taken and what is not.
-    decided = _rental_rows(log, customers, SHARE, kept)
+    decided = _rental_rows(source.bookings, customers, kept)
     booked = decided.join(gone, "item_sku", "left").withColumn(
         "reason", F.coalesce("reason", F.when(F.col("_gone"), F.lit("item refused")))).select(*decided.columns)
     rented = booked.where(F.col("reason").isNull()).drop("reason")
@@ -229,7 +260,7 @@ def migrate(
     def named(table: str, rows: DataFrame, reason: Column) -> DataFrame:
         return rows.select(F.lit(table).alias("table_name"), "id", "item_sku", reason.alias("reason"))
 
-    refused = named("items", bad_items, F.col("reason"))
+    refused = named("items", source.bad_items, F.col("reason"))
     for more in (
         named("stock_movements", backfill_movements(orphans), F.lit("item refused")),
         named("item_lifecycle_events", backfill_lifecycle(orphans), F.lit("item refused")),

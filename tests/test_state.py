@@ -176,6 +176,25 @@ def test_migration_takes_or_rejects_every_booking(spark):
     assert {(r.display_name, r.phone) for r in done.tables.customers.collect()} == {("Ann", None), ("Bob", "1")}
 
 
+def test_migration_reads_its_log_once(spark):
+    rows = [log_row(1, "A", "New Item", quantity_change=2), log_row(2, "A", "Rental Out", customer_name_contact="Ann"),
+            log_row(3, "A", "Rental Return"), log_row(4, "B", "New Item", sell_price=D(-1))]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    log = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(seen), LOG)
+    source = migrate.read_source(log)
+    first = migrate.migrate(source)
+    again = migrate.migrate(source, first.tables)
+    assert {r.table_name: r["count"] for r in migrate.migration_counts(again.tables).collect()} == {
+        "items": 1, "stock_movements": 1, "item_lifecycle_events": 0, "customers": 1, "rentals": 1}
+    assert {(r.table_name, r.item_sku) for r in again.rejects.collect()} == {("items", "B"), ("stock_movements", "B")}
+    assert read.value == len(rows)
+
+
 def test_history_page_has_the_ids_of_the_log(spark):
     for shop, sku, limit in ((None, None, 7), ("Bridal", None, 40), (None, "SKU-000000000012", 3), ("Bags", "SKU-000000000012", 5)):
         tables = fx.tables(spark, "/root/testdata/sf0.001")
