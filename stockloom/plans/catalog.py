@@ -517,7 +517,7 @@ def m5_backfill_rentals(spark, d):
 @_query
 def m6_migration_rerun(spark, d):
     """Counts after a second run over the result of the first: the same as after one run."""
-    log = fx.log(spark, d)
+    log = migrate.read_source(fx.log(spark, d))
     root = scratch_path(spark, "migrated")
     files.write_tables(migrate.migrate(log).tables, root)
     return migrate.migration_counts(migrate.migrate(log, files.current_tables(spark, root)).tables)
