@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import margin_pct, money
 from ..schemas import TOTAL, Tables
+from ..session import held
 from .ordered import SHARE, global_row_number, running
 
 _MOVE, _LIFE, _RENT = 1, 2, 3  # source rank: breaks ties between tables, newest wins
@@ -262,22 +263,36 @@ def history(tables: Tables, with_id: bool = True) -> DataFrame:
     ``with_id=False`` skips that step and leaves the order columns out as well.
     """
     events = _history_events(tables)
-    if with_id:
-        # Events of unknown items take no number.
-        events = events.join(tables.items.select("item_sku"), "item_sku", "left_semi")
-        events = global_row_number(events, ("created_at", "src", "seq"), "id")
-    return _described(tables, events, with_id)
+    return _described(tables, _numbered(tables, events) if with_id else events, with_id)
 
 
-def _described(tables: Tables, events: DataFrame, with_id: bool) -> DataFrame:
-    """Events with the columns of their items, prices and statuses."""
+def history_actions(tables: Tables) -> DataFrame:
+    """(id, created_at, item_sku, action_type, quantity_change) of ``history``, numbered and written without the rest."""
+    events = _history_events(tables).select(*_RANK, "item_sku", "action_type", "quantity_change")
+    return _numbered(tables, events).join(_item_texts(tables).select("item_sku"), "item_sku").select(
+        "id", "created_at", "item_sku", "action_type", "quantity_change")
+
+
+def _numbered(tables: Tables, events: DataFrame) -> DataFrame:
+    """Events with their 1-based position; events of unknown items take no number."""
+    known = events.join(tables.items.select("item_sku"), "item_sku", "left_semi")
+    # Ranges are drawn in a pass of their own, so the events are derived once before it.
+    return global_row_number(held(known, "events"), _RANK, "id")
+
+
+def _item_texts(tables: Tables) -> DataFrame:
+    """What history shows of an item."""
     status = item_current_status(tables.items, tables.lifecycle, tables.rentals).select("item_sku", "current_status")
-    described = tables.items.join(status, "item_sku", "left").select(
+    return tables.items.join(status, "item_sku", "left").select(
         "item_sku", F.col("shop_code").alias("shop_type"), "item_name", "brand_designer", "item_image",
         F.col("stock_cost_price").alias("_item_cost"), F.col("sell_price").alias("_item_sell"), "bag_color",
         "min_stock_alert", "bridal_size", "current_status",
     )
-    joined = events.join(described, "item_sku")
+
+
+def _described(tables: Tables, events: DataFrame, with_id: bool) -> DataFrame:
+    """Events with the columns of their items, prices and statuses."""
+    joined = events.join(_item_texts(tables), "item_sku")
 
     booking, moved = F.col("src") == _RENT, F.col("src") == _MOVE
     cost = F.when(booking, money(F.lit(0))).otherwise(F.coalesce("_unit_cost", "_item_cost"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import audits, boards, ingest, migrate, queries, scope, state
 
 from ..schemas import Tables
-from ..session import scratch_path
+from ..session import held, scratch_path
 from ..sources import csv_files, tables as files
 from ..sources import fixtures as fx
 from ..streaming import actions as stream
@@ -708,8 +708,10 @@ def a8_count_delta(spark, d):
 @_query
 def a9_snapshot_sku(spark, d):
     t = fx.tables(spark, d)
-    live = state.live_inventory(t)
-    return audits.snapshot_sku(state.history(t), live, audits.count_delta(fx.counts(live), live))
+    # Asked for by the counts, the deltas and the snapshot.
+    live = held(state.live_inventory(t).select(
+        "item_sku", "shop_type", "sell_price", "live_stock", "bridal_status", "customer_name_contact", "rental_due_date"), "live")
+    return audits.snapshot_sku(state.history_actions(t), live, audits.count_delta(fx.counts(live), live))
 
 
 @_query
