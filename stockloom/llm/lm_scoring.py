@@ -16,6 +16,7 @@ Words and n-grams go by 64-bit hashes, the n-grams of one context by 32 bits, so
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,7 +141,7 @@ def _levels(texts: list[bytes], training: np.ndarray, most: int) -> tuple[list[L
                 codes = sh.mix(codes[:-1] * _U(_BASE) + codes[1:] + _U(order))
         places = np.flatnonzero(inside)
         distinct, first, inverse = _distinct(codes[places])
-        counts = np.bincount(inverse[taught[places]], minlength=len(distinct))
+        counts = np.bincount(inverse[taught[places]], minlength=len(distinct)).astype(np.int32)
         index = np.full(len(line) + 1, -1, np.int32)
         index[places] = inverse
         at = places[first]
@@ -412,11 +413,11 @@ class Automaton:
     ``goes``; a state without an arc passes on to ``fail`` at the cost ``weight``."""
 
     arcs: list[np.ndarray]
-    gain: list[float]
-    goes: list[int]
-    weight: list[float]
-    fail: list[int]
-    depth: list[int]
+    gain: array
+    goes: array
+    weight: array
+    fail: array
+    depth: array
     start: int
 
     def ahead(self, levels: list[Level], begin: int, end: int) -> Iterator[tuple[int, ...]]:
@@ -479,15 +480,23 @@ def build_automaton(
             depths.append(np.full(int(is_state.sum()), n))
             after = np.where(is_state, here, shorter)
             first = here if n == 1 else first
-        arcs.append(np.where(kept, known + np.cumsum(kept) - 1, -1))
+        arcs.append(np.where(kept, known + np.cumsum(kept) - 1, -1).astype(np.int32))
         known += int(kept.sum())
         gains.append(np.log10(p[kept]))
         goes.append(after[kept])
         reached = after
     begin = np.flatnonzero(levels[0].codes == _U(sh.word_hash(b" start")))
     start = int(max(first[begin[0]], 0)) if len(begin) and first is not None else 0
-    listed = lambda x: np.concatenate(x).tolist()
-    return Automaton(arcs, listed(gains), listed(goes), listed(weights), listed(fails), listed(depths), start)
+    return Automaton(
+        arcs, _packed("d", gains), _packed("i", goes), _packed("d", weights), _packed("i", fails), _packed("b", depths), start)
+
+
+def _packed(kind: str, parts: list[np.ndarray]) -> array:
+    """The numbers in one typed array: a list of as many Python numbers takes four to eight times the memory. ``parts`` is emptied."""
+    result = array(kind)
+    while parts:
+        result.frombytes(parts.pop(0).astype(np.dtype(kind)).tobytes())
+    return result
 
 
 def _read_answers(levels: list[Level], answers: list[dict], ranges: int, hot: np.ndarray, hot_sums: np.ndarray):
@@ -553,10 +562,11 @@ def score_corpus(docs: DataFrame, training: Column, carry: list[str], plan: Mode
         for row in sent.to_pylist():
             parts.setdefault((row["first"], row["last"]), []).append(row)
         lengths, hits, bases, scores = [], [], [], []
-        for (first, last), mine in sorted(parts.items()):
+        del sent
+        for first, last in sorted(parts):
             some = texts.slice(first, last - first + 1)
             levels, starts = _levels(some.column("__text").to_pylist(), some.column("__train").to_pylist(), plan.order)
-            counts, sums = _read_answers(levels, mine, ranges, *known.value)
+            counts, sums = _read_answers(levels, parts.pop((first, last)), ranges, *known.value)
             automaton = build_automaton(levels, counts, sums, total, distinct, plan)
             del sums
             base = np.log10((counts[0] + 1) / (total + distinct + 1))

@@ -459,3 +459,23 @@ def test_pipeline_against_its_stages(spark):
         taken[source[i]] += copies[i] * len(WORD.findall(t))
     target = shared_targets(sizes)
     assert all(abs(taken[s] - target[s]) <= max(len(WORD.findall(t)) for t in texts.values()) for s in sizes)
+
+
+def test_automaton_is_small():
+    """A batch of 8 MB has over a million arcs and states; they are held as numbers, not as Python objects."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 2000) % 5000).encode() for _ in range(20)]
+    plan = lm_scoring.ModelPlan()
+    levels, starts = lm_scoring._levels(texts, [True] * len(texts), plan.order)
+    counts = [level.counts.astype(np.int64) + 1 for level in levels]
+    sums = [tuple(np.bincount(up.prefix, x, len(level.codes)).astype(np.int64) for x in (c, c, np.ones(len(c))))
+            for level, up, c in zip(levels, levels[1:], counts[1:])]
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    automaton = lm_scoring.build_automaton(levels, counts, sums, 40000, 5000, plan)
+    taken = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert taken < 32 * sum(len(level.codes) for level in levels)
+    assert automaton.traverse(automaton.ahead(levels, starts[0], starts[1])) < 0
